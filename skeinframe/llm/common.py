@@ -55,7 +55,11 @@ def release(spark: SparkSession, folder: str | None = None) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's rows per Arrow batch, so that a batch of very long texts fits in a Python worker."""
+    """Lower the session's rows per Arrow batch, so that a batch of very long texts fits in a Python worker; let workers import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

@@ -5,25 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_quality, sharding, url_filter
+from . import line_quality, packing, pair_bpe, sharding, token_files, url_filter
 from .common import read_table
 
 
+def op1_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_documents(read_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_frequency_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.encode_decode(read_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op8_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32("ids")})
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_frequency_quality, op5_url_redirect_filter, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op4_pair_index_bpe, op5_url_redirect_filter, op8_linear_grouping_packing, op10_kd_sharding)}
 
 
 _OP2_SQL = r"""
