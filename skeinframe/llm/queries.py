@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, packing, pair_bpe, sharding, token_files, url_filter
+from . import bitslice, line_quality, packing, pair_bpe, sharding, token_files, url_filter
 from .common import read_table
 
 
@@ -31,12 +31,16 @@ def op8_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32("ids")})
 
 
+def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op4_pair_index_bpe, op5_url_redirect_filter, op8_linear_grouping_packing, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op4_pair_index_bpe, op5_url_redirect_filter, op8_linear_grouping_packing, op9_bit_sliced_top_k, op10_kd_sharding)}
 
 
 _OP2_SQL = r"""
@@ -85,6 +89,13 @@ SELECT page_id, coalesce(rv.host, '') AS host, coalesce(rv.path, '') AS path, rv
 FROM p0 LEFT JOIN rv ON p0.url = rv.x LEFT JOIN key ON p0.url = key.u LEFT JOIN comp ON key.k = comp.k LEFT JOIN grp ON comp.c = grp.c
 """
 
+_OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) t WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL}
+    return {"op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op9_bit_sliced_top_k": _OP9_SQL}
