@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, line_quality, packing, pair_bpe, sharding, token_files, url_filter
+from . import bitslice, language_id, line_quality, ngram_join, packing, pair_bpe, sharding, token_files, toxicity, url_filter
 from .common import read_table
 
 
@@ -19,6 +19,11 @@ def op2_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_frequency_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.encode_decode(read_table(spark, sf_dir, "documents"), digests=True)
 
@@ -27,6 +32,15 @@ def op5_url_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op8_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32("ids")})
 
@@ -40,7 +54,7 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op4_pair_index_bpe, op5_url_redirect_filter, op8_linear_grouping_packing, op9_bit_sliced_top_k, op10_kd_sharding)}
+    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op3_byte_cnn_language, op4_pair_index_bpe, op5_url_redirect_filter, op6_weak_toxicity, op7_ngram_jaccard_join, op8_linear_grouping_packing, op9_bit_sliced_top_k, op10_kd_sharding)}
 
 
 _OP2_SQL = r"""
@@ -89,6 +103,18 @@ SELECT page_id, coalesce(rv.host, '') AS host, coalesce(rv.path, '') AS path, rv
 FROM p0 LEFT JOIN rv ON p0.url = rv.x LEFT JOIN key ON p0.url = key.u LEFT JOIN comp ON key.k = comp.k LEFT JOIN grp ON comp.c = grp.c
 """
 
+_OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0) q),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM inter JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e2 AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(a, b) AS (SELECT x, y FROM e2 UNION SELECT reach.a, e2.y FROM reach JOIN e2 ON reach.b = e2.x),
+comp AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(comp.b, d.doc_id)) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN comp ON d.doc_id = comp.a
+"""
+
 _OP9_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -98,4 +124,4 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op9_bit_sliced_top_k": _OP9_SQL}
+    return {"op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op7_ngram_jaccard_join": _OP7_SQL, "op9_bit_sliced_top_k": _OP9_SQL}
