@@ -1,9 +1,12 @@
 """Registered queries: one callable and one SQL text for each operator."""
 
+from . import events, matching, rollups, search  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
