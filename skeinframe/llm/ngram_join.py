@@ -32,7 +32,7 @@ from .common import bounded_batches, durable, text_or_empty
 from .components import connected_components
 
 #: Documents up to which a token is rare; tokens of a block; documents among which common tokens are found before the shuffle.
-RARE, BLOCK_TOKENS, CHUNK_DOCS = 32, 1_000_000, 2048
+RARE, BLOCK_TOKENS, CHUNK_DOCS = 8, 1_000_000, 2048
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20)
@@ -72,14 +72,18 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def prefix_sizes(n: int, percent: int) -> tuple[int, int, int]:
-    """p, R1 and R2 of a set of n tokens."""
+def prefix_sizes(n: int, percent: int, spare: float) -> tuple[int, int, int]:
+    """p, R1 and R2 of a set of n tokens. R1 has ``spare`` times p tokens more than p: short n-grams recur by chance, so more are needed to find p that do not."""
+    near = lambda p: p + int(np.ceil(spare * p)) + 10
     p = n - -(-n * percent // 100) + 1
-    first = (3 * p + 1) // 2 + 10
     # a linked y has at most n / t tokens, so its R1 is at most this; x may have p - 1 tokens before that y lacks
     most = n * 100 // percent
     other = most - -(-most * percent // 100) + 1
-    return p, min(n, first), min(n, (3 * other + 1) // 2 + 10 + p)
+    return p, min(n, near(p)), min(n, near(other) + p)
+
+
+def spare_of(width: int) -> float:
+    return 2.0 if width <= 3 else 0.5
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -92,7 +96,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 s = shingles(t, width)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                regions.append(s[: prefix_sizes(len(s), percent)[2]] if len(s) else s)
+                regions.append(s[: prefix_sizes(len(s), percent, spare_of(width))[2]] if len(s) else s)
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
             region = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), region], ["row", "doc_id", "n", "digest", "region"])
@@ -133,9 +137,9 @@ def _mixed(*values: int) -> int:
     return int.from_bytes(hashlib.blake2b(np.array(values, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(n: int, percent: int, tokens: list[tuple[int, int, int]]) -> list[tuple[int, bool]] | None:
+def signature(n: int, percent: int, spare: float, tokens: list[tuple[int, int, int]]) -> list[tuple[int, bool]] | None:
     """(key, probes) of a document, or None if it can have no partner. tokens: (place, token, documents) of those in its region that another document's region has too."""
-    p, first, _ = prefix_sizes(n, percent)
+    p, first, _ = prefix_sizes(n, percent, spare)
     tokens.sort()
     near = [x for x in tokens if x[0] < first]
     unique = first - len(near)
@@ -146,7 +150,8 @@ def signature(n: int, percent: int, tokens: list[tuple[int, int, int]]) -> list[
     chosen = {t for _, t in probes}
     keys = {t: t in chosen for _, t, _ in rare}
     lacking = p - unique - len(probes)  # tokens to take from frequent ones
-    frequent = [(place, t) for place, t, c in tokens if c > RARE]
+    # only of two documents that both lack some can a link rest on frequent tokens alone: any other one probes what its partner has among its rare tokens
+    frequent = [(place, t) for place, t, c in tokens if c > RARE] if lacking > 0 else []
     if frequent:
         # groups by the size of p: sizes of linked sets differ by one binary digit at most, so each set stands under its own and the one below
         own = p.bit_length()
@@ -158,8 +163,8 @@ def signature(n: int, percent: int, tokens: list[tuple[int, int, int]]) -> list[
             inner = sum(max(0, sum(place < first for place, _ in m) - 1) for m in members.values())
             for m in members.values():
                 for (a, t), (b, u) in combinations(m, 2):
-                    keys[_mixed(size, t, u)] = lacking > 0 and a < first and b < first
-            single = lacking > 0 and inner < lacking
+                    keys[_mixed(size, t, u)] = a < first and b < first
+            single = inner < lacking
             for place, t in frequent:
                 k = _mixed(-size, t)
                 keys[k] = keys.get(k, False) or (single and place < first)
@@ -223,7 +228,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
             rows, keys, probes = [], [], []
             for row, n, tokens in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens")):
                 v = tokens.values
-                for k, probe in signature(n, percent, list(zip(*(v.field(i).to_pylist() for i in range(3))))) or ():
+                for k, probe in signature(n, percent, spare_of(width), list(zip(*(v.field(i).to_pylist() for i in range(3))))) or ():
                     rows.append(row)
                     keys.append(k)
                     probes.append(probe)
@@ -238,25 +243,24 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     # each member stands in one block and meets every block of its family
     mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     meets = members.join(sizes, "family").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("digest", "row", "family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    meets = meets.select("doc_id", "digest", "row", "family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     wanted = durable(meets, "meets")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
-    ids = members.select("doc_id", "digest").distinct()
+    kind = sketch.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "tokens"])
 
-    again = texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(sets, "digest binary, tokens binary")
-    again = again.join(ids.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    again = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, digest binary, tokens binary")
 
     def verified(group: pa.Table) -> pa.Table:
         group = group.sort_by("row")
         edges = family_edges(group.column("row").to_numpy(), [np.frombuffer(b, np.int64) for b in group.column("tokens").to_pylist()], percent)
         return pa.table([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    links = wanted.join(again, "digest").select("family", "a", "b", "row", "tokens").groupBy("family", "a", "b").applyInArrow(verified, "u long, v long")
+    links = wanted.join(again, ["doc_id", "digest"]).select("family", "a", "b", "row", "tokens").groupBy("family", "a", "b").applyInArrow(verified, "u long, v long")
     parts = durable(connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("part")), "parts")
     least = parts.join(first.select("row", "doc_id"), "row").groupBy("part").agg(F.min("doc_id").alias("least"))
     of_set = first.join(parts, "row", "left").join(least, "part", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
