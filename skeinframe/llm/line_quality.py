@@ -19,61 +19,58 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.transform(F.array(value), body)[0]
+def _normal(line: Column) -> Column:
+    """A line for comparison: runs of white space as one blank, digits as 0, in lower case."""
+    # a single blank is left as it is, so that most of a line costs no replacement
+    one_blank = F.regexp_replace(line, r"(?:\x20(?=[\x20\x09-\x0D])|[\x09-\x0D])[\x20\x09-\x0D]*", " ")
+    return F.lower(F.regexp_replace(F.trim(one_blank), "[0-9]", "0"))
 
 
-def _joined(hashes: Column, by: int) -> Column:
+def _joined(hashes: str, by: int) -> Column:
     """The hash of elements i and i + by, for each i that has both."""
     n = F.greatest(F.size(hashes) - by, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, by + 1, n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def repeat_words(words: Column, width: int = 8) -> Column:
-    """Words that lie in a window of ``width`` words (a power of two) found twice or more in the text."""
+def _covered(windows: Column, width: int) -> Column:
+    """Words in windows that occur twice or more: each such window adds those that the one before it has not."""
 
-    def covered(windows: Column) -> Column:
-        def places(s: Column) -> Column:
-            n = F.size(s)
-            twice = F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | ((k < n - 1) & (F.get(s, k + 1)["h"] == e["h"])))
-            return F.sort_array(F.transform(twice, lambda e: e["i"]))
+    def places(s: Column) -> Column:
+        n = F.size(s)
+        twice = F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | ((k < n - 1) & (F.get(s, k + 1)["h"] == e["h"])))
+        return F.sort_array(F.transform(twice, lambda e: e["i"]))
 
-        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        begin = F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n"))
-        step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n"))
-        total = F.aggregate(_let(ordered, places), begin, step)["n"]
-        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), total).otherwise(F.lit(0))
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    begin = F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n"))
+    step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(width), i - acc["last"])).alias("n"))
+    return F.aggregate(F.transform(F.array(ordered), places)[0], begin, step)["n"]
 
-    def windows(hashes: Column) -> Column:
-        by = 1
-        while by < width:
-            hashes, by = _joined(hashes, by), by * 2
-        return hashes
 
-    return F.when(F.size(words) < width, F.lit(0)).otherwise(_let(windows(F.transform(words, lambda w: F.xxhash64(w))), covered))
+def base_measures(docs: DataFrame, text: str = "text", width: int = 8) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and ``line_words``: an array of (h, w), the hash and words of each line that has a word.
 
-
-def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and ``line_words``: an array of (h, w), the hash and words of each line that has a word."""
+    n_repeat_words: words in a window of ``width`` words (a power of two) that is
+    found twice or more in the text. Each step is a column of its own, so that
+    no array is made twice and only lambdas are interpreted.
+    """
     whole = text_or_empty(text)
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-
-    def normal(line: Column) -> Column:
-        return F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " {2,}", " "), "[0-9]", "0"))
-
-    step = docs.withColumn("_words", _words(whole)).withColumn("_lines", lines)
+    step = docs.withColumn("_words", _words(whole)).withColumn("_lines", F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = step.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    by = 1
+    while by < width:
+        step, by = step.withColumn("_h", _joined("_h", by)), by * 2
     return step.select(
         *docs.columns,
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit("[" + SYMBOLS + "]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(_words(x)).alias("w"))).alias("line_words"),
+        F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(F.col("_h"), width)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.transform("_lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(_words(x)).alias("w"))).alias("line_words"),
     )
 
 
@@ -105,5 +102,5 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 def cleaned_texts(docs: DataFrame, common: DataFrame, text: str = "text") -> DataFrame:
     """Texts without the lines whose (host, h) is in ``common``; for callers that want the cleaned text and not the verdict."""
     lines = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
-    hashed = lines.withColumn("h", F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")), " {2,}", " "), "[0-9]", "0"))))
+    hashed = lines.withColumn("h", F.xxhash64(_normal(F.col("line"))))
     return hashed.join(common, ["host", "h"], "left_anti").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
