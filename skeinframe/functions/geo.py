@@ -15,7 +15,7 @@ KM_A_DEGREE = 111.32
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float = RADIUS_KM) -> Column:
     half = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
     h = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng2 - lng1)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def flat_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

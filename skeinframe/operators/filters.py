@@ -38,8 +38,8 @@ class Facets:
 
     def constrained(self) -> bool:
         """Whether anything constrains; a search without is refused."""
-        plain = {k: v for k, v in vars(self).items() if k not in ("id_sets", "with_unnamed")}
-        return bool(self.id_sets) or any(v not in (None, False) for v in plain.values())
+        plain = (v for k, v in vars(self).items() if k not in ("id_sets", "with_unnamed", "inhabited"))
+        return bool(self.id_sets) or self.inhabited is not None or any(v is not None and v is not False for v in plain)
 
     def check(self, nations: Sequence[str], types: Sequence[str], box=(48.0, -12.0, 62.5, 3.0)) -> None:
         """Raise for unknown values and points outside the atlas."""
