@@ -88,7 +88,7 @@ def test_repeat_words_by_brute_force(spark):
 
 def test_common_lines_deplete(spark):
     line = "all rights reserved by the owner of this site and whoever else may own it now"
-    rows = [(i, f"{line.upper() if i % 3 else line + '  '}\n" + " ".join(f"w{i}a{k}" for k in range(60 if i % 2 else 5)), "h") for i in range(60)]
+    rows = [(i, f"{line.upper() if i % 3 else line + '  '}\n" + " ".join(f"{chr(97 + i // 10)}{chr(97 + i % 10)}x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60 if i % 2 else 5)), "h") for i in range(60)]
     got = {r.doc_id: r for r in line_quality.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].kept == bool(i % 2) and not got[i].base_failed and got[i].n_removed_words == 16 for i in range(60))
 
