@@ -3,20 +3,22 @@
 A byte-level tokenizer cuts a text into pieces before it merges, and a piece's
 ids don't depend on its neighbours. Texts are cut at blanks into chunks; a
 chunk's ids are kept in a bounded table of the worker, so a text costs a split,
-a lookup for each chunk and a join. Clearing the table changes no result.
+a lookup for each chunk and a join. A bounded table changes no result.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks whose ids a worker keeps; about 200 bytes each.
-KEPT_CHUNKS = 400_000
+#: Chunks and pieces whose ids a worker's table keeps, of about 200 bytes each; the table before it is kept too.
+KEPT_CHUNKS = 800_000
 #: White space as the tokenizer's pattern has it (Unicode's White_Space).
 WS = "\t-\r \x85\xa0  -     　"
 #: Ends of words that are pieces of their own and begin no contraction.
@@ -52,10 +54,14 @@ class ChunkEncoder:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks: dict[str, bytes] = {}  # a key is a chunk without its leading blank; one that has none is kept behind a blank
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces in the byte alphabet, by the library's model."""
         tokenize = self.tokenizer.model.tokenize
+        if sys.byteorder == "little" and array("I").itemsize == 4:
+            return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in pieces]
         return [np.array([t.id for t in tokenize(x)], "<u4").tobytes() for x in pieces]
 
     def _keys(self, text: str) -> list[str]:
@@ -69,24 +75,42 @@ class ChunkEncoder:
             return keys
         return keys[1:]
 
-    def _pieces_of(self, key: str) -> list[str]:
-        chunk = key[1:] if key[0] == " " else " " + key
-        word = chunk.removeprefix(" ")
-        stem = word[:-1] if word[-1:] in ENDS else word
-        if stem.isalpha() and max(stem) < "\u0250":  # Latin letters, on which all versions of Unicode agree
-            head = ("Ġ" if chunk[0] == " " else "") + (stem if stem.isascii() else "".join([ALPHABET[b] for b in stem.encode()]))
-            return [head] if stem is word else [head, word[-1]]
-        return [p for p, _ in self.split(chunk)]
+    def _stem(self, key: str) -> tuple[str, str, str] | None:
+        """(key, piece, tail) of a chunk that is a word of Latin letters, on which all versions of Unicode agree, and at most one of ENDS; else None."""
+        word = key.removeprefix(" ")
+        tail = word[-1:] if word[-1:] in ENDS else ""
+        stem = word[:-1] if tail else word
+        if not stem.isalpha() or max(stem) >= "\u0250":
+            return None
+        head = "" if key[0] == " " else "Ġ"
+        return (key[:-1] if tail else key), head + (stem if stem.isascii() else "".join([ALPHABET[b] for b in stem.encode()])), tail
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.chunks) > self.kept or len(self.pieces) > self.kept:
-            self.chunks.clear()
-            self.pieces.clear()
-        cut = {k: self._pieces_of(k) for k in missing}
-        known = self.pieces
-        new = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in known))
-        known.update(zip(new, self.encode_pieces(new)))
-        self.chunks.update((k, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for k, ps in cut.items())
+        chunks, pieces, old, old_pieces = self.chunks, self.pieces, self.old, self.old_pieces
+        words: dict[str, str] = {}  # chunks that are one piece
+        ended: list[tuple[str, str, str]] = []
+        cut: dict[str, list[str]] = {}
+        for k in missing:
+            if (b := old.get(k)) is not None:
+                chunks[k] = b
+            elif s := self._stem(k):
+                base, piece, tail = s
+                if tail:
+                    ended.append((k, base, tail))
+                if base not in chunks:
+                    if (b := old.get(base)) is not None:
+                        chunks[base] = b
+                    else:
+                        words[base] = piece
+            else:
+                cut[k] = [p for p, _ in self.split(k[1:] if k[0] == " " else " " + k)]
+        chunks.update(zip(words, self.encode_pieces(list(words.values()))))
+        wanted = dict.fromkeys([t for _, _, t in ended] + [p for ps in cut.values() for p in ps])
+        pieces.update((p, old_pieces[p]) for p in wanted if p not in pieces and p in old_pieces)
+        new = [p for p in wanted if p not in pieces]
+        pieces.update(zip(new, self.encode_pieces(new)))
+        chunks.update((k, chunks[base] + pieces[tail]) for k, base, tail in ended)
+        chunks.update((k, b"".join([pieces[p] for p in ps])) for k, ps in cut.items())
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         keyed = [self._keys(t) for t in texts]
@@ -94,12 +118,15 @@ class ChunkEncoder:
         found = [[get(k) for k in keys] for keys in keyed]
         missing = {k for keys, got in zip(keyed, found) if None in got for k, b in zip(keys, got) if b is None}
         if missing:
-            old = self.chunks
-            if len(old) > self.kept or len(self.pieces) > self.kept:
-                missing.update(k for keys in keyed for k in keys)
             self._learn(missing)
             found = [got if None not in got else [get(k) for k in keys] for keys, got in zip(keyed, found)]
-        return [b"".join(got) for got in found]
+        out = [b"".join(got) for got in found]
+        # a full table becomes the old one, from which chunks that occur again are taken over
+        if len(self.chunks) > self.kept:
+            self.old, self.chunks = self.chunks, {}
+        if len(self.pieces) > self.kept // 4:
+            self.old_pieces, self.pieces = self.pieces, {}
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if not self._special:
