@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,52 +67,84 @@ class Scored:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def rated_features(bags: list[set[str]], toxic: np.ndarray, least_odds: float = 1.5) -> list[str]:
-    """Features commoner among toxic rows than among clean ones by more than chance, best first, the shorter one first if even.
+def bags_of(texts: list[str]) -> list[np.ndarray]:
+    """The features of each text as sorted 64-bit hashes, which take a tenth of the strings' memory."""
+    return [np.unique(np.fromiter((hash(f) for w in set(_words(t.lower())) for f in features_of(w)), np.int64)) for t in texts]
+
+
+def _names(texts: list[str], wanted: set[int]) -> dict[int, str]:
+    """The feature of each wanted hash."""
+    found: dict[int, str] = {}
+    for t in texts:
+        for w in set(_words(t.lower())):
+            for f in features_of(w):
+                if (h := hash(f)) in wanted:
+                    found[h] = f
+    return found
+
+
+def _counts(bags: list[np.ndarray], step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and in how many bags each is, added up over a few bags at a time."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for s in range(0, len(bags), step):
+        k, c = np.unique(np.concatenate(bags[s : s + step]), return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, c]), len(keys)).astype(np.int64)
+    return keys, n
+
+
+def rated_features(bags: list[np.ndarray], toxic: np.ndarray, least_odds: float = 1.5) -> dict[int, float]:
+    """Features commoner among toxic rows than among clean ones by more than chance, with their rating.
 
     The test is the likelihood ratio of a feature's rows against the share of
     toxic rows; it must exceed what the best of as many random features reach.
     """
-    counts = (Counter(), Counter())
-    for bag, y in zip(bags, toxic.tolist()):
-        counts[y].update(bag)
+    on, n_on = _counts([b for b, y in zip(bags, toxic) if y])
+    off, n_off = _counts([b for b, y in zip(bags, toxic) if not y])
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    share, least = n1 / (n1 + n0), math.log(len(counts[0] | counts[1]) + 1) + 3
-    rated = []
-    for f, a in counts[1].items():
-        c = counts[0][f]
-        odds = math.log(((a + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1)))
-        ratio = a * math.log(a / (a + c) / share) + (c * math.log(c / (a + c) / (1 - share)) if c else 0)
-        if odds > least_odds and ratio > least:
-            rated.append((-ratio, len(f), f))
-    return [f for *_, f in sorted(rated)]
-
-
-def mine_lexicon(bags: list[set[str]], toxic: np.ndarray, most: int = VOTERS) -> list[str]:
-    """The best features, without those that only repeat a better and more general one: at least nine tenths of their toxic rows have it."""
-    at = {f: i for i, f in enumerate(rated_features(bags, toxic))}
-    rows: list[set[int]] = [set() for _ in at]
+    share = n1 / (n1 + n0)
+    at = np.minimum(np.searchsorted(off, on), max(0, len(off) - 1))
+    c = np.where(off[at] == on, n_off[at], 0) if len(off) else np.zeros(len(on), np.int64)
+    odds = np.log(((n_on + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1)))
+    part = n_on / (n_on + c)
+    ratio = n_on * np.log(part / share) + np.where(c > 0, c * np.log(np.maximum(1 - part, 1e-300) / (1 - share)), 0)
+    good = (odds > least_odds) & (ratio > math.log(len(on) + len(off) + 1) + 3)
+    return dict(zip(on[good].tolist(), ratio[good].tolist()))
+
+
+def mine_lexicon(texts: list[str], bags: list[np.ndarray], toxic: np.ndarray, most: int = VOTERS) -> list[str]:
+    """The best features, the shorter one first if even, without those that only repeat a better and more general one: at least nine tenths of their toxic rows have it."""
+    rating = rated_features(bags, toxic)
+    names = _names(texts, set(rating))
+    order = sorted(names, key=lambda h: (-rating[h], len(names[h]), names[h]))
+    wanted = np.array(sorted(order), np.int64)
+    rows: dict[int, set[int]] = {h: set() for h in order}
     for r in np.flatnonzero(toxic).tolist():
-        for f in bags[r] & at.keys():
-            rows[at[f]].add(r)
-    taken: list[str] = []
-    for f in at:
-        own = rows[at[f]]
+        for h in bags[r][np.isin(bags[r], wanted)].tolist():
+            rows[h].add(r)
+    taken: list[int] = []
+    for h in order:
+        f, own = names[h], rows[h]
         bare = f.removeprefix("^")
-        if not any((bare.startswith(t[1:]) or t.removeprefix("^").startswith(bare)) and len(own & rows[at[t]]) >= 0.9 * len(own) for t in taken if t[0] == "^" or t == bare or f[0] == "^"):
-            taken.append(f)
+
+        def covers(t: int) -> bool:
+            other = names[t]
+            near = other[0] == "^" or f[0] == "^" or other == bare
+            return near and (bare.startswith(other[1:]) or other.removeprefix("^").startswith(bare)) and len(own & rows[t]) >= 0.9 * len(own)
+
+        if not any(covers(t) for t in taken):
+            taken.append(h)
             if len(taken) == most:
                 break
-    return taken
+    return [names[h] for h in taken]
 
 
-def votes_of(texts: list[str], bags: list[set[str]], lexicon: list[str]) -> np.ndarray:
+def votes_of(texts: list[str], bags: list[np.ndarray], lexicon: list[str]) -> np.ndarray:
     """rows x voters: 1 toxic, -1 clean, 0 abstains. The last voter calls rows clean in which no lexicon voter speaks."""
     out = np.zeros((len(texts), len(lexicon) + len(PATTERNS) + 1), np.int8)
-    at = {f: i for i, f in enumerate(lexicon)}
+    hashes = np.array([hash(f) for f in lexicon], np.int64)
     for r, (t, bag) in enumerate(zip(texts, bags)):
-        for f in bag & at.keys():
-            out[r, at[f]] = 1
+        out[r, : len(lexicon)] = np.isin(hashes, bag)
         for j, p in enumerate(PATTERNS.values()):
             out[r, len(lexicon) + j] = 1 if p.search(t) else 0
         out[r, -1] = 0 if out[r, : len(lexicon)].any() else -1
@@ -171,11 +202,11 @@ def fit_label_model(votes: np.ndarray, prior: float, marks: np.ndarray, rounds:
     return model
 
 
-def fit_linear(bags: list[set[str]], posterior: np.ndarray, names: list[str], weight: np.ndarray, steps: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Scored:
+def fit_linear(bags: list[np.ndarray], posterior: np.ndarray, names: list[str], weight: np.ndarray, steps: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Scored:
     """Logistic regression on posterior labels by Adam; rows x features is sparse."""
-    at = {f: i for i, f in enumerate(names)}
-    pairs = [(r, at[f]) for r, bag in enumerate(bags) for f in bag & at.keys()]
-    rows, cols = (np.array(x, np.int64) for x in (zip(*sorted(pairs)) if pairs else ((), ())))
+    hashes = np.array([hash(f) for f in names], np.int64)
+    pairs = [(r, i) for r, bag in enumerate(bags) for i in np.flatnonzero(np.isin(hashes, bag)).tolist()]
+    rows, cols = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
     w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
     weight = weight / weight.sum()
     for step in range(1, steps + 1):
@@ -205,13 +236,13 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Scored | None:
     """The classifier trained on the label model's posterior; None without rows of both labels. share: of toxic rows before drawing."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    bags = [{f for w in set(_words(t.lower())) for f in features_of(w)} for t in texts]
-    lexicon = mine_lexicon(bags, toxic)
+    bags = bags_of(texts)
+    lexicon = mine_lexicon(texts, bags, toxic)
     votes = votes_of(texts, bags, lexicon)
     posterior = fit_label_model(votes, float(toxic.mean()), toxic).final
     # features: the lexicon, and what else the posterior labels set apart
     guess = (posterior > 0.5).astype(np.int64)
-    names = list(dict.fromkeys([*lexicon, *mine_lexicon(bags, guess, FEATURES)]))
+    names = list(dict.fromkeys([*lexicon, *mine_lexicon(texts, bags, guess, FEATURES)]))
     # drawn rows weigh as all rows of their label do
     weight = np.where(guess == 1, max(share, 0.2) / max(1, guess.sum()), (1 - max(share, 0.2)) / max(1, (1 - guess).sum()))
     return fit_linear(bags, posterior, names, weight)
