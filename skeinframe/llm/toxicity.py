@@ -227,7 +227,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(21)), 12).cast("double") / F.lit(float(1 << 52))
     drawn = marked.filter(F.when(F.col("toxic") == 1, u < rows_each / counts[1]).otherwise(u < rows_each / counts[0]))
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= CHARS_EACH))
-    rows = picked.join(drawn, "doc_id").select("doc_id", "text", "toxic").collect()  # about 2 x rows_each rows of bounded length
+    # about 2 x rows_each ids are drawn at any input size, so they are broadcast and texts stay where they are
+    rows = picked.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows], np.int64), counts[1] / (counts[0] + counts[1])
 
