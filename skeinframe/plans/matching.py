@@ -138,6 +138,12 @@ def components(t):
     return graph.components(e)
 
 
+@query()
+def components_all_edges(t):
+    """Components over every lineitem row; ``components`` has a thin part of them, which its recursive SQL can follow."""
+    return graph.components(t("lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v")))
+
+
 _FERRY = "SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst, 10.0 + n_nationkey AS w FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, 120.0 FROM nation WHERE n_nationkey % 3 = 0"
 
 
