@@ -72,6 +72,12 @@ def folded_text(t):
     return t("documents").select("doc_id", text.search_norm(F.substring("text", 1, 400)).alias("norm"))
 
 
+@query()
+def folded_whole_text(t):
+    """The whole of each text; ``folded_text`` has the first 400 characters, as its SQL does."""
+    return t("documents").select("doc_id", text.search_norm(F.col("text")).alias("norm"))
+
+
 @query("SELECT doc_id, regexp_matches(text, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') OR regexp_matches(text, '(?:\\+?\\d[\\s().-]?){9,}') AS contact FROM documents")
 def contact_details(t):
     return t("documents").select("doc_id", text.has_contact(F.col("text")).alias("contact"))

@@ -1,5 +1,8 @@
 """Queries that take every row and the whole text, for which no SQL is given: against brute force on small tables."""
 
+import re
+import unicodedata
+
 from skeinframe import plans
 
 
@@ -28,3 +31,14 @@ def test_components_of_all_edges(spark, tmp_path):
     got = run(spark, tmp_path, "components_all_edges", lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"))
     assert len({c for _, c in want}) > 3
     assert got == want
+
+
+def norm(text):
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not "\u0300" <= c <= "\u036f")
+    return re.sub("[^a-z0-9]+", " ", bare.lower()).strip(" ")
+
+
+def test_whole_texts_are_folded(spark, tmp_path):
+    texts = ["Short: Café!", "É, déjà " * 300 + "the End.", "x" * 399 + "É-ÿ" + "z" * 50_000, "", None, "?! " * 500]
+    got = run(spark, tmp_path, "folded_whole_text", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == [(i, norm(x or "")) for i, x in enumerate(texts)]
