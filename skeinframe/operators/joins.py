@@ -92,16 +92,21 @@ def name_and_distance(left: DataFrame, right: DataFrame, key: str, left_id: str,
 def contained_name(texts: DataFrame, names: DataFrame, text_id: str, text: str, name_id: str, name: str, least: int = 5) -> DataFrame:
     """(text_id, name_id) of the longest name of ``least`` letters or more whose words stand in the text.
 
-    Names are found by their first word, so that the join is an equi-join on
-    words and not every name against every text.
+    Runs of as many words as some name has are joined to the names, so that the
+    join is an equi-join, and a text is not copied for each of its words.
     """
     from ..functions.text import search_norm
 
-    t = texts.select(F.col(text_id), F.concat(F.lit(" "), search_norm(F.col(text)), F.lit(" ")).alias("_t"))
-    n = names.select(F.col(name_id), search_norm(F.col(name)).alias("_n")).filter(F.length("_n") >= least).withColumn("_w", F.substring_index("_n", " ", 1))
-    words = t.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))))
-    hit = words.join(n, "_w").filter(F.contains(F.col("_t"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
-    return first_of(hit, [text_id], [F.length("_n").desc(), F.col(name_id)]).select(text_id, name_id)
+    n = names.select(F.col(name_id), search_norm(F.col(name)).alias("_n")).filter(F.length("_n") >= least)
+    n = small(n.groupBy("_n").agg(F.min(F.struct(name_id)).alias("_i")))
+    counts = sorted(r[0] for r in n.select(F.size(F.split("_n", " "))).distinct().collect())
+    t = texts.select(F.col(text_id), F.split(search_norm(F.col(text)), " ").alias("_t"))
+    starts = lambda k: F.when(F.size("_t") >= k, F.sequence(F.lit(1), F.size("_t") - k + 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda k: F.array_distinct(F.transform(starts(k), lambda i: F.array_join(F.slice("_t", i, k), " ")))
+    runs = F.concat(F.array().cast("array<string>"), *(run(k) if k > 1 else F.array_distinct("_t") for k in counts))
+    hit = t.select(text_id, F.explode(runs).alias("_n")).join(n, "_n")
+    best = hit.groupBy(text_id).agg(F.min(F.struct((-F.length("_n")).alias("_l"), "_i")).alias("_b"))
+    return best.select(text_id, F.col(f"_b._i.{name_id}").alias(name_id))
 
 
 def smallest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell_degrees: float = 0.5) -> DataFrame:

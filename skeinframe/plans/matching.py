@@ -109,13 +109,22 @@ def token_jaccard(t):
     return pairs.select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
+def _names(t):
+    names = t("part").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"))
+    one = t("region").limit(1)
+    return names.unionByName(one.select(F.lit(-1).cast("long").alias("name_id"), F.lit("en la").alias("name"))).unionByName(one.select(F.lit(-2).cast("long").alias("name_id"), F.lit("the of").alias("name")))
+
+
 @query("WITH x AS (SELECT conv_id * 1000 + turn AS text_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM conversations WHERE role = 'user'), w AS (SELECT DISTINCT lower(p_name) AS nm FROM part), v AS (SELECT n, min(name_id) AS name_id FROM (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n, p_partkey AS name_id FROM part UNION ALL SELECT 'en la', -1 UNION ALL SELECT 'the of', -2) q WHERE length(n) >= 5 GROUP BY n) SELECT text_id, name_id FROM (SELECT text_id, name_id, row_number() OVER (PARTITION BY text_id ORDER BY length(n) DESC, name_id) AS rk FROM x JOIN v ON contains(s, ' ' || n || ' ')) q WHERE rk = 1")
 def substring_join(t):
     texts = t("conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    names = t("part").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"))
-    one = t("region").limit(1)
-    names = names.unionByName(one.select(F.lit(-1).cast("long").alias("name_id"), F.lit("en la").alias("name"))).unionByName(one.select(F.lit(-2).cast("long").alias("name_id"), F.lit("the of").alias("name")))
-    return joins.contained_name(texts, names, "text_id", "text", "name_id", "name")
+    return joins.contained_name(texts, _names(t), "text_id", "text", "name_id", "name")
+
+
+@query()
+def substring_join_documents(t):
+    """Names in every document's whole text; ``substring_join`` has the users' turns of conversations, as its SQL does."""
+    return joins.contained_name(t("documents").select("doc_id", "text"), _names(t), "doc_id", "text", "name_id", "name")
 
 
 @query("SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, a.v AS \"old\", b.v AS \"new\" FROM (SELECT p_brand, round(avg(p_retailprice), 4) AS v FROM part WHERE p_size <= 25 GROUP BY 1) a FULL JOIN (SELECT p_brand, round(avg(p_retailprice), 4) AS v FROM part WHERE p_size > 25 GROUP BY 1) b ON a.p_brand = b.p_brand WHERE a.v IS NULL OR b.v IS NULL OR (abs(b.v - a.v) >= 0.01 * abs(a.v) AND a.v <> b.v)")

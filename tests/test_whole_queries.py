@@ -42,3 +42,17 @@ def test_whole_texts_are_folded(spark, tmp_path):
     texts = ["Short: Café!", "É, déjà " * 300 + "the End.", "x" * 399 + "É-ÿ" + "z" * 50_000, "", None, "?! " * 500]
     got = run(spark, tmp_path, "folded_whole_text", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert got == [(i, norm(x or "")) for i, x in enumerate(texts)]
+
+
+def test_names_in_whole_documents(spark, tmp_path):
+    names = [(1, "blue anvil"), (2, "Blue  Anvil"), (3, "anvil"), (4, "red"), (5, "long blue anvil stand"), (6, "zinc kettle"), (7, None), (8, "é!tin cup"), (9, "")]
+    texts = ["a blue-anvil", "anvils, blue anvils", "word " * 3000 + "Zinc\nKettle.", "the long blue anvil stand and the zinc kettle", "red red", "le tour de France en la mer", None, "", "anvil", "E tin cup", "x " * 200 + "of the of"]
+    texts += ["zinc kettle", "kettle zinc", "tin blue anvil zinc kettle"]
+    spelt = [(i, norm(n or "")) for i, n in names] + [(-1, "en la"), (-2, "the of")]
+    want = []
+    for d, x in enumerate(texts):
+        hits = [(-len(n), i) for i, n in spelt if len(n) >= 5 and f" {n} " in f" {norm(x or '')} "]
+        want += [(d, min(hits)[1])] if hits else []
+    got = run(spark, tmp_path, "substring_join_documents", documents=(list(enumerate(texts)), "doc_id long, text string"), part=(names, "p_partkey long, p_name string"), region=([(0,)], "r_regionkey int"))
+    assert len(want) > 8
+    assert got == want
