@@ -74,26 +74,24 @@ def base_measures(docs: DataFrame, text: str = "text", width: int = 8) -> DataFr
     )
 
 
-def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", most_docs: int = 20, most_share: float = 0.01, least_words: int = 20, least_kept: float = 0.3) -> DataFrame:
+def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", most_docs: int = 20, least_words: int = 20, least_kept: float = 0.3) -> DataFrame:
     """One row for each row of ``docs``: its id, the five measures, n_removed_words, n_kept_words, base_failed and kept.
 
-    A line is removed from a host's documents if more than ``most_docs`` and more
-    than ``most_share`` of the host's distinct texts have it (exact copies of a
-    text within a host count once). A document is kept unless the base rules
-    fail, or removal leaves under ``least_words`` words or under ``least_kept``
+    A line is removed from a host's documents if more than ``most_docs`` of them
+    have it, however many the host has; each row is a document, so exact copies
+    of a text count one by one. A document is kept unless the base rules fail,
+    or removal leaves under ``least_words`` words or under ``least_kept``
     of its words. Null text: no words, so it fails. Null host: a host of its
     own. Repeated rows and ids: each row gets its result. Empty tables: no rows.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    base = base_measures(picked).withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64(text_or_empty("text"))}).drop("text")
+    base = base_measures(picked).withColumn("row", F.monotonically_increasing_id()).drop("text")
     base = durable(base, "line-base")
-    texts = base.groupBy("host", "text_hash").agg(F.first("line_words").alias("line_words"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_texts"))
-    seen = texts.select("host", F.explode(F.array_distinct(F.transform("line_words", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("texts_with"))
-    common = seen.filter(F.col("texts_with") > most_docs).join(hosts, "host").filter(F.col("texts_with") > most_share * F.col("host_texts")).select("host", "h")
+    seen = base.select("host", F.explode(F.array_distinct(F.transform("line_words", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs_with"))
+    common = seen.filter(F.col("docs_with") > most_docs).select("host", "h")
     common = durable(common, "common-lines")
     lost = base.select("row", "host", F.explode("line_words").alias("x")).select("row", "host", "x.h", "x.w").join(common, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("w").alias("n_removed_words"))
-    judged = base.drop("line_words", "text_hash", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    judged = base.drop("line_words", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     n, left = F.col("n_words"), F.col("n_words") - F.col("n_removed_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", left.alias("n_kept_words"), failed.alias("base_failed"), (~failed & ~((F.col("n_removed_words") > 0) & ((left < least_words) | (left < least_kept * n)))).alias("kept"))
