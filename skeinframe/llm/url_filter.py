@@ -23,7 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -52,11 +52,28 @@ def _key(url: Column) -> Column:
     return F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
+def _without_dots(url: Column) -> Column:
+    """``url`` with the segments ``.`` and ``..`` of its path resolved."""
+    head = F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    tail = F.substring(url, F.length(head) + F.length(path) + 1, F.length(url))
+    parts = F.split(path, "/", -1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(head, F.lit("/"), F.array_join(kept, "/"), end, tail)).otherwise(url)
+
+
 def _absolute(base: Column, link: Column) -> Column:
-    """``link`` as seen from ``base``: absolute, ``//host/path`` and ``/path`` forms; null for any other."""
+    """``link`` as seen from the page's URL ``base``; a base element is not looked at. Null for a mere fragment, for schemes without ``//``, and for all but absolute links if ``base`` is not absolute."""
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     scheme, origin = F.regexp_extract(base, r"^([^:/?#]+:)//", 1), F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    return F.when(link.contains("://"), link).when(origin == "", F.lit(None)).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
+    page = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(origin, F.regexp_extract(F.substring(page, F.length(origin) + 1, F.length(page)), r"(?s)^(.*/)", 1))
+    folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
+    whole = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link).when((origin == "") | link.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.\-]*:)"), F.lit(None))
+    whole = whole.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).when(link.startswith("?"), F.concat(page, link)).otherwise(F.concat(folder, link))
+    return _without_dots(whole)
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
