@@ -1,4 +1,4 @@
-"""Joins by keys, tiers, cells, polygons and bands (survey J-01 to J-31).
+"""Joins by keys, tiers, cells, polygons and bands (survey J-01 to J-31 without J-15 to J-17).
 
 Distance joins go over cells: one side is put in its cell, the other into the
 cells around, so Spark sees an equi-join; hot cells are left to AQE's skew join.

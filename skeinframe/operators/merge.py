@@ -1,4 +1,4 @@
-"""Merging records, guarded updates and promotion (survey M-01 to M-22, U-01 to U-06)."""
+"""Merging records, guarded updates and promotion (survey M-01 to M-22 without M-06, M-07, M-12 and M-22; U-01 to U-06)."""
 
 from __future__ import annotations
 
