@@ -90,7 +90,16 @@ def first_sentence(t):
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 1 THEN 1 WHEN c_acctbal < 100 THEN 2 ELSE 3 END AS band, round(c_acctbal * 0.3048, 4) AS metres FROM customer WHERE c_acctbal BETWEEN 0 AND 2000")
 def parsed_units(t):
-    c = t("customer").filter("c_acctbal between 0 and 2000")
+    return _units(t("customer").filter("c_acctbal between 0 and 2000"))
+
+
+@query()
+def parsed_units_all(t):
+    """Every customer; ``parsed_units`` has balances between 0 and 2000, as its SQL does."""
+    return _units(t("customer"))
+
+
+def _units(c):
     m = parse.elevation_m(F.concat(F.format_string("%.2f", F.col("c_acctbal")), F.lit(" ft")))
     return c.select("c_custkey", F.when(F.col("c_acctbal") < 0, None).when(F.col("c_acctbal") < 1, 1).when(F.col("c_acctbal") < 100, 2).otherwise(3).alias("band"), F.round(m, 4).alias("metres"))
 

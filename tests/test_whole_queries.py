@@ -56,3 +56,10 @@ def test_names_in_whole_documents(spark, tmp_path):
     got = run(spark, tmp_path, "substring_join_documents", documents=(list(enumerate(texts)), "doc_id long, text string"), part=(names, "p_partkey long, p_name string"), region=([(0,)], "r_regionkey int"))
     assert len(want) > 8
     assert got == want
+
+
+def test_units_of_all_customers(spark, tmp_path):
+    rows = [(1, -999.0), (2, -100.0), (3, -0.5), (4, 0.5), (5, 50.0), (6, 2000.0), (7, 6561.0), (8, 6562.0), (9, 9999.0), (10, 7000.0)]
+    got = run(spark, tmp_path, "parsed_units_all", customer=(rows, "c_custkey long, c_acctbal double"))
+    band = lambda x: None if x < 0 else 1 if x < 1 else 2 if x < 100 else 3
+    assert got == [(k, band(x), round(x * 0.3048, 4) if -50 <= x * 0.3048 <= 2000 else None) for k, x in rows]
