@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import durable, release
+
+#: Parts into which the edges of a node are dealt.
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Adds to each edge (u, v) the least v of its u, as m. A node with a third of all edges is dealt over SALTS tasks."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    return salted.join(part.withColumn("m", F.min("m").over(Window.partitionBy("u"))), ["u", "s"])
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: (u, v) with u > v, distinct. Large: each node hands its larger neighbours its least one; small: the same for the smaller ones."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sent = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    else:
+        sent = _with_least(edges).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+    return sent.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-def _durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the folder named by spark.checkpoint.dir, or a temporary one where that is unset."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="skeinframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    out = f"{root.rstrip('/')}/skeinframe/graph-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
-
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): components of edges (u, v), named by their least node, by least-neighbour steps with pointer jumping."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
-    both = _durable(both)
-    now = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
-    now = _durable(now)
-    for _ in range(most_rounds):
-        near = both.join(now.select(F.col("node").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
-        step = now.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        jump = step.join(now.select(F.col("node").alias("component"), F.col("component").alias("j")), "component", "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component"))
-        new = _durable(jump)
-        moved = new.join(now.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
+
+def _checksum(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of an edge: the least node that it reaches.
+
+    Alternating large-star and small-star steps until nothing changes, which is
+    after a number of rounds that grows with the logarithm of the nodes. edges:
+    two columns u and v of one orderable type, in any direction; null ends and
+    self-loops are dropped, repeated edges count once. No edges: no rows. Each
+    round is a table in the shared folder, and takes the place of the last one.
+    """
+    now = durable(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    seen = _checksum(now)
+    while seen[0]:
+        new = durable(_star(_star(now, True), False), "stars")
+        release(now)
         now = new
-        if not moved:
-            return now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if (mark := _checksum(now)) == seen:
+            break
+        seen = mark
+    found = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("n")).select("n.*").distinct()
+    found._skeinframe_folder = now._skeinframe_folder
+    return found
 
 
 def undirected(edges: DataFrame, default: float = 120.0) -> DataFrame:
@@ -45,38 +62,38 @@ def undirected(edges: DataFrame, default: float = 120.0) -> DataFrame:
     return e.select("src", "dst", "w").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-def shortest_paths(edges: DataFrame, start, most_rounds: int = 200) -> DataFrame:
-    """(node, total, path) from ``start`` to all it reaches, by relaxation of a frontier; of equal totals the least path."""
-    e = _durable(edges.groupBy("src", "dst").agg(F.min("w").alias("w")))
+def shortest_paths(edges: DataFrame, start) -> DataFrame:
+    """(node, total, path) from ``start`` to all it reaches, by relaxation of a frontier until nothing gets better; of equal totals the least path. Weights are not negative."""
+    e = durable(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), "links")
     kind = e.schema["src"].dataType
     spark = edges.sparkSession
     best = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("total"), F.array(F.lit(start).cast(kind)).alias("path"))
-    frontier = best
-    for _ in range(most_rounds):
+    frontier, last = best, None
+    while True:
         tried = frontier.join(e, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), (F.col("total") + F.col("w")).alias("total"), F.concat("path", F.array("dst")).alias("path"))
         tried = tried.groupBy("node").agg(F.min(F.struct("total", "path")).alias("n"))
-        j = best.join(tried, "node", "full_outer")
         old = F.when(F.col("total").isNotNull(), F.struct("total", "path"))
-        merged = _durable(j.select("node", F.least(old, F.col("n")).alias("b"), (F.col("n").isNotNull() & F.coalesce(F.col("n") < old, F.lit(True))).alias("better")))
+        merged = durable(best.join(tried, "node", "full_outer").select("node", F.least(old, F.col("n")).alias("b"), (F.col("n").isNotNull() & F.coalesce(F.col("n") < old, F.lit(True))).alias("better")), "paths")
+        if last is not None:
+            release(last)
+        last = merged
         best = merged.select("node", "b.total", "b.path")
         frontier = merged.filter("better").select("node", "b.total", "b.path")
         if not frontier.limit(1).count():
+            release(e)
             return best
-    raise RuntimeError(f"paths did not settle in {most_rounds} rounds")
 
 
-def climb(links: DataFrame, starts: DataFrame, roots: DataFrame, most_depth: int = 50) -> DataFrame:
-    """(node, root, depth): the nearest root above each start; of roots as near, the least. links: (child, parent); cycles end by depth-first marks of what was seen."""
-    at = starts.select(F.col("node"), F.col("node").alias("here"))
+def climb(links: DataFrame, starts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, depth): the nearest root above each start; of roots as near, the least. links: (child, parent). A start that comes back to what it has seen ends there, so cycles do no harm, at any depth."""
+    at = starts.select(F.col("node"), F.col("node").alias("here")).distinct()
     seen, found, depth = at, None, 0
     r = roots.select(F.col("node").alias("here")).distinct()
     while True:
         hit = at.join(r, "here").groupBy("node").agg(F.min("here").alias("root")).withColumn("depth", F.lit(depth))
-        found = _durable(hit if found is None else found.unionByName(hit))
-        if depth == most_depth:
-            return found
+        found = durable(hit if found is None else found.unionByName(hit), "found")
         at = at.join(found.select("node"), "node", "left_anti").join(links.select(F.col("child").alias("here"), "parent"), "here").select("node", F.col("parent").alias("here")).distinct()
-        at = _durable(at.join(seen, ["node", "here"], "left_anti"))
+        at = durable(at.join(seen, ["node", "here"], "left_anti"), "climbing")
         if not at.limit(1).count():
             return found
-        seen, depth = _durable(seen.unionByName(at)), depth + 1
+        seen, depth = durable(seen.unionByName(at), "seen"), depth + 1

@@ -28,28 +28,41 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int = 3
     return events.groupBy(key).applyInPandas(walk, schema)
 
 
-def rate_limited_stream(events: DataFrame, key: str, at: str, most: int = 30, seconds: int = 600) -> DataFrame:
-    """The same on a stream: (key, at, allowed) of each call; a key's state is its window's end and count, and goes when the window is over."""
+def rate_limited_stream(events: DataFrame, key: str, at: str, most: int = 30, seconds: int = 600, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: (key, at, allowed) of each call, in event time.
+
+    Calls wait in their key's state until the watermark (the latest time seen,
+    less ``late``) has passed them, and are then judged in the order of their
+    times, so a replay or calls out of order give what the batch gives; calls that
+    come after the watermark are left out. A key's state goes once its window is
+    over and nothing waits.
+    """
+    kinds = dict(events.dtypes)
 
     def walk(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        reset, n = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values(at)
-        out = []
-        for t in (rows[at].astype("int64") // (1000 if rows[at].dtype == "datetime64[ns]" else 1)).tolist():
+        reset, n, held = state.get if state.exists else (-1, 0, [])
+        held = sorted([*held, *(int(t) for b in batches for t in b["_us"])])
+        mark = state.getCurrentWatermarkMs()
+        ready = [t for t in held if t < mark * 1000]
+        allowed = []
+        for t in ready:
             if reset < t:
                 reset, n = t + seconds * 1_000_000, 1
             else:
                 n += 1
-            out.append(n <= most)
-        state.update((reset, n))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({key: k[0], at: rows[at], "allowed": out})
+            allowed.append(n <= most)
+        held = held[len(ready) :]
+        wake = (held[0] if held else reset) // 1000 + 1
+        if held or wake > mark:
+            state.update((reset, n, held))
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: [k[0]] * len(ready), "_us": pd.Series(ready, dtype="int64"), "allowed": pd.Series(allowed, dtype=bool)})
 
-    kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(walk, f"{key} {kinds[key]}, {at} timestamp, allowed boolean", "reset long, n long", "append", "ProcessingTimeTimeout")
+    timed = events.withWatermark(at, late).select(key, at, F.unix_micros(at).alias("_us"))
+    judged = timed.groupBy(key).applyInPandasWithState(walk, f"`{key}` {kinds[key]}, _us long, allowed boolean", "reset long, n long, held array<bigint>", "append", "EventTimeTimeout")
+    return judged.select(key, F.timestamp_micros("_us").alias(at), "allowed")
 
 
 def without_repeats(events: DataFrame, key: str, value: str, order) -> DataFrame:

@@ -107,13 +107,15 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_rate_limit_on_a_stream_equals_batch(spark, tmp_path):
-    rows = [("a", f"2024-01-01 00:00:{i:02d}", i) for i in range(6)] + [("b", "2024-01-01 00:00:01", 9)]
-    df = spark.createDataFrame(rows, "k string, s string, i int").select("k", F.to_timestamp("s").alias("at"), "i")
-    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
-    live = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
-    q = state.rate_limited_stream(live, "k", "at", 3, 600).writeStream.format("memory").queryName("limits").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    # two batches; the second has calls that are earlier than some of the first, and one call that only moves the watermark
+    first = [("a", f"2024-01-01 00:00:{i:02d}", i) for i in (0, 2, 3, 9)] + [("b", "2024-01-01 00:00:01", 20), ("b", "2024-01-01 00:11:00", 21)]
+    second = [("a", f"2024-01-01 00:00:{i:02d}", i) for i in (1, 5, 4)] + [("a", "2024-01-01 00:10:30", 31), ("b", "2024-01-01 00:10:59", 22)]
+    frames = [spark.createDataFrame(r, "k string, s string, i int").select("k", F.to_timestamp("s").alias("at"), "i") for r in (first, second, [("z", "2024-01-02 00:00:00", 99)])]
+    for n, df in enumerate(frames):
+        df.coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+    live = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    q = state.rate_limited_stream(live, "k", "at", 3, 600, "20 minutes").writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = sorted((r.k, str(r["at"]), r.allowed) for r in spark.table("limits").collect())
-    want = sorted((r.k, str(r["at"]), r.allowed) for r in state.rate_limited(df, "k", "at", "i", 3, 600).collect())
-    assert got == want
+    want = sorted((r.k, str(r["at"]), r.allowed) for r in state.rate_limited(frames[0].unionByName(frames[1]), "k", "at", "i", 3, 600).collect())
+    assert got == want and len({x[2] for x in got}) == 2
