@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable
+from .common import durable, prepare_workers
 
 #: Rows of an index block, and queries that are compared with it at a time.
 BLOCK_ROWS, CHUNK_QUERIES = 8192, 4096
@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     rows a query.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     all_ = durable(quantised(vectors, id_col, embedding, scale), "quantised")
     asked = all_.filter(queries)
     n, m = all_.count(), asked.count()

@@ -1,68 +1,40 @@
-"""Helpers shared by the training-data operators: durable tables in the shared folder, bounded Arrow batches, tokenizer files."""
+"""Helpers shared by the training-data operators: durable tables in the shared folder, slices of Arrow batches, tokenizer files."""
 
 from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that goes to Python. Texts may have 100 kB and more, so Spark's default of 10,000 rows is too many.
-ARROW_ROWS = 256
+from ..operators.tables import durable, new_folder, release, shared_dir
 
-#: Tables written by this process, removed by ``release``.
-_written: dict[str, SparkSession] = {}
+__all__ = ["durable", "id_crc", "new_folder", "prepare_workers", "read_table", "release", "shared_dir", "sliced", "text_or_empty", "tokenizer_path"]
+
+#: Rows that a Python worker takes on at a time. Spark cuts Arrow batches by bytes, but a batch may still have thousands of texts.
+SLICE_ROWS = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skeinframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    out = f"{shared_dir(spark)}/skeinframe/{label}-{uuid.uuid4().hex}"
-    _written[out] = spark
-    return out
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    out = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
-
-def release(spark: SparkSession, folder: str | None = None) -> None:
-    """Remove one table, or all, that ``durable`` or ``new_folder`` made here. Results that read them must be used up before."""
-    jvm = spark.sparkContext._jvm
-    for path in [folder] if folder else list(_written):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _written.pop(path, None)
-
-
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's rows per Arrow batch, so that a batch of very long texts fits in a Python worker; let workers import this package from where the driver has it."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def tokenizer_path(name: str) -> str:

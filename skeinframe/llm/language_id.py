@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_crc
+from .common import id_crc, prepare_workers, sliced
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 12, 256
 #: The bounded sample that the network is fitted on: documents a language, characters of each, languages.
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
     text is an input. A null id is in no fold that is held out. Repeated rows
     each get their result; no rows: none.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     held = F.coalesce(id_crc(id_col) % 3 == 1, F.lit(False)).alias("held_out")
     kept = [c for c in keep if c != id_col]
     picked = docs.select(F.col(id_col).alias("doc_id"), held, F.col(text).alias("_text"), *kept)
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("_text").to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             some = [i for i, t in enumerate(texts) if scorer and t and next(filter(str.isalpha, t), None)]
@@ -218,12 +218,12 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
 
 def keep_identified(docs: DataFrame, net: Network | None, least_score: float = 0.35, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is identified: not ``und``, with ``least_score`` at least."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             some = [i for i, t in enumerate(texts) if scorer and t and next(filter(str.isalpha, t), None)]
             keep = np.zeros(len(texts), bool)

@@ -1,20 +1,21 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-A document is its set of distinct word n-grams, as 64-bit hashes; their order is
-one global order. Say y may lack at most p - 1 of x's tokens if the two link.
-
-* Signature region: the lowest R2 tokens of a set. Of a token among the lowest
-  R1 of x that y has, the rank in y is at most R2, so counts over regions tell
-  which tokens no possible partner has.
-* A document with p such tokens has no partner and is dropped. The others probe
-  with their rarest tokens; rare tokens are indexed alone.
-* A document without p unique or rare tokens extends its prefix into frequent
-  ones. These are dealt into groups, and pairs of a group's tokens are indexed:
-  as many tokens as the prefix has, some group shares two. Where the groups fall
-  badly, single frequent tokens are probed, so no link is lost.
-* Every bucket is a star around its least prober. Stars close into families,
-  whose sets meet in blocks of bounded size; a breadth-first search verifies
-  exactly and hands on the edges of a spanning forest, never all pairs.
+A document is its set of distinct word n-grams, as 64-bit hashes. Of two linked
+sets, the larger one's tokens that the other lacks are fewer than p.
+
+* Region: the p - 1 + k lowest tokens of a set in the order of their hashes. The
+  regions of two linked sets share k tokens at least (of the smaller set's k).
+* Tokens are counted over all regions. A set with fewer than k tokens that some
+  other region has too is linked with nothing and leaves here.
+* Prefix: with the rarest tokens first, two linked sets share one of the first
+  ``region - k + 1`` tokens of their regions. Rare tokens are indexed alone.
+* A prefix that reaches frequent tokens is extended by g tokens, which are dealt
+  into g groups; pairs of a group's tokens are indexed. Linked sets without a
+  rare token in common share g + 1 of these tokens, so a pair of some group.
+* Sets that meet under a key are compared by parity bitmaps, whose difference is
+  at most that of the sets; what may link is closed into families, whose sets are
+  verified exactly in blocks of bounded size. Only edges of spanning forests are
+  handed on, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,182 +26,376 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, text_or_empty
-from .components import connected_components
+from ..operators.graph import components
+from .common import durable, prepare_workers, release, sliced, text_or_empty
 
-#: Documents up to which a token is rare; tokens of a block; documents among which common tokens are found before the shuffle.
-RARE, BLOCK_TOKENS, CHUNK_DOCS = 8, 1_000_000, 2048
+#: Documents up to which a token is rare; entries of a key beyond which they are taken as one family without looking at bitmaps.
+RARE, HOT = 8, 512
+#: Tokens of a block of sets; documents of a chunk in which heavy tokens are looked for; words whose hashes a worker keeps.
+BLOCK_TOKENS, CHUNK_DOCS, KEPT_WORDS = 1_000_000, 2048, 1_000_000
+#: Bits of a set's parity bitmap, and of that of a set of LONG tokens or more.
+BITS, LONG_BITS, LONG = 512, 2048, 2000
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.default_rng(20)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x7FB5D329728EA185, 0x81DADEF4BC2DD44D))
 
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the multiplier and of its inverse modulo 2^64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * len(_powers[0]), 1 << 16)
-        for k, m in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, m, np.uint64))])
-    return _powers[0], _powers[1]
+class _Words(dict):
+    """Hashes of words, each made once while it is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word, seed=20)
+        if len(word) < 64:
+            self[word] = h
+        return h
+
+
+_hash_of = _Words()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _C[1]
+    h = (h ^ (h >> np.uint64(27))) * _C[2]
+    return h ^ (h >> np.uint64(33))
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes (int64) of the ``width``-word sequences of a text; with fewer words, of the whole sequence; without words none. Words: runs without ASCII white space, A-Z in lower case."""
-    joined = b" ".join((text or "").encode().lower().split())
-    if not joined:
+    words = (text or "").encode().lower().split()
+    if not words:
         return np.zeros(0, np.int64)
-    raw = np.frombuffer(joined, np.uint8)
-    up, down = _upto(len(raw))
+    w = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    k = min(width, len(w))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * up[: len(raw)])])
-        blanks = np.flatnonzero(raw == 32)
-        starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(raw)]])
-        k = min(width, len(starts))
-        a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
-        h = (sums[b] - sums[a]) * down[a]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x7FB5D329728EA185)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x81DADEF4BC2DD44D)
-        h ^= h >> np.uint64(33)
+        h = _mixed(w[: len(w) - k + 1] + _C[0])
+        for j in range(1, k):
+            h = _mixed(h * _C[0] + w[j : len(w) - k + 1 + j])
     return np.unique(h.view(np.int64))
 
 
-def prefix_sizes(n: int, percent: int, spare: float) -> tuple[int, int, int]:
-    """p, R1 and R2 of a set of n tokens. R1 has ``spare`` times p tokens more than p: short n-grams recur by chance, so more are needed to find p that do not."""
-    near = lambda p: p + int(np.ceil(spare * p)) + 10
+def extra_of(width: int) -> float:
+    """k as a multiple of p. Short n-grams recur by chance, so more of them are looked at."""
+    return 1.0 if width <= 3 else 0.5
+
+
+def sizes_of(n: int, percent: int, extra: float) -> tuple[int, int]:
+    """Length of the region of a set of n tokens, and k of that set."""
     p = n - -(-n * percent // 100) + 1
-    # a linked y has at most n / t tokens, so its R1 is at most this; x may have p - 1 tokens before that y lacks
-    most = n * 100 // percent
-    other = most - -(-most * percent // 100) + 1
-    return p, min(n, near(p)), min(n, near(other) + p)
+    k = min(int(np.ceil(extra * p)), n - p + 1)
+    return p - 1 + k, k
+
+
+def least_shared(n: int, percent: int, extra: float) -> int:
+    """Tokens that the region of a set of n tokens shares with that of any linked set: k of the smallest set that can link with it."""
+    return sizes_of(-(-n * percent // 100), percent, extra)[1]
 
 
-def spare_of(width: int) -> float:
-    return 2.0 if width <= 3 else 0.5
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts by their low bits."""
+    width = LONG_BITS if len(tokens) >= LONG else BITS
+    return np.packbits((np.bincount(tokens & (width - 1), minlength=width) & 1).astype(bool)).tobytes()
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """row, doc_id, n, digest of the set, and its region."""
+    """row, doc_id, n, digest of the set, its bitmap and its region."""
+    extra = extra_of(width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, digests, regions = [], [], []
-            for t in batch.column("text").to_pylist():
-                s = shingles(t, width)
+        for batch in sliced(batches):
+            ns, digests, bits, regions = [], [], [], []
+            for t in batch.column("text"):
+                s = shingles(t.as_py(), width)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                regions.append(s[: prefix_sizes(len(s), percent, spare_of(width))[2]] if len(s) else s)
+                bits.append(bitmap(s))
+                regions.append(s[: sizes_of(len(s), percent, extra)[0]] if len(s) else s)
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
             region = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), region], ["row", "doc_id", "n", "digest", "region"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), region], ["row", "doc_id", "n", "digest", "bits", "region"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, region array<bigint>"), "sketches")
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, row, place, common): a region's tokens. Those that most of a chunk of documents would send are known to be frequent: they are marked, and one row (with row -1) stands for them in the count."""
-    names = ["t", "row", "place", "common"]
-
-    def chunk(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = [p.column("region") for p in parts]
-        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
-        t = np.concatenate([x.flatten().to_numpy() for x in lists])
-        rows = np.repeat(np.concatenate([p.column("row").to_numpy() for p in parts]), sizes)
-        place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        values, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
-        common = counts[inverse] > RARE
-        marks = values[counts > RARE]
-        out = [np.concatenate([t, marks]), np.concatenate([rows, np.full(len(marks), -1)]), np.concatenate([place, np.zeros(len(marks), np.int64)]).astype(np.int32), np.concatenate([common, np.zeros(len(marks), bool)])]
-        for s in range(0, len(out[0]), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 65_536]) for x in out], names)
+    return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, bits binary, region array<bigint>"), "sketches")
+
+
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that more than RARE regions of a chunk of documents have. They are known to be frequent, so their rows need not meet to be counted."""
+
+    def chunk(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values[counts > RARE])], ["t"])
 
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
+        held.append(batch.column("region").flatten().to_numpy())
         n += batch.num_rows
         if n >= CHUNK_DOCS:
-            yield from chunk(held)
+            yield chunk(held)
             held, n = [], 0
     if held:
-        yield from chunk(held)
+        yield chunk(held)
 
 
-def _mixed(*values: int) -> int:
+def _key(*values: int) -> int:
     return int.from_bytes(hashlib.blake2b(np.array(values, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(n: int, percent: int, spare: float, tokens: list[tuple[int, int, int]]) -> list[tuple[int, bool]] | None:
-    """(key, probes) of a document, or None if it can have no partner. tokens: (place, token, documents) of those in its region that another document's region has too."""
-    p, first, _ = prefix_sizes(n, percent, spare)
+def signature(n: int, percent: int, extra: float, tokens: list[tuple[int, int]]) -> list[int]:
+    """Keys of a document; none if it is linked with nothing. tokens: (documents, token) of those in its region that another region has too; counts of frequent ones are all taken as RARE + 1."""
+    region, _ = sizes_of(n, percent, extra)
+    unique, shared = region - len(tokens), least_shared(n, percent, extra)
+    if len(tokens) < shared:
+        return []
     tokens.sort()
-    near = [x for x in tokens if x[0] < first]
-    unique = first - len(near)
-    if unique >= p:
-        return None
-    rare = [x for x in tokens if x[2] <= RARE]
-    probes = sorted((c, t) for place, t, c in rare if place < first)[: p - unique]
-    chosen = {t for _, t in probes}
-    keys = {t: t in chosen for _, t, _ in rare}
-    lacking = p - unique - len(probes)  # tokens to take from frequent ones
-    # only of two documents that both lack some can a link rest on frequent tokens alone: any other one probes what its partner has among its rare tokens
-    frequent = [(place, t) for place, t, c in tokens if c > RARE] if lacking > 0 else []
-    if frequent:
-        # groups by the size of p: sizes of linked sets differ by one binary digit at most, so each set stands under its own and the one below
-        own = p.bit_length()
-        for size in (own, own - 1) if own > 1 else (own,):
-            groups = max(1, (1 << size) // 4)
-            members: dict[int, list[tuple[int, int]]] = {}
-            for place, t in frequent:
-                members.setdefault(t % groups, []).append((place, t))
-            inner = sum(max(0, sum(place < first for place, _ in m) - 1) for m in members.values())
-            for m in members.values():
-                for (a, t), (b, u) in combinations(m, 2):
-                    keys[_mixed(size, t, u)] = a < first and b < first
-            single = inner < lacking
-            for place, t in frequent:
-                k = _mixed(-size, t)
-                keys[k] = keys.get(k, False) or (single and place < first)
-    return list(keys.items())
+    prefix = region - shared + 1 - unique
+    keys = [t for c, t in tokens[:prefix] if c <= RARE]
+    if len(keys) < prefix:
+        # groups by the binary order of the size. Orders of linked sets differ by one at most, so each set stands under its own and the one below
+        own = n.bit_length() - 1
+        for order in (own, own - 1) if own else (own,):
+            g = sizes_of(1 << order, percent, extra)[1] // 2
+            if g == 0:  # too small for pairs: frequent tokens alone
+                keys += [_key(order, t) for c, t in tokens[:prefix] if c > RARE]
+                continue
+            groups: dict[int, list[int]] = {}
+            for c, t in tokens[: prefix + g]:
+                if c > RARE:
+                    groups.setdefault(t % g, []).append(t)
+            keys += [_key(order, t, u) for m in groups.values() for t, u in combinations(m, 2)]
+    return keys
+
+
+class Bitmaps:
+    """Bitmaps of some sets, with a bound that tells which of them may link."""
+
+    def __init__(self, sizes: np.ndarray, bits: pa.Array, percent: int):
+        self.sizes, self.percent = sizes, percent
+        offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2], np.uint8) if bits.buffers()[2] else np.zeros(0, np.uint8)
+        long = np.diff(offsets) > BITS // 8
+        self.short = np.zeros((len(sizes), BITS // 8), np.uint8)
+        self.short[~long] = data[offsets[:-1][~long][:, None] + np.arange(BITS // 8)]
+        whole = data[offsets[:-1][long][:, None] + np.arange(LONG_BITS // 8)]
+        self.short[long] = np.bitwise_xor.reduce(whole.reshape(len(whole), LONG_BITS // BITS, BITS // 8), axis=1)
+        self.short, self.long = self.short.view(np.uint64), np.ascontiguousarray(whole).view(np.uint64)
+        self.at = np.where(long, np.cumsum(long) - 1, -1)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of positions (a may be one for all of b)."""
+        a = np.broadcast_to(a, b.shape)
+        x, y, t = self.sizes[a], self.sizes[b], self.percent
+        most = x + y - 2 * -(-t * (x + y) // (100 + t))
+        ok = (np.minimum(x, y) * 100 >= np.maximum(x, y) * t) & (np.bitwise_count(self.short[a] ^ self.short[b]).sum(axis=1) <= most)
+        both = np.flatnonzero(ok & (self.at[a] >= 0) & (self.at[b] >= 0))
+        ok[both] = np.bitwise_count(self.long[self.at[a[both]]] ^ self.long[self.at[b[both]]]).sum(axis=1) <= most[both]
+        return ok
+
+
+def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew, so that rows that are equal in ``names`` are never in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in names]
+        same = np.ones(batch.num_rows, bool)
+        for c, x in zip(names, last):
+            same &= batch.column(c).to_numpy() == x
+        cut = int(np.argmax(same))  # the last run begins here
+        if cut or (held and [held[-1].column(c)[0].as_py() for c in names] != last):
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def likely_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): which entries of a key may link by their bitmaps. In: (key, row, n, bits), sorted by key and row; a key has HOT entries at most."""
+    for batch in runs(batches, ["key"]):
+        key, row = batch.column("key").to_numpy(), batch.column("row").to_numpy()
+        maps = Bitmaps(batch.column("n").to_numpy(), batch.column("bits"), percent)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(key)]]))
+        small = np.repeat(counts <= RARE, counts)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(1, min(RARE, int(counts.max()))):
+            a = np.flatnonzero(small[:-d] & (key[:-d] == key[d:]))
+            a = a[maps.may_link(a, a + d)]
+            found.append((a, a + d))
+        for s, n in zip(starts[counts > RARE].tolist(), counts[counts > RARE].tolist()):
+            left, queue = np.arange(s, s + n), []
+            while len(left):
+                if not queue:
+                    queue.append(int(left[0]))
+                    left = left[1:]
+                x = queue.pop()
+                ok = maps.may_link(np.int64(x), left)
+                near, left = left[ok], left[~ok]
+                found.append((np.full(len(near), x), near))
+                queue += near.tolist()
+        pairs = np.unique(np.stack([row[np.concatenate([f[i] for f in found])] if found else np.zeros(0, np.int64) for i in (1, 0)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+class Sets:
+    """Some sets of tokens, compared exactly; large collections look at bitmaps first."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes, self.percent = np.array([len(s) for s in sets], np.int64), percent
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        values, self.local = np.unique(flat, return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mark = np.zeros(len(values), bool)
+        self.maps = None
+        if len(sets) > 16:
+            bits = pa.array([bitmap(s) for s in sets], pa.binary())
+            self.maps = Bitmaps(self.sizes, bits, percent)
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` link with x."""
+        n, sizes, t = self.sizes[x], self.sizes[others], self.percent
+        near = others[(sizes > 0) & (n > 0) & (sizes * 100 >= n * t) & (n * 100 >= sizes * t)]
+        if self.maps is not None and len(near):
+            near = near[self.maps.may_link(np.int64(x), near)]
+        if not len(near):
+            return near
+        sizes, own = self.sizes[near], self.local[self.starts[x] : self.starts[x] + n]
+        self.mark[own] = True
+        at = np.repeat(self.starts[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        common = np.add.reduceat(self.mark[self.local[at]].astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[own] = False
+        return near[100 * common >= t * (n + sizes - common)]
 
 
 def family_edges(rows: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among these sets, by breadth-first search over those not yet reached."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    values, local = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    left = np.flatnonzero(sizes)
-    out, queue = [], []
-    mark = np.zeros(len(values), bool)
-    while len(left) or queue:
+    these = Sets(sets, percent)
+    left, queue, out = np.arange(len(sets)), [], []
+    while len(left):
         if not queue:
             queue.append(int(left[0]))
             left = left[1:]
         x = queue.pop()
-        near = left[(sizes[left] * 100 >= sizes[x] * percent) & (sizes[x] * 100 >= sizes[left] * percent)]
-        if not len(near):
-            continue
-        own = local[starts[x] : starts[x] + sizes[x]]
-        mark[own] = True
-        at = np.repeat(starts[near] - np.cumsum(sizes[near]) + sizes[near], sizes[near]) + np.arange(sizes[near].sum())
-        common = np.add.reduceat(mark[local[at]].astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-        mark[own] = False
-        linked = near[100 * common >= percent * (sizes[x] + sizes[near] - common)]
-        if len(linked):
-            out += [(int(rows[x]), int(rows[y])) for y in linked]
-            queue += linked.tolist()
-            left = left[~np.isin(left, linked)]
+        found = these.linked(x, left)
+        if len(found):
+            out += [(int(rows[x]), int(rows[y])) for y in found]
+            queue += found.tolist()
+            left = left[~np.isin(left, found)]
+    return out
+
+
+def joining_edges(rows: np.ndarray, asking: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links from asking sets to sets of other parts, one for each two parts that turn out as one."""
+    these, parts, out = Sets(sets, percent), parts.copy(), []
+    for x in np.flatnonzero(asking).tolist():
+        for y in these.linked(x, np.flatnonzero(parts != parts[x])).tolist():
+            if parts[y] != parts[x]:
+                out.append((int(rows[x]), int(rows[y])))
+                parts[parts == parts[y]] = parts[x]
     return out
 
 
+def _edges_of(members: DataFrame, percent: int, joining: bool) -> DataFrame:
+    """(u, v) by group: members (family, a, b, row, asks, part, tokens)."""
+    names = ["family", "a", "b"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, names):
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            cuts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0), [True]]))
+            row, asks, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "asks", "part"))
+            edges: list[tuple[int, int]] = []
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens").slice(s, e - s)]
+                if joining:
+                    edges += joining_edges(row[s:e], asks[s:e], part[s:e], sets, percent)
+                else:
+                    edges += family_edges(row[s:e], sets, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    columns = ["family", "a", "b", "row", "asks", "part", "tokens"]
+    return members.select(*columns).repartition(*names).sortWithinPartitions(*names, "row").mapInArrow(work, "u long, v long")
+
+
+def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
+    """(row, family) of the sets that may link with another. distinct: row, n, bits and region of distinct sets."""
+    extra = extra_of(width)
+    heavy = durable(distinct.select("region").mapInArrow(_heavy, "t long").distinct(), "heavy")
+    tokens = distinct.select("row", F.explode("region").alias("t"))
+    counted = tokens.join(heavy, "t", "left_anti").repartition("t").withColumn("c", F.least(F.count("*").over(Window.partitionBy("t")), F.lit(RARE + 1)).cast("int")).filter("c > 1")
+    shared = counted.select("row", "c", "t").unionByName(tokens.join(heavy, "t", "left_semi").select("row", F.lit(RARE + 1).alias("c"), "t"))
+    enough = shared.groupBy("row").agg(F.collect_list(F.struct("c", "t")).alias("tokens"))
+    by_row = enough.join(distinct.select("row", "n", "bits"), "row")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys, at = [], []
+            for i, (n, tokens) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens"))):
+                v = tokens.values
+                found = signature(n, percent, extra, list(zip(*(v.field(j).to_pylist() for j in range(2)))))
+                keys += found
+                at += [i] * len(found)
+            rest = batch.select(["row", "n", "bits"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], ["key", "row", "n", "bits"])
+
+    keys = durable(by_row.select("row", "n", "bits", "tokens").mapInArrow(keyed, "key long, row long, n long, bits binary"), "keys")
+    hot = durable(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("centre")).filter(F.col("m") > HOT).select("key", "centre"), "hot")
+    stars = keys.select("key", "row").join(hot, "key").filter("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
+    sorted_ = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "row")
+    likely = sorted_.mapInArrow(lambda batches: likely_edges(batches, percent), "u long, v long")
+    edges = durable(stars.unionByName(likely).distinct(), "likely")
+    release(keys, hot, heavy)
+    families = components(edges)
+    release(edges)
+    return families.select(F.col("node").alias("row"), F.col("component").alias("family"))
+
+
+def verified_parts(families: DataFrame, distinct: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the sets that link with another. families: (row, family); distinct: row, doc_id, n and digest; texts: doc_id and text."""
+    members = families.join(distinct.select("row", "doc_id", "n", "digest"), "row")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), *[F.min(F.struct(F.xxhash64("row", F.lit(i)), "row"))["row"].alias(f"pivot{i}") for i in range(3)])
+    placed = durable(members.join(blocks, "family").withColumn("a", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")), "placed")
+    kind = distinct.schema["doc_id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [shingles(t.as_py(), width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "tokens"])
+
+    again = texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, digest binary, tokens binary")
+    # rows that repeat an id and a text would come as often as they are repeated
+    whole = durable(placed.join(again, ["doc_id", "digest"]).dropDuplicates(["row"]).select("family", "a", "blocks", "row", "pivot0", "pivot1", "pivot2", "tokens"), "sets")
+    # first each block by itself, with three sets of the family that all of its blocks have
+    is_pivot = (F.col("blocks") > 1) & F.col("row").isin(F.col("pivot0"), F.col("pivot1"), F.col("pivot2"))
+    everywhere = whole.withColumn("a", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("a"))))
+    within = durable(_edges_of(everywhere.withColumns({"b": F.lit(-1), "asks": F.lit(False), "part": F.col("row")}), percent, False), "within")
+    parts = components(within)
+    # then what is outside its family's largest part against all of the family's other parts
+    several = whole.filter("blocks > 1").join(parts.select(F.col("node").alias("row"), F.col("component").alias("part")), "row", "left").withColumn("part", F.coalesce("part", "row"))
+    counts = several.groupBy("family", "part").agg(F.count("*").alias("m"))
+    main = counts.groupBy("family").agg(F.max(F.struct("m", "part"))["part"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    split = durable(several.join(main, "family"), "split")
+    asking = split.filter("part <> main")
+    askers = asking.groupBy("family").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / BLOCK_TOKENS).cast("int").alias("asker_blocks"))
+    asked = split.join(askers, "family").withColumns({"b": F.explode(F.sequence(F.lit(0), F.col("asker_blocks") - 1)), "asks": F.lit(False)})
+    asks = asking.join(askers, "family").withColumns({"b": F.pmod(F.xxhash64("row", F.lit(5)), F.col("asker_blocks")).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    columns = ["family", "a", "b", "row", "asks", "part", "tokens"]
+    if split.limit(1).count():
+        across = durable(_edges_of(asked.select(*columns).unionByName(asks.select(*columns)), percent, True), "across")
+        old = parts
+        parts = components(old.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
+        release(old, across)
+    release(placed, whole, within, split)
+    return parts
+
+
 def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
 
@@ -208,60 +403,22 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     ``width``-word sequences. Empty sets (null text, no words) link with nothing.
     Equal sets link; each distinct set is compared once. A row whose id is null
     links with nothing and has a null component. Repeated rows each get their
-    result; no rows: none.
+    result; no rows: none. Very long texts count whole; a worker holds one text's
+    set at a time, of 8 bytes a token. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     sketch = sketches(picked, width, percent)
     able = sketch.filter("n > 0 and doc_id is not null")
     first = durable(able.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.first("n").alias("n")).select("digest", "n", "f.doc_id", "f.row"), "distinct")
     copies = durable(able.select("row").join(first.select("row"), "row", "left_anti"), "copies")
-    spread = able.join(copies, "row", "left_anti").select("row", "region").mapInArrow(_spread, "t long, row long, place int, common boolean")
-    by_token = Window.partitionBy("t")
-    counted = spread.filter("not common").repartition("t").withColumns({"c": F.count("*").over(by_token), "marked": F.min("row").over(by_token) < 0}).filter("row >= 0 and (c > 1 or marked)")
-    shared = counted.select("row", "place", "t", F.when(F.col("marked"), F.lit(RARE + 1)).otherwise(F.col("c")).cast("long").alias("c")).unionByName(spread.filter("common").select("row", "place", "t", F.lit(RARE + 1).cast("long").alias("c")))
-    by_row = shared.groupBy("row").agg(F.collect_list(F.struct("place", "t", "c")).alias("tokens")).join(first.select("row", "n"), "row")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, keys, probes = [], [], []
-            for row, n, tokens in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens")):
-                v = tokens.values
-                for k, probe in signature(n, percent, spare_of(width), list(zip(*(v.field(i).to_pylist() for i in range(3))))) or ():
-                    rows.append(row)
-                    keys.append(k)
-                    probes.append(probe)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(probes, pa.bool_())], ["key", "row", "probe"])
-
-    keys = durable(by_row.select("row", "n", "tokens").mapInArrow(keyed, "key long, row long, probe boolean"), "keys")
-    centres = keys.groupBy("key").agg(F.min(F.when(F.col("probe"), F.col("row"))).alias("centre"), F.count("*").alias("m")).filter("centre is not null and m > 1").select("key", "centre")
-    stars = keys.join(centres, "key").filter("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
-    families = connected_components(stars).select(F.col("node").alias("row"), F.col("component").alias("family"))
-    members = families.join(first, "row")
-    sizes = members.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    # each member stands in one block and meets every block of its family
-    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    meets = members.join(sizes, "family").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("doc_id", "digest", "row", "family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    wanted = durable(meets, "meets")
+    distinct = able.join(copies, "row", "left_anti")
+    families = likely_families(distinct, width, percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
-    kind = sketch.schema["doc_id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "tokens"])
-
-    again = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, digest binary, tokens binary")
-
-    def verified(group: pa.Table) -> pa.Table:
-        group = group.sort_by("row")
-        edges = family_edges(group.column("row").to_numpy(), [np.frombuffer(b, np.int64) for b in group.column("tokens").to_pylist()], percent)
-        return pa.table([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
-
-    links = wanted.join(again, ["doc_id", "digest"]).select("family", "a", "b", "row", "tokens").groupBy("family", "a", "b").applyInArrow(verified, "u long, v long")
-    parts = durable(connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("part")), "parts")
+    found = verified_parts(families, first, texts, width, percent)
+    release(families)
+    parts = found.select(F.col("node").alias("row"), F.col("component").alias("part"))
     least = parts.join(first.select("row", "doc_id"), "row").groupBy("part").agg(F.min("doc_id").alias("least"))
     of_set = first.join(parts, "row", "left").join(least, "part", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     linked = sketch.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of_set, "digest", "left")
@@ -269,6 +426,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of repeated rows with that id, all."""
-    kept = ngram_components(docs, width, percent, id_col, text).filter("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, id_col, "left_semi"))
+    """The rows of ``docs`` whose id is the smallest of its group; of repeated rows with that id, all. Rows with a null id stay."""
+    found = ngram_components(docs, width, percent, id_col, text).filter("doc_id is not null")
+    lost = found.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("component_id") == F.col("doc_id")).alias("kept")).filter("not kept").select(id_col)
+    return docs.join(lost, id_col, "left_anti")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, text_or_empty, tokenizer_path
+from .common import durable, prepare_workers, sliced, text_or_empty, tokenizer_path
 from .encoding import encoder
 
 CAPACITY, GROUPS = 2048, 40
@@ -162,7 +162,7 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> l
 def encoded_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids, ended by ``end_id``, as pieces of at most ``capacity``: doc_id, piece, start, length, ids, and part and rank, the piece's number among those of its length in its part. Only the first piece of a long document may be shorter than ``capacity``."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids binary, part int, rank long"
@@ -170,7 +170,7 @@ def encoded_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, seen = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, blob in zip(batch.column(0).to_pylist(), codec.encode_many(batch.column(1).to_pylist())):
                 blob += end

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, tokenizer_path
+from .common import prepare_workers, sliced, text_or_empty, tokenizer_path
 from .encoding import ALPHABET, ChunkEncoder
 
 #: Characters of text whose new pieces are indexed together.
@@ -109,7 +109,7 @@ def pair_encoder(path: str) -> PairIndexEncoder:
 def _gathered(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of about ``chars`` characters."""
     ids, texts, n = [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.append(i)
             texts.append(t)
@@ -129,7 +129,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     the pieces new to about 8 MB of text, and a bounded table of known ones.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
     id_type = picked.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")

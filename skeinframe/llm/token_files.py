@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, new_folder, text_or_empty, tokenizer_path
+from .common import durable, new_folder, prepare_workers, sliced, text_or_empty, tokenizer_path
 from .encoding import encoder
 
 #: Tokens of a row, rows of a record batch, and tokens after which a file is closed at the next document's end.
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     spark = docs.sparkSession
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
     folder = folder or new_folder(spark, "tokens")
-    bounded_batches(spark)
+    prepare_workers(spark)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
     placed = picked.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
         codec, part, out, made, kind = encoder(path), TaskContext.get().partitionId(), None, [], None
         width = "<u2" if max(codec.tokenizer.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1) <= 1 << 16 else "<u4"
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.schema.field(0).type
             for doc, blob in zip(batch.column(0).to_pylist(), codec.encode_many(batch.column(1).to_pylist())):
                 out = out or SequenceWriter(folder, f"{part:07d}-{len(made):05d}", width, row)

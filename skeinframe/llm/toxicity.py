@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_crc
+from .common import id_crc, prepare_workers, sliced
 
 #: The bounded sample that voters and classifier are fitted on: rows of each label, and characters of a text.
 ROWS_EACH, CHARS_EACH = 4000, 20_000
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
     rows of both labels) all scores are 0. Only the text is an input. Repeated
     rows each get their result; no rows: none.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     kept = [c for c in keep if c != id_col]
     held = F.coalesce(id_crc(id_col) % 5 == 0, F.lit(False)).alias("held_out")
     picked = docs.select(F.col(id_col).alias("doc_id"), held, F.col(text).alias("_text"), *kept)
@@ -268,7 +268,7 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
     schema = f"doc_id {types['doc_id']}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {types[c]}" for c in kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [model.score(t) if model else 0.0 for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *(batch.column(c) for c in kept)], ["doc_id", "held_out", "score", "predicted", *kept])
 
@@ -277,11 +277,11 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
 
 def keep_clean(docs: DataFrame, model: Scored | None, most_score: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score below ``most_score``."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([model is None or model.score(t) < most_score for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

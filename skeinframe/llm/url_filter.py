@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .components import connected_components
+from ..operators.graph import components
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     edges = link_edges(pages, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(_key(F.col("src")).alias("u"), _key(F.col("dst")).alias("v")))
-    groups = connected_components(edges)
+    groups = components(edges)
     h, p = host_and_path(F.col("node"))
     marked = groups.withColumn("own", rule_of(h, p, rules))
     decided = marked.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("some_allow"), F.max(F.col("own.verdict") == "block").alias("some_block"))

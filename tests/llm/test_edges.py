@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinframe.llm import bitslice, components, encoding, language_id, line_quality, ngram_join, packing, pair_bpe, sharding, token_files, toxicity, url_filter
+from skeinframe.llm import bitslice, encoding, language_id, line_quality, ngram_join, packing, pair_bpe, sharding, token_files, toxicity, url_filter
 from skeinframe.llm.common import tokenizer_path
+from skeinframe.operators import graph
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row string"
@@ -105,7 +106,7 @@ def test_url_aliases(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, k) for k in range(501, 700)] + [(9, 9), (None, 4)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 700)}}
 
 
