@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 
 #: Chunks and pieces whose ids a worker's table keeps, of about 200 bytes each; the table before it is kept too.
 KEPT_CHUNKS = 800_000
+#: Characters of a chunk or piece that is kept. Longer ones, as of scripts without blanks or of encoded data, are forgotten after their batch, so the tables are bounded in bytes too.
+KEPT_CHARS = 64
 #: White space as the tokenizer's pattern has it (Unicode's White_Space).
 WS = "\t-\r \x85\xa0  -     　"
 #: Ends of words that are pieces of their own and begin no contraction.
@@ -111,6 +113,12 @@ class ChunkEncoder:
         pieces.update(zip(new, self.encode_pieces(new)))
         chunks.update((k, chunks[base] + pieces[tail]) for k, base, tail in ended)
         chunks.update((k, b"".join([pieces[p] for p in ps])) for k, ps in cut.items())
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del pieces[p]
+        for b, _ in words.items():
+            if len(b) > KEPT_CHARS and b not in missing:
+                del chunks[b]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         keyed = [self._keys(t) for t in texts]
@@ -121,6 +129,9 @@ class ChunkEncoder:
             self._learn(missing)
             found = [got if None not in got else [get(k) for k in keys] for keys, got in zip(keyed, found)]
         out = [b"".join(got) for got in found]
+        for k in missing:
+            if len(k) > KEPT_CHARS:
+                self.chunks.pop(k, None)
         # a full table becomes the old one, from which chunks that occur again are taken over
         if len(self.chunks) > self.kept:
             self.old, self.chunks = self.chunks, {}

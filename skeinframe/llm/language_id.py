@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, prepare_workers, sliced
+from .common import durable, id_crc, prepare_workers, release, sliced
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 12, 256
-#: The bounded sample that the network is fitted on: documents a language, characters of each, languages.
-DOCS_EACH, CHARS_EACH, LANGUAGES = 1500, 3000, 64
+#: The bounded sample that the network is fitted on: documents a language, characters of each, documents of all languages.
+DOCS_EACH, CHARS_EACH, SAMPLE_DOCS = 1500, 3000, 60_000
 
 
 @dataclass
@@ -163,17 +163,18 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 128, r
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = DOCS_EACH) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``docs_each`` documents of each language (at most LANGUAGES, the commonest), at most CHARS_EACH characters of each; drawn by a hash of the id. Documents of the held-out fold and those without a language never take part."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0) & (id_crc(id_col) % 3 != 1))
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    """Texts and languages of about ``docs_each`` ids of each language (fewer if all languages come to more than SAMPLE_DOCS), at most CHARS_EACH characters of each; drawn by a hash of the id. Of rows with one id and language the least part is taken. Documents of the held-out fold and those without a language never take part."""
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (id_crc("doc_id") % 3 != 1))
+    counts = durable(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    langs = counts.count()
+    if not langs:
         return [], []
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 12).cast("double") / F.lit(float(1 << 52))
-    keep = F.lit(False)
-    for r in counts:
-        keep = F.when(F.col(lang) == r[lang], u < docs_each / r["n"]).otherwise(keep)
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), F.greatest(F.lit(1), F.length(text) - CHARS_EACH)).cast("int") + 1
-    rows = labelled.filter(keep).select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.substring(F.col(text), at, F.lit(CHARS_EACH)).alias("text")).collect()
+    each = max(1, min(docs_each, SAMPLE_DOCS // langs))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 12).cast("double") / F.lit(float(1 << 52))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.length("text") - CHARS_EACH)).cast("int") + 1
+    drawn = labelled.join(counts, "lang").filter(u * F.col("n") < each).select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(CHARS_EACH)).alias("text"))
+    rows = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    release(counts)
     rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
@@ -190,7 +191,8 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
     Null texts and those without a letter: ``und`` with score 0, and so is all
     if nothing was labelled. score: the softmax of the mean log-odds. Only the
     text is an input. A null id is in no fold that is held out. Repeated rows
-    each get their result; no rows: none.
+    each get their result; no rows: none. Very long texts count whole, some of
+    their windows at a time. Columns in ``keep`` must not have the result's names.
     """
     prepare_workers(docs.sparkSession)
     held = F.coalesce(id_crc(id_col) % 3 == 1, F.lit(False)).alias("held_out")
@@ -217,15 +219,17 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
 
 
 def keep_identified(docs: DataFrame, net: Network | None, least_score: float = 0.35, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is identified: not ``und``, with ``least_score`` at least."""
+    """The rows of ``docs``, all columns as they are, whose language is identified: not ``und`` (null texts, texts without a letter), with ``least_score`` at least. Without a network, as nothing was labelled, all rows stay."""
+    if net is None:
+        return docs
     prepare_workers(docs.sparkSession)
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(net) if net else None
+        scorer = Scorer(net)
         for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
-            some = [i for i, t in enumerate(texts) if scorer and t and next(filter(str.isalpha, t), None)]
+            some = [i for i, t in enumerate(texts) if t and next(filter(str.isalpha, t), None)]
             keep = np.zeros(len(texts), bool)
             if some:
                 odds = scorer.log_odds([texts[i].encode() for i in some])

@@ -419,7 +419,8 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     found = verified_parts(families, first, texts, width, percent)
     release(families)
     parts = found.select(F.col("node").alias("row"), F.col("component").alias("part"))
-    least = parts.join(first.select("row", "doc_id"), "row").groupBy("part").agg(F.min("doc_id").alias("least"))
+    # a table of its own, so that Spark knows its size and a large part is not dealt to one task
+    least = durable(parts.join(first.select("row", "doc_id"), "row").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
     of_set = first.join(parts, "row", "left").join(least, "part", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
     linked = sketch.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of_set, "digest", "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -66,8 +66,7 @@ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g)
 cov AS (SELECT rid, sum(least(8, i - coalesce(prev, i - 8))) AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM twice) q GROUP BY rid),
 ln AS (SELECT rid, host, t, unnest(ls) AS line FROM w),
 nl AS (SELECT rid, host, t, lower(regexp_replace(regexp_replace(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), ' {2,}', ' ', 'g'), '[0-9]', '0', 'g')) AS k, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw FROM ln),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
-common AS (SELECT host, k FROM (SELECT nl.host, k, count(DISTINCT t) AS c, max(hosts.n) AS n FROM nl JOIN hosts ON nl.host = hosts.host GROUP BY nl.host, k) q WHERE c > 20 AND c > 0.01 * n),
+common AS (SELECT host, k FROM nl GROUP BY host, k HAVING count(DISTINCT rid) > 20),
 lost AS (SELECT rid, sum(nw) AS n FROM nl JOIN common ON nl.host = common.host AND nl.k = common.k GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
@@ -116,10 +115,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 """
 
 _OP9_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) t WHERE rank <= 20
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) t WHERE rank <= 20
 """
 
 

@@ -1,187 +1,184 @@
 """Sharding by a K-d tree over document metadata, split at distributed weighted medians.
 
-Atoms are groups of equal texts with their bytes as weight. Each node is cut
-along its widest dimension at the weighted quantile that its two halves need;
-quantiles come from histograms over all atoms, narrowed pass by pass, so that
-only ``nodes x bins`` sums reach the driver at any input size.
+Atoms are groups of equal texts with their bytes as weight, at a place on a grid of
+metadata dimensions. Every node above the target bytes is cut at the weighted
+median of its widest dimension: level by level with histograms in the cluster
+while a node has many atoms, and to the end in one task once it has few. All atoms
+go down the tree; its leaves are then dealt to the shards, the heaviest first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, release, text_or_empty
 
-#: Bins of a histogram pass, and passes: the cut is found to span / BINS ** PASSES.
-BINS, PASSES = 1024, 4
-#: Atoms heavier than this share of a shard are dealt out before the tree is cut; there can be at most shards / HEAVY of them.
-HEAVY = 1 / 512
+#: Cells of a dimension, as 2 ** (2 * HALF): a median takes two histograms of 2 ** HALF bins.
+HALF = 11
+#: Leaves for each shard, at least; atoms of a node that a task cuts to the end.
+LEAVES, TASK_ATOMS = 32, 50_000
+#: Dimensions: size on a log scale, two labels, smallest id; the last one breaks ties where these are all alike.
+DIMS = ("d0", "d1", "d2", "d3", "tie")
+KEY = ("text_hash", "text_crc32", "size")
 
 
-@dataclass
-class Node:
-    shards: list[int]
-    dim: int = -1
-    cut: float = 0.0
-    low: int = -1
-    high: int = -1
-
-
-def documents_meta(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1), crc, row and the hash of the text, and the metadata dimensions d0.. as doubles."""
+def documents_meta(docs: DataFrame, id_col: str = "doc_id", text: str = "text", labels: Sequence[str] = ("lang", "source")) -> DataFrame:
+    """doc_id, size (UTF-8 bytes and 1), crc, row and hash of the text, and two labels; a label that ``docs`` has no column for is empty."""
     whole = text_or_empty(text)
-    meta = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.lit("t")).alias("text_hash"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in labels]
+    meta = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole, F.lit("t")).alias("text_hash"), *[x.alias(f"label{i}") for i, x in enumerate(named)])
     return meta.withColumn("row", F.monotonically_increasing_id())
 
 
+def _cell(*columns) -> Column:
+    """A hash as a cell."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - 2 * HALF)
+
+
 def _unit(*columns) -> Column:
     """A hash in [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 12).cast("double") / F.lit(float(1 << 52))
 
 
-def _atoms(meta: DataFrame) -> DataFrame:
-    """One row for each distinct text. Dimensions, all in [0, 1) or near: size on a log scale, language, source, smallest id. The text's hash breaks ties, so equal values do not stop a cut."""
-    a = meta.groupBy("text_hash", "text_crc32", "size").agg(F.count("*").alias("copies"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("first_id"))
-    tie = _unit("text_hash", F.lit(1))
-    return a.select(
-        "text_hash", "text_crc32", "size", (F.col("copies") * F.col("size")).alias("weight"),
-        ((F.log2(F.col("size") + tie)) / 32).alias("d0"),
-        (_unit("lang") + tie / (1 << 20)).alias("d1"),
-        (_unit("source") + tie / (1 << 20)).alias("d2"),
-        (F.coalesce(F.col("first_id").cast("double"), F.lit(0.0)) + tie).alias("d3"),
-    )
-
-
-DIMS = ("d0", "d1", "d2", "d3")
-
-
-def _quantiles(atoms: DataFrame, wanted: dict[int, tuple[str, float, float, float]]) -> dict[int, float]:
-    """For each node, the coordinate below which ``wanted`` weight lies. wanted: node -> (dimension, low, high, weight)."""
-    spans = {n: [lo, hi, w] for n, (_, lo, hi, w) in wanted.items()}
-    for _ in range(PASSES):
-        value = lo = width = None
-        for n, (dim, *_rest) in wanted.items():
-            here = F.col("node") == n
-            a, b, _w = spans[n]
-            step = max((b - a) / BINS, 1e-300)
-            value = (F.when(here, F.col(dim)) if value is None else value.when(here, F.col(dim)))
-            lo = F.when(here, F.lit(a)) if lo is None else lo.when(here, F.lit(a))
-            width = F.when(here, F.lit(step)) if width is None else width.when(here, F.lit(step))
-        bins = F.greatest(F.lit(-1), F.least(F.lit(BINS - 1), F.floor((value - lo) / width))).cast("int")
-        got: dict[int, dict[int, int]] = {n: {} for n in wanted}
-        rows = atoms.filter(F.col("node").isin(list(wanted))).select("node", "weight", bins.alias("bin")).filter("bin >= 0").groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect()
-        for r in rows:
-            got[r["node"]][r["bin"]] = r["w"]
-        for n, sums in got.items():
-            a, b, w = spans[n]
-            step = (b - a) / BINS
-            if step <= 0:
-                continue
-            for k in sorted(sums):
-                if w <= sums[k]:
-                    break
-                w -= sums[k]
-            # the last bin also holds what lies above this span, which an earlier pass has cut off
-            spans[n] = [a + k * step, a + (k + 1) * step, w]
-    return {n: s[0] if s[2] <= 0 else s[1] for n, s in spans.items()}
-
-
-def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def atoms_of(meta: DataFrame) -> DataFrame:
+    """One row for each distinct text: its key, weight, place on the grid, and the root as its node."""
+    a = meta.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min("label0").alias("label0"), F.min("label1").alias("label1"), F.min("doc_id").alias("first_id"))
+    a = a.withColumns({"x": F.log2("size"), "y": F.coalesce(F.col("first_id").try_cast("double"), F.lit(0.0)), "weight": F.col("copies") * F.col("size")})
+    lo_x, hi_x, lo_y, hi_y = a.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    scaled = lambda c, lo, hi: F.floor((F.col(c) - F.lit(lo or 0.0)) * F.lit(((1 << 2 * HALF) - 1) / (hi - lo) if lo is not None and hi > lo else 0.0))
+    places = (scaled("x", lo_x, hi_x), _cell("label0"), _cell("label1"), scaled("y", lo_y, hi_y), _cell("text_hash", F.lit(1)))
+    return a.select(*KEY, "weight", F.lit(1).cast("long").alias("node"), *[x.cast("long").alias(d) for x, d in zip(places, DIMS)])
+
+
+def split_of(x: np.ndarray, w: np.ndarray, target: int) -> tuple[int, int] | None:
+    """(dimension, cut) of a node: atoms up to the cut are one half. None for a leaf."""
+    span = x.max(axis=0) - x.min(axis=0)
+    d = int(np.argmax(span[:-1])) if span[:-1].max() else len(span) - 1
+    if w.sum() <= target or not span[d]:
+        return None
+    order = np.argsort(x[:, d], kind="stable")
+    sums = np.cumsum(w[order])
+    cut = int(x[order[np.searchsorted(2 * sums, sums[-1])], d])
+    return d, min(cut, int(x[:, d].max()) - 1)
+
+
+def leaves_of(x: np.ndarray, w: np.ndarray, target: int) -> np.ndarray:
+    """Each atom's leaf in the subtree of one node."""
+    out, left, n = np.zeros(len(w), np.int64), [np.arange(len(w))], 0
+    while left:
+        at = left.pop()
+        if (s := split_of(x[at], w[at], target)) is None:
+            out[at] = n
+            n += 1
+        else:
+            low = x[at, s[0]] <= s[1]
+            left += [at[~low], at[low]]
+    return out
+
+
+def _cut_level(atoms: DataFrame, target: int, most: int) -> DataFrame | None:
+    """One level of cuts of the nodes with more than ``most`` atoms; None if there is no such node."""
+    spans = [(F.max(d) - F.min(d)).alias(f"span_{d}") for d in DIMS]
+    stats = atoms.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), *spans, *[F.max(d).alias(f"top_{d}") for d in DIMS])
+    widest = F.greatest(*[F.col(f"span_{d}") for d in DIMS[:-1]])
+    pick = lambda of: F.coalesce(*[F.when((widest > 0) & (F.col(f"span_{d}") == widest), of(d)) for d in DIMS[:-1]], of(DIMS[-1]))
+    chosen = stats.filter((F.col("n") > most) & (F.col("total") > target)).select("node", "total", pick(F.lit).alias("dim"), pick(lambda d: F.col(f"top_{d}")).alias("top"), pick(lambda d: F.col(f"span_{d}")).alias("span")).filter("span > 0")
+    chosen = durable(chosen.drop("span"), "nodes")
+    if not chosen.limit(1).count():
+        release(chosen)
+        return None
+    value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in DIMS])
+    open_ = atoms.join(chosen, "node").select("node", "weight", "total", "top", value.alias("x"))
+
+    def reached(bins: DataFrame, before: Column) -> DataFrame:
+        # at most 2 ** HALF bins a node
+        upto = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        sums = bins.withColumn("upto", before + F.sum("w").over(upto)).filter(2 * F.col("upto") >= F.col("total"))
+        return sums.groupBy("node").agg(F.min(F.struct("bin", "upto", "w", "top")).alias("b")).select("node", F.col("b.bin").alias("bin"), (F.col("b.upto") - F.col("b.w")).alias("before"), "b.top")
+
+    coarse = open_.groupBy("node", F.shiftright("x", HALF).alias("bin")).agg(F.sum("weight").alias("w"), F.first("total").alias("total"), F.first("top").alias("top"))
+    first = durable(reached(coarse, F.lit(0)).select("node", F.col("bin").alias("high"), "before"), "bins")
+    inside = open_.join(first, "node").filter(F.shiftright("x", HALF) == F.col("high"))
+    fine = inside.groupBy("node", F.col("x").alias("bin")).agg(F.sum("weight").alias("w"), F.first("total").alias("total"), F.first("top").alias("top"), F.first("before").alias("before"))
+    cuts = reached(fine, F.col("before")).select("node", F.least(F.col("bin"), F.col("top") - 1).alias("cut")).join(chosen.select("node", "dim"), "node")
+    moved = atoms.join(cuts, "node", "left").withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(value > F.col("cut"), 1).otherwise(0)))
+    out = durable(moved.select(*KEY, "weight", "node", *DIMS), "atoms")
+    release(chosen, first)
+    return out
+
+
+def kd_leaves(atoms: DataFrame, target: int, most: int | None = None) -> DataFrame:
+    """The key of each atom with its weight and its leaf (node, leaf). ``target``: bytes up to which a node is a leaf."""
+    most = TASK_ATOMS if most is None else most
+    while (cut := _cut_level(atoms, target, most)) is not None:
+        release(atoms)
+        atoms = cut
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        leaf = leaves_of(group[list(DIMS)].to_numpy(), group["weight"].to_numpy(), target)
+        return group[[*KEY, "weight", "node"]].assign(leaf=leaf)
+
+    kinds = dict(atoms.dtypes)
+    out = durable(atoms.groupBy("node").applyInPandas(finish, ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "weight", "node")) + ", leaf long"), "leaves")
+    release(atoms)
+    return out
+
+
+def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", labels: Sequence[str] = ("lang", "source")) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``; shards have nearly equal bytes.
 
     Equal texts share a shard, but for a text whose copies weigh more than a
-    shard: it is spread by row over what shards still take. Null text: one byte.
-    Null language, source or id: empty or zero as a coordinate. Repeated rows
-    are rows like others. Fewer texts than shards leave shards empty; no rows:
-    none. Slots are in the order of doc_id within hashed buckets, gapless from 0.
+    shard: no shard can hold it, so its rows are spread over several. Null text:
+    one byte. Null labels or ids, and labels without a column: empty or zero as a
+    coordinate. Repeated rows are rows like others. Fewer texts than shards leave
+    shards empty; no rows: none. Very long texts are measured where they are and
+    never shuffled. Slots are in the order of doc_id within hashed buckets,
+    gapless from 0. At most about 2 * shards * LEAVES leaves reach the driver.
     """
-    meta = durable(documents_meta(docs, id_col, text), "meta")
-    key = ["text_hash", "text_crc32", "size"]
-    atoms = durable(_atoms(meta), "atoms")
+    meta = durable(documents_meta(docs, id_col, text, labels), "meta")
     total, rows = (x or 0 for x in meta.agg(F.sum("size"), F.count("*")).first())
-    target = total / shards
-    room = [target] * shards
-
-    # atoms that are heavy for a shard: at most shards / HEAVY of them
-    heavy = sorted(((r["weight"], *(r[k] for k in key)) for r in atoms.filter(F.col("weight") > target * HEAVY).collect()), reverse=True)
-    placed, spread = [], []
-    for weight, *atom in heavy:
-        best = max(range(shards), key=lambda s: (room[s], -s))
-        if weight > target:
-            left, parts = weight, []
-            for s in sorted(range(shards), key=lambda s: (-room[s], s)):
-                if left > 0 and room[s] > 0:
-                    parts.append((s, min(room[s], left)))
-                    room[s] -= parts[-1][1]
-                    left -= parts[-1][1]
-            spread.append((atom, parts))
-        else:
-            room[best] -= weight
-            placed.append((atom, best))
-    spark = docs.sparkSession
-    kinds = ", ".join(f"{k} {t}" for k, t in meta.select(*key).dtypes)
-    fixed = spark.createDataFrame([(*a, s) for a, s in placed] + [(*a, -1 - i) for i, (a, _) in enumerate(spread)], f"{kinds}, shard int")
-    light = atoms.join(F.broadcast(fixed), key, "left_anti")  # at most shards / HEAVY rows
-
-    nodes = [Node(list(range(shards)))]
-    level, at = [0], F.lit(0)
-    while level:
-        now = light.withColumn("node", at)
-        cut = [n for n in level if len(nodes[n].shards) > 1]
-        if not cut:
-            break
-        stats = {r["node"]: r for r in now.filter(F.col("node").isin(cut)).groupBy("node").agg(F.sum("weight").alias("w"), *(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).collect()}
-        if level == [0]:
-            whole = stats.get(0)
-        wanted = {}
-        for n in cut:
-            nodes[n].low, nodes[n].high = len(nodes), len(nodes) + 1
-            half = len(nodes[n].shards) // 2
-            nodes += [Node(nodes[n].shards[:half]), Node(nodes[n].shards[half:])]
-            if (s := stats.get(n)) is None:
-                nodes[n].dim, nodes[n].cut = 0, 0.0
-                continue
-            # widest: the largest part of the whole table's span
-            part = [(s[f"hi_{d}"] - s[f"lo_{d}"]) / max(whole[f"hi_{d}"] - whole[f"lo_{d}"], 1e-300) for d in DIMS]
-            k = max(range(len(DIMS)), key=lambda i: (part[i], -i))
-            quota = [max(0.0, sum(room[x] for x in nodes[m].shards)) for m in (nodes[n].low, nodes[n].high)]
-            share = quota[0] / sum(quota) if sum(quota) else 0.5
-            lo, hi = s[f"lo_{DIMS[k]}"], s[f"hi_{DIMS[k]}"]
-            nodes[n].dim = k
-            wanted[n] = (DIMS[k], lo, hi + (hi - lo) * 1e-9, s["w"] * share)
-        for n, x in (_quantiles(now, wanted) if wanted else {}).items():
-            nodes[n].cut = x
-        level = [m for n in cut for m in (nodes[n].low, nodes[n].high)]
-        at = _walk(nodes, lambda i: i)
-    tree = light.select(*key, _walk(nodes, lambda i: nodes[i].shards[0]).alias("shard"))
-    homes = tree.unionByName(fixed)
-    dealt = meta.join(homes, key)
-    for i, (_, parts) in enumerate(spread):
-        # spread a text's copies over the parts by a hash of the row, each in proportion to what it takes
-        u, sofar, pick, all_ = _unit("row", F.lit(7)), 0.0, F.lit(parts[-1][0]), sum(p for _, p in parts)
-        edges = []
-        for s, p in parts:
-            sofar += p / all_
-            edges.append((s, sofar))
-        for s, x in reversed(edges[:-1]):
-            pick = F.when(u < x, F.lit(s)).otherwise(pick)
-        dealt = dealt.withColumn("shard", F.when(F.col("shard") == -1 - i, pick).otherwise(F.col("shard")))
-    return _slotted(dealt, rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _walk(nodes: list[Node], value):
-    """``value`` of the node in which an atom ends up, as one expression."""
-
-    def below(i: int):
-        n = nodes[i]
-        if n.low < 0:
-            return F.lit(value(i))
-        return F.when(F.col(DIMS[n.dim]) < F.lit(n.cut), below(n.low)).otherwise(below(n.high))
-
-    return below(0)
+    target = max(1, total // (shards * LEAVES))
+    tree = kd_leaves(durable(atoms_of(meta), "atoms"), target)
+    leaves = sorted(((r["w"], r["node"], r["leaf"]) for r in tree.groupBy("node", "leaf").agg(F.sum("weight").alias("w")).collect()), reverse=True)
+
+    # the heaviest leaf first, to the shard that has least; one that is heavier than a shard in parts
+    filled = [(0, s) for s in range(shards)]
+    homes, spread, parts = [], [], []
+    for weight, node, leaf in leaves:
+        if weight * shards > total:
+            spread.append((weight, node, leaf))
+            continue
+        homes.append((weight, node, leaf))
+    for i, (weight, node, leaf) in enumerate(spread):
+        level, taken = -(-total // shards), []
+        for has, s in sorted(filled):
+            part = min(weight, max(0, level - has))
+            if part:
+                taken.append((s, part / spread[i][0]))
+                weight -= part
+                filled[[x[1] for x in filled].index(s)] = (has + part, s)
+        parts.append(taken)
+    heapq.heapify(filled)
+    dealt = [(node, leaf, -1 - i) for i, (_, node, leaf) in enumerate(spread)]
+    for weight, node, leaf in homes:
+        has, s = heapq.heappop(filled)
+        dealt.append((node, leaf, s))
+        heapq.heappush(filled, (has + weight, s))
+    home = docs.sparkSession.createDataFrame(dealt, "node long, leaf long, shard int")
+    placed = meta.join(tree.join(home, ["node", "leaf"]).select(*KEY, "shard"), list(KEY))
+    for i, taken in enumerate(parts):
+        # each row by a hash, in proportion to what a shard takes
+        u, pick = _unit("row", F.lit(7)), F.lit(taken[-1][0])
+        for k in range(len(taken) - 2, -1, -1):
+            pick = F.when(u < sum(p for _, p in taken[: k + 1]), F.lit(taken[k][0])).otherwise(pick)
+        placed = placed.withColumn("shard", F.when(F.col("shard") == -1 - i, pick).otherwise(F.col("shard")))
+    return _slotted(placed, rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _slotted(dealt: DataFrame, rows: int, shards: int, rows_a_bucket: int = 20_000) -> DataFrame:
@@ -194,8 +191,10 @@ def _slotted(dealt: DataFrame, rows: int, shards: int, rows_a_bucket: int = 20_0
     return ranked.join(begins, ["shard", "bucket"]).withColumn("slot", (F.col("begin") + F.col("rank")).cast("long"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id") -> DataFrame:
-    """Write every row of ``docs`` into ``path/shard=K/``, and return the assignment. Ids must be distinct here."""
-    where = durable(kd_shards(docs, shards, id_col), "assignment")
-    docs.join(where.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col).write.partitionBy("shard").parquet(path)
-    return where
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text: str = "text") -> None:
+    """Write every row of ``docs`` with all its columns into ``path/shard=K/``. Rows find their shard by id and text, so repeated ids and rows are written as often as they occur."""
+    where = kd_shards(docs, shards, id_col, text).select(F.col("doc_id").alias("_id"), "size", "text_crc32", "shard")
+    one = where.groupBy("_id", "size", "text_crc32").agg(F.min("shard").alias("shard"))
+    whole = text_or_empty(text)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.octet_length(whole) + 1 == F.col("size")) & (F.crc32(whole.cast("binary")) == F.col("text_crc32"))
+    docs.drop("shard").join(one, same).select(*[c for c in docs.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)

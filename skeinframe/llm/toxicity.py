@@ -1,22 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters - words and word beginnings mined from labelled rows, patterns of tone,
-and the absence of all of these - vote toxic, clean or abstain. A generative
-label model (expectation-maximisation) estimates how often each voter is right
-and how voters hang together given the label; correlated voters share their
-weight. A linear classifier is trained on its posterior labels, and scores
-whole texts.
+Voters - words and word beginnings, how dense they are, and patterns of tone in
+several languages - vote toxic or clean or abstain. A generative label model is
+fitted to the votes alone by expectation-maximisation: each voter's accuracy, and
+the correlations of voters given the label as a tree of dependent pairs. A linear
+classifier is trained on its posterior labels, and scores whole texts. Marks of
+labelled rows choose the voters and give the share of toxic rows; they are no votes.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,22 @@ from .common import id_crc, prepare_workers, sliced
 
 #: The bounded sample that voters and classifier are fitted on: rows of each label, and characters of a text.
 ROWS_EACH, CHARS_EACH = 4000, 20_000
-#: Word beginnings, in letters; lexicon voters; features of the classifier; words a worker keeps scores of.
+#: Word beginnings, in letters; lexicon voters; features of the classifier; words a worker keeps the features of.
 BEGINNINGS, VOTERS, FEATURES, KEPT_WORDS = (4, 5, 6), 120, 1000, 400_000
+#: One word in so many is dense.
+DENSE = 200
+#: Lexicon words in a thousand words: steps that are features of the classifier; the step from which a voter calls a row toxic, and that below which one calls it clean.
+LEVELS, TOXIC_LEVEL, CLEAN_LEVEL = (2, 4, 6, 8, 10, 13, 16, 20, 30, 50), 13, 6
 
 _words = re.compile(r"[^\W\d_]+").findall
 
-#: Patterns of tone, each a voter.
+#: Patterns of tone, each a voter. The second words address somebody in English, German, French and Spanish.
 PATTERNS = {
     "shouted words": re.compile(r"(?:\b[A-ZÀ-Þ]{4,}\b\W+){3}"),
     "exclamations": re.compile(r"!{2,}"),
     "masked words": re.compile(r"\b\w\*{2,}\w*|\b\w+\*{2,}"),
-    "you are a": re.compile(r"\byou(?:'re| are) (?:a|an|such|so)\b", re.IGNORECASE),
+    "addressed": re.compile(r"\b(?:you(?:'re| are) (?:a|an|such|so)|du bist (?:ein|eine|so)|tu es (?:un|une|si)|eres (?:un|una|tan))\b", re.IGNORECASE),
+    "told off": re.compile(r"\b(?:shut up|halt die|ferme-la|tais-toi|cállate)\b", re.IGNORECASE),
     "drawn-out words": re.compile(r"\b\w*([a-z])\1{3,}\w*\b"),
 }
 
@@ -44,42 +51,89 @@ def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+def present(text: str | None) -> tuple[Counter, int]:
+    """How often each feature's words are in a text, and the number of words."""
+    counts = Counter(_words((text or "").lower()))
+    found: Counter = Counter()
+    for w, c in counts.items():
+        for f in features_of(w):
+            found[f] += c
+    return found, sum(counts.values())
+
+
 @dataclass
 class Scored:
-    """Weights of the features, and the bias; ``score`` is for whole texts."""
+    """Weights of the features, the lexicon, and the bias; ``score`` is for whole texts. A feature with a plus is one that is dense, ``=L`` is a level of the lexicon's words."""
 
     weights: dict[str, float]
+    lexicon: frozenset[str]
     bias: float
-    words: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    words: dict[str, tuple[tuple[str, ...], bool]] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
-        found: set[str] = set()
-        known = self.words
+        counts = Counter(_words((text or "").lower()))
+        known, weights = self.words, self.weights
         if len(known) > KEPT_WORDS:
             known.clear()
-        for w in set(_words((text or "").lower())):
-            hits = known.get(w)
-            if hits is None:
-                hits = known[w] = tuple(f for f in features_of(w) if f in self.weights)
-            if hits:
-                found.update(hits)
-        z = self.bias + sum(self.weights[f] for f in sorted(found))
+        found: Counter = Counter()
+        n = hits = 0
+        for w, c in counts.items():
+            got = known.get(w)
+            if got is None:
+                fs = features_of(w)
+                got = tuple(f for f in fs if f in weights or f + "+" in weights), any(f in self.lexicon for f in fs)
+                if len(w) <= 64:
+                    known[w] = got
+            n += c
+            hits += c if got[1] else 0
+            for f in got[0]:
+                found[f] += c
+        z = self.bias
+        for f in sorted(found):
+            z += weights.get(f, 0.0)
+            if found[f] * DENSE >= n:
+                z += weights.get(f + "+", 0.0)
+        for level in LEVELS:
+            if hits and hits * 1000 >= level * n:
+                z += weights.get(f"={level}", 0.0)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def _hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode(), seed=3) >> 1
+
+
 def bags_of(texts: list[str]) -> list[np.ndarray]:
-    """The features of each text as sorted 64-bit hashes, which take a tenth of the strings' memory."""
-    return [np.unique(np.fromiter((hash(f) for w in set(_words(t.lower())) for f in features_of(w)), np.int64)) for t in texts]
+    """The features of each text, and with a plus those that are dense, as sorted 63-bit hashes, which take a tenth of the strings' memory."""
+    hashes: dict[str, tuple[int, int]] = {}
+
+    def bag(text: str) -> np.ndarray:
+        found, n = present(text)
+        if len(hashes) > 1_000_000:
+            hashes.clear()
+        out = []
+        for f, c in found.items():
+            if (h := hashes.get(f)) is None:
+                h = hashes[f] = (_hash(f), _hash(f + "+"))
+            out.append(h[0])
+            if c * DENSE >= n:
+                out.append(h[1])
+        return np.unique(np.array(out, np.int64))
+
+    return [bag(t) for t in texts]
 
 
 def _names(texts: list[str], wanted: set[int]) -> dict[int, str]:
     """The feature of each wanted hash."""
     found: dict[int, str] = {}
+    seen: set[str] = set()
     for t in texts:
-        for w in set(_words(t.lower())):
+        for w in set(_words(t.lower())) - seen:
+            seen.add(w)
             for f in features_of(w):
-                if (h := hash(f)) in wanted:
-                    found[h] = f
+                for g in (f, f + "+"):
+                    if (h := _hash(g)) in wanted:
+                        found[h] = g
     return found
 
 
@@ -113,7 +167,7 @@ def rated_features(bags: list[np.ndarray], toxic: np.ndarray, least_odds: float
 
 
 def mine_lexicon(texts: list[str], bags: list[np.ndarray], toxic: np.ndarray, most: int = VOTERS) -> list[str]:
-    """The best features, the shorter one first if even, without those that only repeat a better and more general one: at least nine tenths of their toxic rows have it."""
+    """The best features, the shorter one first if even, without those that only repeat a better one of the same words: at least nine tenths of their toxic rows have it."""
     rating = rated_features(bags, toxic)
     names = _names(texts, set(rating))
     order = sorted(names, key=lambda h: (-rating[h], len(names[h]), names[h]))
@@ -122,90 +176,139 @@ def mine_lexicon(texts: list[str], bags: list[np.ndarray], toxic: np.ndarray, mo
     for r in np.flatnonzero(toxic).tolist():
         for h in bags[r][np.isin(bags[r], wanted)].tolist():
             rows[h].add(r)
+    bare = {h: names[h].strip("^+") for h in order}
     taken: list[int] = []
     for h in order:
-        f, own = names[h], rows[h]
-        bare = f.removeprefix("^")
-
-        def covers(t: int) -> bool:
-            other = names[t]
-            near = other[0] == "^" or f[0] == "^" or other == bare
-            return near and (bare.startswith(other[1:]) or other.removeprefix("^").startswith(bare)) and len(own & rows[t]) >= 0.9 * len(own)
-
-        if not any(covers(t) for t in taken):
+        own = rows[h]
+        if not any((bare[h].startswith(bare[t]) or bare[t].startswith(bare[h])) and len(own & rows[t]) >= 0.9 * len(own) for t in taken):
             taken.append(h)
             if len(taken) == most:
                 break
     return [names[h] for h in taken]
 
 
+def levels_of(texts: list[str], lexicon: list[str]) -> np.ndarray:
+    """Lexicon words in a thousand words of each text."""
+    stems = {f.rstrip("+") for f in lexicon}
+    known: dict[str, bool] = {}
+    out = np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        n = hits = 0
+        for w in _words(t.lower()):
+            if (hit := known.get(w)) is None:
+                hit = known[w] = any(f in stems for f in features_of(w))
+            n += 1
+            hits += hit
+        out[i] = 1000 * hits / max(1, n)
+    return out
+
+
 def votes_of(texts: list[str], bags: list[np.ndarray], lexicon: list[str]) -> np.ndarray:
-    """rows x voters: 1 toxic, -1 clean, 0 abstains. The last voter calls rows clean in which no lexicon voter speaks."""
-    out = np.zeros((len(texts), len(lexicon) + len(PATTERNS) + 1), np.int8)
-    hashes = np.array([hash(f) for f in lexicon], np.int64)
+    """rows x voters: 1 toxic, -1 clean, 0 abstains. Lexicon, patterns, dense use of the lexicon; the last two vote clean: hardly any lexicon word, and none."""
+    k = len(lexicon) + len(PATTERNS)
+    out = np.zeros((len(texts), k + 3), np.int8)
+    hashes = np.array([_hash(f) for f in lexicon], np.int64)
     for r, (t, bag) in enumerate(zip(texts, bags)):
         out[r, : len(lexicon)] = np.isin(hashes, bag)
         for j, p in enumerate(PATTERNS.values()):
             out[r, len(lexicon) + j] = 1 if p.search(t) else 0
-        out[r, -1] = 0 if out[r, : len(lexicon)].any() else -1
+    level = levels_of(texts, lexicon)
+    out[:, k] = level >= TOXIC_LEVEL
+    out[:, k + 1] = -(level < CLEAN_LEVEL).astype(np.int8)
+    out[:, k + 2] = -(level == 0).astype(np.int8)
     return out
 
 
 @dataclass
 class LabelModel:
-    """P(vote | label) of each voter, the labels' prior, and each voter's share of its weight."""
+    """The share of toxic rows; each voter's parent (-1: none) in the tree of correlations; P(speaks | label, parent speaks): 2 x 2 x voters; and the posterior of the rows it was fitted on."""
 
-    speak: np.ndarray  # 2 x voters: how often a voter speaks, clean and toxic
     prior: float
-    share: np.ndarray
-    final: np.ndarray | None = None  # posterior labels of the rows it was fitted on
+    parent: np.ndarray
+    speak: np.ndarray
+    final: np.ndarray | None = None
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        spoke = (votes != 0).astype(float)
-        on = np.log(self.speak[1] / self.speak[0])
-        off = np.log((1 - self.speak[1]) / (1 - self.speak[0]))
-        z = math.log(self.prior / (1 - self.prior)) + (spoke * on + (1 - spoke) * off) @ self.share
+        spoke = votes != 0
+        up = np.where(self.parent >= 0, spoke[:, self.parent], False).astype(np.int64)
+        at = np.arange(votes.shape[1])
+        z = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
+        for label, sign in ((1, 1.0), (0, -1.0)):
+            p = self.speak[label][up, at]
+            z += sign * np.log(np.where(spoke, p, 1 - p)).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def accuracies(self) -> np.ndarray:
-        """How often a voter that speaks is right, at even odds; the last one speaks for clean."""
-        right = self.speak[1] / (self.speak[0] + self.speak[1])
-        right[-1] = 1 - right[-1]
-        return right
-
 
-def fit_label_model(votes: np.ndarray, prior: float, marks: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation-maximisation over the voters' and the rows' own marks, which are one more voter of unknown accuracy; correlated voters share their weight."""
-    spoke = (votes != 0).astype(float)
-    m = votes.shape[1]
-    sign = np.where(marks > 0, 1.0, -1.0)
-    model, right = LabelModel(np.full((2, m), 0.5), prior, np.ones(m)), 0.95
-    p = np.where(marks > 0, right, 1 - right)
+def accuracies(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """How often each voter is right when it speaks, by the posterior labels."""
+    right = np.where(votes > 0, posterior[:, None], np.where(votes < 0, 1 - posterior[:, None], 0)).sum(axis=0)
+    return (right + 0.5) / ((votes != 0).sum(axis=0) + 1)
+
+
+def _tree(joint: np.ndarray, single: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent in the maximum spanning forest of mutual information given the label. joint: 2 x voters x voters, P(both speak); single: 2 x voters."""
+    m = single.shape[1]
+    info = np.zeros((m, m))
+    for y in (0, 1):
+        a, b = single[y][:, None], single[y][None, :]
+        for p, q in ((joint[y], a * b), (a - joint[y], a * (1 - b)), (b - joint[y], (1 - a) * b), (1 - a - b + joint[y], (1 - a) * (1 - b))):
+            p = np.maximum(p, 1e-12)
+            info += weight[y] * p * np.log(p / np.maximum(q, 1e-12))
+    np.fill_diagonal(info, 0)
+    parent, best, via = np.full(m, -1), np.full(m, -1.0), np.full(m, -1)
+    left = np.ones(m, bool)
+    for _ in range(m):
+        j = int(np.argmax(np.where(left, best, -2)))
+        left[j] = False
+        if best[j] > least:
+            parent[j] = via[j]
+        closer = left & (info[j] > best)
+        best[closer], via[closer] = info[j][closer], j
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> LabelModel:
+    """Expectation-maximisation over the votes alone, from an even vote of those that speak. A voter that turns out to speak against its vote is taken to say nothing."""
+    spoke, n = (votes != 0).astype(float), max(1, len(votes))
+    against = (votes < 0).any(axis=0)
+    # an even vote of those that speak
+    ballot = votes.astype(float).sum(axis=1) / np.maximum(1, spoke.sum(axis=1))
+    p = 1 / (1 + np.exp(-4 * ballot))
+    model = None
     for _ in range(rounds):
         weight = np.stack([1 - p, p])
-        speak = (weight @ spoke + 0.5) / (weight.sum(axis=1)[:, None] + 1)
+        sums = weight.sum(axis=1)
+        single = np.clip((weight @ spoke + 0.5) / (sums[:, None] + 1), 1e-4, 1 - 1e-4)
+        both = np.stack([(spoke * w[:, None]).T @ spoke for w in weight])
+        joint = (both + 0.25) / (sums[:, None, None] + 1)
+        parent = _tree(np.minimum(joint, np.minimum(single[:, :, None], single[:, None, :])), single, sums / n, math.log(n + 1) / n)
+        speak = np.repeat(single[:, None, :], 2, axis=1)
+        for j in np.flatnonzero(parent >= 0):
+            i = parent[j]
+            for y in (0, 1):
+                on, all_on = both[y, i, j], both[y, i, i]
+                # drawn towards the voter's own rate, as few rows may have a parent that speaks
+                speak[y, 1, j] = (on + 2 * single[y, j]) / (all_on + 2)
+                speak[y, 0, j] = (both[y, j, j] - on + 2 * single[y, j]) / (sums[y] - all_on + 2)
         speak = np.clip(speak, 1e-4, 1 - 1e-4)
-        # correlation given the label: what is left after each label's mean, pooled
-        rest = np.concatenate([np.sqrt(w)[:, None] * (spoke - s) for w, s in zip(weight, speak)])
-        spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        corr = np.abs(rest.T @ rest) / spread[:, None] / spread[None, :]
-        share = 1 / np.where(corr > 0.25, corr, 0).sum(axis=1).clip(1)
-        right = float(np.clip((p[marks > 0].sum() + (1 - p[marks <= 0]).sum()) / len(p), 0.6, 0.99))
-        model = LabelModel(speak, prior, share)
-        q = model.posterior(votes)
-        z = np.log(q / (1 - q)) + sign * math.log(right / (1 - right))
-        new = 1 / (1 + np.exp(-z))
-        if np.abs(new - p).max() < 1e-4:
+        wrong = np.where(against, single[1] > single[0], single[0] > single[1])
+        speak[:, :, wrong] = speak.mean(axis=0, keepdims=True)[:, :, wrong]
+        model = LabelModel(prior, parent, speak)
+        new = model.posterior(votes)
+        if np.abs(new - p).max(initial=0) < 1e-4:
+            p = new
             break
         p = new
     model.final = p
     return model
 
 
-def fit_linear(bags: list[np.ndarray], posterior: np.ndarray, names: list[str], weight: np.ndarray, steps: int = 500, rate: float = 0.1, decay: float = 1e-6) -> Scored:
+def fit_linear(bags: list[np.ndarray], levels: np.ndarray, posterior: np.ndarray, lexicon: list[str], names: list[str], weight: np.ndarray, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> Scored:
     """Logistic regression on posterior labels by Adam; rows x features is sparse."""
-    hashes = np.array([hash(f) for f in names], np.int64)
+    hashes = np.array([_hash(f) for f in names], np.int64)
     pairs = [(r, i) for r, bag in enumerate(bags) for i in np.flatnonzero(np.isin(hashes, bag)).tolist()]
+    pairs += [(r, len(names) + i) for r, x in enumerate(levels) for i, level in enumerate(LEVELS) if x > 0 and x >= level]
+    names = [*names, *(f"={level}" for level in LEVELS)]
     rows, cols = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
     w, m, v = (np.zeros(len(names) + 1) for _ in range(3))
     weight = weight / weight.sum()
@@ -215,11 +318,11 @@ def fit_linear(bags: list[np.ndarray], posterior: np.ndarray, names: list[str],
         grad = np.concatenate([np.bincount(cols, g[rows], len(names)) + decay * w[:-1], [g.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-    return Scored({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(w[-1]))
+    return Scored({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, frozenset(f.rstrip("+") for f in lexicon), float(w[-1]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", rows_each: int = ROWS_EACH) -> tuple[list[str], np.ndarray, float]:
-    """Texts, labels and the share of toxic rows, of about ``rows_each`` rows of each label outside the held-out fold, drawn by a hash of the id."""
+    """Texts, labels and the share of toxic rows, of about ``rows_each`` ids of each label outside the held-out fold, drawn by a hash of the id. Of rows with one id the one with the least text is taken, of labels with one id the toxic one; texts of more than CHARS_EACH characters are not learned from."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -228,7 +331,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     drawn = marked.filter(F.when(F.col("toxic") == 1, u < rows_each / counts[1]).otherwise(u < rows_each / counts[0]))
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= CHARS_EACH))
     # about 2 x rows_each ids are drawn at any input size, so they are broadcast and texts stay where they are
-    rows = picked.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = picked.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([int(r["toxic"]) for r in rows], np.int64), counts[1] / (counts[0] + counts[1])
 
@@ -239,14 +342,14 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Scored | None:
         return None
     bags = bags_of(texts)
     lexicon = mine_lexicon(texts, bags, toxic)
-    votes = votes_of(texts, bags, lexicon)
-    posterior = fit_label_model(votes, float(toxic.mean()), toxic).final
+    model = fit_label_model(votes_of(texts, bags, lexicon), float(toxic.mean()))
     # features: the lexicon, and what else the posterior labels set apart
-    guess = (posterior > 0.5).astype(np.int64)
-    names = list(dict.fromkeys([*lexicon, *mine_lexicon(texts, bags, guess, FEATURES)]))
+    guess = (model.final > 0.5).astype(np.int64)
+    more = mine_lexicon(texts, bags, guess, FEATURES) if 0 < guess.sum() < len(guess) else []
+    names = list(dict.fromkeys([*lexicon, *more]))
     # drawn rows weigh as all rows of their label do
     weight = np.where(guess == 1, max(share, 0.2) / max(1, guess.sum()), (1 - max(share, 0.2)) / max(1, (1 - guess).sum()))
-    return fit_linear(bags, posterior, names, weight)
+    return fit_linear(bags, levels_of(texts, lexicon), model.final, lexicon, names, weight)
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> Scored | None:
@@ -258,7 +361,9 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
 
     Null text: as empty, whose score is that of the bias. Without a model (no
     rows of both labels) all scores are 0. Only the text is an input. Repeated
-    rows each get their result; no rows: none.
+    rows each get their result; no rows: none. Very long texts count whole; a
+    worker holds the distinct words of one. Columns in ``keep`` must not have the
+    names of the result.
     """
     prepare_workers(docs.sparkSession)
     kept = [c for c in keep if c != id_col]
@@ -276,7 +381,7 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, model: Scored | None, most_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below ``most_score``."""
+    """The rows of ``docs``, all columns as they are, that score below ``most_score``; without a model all of them. Null text: as empty."""
     prepare_workers(docs.sparkSession)
     at = docs.columns.index(text)
 

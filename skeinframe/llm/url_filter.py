@@ -20,7 +20,7 @@ from ..operators.graph import components
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -77,14 +77,12 @@ def _absolute(base: Column, link: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): URL keys of each page and of the target of its canonical link or meta refresh."""
+    """(u, v): URL keys of each page and of the targets of all its canonical links and meta refreshes."""
     h = F.coalesce(F.col(html), F.lit(""))
-    tags = (
-        F.regexp_extract(F.regexp_extract(h, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(h, REFRESH, 0), REFRESH_URL, 1),
-    )
-    found = pages.filter(F.col(url).isNotNull() & F.lower(h).rlike("canonical|refresh")).select(F.col(url).alias("url"), F.explode(F.array(*tags)).alias("link")).filter("link <> ''")
-    return found.select(_key(F.col("url")).alias("u"), _key(_absolute(F.col("url"), F.col("link"))).alias("v")).filter("v is not null")
+    found = lambda tag, target: F.transform(F.regexp_extract_all(h, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, target, 1))
+    linking = pages.filter(F.col(url).isNotNull() & F.lower(h).rlike("canonical|refresh"))
+    links = linking.select(F.col(url).alias("url"), F.explode(F.concat(found(CANONICAL, HREF), found(REFRESH, REFRESH_URL))).alias("link")).filter("link <> ''")
+    return links.select(_key(F.col("url")).alias("u"), _key(_absolute(F.col("url"), F.col("link"))).alias("v")).filter("v is not null")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -93,7 +91,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     redirects: optional (src, dst) URLs. URLs without a rule of their own: allow
     if an alias is explicitly allowed, else block if an alias is blocked, else
     allow. Null URL or one without ``://``: empty host and path, so no rule, no
-    alias: allow. Repeated rows each get their result; no rows: none.
+    alias: allow. Repeated rows each get their result; no rows: none. Very long
+    pages are searched whole; only their links leave the scan.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))

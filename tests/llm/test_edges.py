@@ -34,6 +34,11 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd):
     assert packing.pack_documents(odd).select("doc_id").distinct().count() == 5
     assert packing.pack_documents(none).count() == 0
     assert language_id.keep_identified(odd, net).columns == odd.columns
+    # without a fitted model both filters keep every row
+    assert language_id.keep_identified(odd, None).count() == toxicity.keep_clean(odd, None).count() == len(ODD)
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", "x", "block"), (1, "http://a.net/es/1", "x", "block")], "page_id long, url string, html string, verdict string")
+    assert [r.verdict for r in url_filter.judge_urls(pages).collect()] == ["block", "block"]
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
     assert ngram_join.one_of_each_group(odd).filter("doc_id = 3").count() == 2
 
 
@@ -169,16 +174,22 @@ def test_packing_plan_places_each_piece_once(smalls):
 def test_top_k_ties_nulls_and_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 64]) for i in range(200)]
-    bad = [(900, None), (901, [None, 1.0]), (902, [float("nan")] * 6), (None, [1.0] * 6), (903, []), (3, rows[3][1])]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    m = {i: np.array([int(np.floor(64 * x)) for x in v]) for i, v in rows} | {903: np.zeros(6, int)}
-    got = {}
-    for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0, 7, block_rows=60, chunk_queries=4).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(got) == {i for i in m if i % 20 == 0}
-    for q, found in got.items():
-        best = sorted((-int(m[q] @ v), i) for i, v in m.items() if i != q)[:7]
-        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    more = [(903, []), (3, rows[3][1]), (20, rows[1][1]), (199, [1.0] * 6), (199, [0.5] * 6)]
+    bad = [(900, None), (901, [None, 1.0]), (902, [float("nan")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows + more + bad, "vec_id long, embedding array<double>")
+    m = [(i, np.array([int(np.floor(64 * x)) for x in v] or [0] * 6)) for i, v in rows + more]
+    want = []
+    for q, (i, v) in enumerate(m):
+        if i % 20 == 0:
+            best = sorted((-int(v @ w), j) for k, (j, w) in enumerate(m) if k != q)[:7]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    got = bitslice.top_k(df, F.col("vec_id") % 20 == 0, 7, block_rows=60, chunk_queries=4)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    clashing = df.withColumns({"row": F.lit(1), "q": F.lit("x"), "block": F.lit(2), "score": F.lit(3)})
+    assert bitslice.top_k(clashing, F.col("vec_id") % 20 == 0, 7).count() == len(want)
+    assert bitslice.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    with pytest.raises(ValueError):
+        bitslice.top_k(spark.createDataFrame([(1, [1e12, 1.0])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 def test_sharding_of_a_hot_text(spark):
@@ -188,15 +199,83 @@ def test_sharding_of_a_hot_text(spark):
     assert len(sums) == 8 and sums.max() < 1.25 * sums.mean()
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    # one text is heavier than a shard and spread; every other text is whole
+    assert got[got["size"] != len("same text " * 30) + 1].groupby("text_crc32").shard.nunique().max() == 1
 
 
-def test_label_model_outvotes_wrong_marks():
+def test_sharding_without_labels_and_with_ties(spark, tmp_path):
+    rows = [(i % 50, f"t{i % 100}", "x", 7) for i in range(400)] + [(None, None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")
+    got = sharding.kd_shards(docs, 4).toPandas()
+    assert len(got) == len(rows)
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+    assert got.groupby("shard")["size"].sum().max() < 1.1 * got["size"].sum() / 4
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == len(rows) and back.filter("doc_id is null").count() == 1
+
+
+def test_label_model_finds_labels_and_accuracies_from_votes_alone():
     rng = np.random.default_rng(0)
-    truth = rng.random(2000) < 0.3
-    votes = np.zeros((2000, 6), np.int8)
+    truth = rng.random(3000) < 0.3
+    votes = np.zeros((3000, 8), np.int8)
     for j in range(5):
-        votes[truth & (rng.random(2000) < 0.8), j] = 1
-    votes[:, 5] = np.where(votes[:, :5].any(axis=1), 0, -1)
-    marks = np.where(rng.random(2000) < 0.05, ~truth, truth).astype(int)
-    model = toxicity.fit_label_model(votes, 0.3, marks)
+        votes[truth & (rng.random(3000) < 0.8), j] = 1
+    votes[:, 5] = votes[:, 4]  # a voter that only repeats another
+    votes[rng.random(3000) < 0.2, 6] = 1  # one that knows nothing
+    votes[:, 7] = np.where(votes[:, :6].any(axis=1), 0, -1)
+    model = toxicity.fit_label_model(votes, 0.3)
     assert ((model.final > 0.5) == truth).mean() > 0.97
+    right = toxicity.accuracies(votes, model.final)
+    assert (right[:6] > 0.95).all() and right[7] > 0.95 and abs(right[6] - 0.3) < 0.06
+    assert model.parent[5] == 4 or model.parent[4] == 5
+
+
+def test_texts_of_megabytes(spark):
+    words = " ".join(f"word{i % 5000}" for i in range(200_000))
+    rows = [(1, words, "en", "s"), (2, "x" * 3_000_000, "de", "s"), (3, words + " end", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    net = language_id.fit(["the cat and dog " * 9, "der und die das " * 9], ["en", "de"], epochs=1)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_words for r in line_quality.line_frequency_rules(docs).collect()} == {1: 200_000, 2: 1, 3: 200_001}
+    assert language_id.identify(docs, net).filter("lang_pred <> 'und'").count() == 3
+    assert toxicity.score_toxicity(docs, toxicity.Scored({"word": 2.0, "word+": 5.0}, frozenset(), -1.0)).filter("predicted = 1").count() == 2
+    assert {r.doc_id: r["size"] for r in sharding.kd_shards(docs, 2).collect()} == {i: len(t) + 1 for i, t, _, _ in rows}
+    t = Tokenizer.from_file(PATH)
+    n = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x, _, _ in rows}
+    assert {r.doc_id: r.n_tokens for r in pair_bpe.encode_decode(docs, digests=True).collect()} == n
+    assert {r.doc_id: r.n_tokens - 1 for r in token_files.token_documents(docs, digests=True).collect()} == n
+    assert {r.doc_id: r.n - 1 for r in packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == n
+    page = spark.createDataFrame([(1, "http://a.org/", "<p>" * 1_000_000 + '<link rel="canonical" href="http://b.net/fr/">')], "page_id long, url string, html string")
+    assert url_filter.judge_urls(page).first().verdict == "block"
+
+
+def test_tables_of_chunks_are_bounded_in_bytes():
+    e = encoding.ChunkEncoder(PATH)
+    e.encode_many(["a" * 100_000, "b" * 90 + ".", "short words", "名" * 5000])
+    assert all(len(k) <= encoding.KEPT_CHARS for k in [*e.chunks, *e.pieces])
+
+
+def test_the_session_is_left_alone(spark, odd):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    ngram_join.ngram_components(odd).count()
+    pair_bpe.encode_decode(odd).count()
+    assert spark.conf.get(name) == before
+
+
+def test_more_than_64_languages_are_learned(spark):
+    rows = [(i, f"text of {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 3, f"l{i % 80}") for i in range(800)] + [(None, "no id", "l0")]
+    texts, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(langs)) == 80 and len(texts) == len(langs)
+
+
+def test_cleaned_texts_and_sequences(spark):
+    line = "all rights reserved by the owner of this site"
+    docs = spark.createDataFrame([(1, f"own\n{line}\nmore", "s")], "doc_id long, text string, source string")
+    common = docs.select(F.lit("s").alias("host"), F.xxhash64(line_quality._normal(F.lit(line))).alias("h"))
+    assert line_quality.cleaned_texts(docs, common).first().text == "own\nmore"
+    many = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string")
+    packed = packing.pack_documents(many, capacity=64)
+    whole = {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(packed).collect()}
+    assert whole == {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}

@@ -9,6 +9,60 @@ def edges(spark, rows):
     return {r.u: r.v for r in url_filter.link_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
 
 
+def closed(pages, redirects):
+    """Verdicts by plain union-find."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x] = parent[parent[x]]
+        return x
+
+    for u, v in [(u, x) for _, u, links in pages for x in links] + redirects:
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+
+    def own(url):
+        host, _, path = url.split("://")[1].partition("/")
+        path = "/" + path.partition("?")[0]
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    groups = {}
+    for x in list(parent):
+        groups.setdefault(root(x), set()).add(own(x))
+    out = {}
+    for i, u, _ in pages:
+        found = groups.get(root(u), set()) if u in parent else set()
+        out[i] = own(u) or ("allow" if "allow" in found else "block" if "block" in found else "allow")
+    return out
+
+
+def test_chains_stars_and_conflicts_equal_brute_force(spark):
+    pages = []  # (id, url, links)
+    add = lambda u, *links: pages.append((len(pages), u, list(links)))
+    for k in range(50):  # a chain that ends at a blocked page, and one that ends at a blocked and an allowed one
+        add(f"http://c.org/{k}", f"http://c.org/{k + 1}")
+        add(f"http://d.org/{k}", f"http://d.org/{k + 1}")
+    add("http://c.org/50", "http://x.net/fr/c")
+    add("http://d.org/50", "http://x.net/es/d", "http://www.ok.com/d")
+    for k in range(10_000):
+        add(f"http://s{k}.org/", "http://y.net/es/star")
+    add("http://t.org/1", "http://t.org/2")
+    add("http://t.org/2")
+    add("http://r.org/1")
+    add("http://r.org/alone")
+    redirects = [("http://r.org/1", "http://r.org/2"), ("http://r.org/2", "http://z.net/fr/9")]
+    tag = '<html><link href="{}" rel="nofollow canonical"></html>'
+    rows = [(i, u, "".join(tag.format(x) for x in links)) for i, u, links in pages]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, redirects=spark.createDataFrame(redirects, "src string, dst string")).collect()}
+    want = closed(pages, redirects)
+    assert got == want
+    assert list(want.values()).count("block") > 10_050
+
+
 def test_relative_links_are_resolved(spark):
     links = ["page2.html", "../x", "?id=1", "./", ".", "..", "../../../../up", "a/./b/../c?q=../z", "/p/../q", "//b.org/r", "/", "x.y/..z/...", "http://c.net/e", "?u=http://d.net/", "?a=1&amp;b=2"]
     bases = ["http://a.org/d/e/f.html?k=v#w", "http://a.org/d/", "https://a.org/f"]

@@ -58,12 +58,14 @@ def test_op4(spark, docs, ids):
     assert list(got[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]].itertuples(index=False, name=None)) == want
 
 
-def test_op6_leaves_clean_documents_alone(spark):
-    got = Q["op6_weak_toxicity"](spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+def test_op6_on_rows_held_out(spark):
+    big = "/root/testdata/sf0.1"
+    got = Q["op6_weak_toxicity"](spark, big).toPandas().merge(spark.read.parquet(f"{big}/labels.parquet").toPandas(), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
-    clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
-    assert (clean.predicted == 0).mean() > 0.97
-    assert (toxic.predicted == 1).mean() > 0.6
+    held = got[got.held_out]
+    assert (held[held.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (held[held.toxic == 0].predicted == 1).mean() <= 0.02
+    assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
 def whole_packing(rows, docs, ids, capacity=2048):
@@ -127,3 +129,17 @@ def test_pipeline_stages(spark, docs):
     assert sorted(kept.doc_id) == [d for d in order if root(d) == d]
     assert len(corpus_pipeline.STAGES) == 4
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    rows = [(1, None, None, None), (1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (None, "der und die das", "de", None), (4, "", "en", "s"), (5, "123 456", None, "s"), (6, "the cat and the dog " * 300, "en", "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    for name, docs, marks in (("odd", rows, [(1, 0, 1), (6, 1, 0), (99, 0, None)]), ("empty", [], [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).toPandas()
+        assert set(got.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+        assert (len(got) == 0) == (name == "empty")
+        if name == "odd":
+            assert set(got.doc_id.dropna()) <= {1, 6} and got.sequence_id.notna().all()

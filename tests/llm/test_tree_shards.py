@@ -1,22 +1,54 @@
-"""Shards of texts so light that all of them come from the tree's cuts."""
+"""The distributed tree against a plain one in numpy."""
+
+import numpy as np
 
 from skeinframe.llm import sharding
+from tests.conftest import DATA
+
+
+def plain_leaves(x, w, target):
+    """Sets of rows, by recursion: cut the widest dimension at the weighted median until a node is light or one point."""
+
+    def cut(rows):
+        span = [x[rows, d].max() - x[rows, d].min() for d in range(x.shape[1])]
+        d = int(np.argmax(span[:-1])) if max(span[:-1]) else x.shape[1] - 1
+        if w[rows].sum() <= target or not span[d]:
+            return [frozenset(rows)]
+        values = sorted(set(x[rows, d]))
+        half = next(v for v in values if 2 * sum(w[r] for r in rows if x[r, d] <= v) >= w[rows].sum())
+        at = half if half < values[-1] else values[-2]
+        return cut([r for r in rows if x[r, d] <= at]) + cut([r for r in rows if x[r, d] > at])
+
+    return cut(list(range(len(w))))
+
+
+def compare(spark, docs, monkeypatch, shards=8):
+    atoms = sharding.atoms_of(sharding.documents_meta(docs))
+    rows = atoms.toPandas()
+    x, w = rows[list(sharding.DIMS)].to_numpy(), rows["weight"].to_numpy()
+    target = int(w.sum()) // (shards * sharding.LEAVES)
+    want = {frozenset(rows.text_hash.iloc[list(s)]) for s in plain_leaves(x, w, target)}
+    for most in (10, 200, 50_000):  # levels cut in the cluster, in part, and none
+        monkeypatch.setattr(sharding, "TASK_ATOMS", most)
+        got = sharding.kd_leaves(sharding.atoms_of(sharding.documents_meta(docs)), target).toPandas()
+        assert {frozenset(g.text_hash) for _, g in got.groupby(["node", "leaf"])} == want
+        assert sorted(got.text_hash) == sorted(rows.text_hash)
+    return rows
+
+
+def test_same_leaves_as_a_plain_tree(spark, monkeypatch):
+    compare(spark, spark.read.parquet(f"{DATA}/documents.parquet"), monkeypatch)
+
+
+def test_same_leaves_with_ties(spark, monkeypatch):
+    rows = [(i // 7, f"text {i % 700:03d}" + "x" * (i % 3), "en" if i % 3 else None, f"s{i % 2}") for i in range(900)]
+    compare(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), monkeypatch)
 
 
-def test_light_texts_are_cut_by_the_tree(spark):
-    rows = [(i, f"text {i} " + "x" * (i * 7919 % 60), "en" if i % 3 else "fr", f"s{i % 5}") for i in range(9000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    atoms = sharding._atoms(sharding.documents_meta(docs)).toPandas()
-    assert atoms.weight.max() <= atoms.weight.sum() / 8 * sharding.HEAVY
-    shard = sharding.kd_shards(docs, 8).select("doc_id", "shard").toPandas()
-    both = atoms.assign(doc_id=atoms.d3.astype("int64")).merge(shard, on="doc_id")
-    sums = both.groupby("shard").weight.sum()
-    assert len(both) == 9000 and len(sums) == 8
+def test_every_text_goes_down_the_tree_and_shards_are_even(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = sharding.kd_shards(docs, 8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == docs.count() and len(sums) == 8
     assert sums.max() - sums.min() < 0.05 * sums.mean()
-    parts = [list(range(8))]
-    for p in parts:
-        if len(p) > 1:
-            low, high = p[: len(p) // 2], p[len(p) // 2 :]
-            a, b = both[both.shard.isin(low)], both[both.shard.isin(high)]
-            assert any(a[d].max() < b[d].min() for d in sharding.DIMS)
-            parts += [low, high]
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
