@@ -45,12 +45,6 @@ def cell(x: Column, width: float) -> Column:
     return F.floor(x / width).cast("int")
 
 
-def cells_around(cx: Column, cy: Column, reach: int = 1) -> Column:
-    """(x, y) of the cells up to ``reach`` away, for an exploded probe."""
-    steps = [F.struct((cx + i).alias("x"), (cy + j).alias("y")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    return F.array(*steps)
-
-
 def _edges(ring: Column) -> Column:
     """(a, b) of each edge, the last one closing the ring. ring: array of (x, y)."""
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -127,3 +121,45 @@ def irish_grid(letter: Column, east: Column, north: Column) -> Column:
     """(x, y) metres of an Irish grid letter and five-digit offsets: the letters run from A, without I, in rows of five from the north-west."""
     at = F.position(F.upper(letter), F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ"))
     return F.struct((F.pmod(at - 1, F.lit(5)) * 100_000 + east).alias("x"), ((4 - F.floor((at - 1) / 5)) * 100_000 + north).alias("y"))
+
+
+def grid_letter_irish(east: Column, north: Column) -> Column:
+    """Letter and three digits each way of a place on the Irish grid; null outside it."""
+    col, row = F.floor((east - 20_000) / 100_000), F.floor(north / 100_000)
+    letter = F.substring(F.lit("VWXYZQRSTULMNOPFGHJKABCDE"), ((4 - row) * 5 + col + 1).cast("int"), F.lit(1))
+    ref = F.concat(letter, F.format_string("%03d%03d", F.floor(F.pmod(F.floor(east), F.lit(100_000)) / 1000), F.floor(F.pmod(F.floor(north), F.lit(100_000)) / 1000)))
+    return F.when((east >= 20_000) & (col <= 4) & (north >= 0) & (row <= 4), ref)
+
+
+def grid_letters_british(east: Column, north: Column) -> Column:
+    """Two letters and three digits each way of a place on the British grid: letters run from A, without I, in rows of five from the north-west; null outside it."""
+    e, n = F.floor(east / 100_000), F.floor(north / 100_000)
+    first = (19 - n) - F.pmod(19 - n, F.lit(5)) + F.floor((e + 10) / 5)
+    second = F.pmod((19 - n) * 5, F.lit(25)) + F.pmod(e, F.lit(5))
+    letter = lambda k: F.substring(F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ"), (k + 1).cast("int"), F.lit(1))
+    ref = F.concat(letter(first), letter(second), F.format_string("%03d%03d", F.floor(F.pmod(F.floor(east), F.lit(100_000)) / 100), F.floor(F.pmod(F.floor(north), F.lit(100_000)) / 100)))
+    return F.when((east >= 0) & (east < 700_000) & (north >= 0) & (north < 1_300_000), ref)
+
+
+def polygon_km2(outers: Column, inners: Column, of=spherical_km2) -> Column:
+    """Area of a polygon: that of its outer rings less that of its holes."""
+    total = lambda rings: F.aggregate(F.coalesce(rings, F.array()), F.lit(0.0), lambda s, r: s + of(r))
+    return total(outers) - total(inners)
+
+
+def padded_box(box: tuple[float, float, float, float], zoom: float) -> tuple[float, float, float, float]:
+    """A viewport (south, west, north, east) widened for drawing: by 0.15 of its sides up to zoom 6, 0.10 up to 9, else 0.06."""
+    s, w, n, e = box
+    pad = 0.15 if zoom <= 6 else 0.10 if zoom <= 9 else 0.06
+    return s - (n - s) * pad, w - (e - w) * pad, n + (n - s) * pad, e + (e - w) * pad
+
+
+def ring_distance_m(lat: Column, lng: Column, ring: Column) -> Column:
+    """Metres from a point to the nearest edge of a ring."""
+    return F.array_min(F.transform(_edges(ring), lambda e: segment_distance_m(lat, lng, e["a"], e["b"])))
+
+
+def polygon_distance_m(lat: Column, lng: Column, outers: Column, inners: Column) -> Column:
+    """Metres from a point to a polygon, 0 inside it."""
+    edge = F.array_min(F.transform(F.concat(outers, F.coalesce(inners, F.array())), lambda r: ring_distance_m(lat, lng, r)))
+    return F.when(in_polygon(lng, lat, outers, inners), 0.0).otherwise(edge)

@@ -21,7 +21,12 @@ def _latin_folds() -> tuple[str, str]:
 _MARKED, _PLAIN = _latin_folds()
 
 # Generic words that a place key leaves out
-KEY_WORDS = ("island of", "isle of", "islands", "island", "isles", "isle", "islets", "islet", "ynys", "inch", "inish", "inis", "oilean", "eileanan", "eilean", "holms", "holm", "skerries", "skerry")
+KEY_WORDS = ("island of", "isle of", "islands", "island", "isles", "isle", "islets", "islet", "ynys", "inch", "inish", "inis", "oiln", "oilen", "oilén", "oilan", "oilán", "oilean", "oileán", "oiléan", "oiléán", "eileanan", "eilean", "holms", "holm", "skerries", "skerry")
+# The shorter lists of weaker keys
+INLAND_WORDS = ("isle of", "island", "ynys", "inch")
+SOURCE_WORDS = ("isle of", "island", "ynys", "inch", "inis", "oilan", "oilean", "oiléan", "eilean")
+AUDIT_WORDS = ("island", "isle", "isles", "eilean", "ynys", "oilean", "holm", "skerry")
+FUSION_WORDS = ("island", "isle", "islets", "islet")
 # Words dropped for a name's core, qualifiers, and qualifiers that may be glued to a word
 CORE_DROPS = ("islands", "island", "isles", "isle", "islets", "islet", "eilean", "eileanan", "inis", "innis", "inch", "rocks", "rock", "skerries", "skerry")
 QUALIFIERS = ("little", "great", "big", "beg", "beag", "mor", "more", "mhor", "north", "south", "east", "west", "upper", "lower", "old", "new", "inner", "outer", "middle")
@@ -58,6 +63,22 @@ def name_key(c: Column, words=KEY_WORDS) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(squeeze(core), rf"^{join_word}\s+", ""), rf"\s+{join_word}$", ""))
 
 
+def name_key_variant(c: Column, kind: str) -> Column:
+    """Weaker keys of a name. inland and sources: without brackets, some generic words and punctuation; audit and fusion: words of a folded name without some; edges: without an article or generic word at either end."""
+    bare = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\(.*?\)", "")
+    if kind in ("inland", "sources"):
+        words, gap = (INLAND_WORDS, "") if kind == "inland" else (SOURCE_WORDS, " ")
+        return squeeze(F.regexp_replace(F.regexp_replace(bare, _any(words), gap), r"[^\p{L}\p{N}_\s]", gap))
+    if kind == "audit":
+        return F.trim(F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", " "), _any(AUDIT_WORDS), ""))
+    if kind == "fusion":
+        return squeeze(F.regexp_replace(ascii_fold(c), _any(FUSION_WORDS), " "))
+    if kind == "edges":
+        n = squeeze(F.regexp_replace(F.regexp_replace(ascii_fold(c), r"\([^)]*\)", ""), "[^a-z0-9 ]+", " "))
+        return F.regexp_replace(F.regexp_replace(n, "^(?:the |isles? of |island of )", ""), r"\s+(?:islands?|isles?)$", "")
+    raise ValueError(f"unknown kind of key {kind!r}")
+
+
 def plain_name(c: Column) -> Column:
     """ASCII words of a name, without brackets."""
     bare = F.regexp_replace(F.replace(ascii_fold(c), F.lit("'"), F.lit(" ")), r"\([^)]*\)", " ")
@@ -218,3 +239,82 @@ def classify(c: Column, rules, other: str) -> Column:
     for pattern, label in reversed(list(rules)):
         out = F.when(t.rlike(pattern), F.lit(label)).otherwise(out)
     return out
+
+
+# Marks of titles that are no photographs, and of files that are emblems or maps
+NOT_A_PHOTO = r"(?i)(?:^|[_ \-\(\[])(?:flag|coat[_ \-]of[_ \-]arms|logo|map|diagram|chart|icon|badge|illustration|drawing|cartoon|clipart|vector|svg|portrait|selfie|cosplay|wedding|party|concert|festival)(?:$|[_ \-\)\]])"
+EMBLEM_OR_MAP = r"(?i)(?:^|[_ \-])(flag|coat[_ \-]of[_ \-]arms|coat[_ \-]arms|arms[_ \-]of|crest|emblem|seal|logo|badge|location[_ \-]map|outline[_ \-]map|locator[_ \-]map|map[_ \-]of|map[_ \-]showing)"
+# Ordered rules of what a listing offers
+LISTING_RULES = ((r"\bwhole island\b|\bprivate island\b|\bisland for sale\b|\bentire island\b", "whole_island"), (r"\b(?:croft|house|cottage|flat|apartment|bungalow)\b", "residential"), (r"\b(?:land|plot|acre|hectare|farm)\b", "land"))
+
+
+def not_a_photo(title: Column, file: Column | None = None) -> Column:
+    """Whether a title is blank or names a drawing, map or emblem, or a file is a vector graphic, emblem or map."""
+    t = F.coalesce(title, F.lit(""))
+    out = (t == "") | t.rlike(NOT_A_PHOTO)
+    if file is not None:
+        f = F.coalesce(file, F.lit(""))
+        out = out | (f == "") | F.lower(f).endswith(".svg") | f.rlike(EMBLEM_OR_MAP)
+    return out
+
+
+def licence_label(url: Column) -> Column:
+    """The licence that a URL names: public domain, attribution, share-alike; null for none, and for those that forbid commerce or changes."""
+    u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
+    return F.when((u == "") | u.contains("nc") | u.contains("nd"), None).when(u.contains("publicdomain") | u.contains("/zero/") | u.contains("/cc0"), "CC0-1.0").when(u.contains("by-sa"), "CC-BY-SA-4.0").when(u.contains("/by/"), "CC-BY-4.0")
+
+
+def file_title(name: Column) -> Column:
+    """A media file's name without its prefix, with blanks for underscores."""
+    return F.replace(F.regexp_replace(F.coalesce(name, F.lit("")), "^File:", ""), F.lit("_"), F.lit(" "))
+
+
+def file_url(name: Column, base: str, width: int | None = None) -> Column:
+    """Where a media file is served under ``base``, by its name with underscores; empty for no name."""
+    f = F.replace(F.regexp_replace(F.coalesce(name, F.lit("")), "^File:", ""), F.lit(" "), F.lit("_"))
+    return F.when(f == "", "").otherwise(F.concat(F.lit(base), F.url_encode(f), F.lit("" if width is None else f"?width={width}")))
+
+
+def md5_path(name: Column) -> Column:
+    """The folders of a media file: the first and the first two hexadecimal digits of the MD5 of its name with underscores."""
+    f = F.replace(name, F.lit(" "), F.lit("_"))
+    return F.concat_ws("/", F.substring(F.md5(f.cast("binary")), 1, 1), F.substring(F.md5(f.cast("binary")), 1, 2), f)
+
+
+def listing_type(title: Column, body: Column) -> Column:
+    """What a listing offers; residential if nothing tells."""
+    return classify(F.concat_ws(" ", title, body), LISTING_RULES, "residential")
+
+
+def access_label(causeway: Column, text: Column) -> Column:
+    """How a place is reached: the causeway's kind, else by air if the text speaks of flights, else empty."""
+    return F.coalesce(F.nullif(causeway, F.lit("")), F.when(fold(text).rlike(r"\b(?:airport|airstrip|flights?|airfield)\b"), "air"), F.lit(""))
+
+
+def water_class(tags: Column) -> Column:
+    """struct(kind, subtype, tidal) of a water body's tags (a map): tidal and salt water is sea, then lakes, rivers and untagged water."""
+    tag = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
+    water, way, use = tag("water"), tag("waterway"), tag("landuse")
+    estuary = tag("estuary").isin("yes", "river")
+    tidal = (tag("salt") == "yes") | (tag("tidal") == "yes") | (water == "tidal") | estuary
+    lake = water.isin("lake", "pond", "reservoir", "lagoon", "oxbow", "basin") | (use == "reservoir")
+    river = water.isin("river", "stream", "canal") | (way == "riverbank")
+    kind = F.when(tidal, "sea").when(lake, "lake").when(river, "river").when(tag("natural") == "water", "lake")
+    lake_kind = F.when((water == "reservoir") | (use == "reservoir"), "reservoir").when(water.isin("pond", "lagoon", "oxbow", "basin"), water)
+    river_kind = F.when((way == "canal") | (water == "canal"), "canal").when(water == "stream", "stream")
+    return F.struct(kind.alias("kind"), F.when(tidal, F.when(estuary, "estuary")).when(lake, lake_kind).when(river, river_kind).alias("subtype"), tidal.alias("tidal"))
+
+
+def coordinate_template(body: Column) -> Column:
+    """struct(lat, lng) of the parts of a coordinate template: degrees and minutes, degrees, minutes and seconds, or decimal degrees; nulls if it is none of these."""
+    parts = F.filter(F.transform(F.split(body, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    at = lambda i: F.get(parts, F.lit(i))
+    n = lambda i: at(i).try_cast("double")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    sign = lambda i, low: F.when(F.upper(at(i)) == low, -1.0).otherwise(1.0)
+    minutes, seconds = (F.size(parts) >= 4) & F.upper(at(2)).isin("N", "S"), (F.size(parts) >= 6) & F.upper(at(3)).isin("N", "S")
+    lat = F.when(minutes, (n(0) + n(1) / 60) * sign(2, "S")).when(seconds, (n(0) + n(1) / 60 + n(2) / 3600) * sign(3, "S")).otherwise(n(0))
+    east_m = F.when(F.size(parts) > 5, sign(5, "W")).otherwise(sign(4, "W"))
+    east_s = F.when(F.size(parts) > 7, sign(7, "W")).otherwise(sign(6, "W"))
+    lng = F.when(minutes, (n(3) + zero(n(4)) / 60) * east_m).when(seconds, (n(4) + n(5) / 60 + zero(n(6)) / 3600) * east_s).otherwise(n(1))
+    return F.struct(lat.alias("lat"), lng.alias("lng"))

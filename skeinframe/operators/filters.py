@@ -127,3 +127,100 @@ def dual_signal(named: Column, km: Column, generic: Column, far: float = 15, nea
 def visible(rows: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """Accepted rows, not deleted, of published parents: a view for the public."""
     return rows.filter((F.col("status") == "accepted") & F.col("deleted_at").isNull()).join(published.filter("published").select(key), key, "left_semi")
+
+
+def told(c=F.col) -> Column:
+    """Whether something is written about a place: a description, or any section."""
+    filled = lambda k: F.trim(F.coalesce(c(k), F.lit(""))) != ""
+    return filled("description") | filled("history")
+
+
+def elevation_known(elevation: Column, confidence: Column) -> Column:
+    """A height, or a confidence other than n/a."""
+    return (elevation.isNotNull() & ~F.isnan(elevation.cast("double"))) | (confidence.isNotNull() & (confidence != "n/a"))
+
+
+# Words that stand for a feature
+FEATURE_WORDS = {"castle": ("castle", "fort", "tower"), "lighthouse": ("lighthouse", "light"), "wildlife": ("puffin", "seal", "seabird"), "walkable": ("causeway", "walk")}
+
+
+def has_feature(feature: str, haystack: Column, c=F.col) -> Column:
+    """Whether a place has a feature: by its own field where it has one, else by a word for it in its text."""
+    from ..functions.text import whole_word
+
+    words = F.lit(False)
+    for w in FEATURE_WORDS.get(feature, (feature,)):
+        words = words | whole_word(haystack, F.lit(w))
+    plain = {
+        "inhabited": F.coalesce(c("population") > 0, F.lit(False)), "uninhabited": F.coalesce(c("population"), F.lit(0)) == 0,
+        "tidal": c("subtype").eqNullSafe("tidal") | F.coalesce(c("tidal"), F.lit(False)), "photo": F.coalesce(c("has_photo"), F.lit(False)), "forsale": F.coalesce(c("for_sale"), F.lit(False)), "ferry": F.coalesce(c("ferry"), F.lit(False)),
+        "mountain": F.coalesce(c("elevation") >= 500, F.lit(False)) | words,
+    }
+    return plain.get(feature, words)
+
+
+def in_remit(lat: Column, lng: Column, box: tuple[float, float, float, float], nations) -> Column:
+    """Inside the whole box and in one of the nations' boxes."""
+    from ..functions.geo import first_box, in_box
+
+    return in_box(lat, lng, box) & first_box(lat, lng, nations).isNotNull()
+
+
+def coordinate_audit(df: DataFrame, id_col: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(id, problem): missing (or NaN), outside the box, or a collision: another row stands at the same place to five digits."""
+    from pyspark.sql import Window
+
+    s, w, n, e = box
+    bad = F.col("lat").isNull() | F.col("lng").isNull() | F.isnan("lat") | F.isnan("lng")
+    judged = df.select(id_col, "lat", "lng", F.when(bad, "missing").when(~(F.col("lat").between(s, n) & F.col("lng").between(w, e)), "outside").alias("problem"))
+    good = judged.filter("problem is null").withColumns({"_a": F.round("lat", 5), "_b": F.round("lng", 5)})
+    shared = good.groupBy("_a", "_b").agg(F.count("*").alias("n")).filter("n > 1")
+    crowd = good.join(shared, ["_a", "_b"], "left_semi").select(id_col, F.lit("collision").alias("problem"))
+    return judged.filter("problem is not null").select(id_col, "problem").unionByName(crowd)
+
+
+def too_broad(parts: dict) -> bool:
+    """Whether a question would list nearly everything: no words, features, places, sizes or sort, and two scopes (nation, type, subtype) at most."""
+    narrow = ("recommend", "sort", "near", "water", "ferry", "features", "tags", "words", "min_area", "max_area", "photo", "elevation", "curated", "archipelago")
+    return not any(parts.get(k) for k in narrow) and sum(bool(parts.get(k)) for k in ("nation", "type", "subtype")) <= 2
+
+
+def widened(scope: DataFrame, everything: DataFrame, also: Column, id_col: str = "id") -> DataFrame:
+    """A scope with the rows that a chip adds to it from the whole table; each row once."""
+    return scope.unionByName(everything.filter(also).join(scope.select(id_col), id_col, "left_anti"))
+
+
+def contribution_problem(kind: Column, name: Column, note: Column, proposed: Column, photos: Column, source: Column) -> Column:
+    """Why a contribution can't be taken, else null: nothing said, or a link that is none."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    silent = empty(name) & empty(note) & empty(photos)
+    link = F.trim(F.coalesce(source, F.lit("")))
+    whole = F.when(F.lower(link).startswith("www."), F.concat(F.lit("https://"), link)).otherwise(link)
+    broken = link.rlike(r"(?i)^(?:https?://|www\.)") & ~whole.rlike(r"(?i)^https?://[^\s/?#:@]+")
+    return F.when((kind == "fix_atlas") & silent & empty(proposed), "say what should change").when((kind != "fix_atlas") & silent, "add a name or a sentence").when(broken, "not a link")
+
+
+def sitemap_eligible(curated: Column, featured: Column, unnamed: Column, described: Column) -> Column:
+    return curated | featured | (~unnamed & described)
+
+
+def accepted(rows: DataFrame, denied: DataFrame, overrides: DataFrame, dropped: DataFrame, order: str) -> DataFrame:
+    """Accepted rows without denied claims and dropped places, with reviewed summaries, once a natural key (slug, place, facet or blank, title), the first in order. denied: slug, place, title; overrides: these and summary; dropped: place."""
+    from .joins import first_of
+
+    claim = ["slug", "place", "title"]
+    kept = rows.filter((F.col("status") == "accepted") & F.col("place").isNotNull()).join(dropped.select("place"), "place", "left_anti").join(denied.select(*claim), claim, "left_anti")
+    told_ = kept.join(overrides.select(*claim, F.col("summary").alias("_s")), claim, "left").withColumn("summary", F.coalesce("_s", "summary")).drop("_s")
+    return first_of(told_.withColumn("_f", F.coalesce("facet", F.lit(""))), ["slug", "place", "_f", "title"], [F.col(order)]).drop("_f").select(*rows.columns)
+
+
+def inland_rocks(points: DataFrame, land: DataFrame, point_id: str, least_m: float = 2000) -> DataFrame:
+    """Ids of rocks that lie on land, further than ``least_m`` from its edge. land: polygon, outers, inners."""
+    from ..functions.geo import in_polygon, ring_distance_m
+    from .joins import polygon_cells
+
+    cells, at = polygon_cells(land, "polygon")
+    p = points.filter(F.lower("kind") == "rock").withColumns(at)
+    hit = p.join(cells, ["_x", "_y"]).filter(in_polygon(F.col("lng"), F.col("lat"), F.col("outers"), F.col("inners")))
+    edge = F.array_min(F.transform(F.concat("outers", F.coalesce("inners", F.array())), lambda r: ring_distance_m(F.col("lat"), F.col("lng"), r)))
+    return hit.filter(edge > least_m).select(point_id).distinct()

@@ -1,4 +1,4 @@
-"""Joins by keys, tiers, cells, polygons and bands (survey J-01 to J-31 without J-15 to J-17).
+"""Joins by keys, tiers, cells, polygons and names (survey J-01 to J-28).
 
 Distance joins go over cells: one side is put in its cell, the other into the
 cells around, so Spark sees an equi-join; hot cells are left to AQE's skew join.
@@ -6,13 +6,12 @@ cells around, so Spark sees an equi-join; hot cells are left to AQE's skew join.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_A_DEGREE, cells_around, haversine_km
+from ..functions.geo import KM_A_DEGREE, haversine_km
 
 BROADCAST_ROWS = 200_000
 
@@ -32,15 +31,18 @@ def tiered_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     """(left_id, right_id, tier) of each left row's match: the first tier with one, in it the least ``order`` (by default the right id).
 
     tiers: (name, left key, right key, further condition or None). Each is an
-    equi-join of its own, and null keys match nothing.
+    equi-join of its own, over the rows that no earlier tier has matched; null
+    keys match nothing.
     """
-    out = None
-    for n, (name, lk, rk, more) in enumerate(tiers):
-        a, b = left.withColumn("_k", lk), right.withColumn("_k", rk)
+    out, rest = None, left
+    for name, lk, rk, more in tiers:
+        a, b = rest.withColumn("_k", lk), right.withColumn("_k", rk)
         hit = a.join(b, "_k") if more is None else a.join(b, "_k").filter(more)
-        hit = hit.select(F.col(left_id), F.col(right_id), F.lit(name).alias("tier"), F.lit(n).alias("_n"), (F.col(right_id) if order is None else order).alias("_o"))
-        out = hit if out is None else out.unionByName(hit)
-    return first_of(out, [left_id], [F.col("_n"), F.col("_o"), F.col(right_id)]).select(left_id, right_id, "tier")
+        best = hit.groupBy(F.col(left_id)).agg(F.min(F.struct((F.col(right_id) if order is None else order).alias("_o"), F.col(right_id).alias("_r"))).alias("_b"))
+        found = best.select(F.col(left_id), F.col("_b._r").alias(right_id), F.lit(name).alias("tier"))
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select(left_id), left_id, "left_anti")
+    return out
 
 
 def rank_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, rank: str) -> DataFrame:
@@ -51,33 +53,45 @@ def rank_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_
     return top.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
-def _cell_sides(max_km: float, lat: Column, lng: Column, north_most: float) -> tuple[Column, Column]:
-    """Cells in which any point within ``max_km`` is at most one away, up to the latitude ``north_most``."""
+def _cells(max_km: float, lat: Column, lng: Column) -> tuple[Column, Column]:
+    """A point's cell (row of latitude, column), and the cells in which any point within ``max_km`` of it lies.
+
+    Columns of a row are as wide as ``max_km`` reaches at the row's end that is
+    nearer to a pole, a row further on, and run around the globe.
+    """
     high = max_km / KM_A_DEGREE * 1.01
-    wide = high / max(0.05, math.cos(math.radians(north_most)))
-    return F.floor(lng / wide).cast("long"), F.floor(lat / high).cast("long")
+    row = F.floor(lat / high)
+
+    def column(r: Column, steps: Sequence[int]) -> list[Column]:
+        top = F.least(F.lit(90.0), (F.greatest(F.abs(r), F.abs(r + 1)) + 1) * high)
+        reach = F.sin(F.radians(F.lit(min(180.0, high)) / 2)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        n = F.greatest(F.lit(1), F.floor(360 / (1.01 * F.degrees(2 * F.asin(F.least(F.lit(1.0), reach))))))
+        at = F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * n)
+        return [F.struct(r.alias("y"), F.pmod(at + i, n).alias("x")) for i in steps]
+
+    return column(row, [0])[0], F.array_distinct(F.array(*(c for d in (-1, 0, 1) for c in column(row + d, (-1, 0, 1)))))
 
 
-def within_km(left: DataFrame, right: DataFrame, max_km: float, north_most: float = 62.5) -> DataFrame:
-    """Pairs of rows within ``max_km``, with ``km``. Sides have columns lat and lng and otherwise distinct names; points beyond +-``north_most`` degrees take no part."""
-    ok = lambda d: d.filter(F.col("lat").between(-north_most, north_most) & F.col("lng").isNotNull())
-    x, y = _cell_sides(max_km, F.col("lat"), F.col("lng"), north_most)
-    a = ok(left).withColumn("_c", F.explode(cells_around(x, y))).withColumnsRenamed({"lat": "_lat1", "lng": "_lng1"})
-    b = ok(right).withColumn("_c", F.struct(x.alias("x"), y.alias("y"))).withColumnsRenamed({"lat": "_lat2", "lng": "_lng2"})
+def within_km(left: DataFrame, right: DataFrame, max_km: float) -> DataFrame:
+    """Pairs of rows within ``max_km``, with ``km``, anywhere on the globe. Sides have columns lat and lng and otherwise distinct names; points without coordinates take no part."""
+    ok = lambda d: d.filter(F.col("lat").between(-90, 90) & F.col("lng").isNotNull() & ~F.isnan("lng"))
+    own, around = _cells(max_km, F.col("lat"), F.col("lng"))
+    a = ok(left).withColumn("_c", F.explode(around)).withColumnsRenamed({"lat": "_lat1", "lng": "_lng1"})
+    b = ok(right).withColumn("_c", own).withColumnsRenamed({"lat": "_lat2", "lng": "_lng2"})
     km = haversine_km(F.col("_lat1"), F.col("_lng1"), F.col("_lat2"), F.col("_lng2"))
     return a.join(b, "_c").withColumn("km", km).filter(F.col("km") <= max_km).drop("_c", "_lat1", "_lng1", "_lat2", "_lng2")
 
 
-def proximity_pairs(points: DataFrame, id_col: str, max_km: float, north_most: float = 62.5) -> DataFrame:
+def proximity_pairs(points: DataFrame, id_col: str, max_km: float) -> DataFrame:
     """(a, b, km) of points within ``max_km``, each pair once with a < b."""
     p = points.select(F.col(id_col), "lat", "lng")
-    found = within_km(p.withColumnRenamed(id_col, "a"), p.withColumnRenamed(id_col, "b"), max_km, north_most)
+    found = within_km(p.withColumnRenamed(id_col, "a"), p.withColumnRenamed(id_col, "b"), max_km)
     return found.filter("a < b").select("a", "b", "km")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_km: float, north_most: float = 62.5) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, max_km: float) -> DataFrame:
     """(left_id, right_id, km) of the nearest right row within ``max_km``; ties to the smaller id."""
-    found = within_km(left.select(left_id, "lat", "lng"), right.select(right_id, "lat", "lng"), max_km, north_most)
+    found = within_km(left.select(left_id, "lat", "lng"), right.select(right_id, "lat", "lng"), max_km)
     return found.groupBy(left_id).agg(F.min(F.struct("km", right_id)).alias("m")).select(left_id, f"m.{right_id}", "m.km")
 
 
@@ -109,18 +123,101 @@ def contained_name(texts: DataFrame, names: DataFrame, text_id: str, text: str,
     return best.select(text_id, F.col(f"_b._i.{name_id}").alias(name_id))
 
 
-def smallest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell_degrees: float = 0.5) -> DataFrame:
-    """(point_id, polygon_id) of the smallest polygon that holds a point. polygons: outers and inners (arrays of rings of x, y) and area."""
-    from ..functions.geo import in_polygon, ring_box
+def polygon_cells(polygons: DataFrame, polygon_id: str, cell_degrees: float = 0.5, reach_m: float = 0.0) -> tuple[DataFrame, dict[str, Column]]:
+    """Polygons once for each cell that their boxes, widened by ``reach_m``, touch, and the columns that put a point (lat, lng) in its cell. polygons: outers and inners, arrays of rings of x, y."""
+    from ..functions.geo import ring_box
 
+    up = reach_m / (KM_A_DEGREE * 1000) * 1.01
+    high = F.greatest(F.abs("_b.south"), F.abs("_b.north")) + up
+    wide = up / F.greatest(F.cos(F.radians(F.least(high, F.lit(89.0)))), F.lit(0.01))
     boxes = polygons.withColumn("_b", F.explode(F.transform("outers", ring_box)))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell_degrees).cast("int"), F.floor(F.col(hi) / cell_degrees).cast("int"))
-    cells = boxes.withColumn("_x", F.explode(span("_b.west", "_b.east"))).withColumn("_y", F.explode(span("_b.south", "_b.north"))).dropDuplicates([polygon_id, "_x", "_y"])
-    p = points.withColumn("_x", F.floor(F.col("lng") / cell_degrees).cast("int")).withColumn("_y", F.floor(F.col("lat") / cell_degrees).cast("int"))
-    hit = p.join(cells, ["_x", "_y"]).filter(in_polygon(F.col("lng"), F.col("lat"), F.col("outers"), F.col("inners")))
+    cell = lambda c: F.floor(c / cell_degrees).cast("int")
+    cells = boxes.withColumn("_x", F.explode(F.sequence(cell(F.col("_b.west") - wide), cell(F.col("_b.east") + wide))))
+    cells = cells.withColumn("_y", F.explode(F.sequence(cell(F.col("_b.south") - up), cell(F.col("_b.north") + up)))).drop("_b")
+    return cells.dropDuplicates([polygon_id, "_x", "_y"]), {"_x": cell(F.col("lng")), "_y": cell(F.col("lat"))}
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_id: str, cell_degrees: float = 0.5) -> DataFrame:
+    """Points joined to each polygon that holds them."""
+    from ..functions.geo import in_polygon
+
+    cells, at = polygon_cells(polygons, polygon_id, cell_degrees)
+    return points.withColumns(at).join(cells, ["_x", "_y"]).filter(in_polygon(F.col("lng"), F.col("lat"), F.col("outers"), F.col("inners"))).drop("_x", "_y")
+
+
+def smallest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell_degrees: float = 0.5) -> DataFrame:
+    """(point_id, polygon_id) of the smallest polygon that holds a point. polygons: outers and inners (arrays of rings of x, y) and area."""
+    hit = points_in_polygons(points, polygons, polygon_id, cell_degrees)
     return hit.groupBy(point_id).agg(F.min(F.struct("area", polygon_id)).alias("m")).select(point_id, f"m.{polygon_id}")
 
 
+def polygon_points(polygons: DataFrame, points: DataFrame, polygon_id: str, point_id: str, value: str, cell_degrees: float = 0.5) -> DataFrame:
+    """For each polygon that holds points: the one of the largest ``value`` (of equals the least id), and all of them in falling order."""
+    hit = points_in_polygons(points, polygons, polygon_id, cell_degrees).select(polygon_id, F.struct((-F.col(value)).alias("v"), point_id).alias("p"))
+    found = hit.groupBy(polygon_id).agg(F.array_sort(F.collect_list("p")).alias("_p"))
+    return found.select(polygon_id, F.get("_p", F.lit(0))[point_id].alias(point_id), (-F.get("_p", F.lit(0))["v"]).alias(value), F.transform("_p", lambda p: p[point_id]).alias("points"))
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, max_m: float, cell_degrees: float = 0.5) -> DataFrame:
+    """(point_id, polygon_id, metres) of the nearest polygon within ``max_m``, 0 inside one; of several the smallest, then the least id. polygons: area too."""
+    from ..functions.geo import polygon_distance_m
+
+    cells, at = polygon_cells(polygons, polygon_id, cell_degrees, max_m)
+    hit = points.withColumns(at).join(cells, ["_x", "_y"]).withColumn("metres", polygon_distance_m(F.col("lat"), F.col("lng"), F.col("outers"), F.col("inners"))).filter(F.col("metres") <= max_m)
+    return hit.groupBy(point_id).agg(F.min(F.struct("metres", "area", polygon_id)).alias("m")).select(point_id, f"m.{polygon_id}", "m.metres")
+
+
+def place_listing(points: DataFrame, polygons: DataFrame, names: DataFrame, point_id: str, place: str, title: str, offshore_m: float = 200) -> DataFrame:
+    """(point_id, place, how): the polygon that holds a point, else the nearest within ``offshore_m``, else the longest name in its title. polygons and names: place."""
+    near = nearest_polygon(points.filter("lat is not null and lng is not null"), polygons, point_id, place, offshore_m)
+    placed = near.select(point_id, place, F.when(F.col("metres") == 0, "polygon").otherwise("proximity").alias("how"))
+    rest = points.join(placed.select(point_id), point_id, "left_anti")
+    return placed.unionByName(contained_name(rest, names, point_id, title, place, "name").withColumn("how", F.lit("name")))
+
+
+def name_cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least_ratio: float = 0.88) -> DataFrame:
+    """(left_id, right_id, tier): by the whole key, by the key with ' island' after it, else the best matching ratio of ``least_ratio`` at least. Both sides: nation and key.
+
+    Only keys of one nation with a first letter in common and lengths that allow
+    the ratio are compared: 2 min / (a + b) is its bound.
+    """
+    from ..functions.grouped import block_ratio
+
+    k, other = F.col("_kl"), F.col("_kr")
+    l, r = left.select(left_id, "nation", F.col("key").alias("_kl")), right.select(right_id, "nation", F.col("key").alias("_kr"))  # noqa: E741
+    exact = tiered_match(l, r, left_id, right_id, [("exact", F.concat_ws("|", "nation", k), F.concat_ws("|", "nation", other), None), ("expanded", F.concat_ws("|", "nation", F.concat(k, F.lit(" island"))), F.concat_ws("|", "nation", other), None)])
+    rest = l.join(exact.select(left_id), left_id, "left_anti").withColumn("_f", F.substring(k, 1, 1))
+    a, b = F.length(k), F.length(other)
+    pairs = rest.join(r.withColumn("_f", F.substring(other, 1, 1)), ["nation", "_f"]).filter((a > 0) & (2 * F.least(a, b) >= least_ratio * (a + b)))
+    rated = pairs.select(left_id, right_id, block_ratio(k, other).alias("_q")).filter(F.col("_q") >= least_ratio)
+    best = rated.groupBy(left_id).agg(F.min(F.struct((-F.col("_q")).alias("q"), right_id)).alias("m"))
+    return exact.unionByName(best.select(left_id, f"m.{right_id}", F.lit("fuzzy").alias("tier")))
+
+
+def fuzzy_name(targets: DataFrame, places: DataFrame, target: str, place_id: str) -> DataFrame:
+    """(target, place_id, edits) of the place whose folded name is within one edit, two from 8 letters on; of equals the larger one, then the least id. Targets of 4 to 40 letters; places: name, area.
+
+    Names meet targets over their pieces: with d edits, one of d + 1 pieces of the
+    target stands unchanged in the name, at most d places away.
+    """
+    from ..functions.text import fold
+
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(fold(c), r"\b(?:the|isle of|island of)\b", " "), r"\s+", " "))
+    t = targets.select(target, plain(F.col(target)).alias("_t")).filter(F.length("_t").between(4, 40)).withColumn("_d", F.when(F.length("_t") >= 8, 2).otherwise(1))
+    n = F.length("_t")
+    piece = lambda i: F.struct((F.floor(n * i / (F.col("_d") + 1)) + 1).alias("s"), (F.floor(n * (i + 1) / (F.col("_d") + 1)) - F.floor(n * i / (F.col("_d") + 1))).alias("k"))
+    parts = t.withColumn("_p", F.explode(F.when(F.col("_d") == 2, F.array(*(piece(F.lit(i)) for i in range(3)))).otherwise(F.array(*(piece(F.lit(i)) for i in range(2))))))
+    parts = parts.select(target, "_t", "_d", F.substring(F.col("_t"), F.col("_p.s").cast("int"), F.col("_p.k").cast("int")).alias("_g"))
+    sizes = [r[0] for r in parts.select(F.length("_g")).distinct().collect()]  # 20 lengths at most
+    names = places.select(F.col(place_id), "area", plain(F.col("name")).alias("_n")).filter("_n <> ''")
+    starts = lambda k: F.when(F.length("_n") >= k, F.sequence(F.lit(1), F.length("_n") - k + 1)).otherwise(F.array().cast("array<int>"))
+    grams = [F.transform(starts(k), lambda i, k=k: F.substring(F.col("_n"), i, F.lit(k))) for k in sizes] or [F.array().cast("array<string>")]
+    hit = names.withColumn("_g", F.explode(F.array_distinct(F.concat(*grams)))).join(parts, "_g").select(target, place_id, "area", "_n", "_t", "_d").distinct()
+    close = hit.withColumn("_e", F.levenshtein("_n", "_t", 2)).filter((F.col("_e") >= 0) & (F.col("_e") <= F.col("_d")))
+    best = close.groupBy(target).agg(F.min(F.struct("_e", (-F.coalesce("area", F.lit(0.0))).alias("a"), place_id)).alias("m"))
+    return best.select(target, f"m.{place_id}", F.col("m._e").alias("edits"))
+
+
 def rounded_match(left: DataFrame, right: DataFrame, digits: int = 4, how: str = "full_outer") -> DataFrame:
     """Equi-join on coordinates rounded to ``digits``; the other columns' names must differ."""
     cut = lambda d: d.withColumns({"lat": F.round("lat", digits), "lng": F.round("lng", digits)})
