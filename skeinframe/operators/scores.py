@@ -12,8 +12,6 @@ from ..functions.text import fold
 # Typical top score of each interest, and the default
 CEILINGS = {"unusual-news": 48, "island-castles": 36, "unusual-wildlife": 36, "whisky-distilleries": 36, "island-books": 24, "local-traditions": 26, "tidal-islands": 30, "film-art-music": 32}
 CEILING = 28
-# Base confidence of a picture without further evidence
-LEGACY, UNKNOWN, NO_NAME, NAMED = 50, 50, 60, 88
 
 
 def _gaps(name: Column, query: str) -> Column:
@@ -41,6 +39,7 @@ def search_score(name: Column, haystack: Column, query: str) -> Column:
     )
 
 
+# Points of the tool's and the lookup's scores are those in the two functions below
 def token_score(name: Column, water: Column, archipelago: Column, summit: Column, story: Column, tokens: Sequence[str]) -> Column:
     """Score of folded fields for a tool's query; null unless each token is in some field."""
     hits = {k: sum((F.contains(c, F.lit(t)).cast("int") for t in tokens), F.lit(0)) for k, c in (("name", name), ("water", water), ("arch", archipelago), ("peak", summit), ("story", story))}
@@ -126,10 +125,15 @@ def second_source(first: Column, other: Column) -> Column:
     )
 
 
-def height_confidence(first: Column, other: Column) -> Column:
-    """high within 2 m or 2 %, medium within 5 m or 5 %, else low."""
-    gap, rel = F.abs(first - other), F.abs(first - other) / F.greatest(F.abs(first), F.abs(other))
-    return F.when(first.isNull(), "n/a").when(other.isNull(), "medium").when((gap <= 2) | (rel <= 0.02), "high").when((gap <= 5) | (rel <= 0.05), "medium").otherwise("low")
+def highest_point(peak: Column, other: Column, current: Column) -> Column:
+    """struct(metres, source, confidence): a surveyed peak, high within 5 m or 5 % of a second source or without one, else an estimate; then the second source as an estimate, then what is there."""
+    gap = F.abs(peak - other)
+    near = (gap <= 5) | (gap / F.greatest(peak, F.lit(1.0)) <= 0.05)
+    apart = other.isNotNull() & (peak > 0) & ~near
+    return F.struct(
+        F.coalesce(peak, other, current).alias("metres"), F.when(peak.isNotNull(), "peak").when(other.isNotNull(), "second").when(current.isNotNull(), "current").alias("source"),
+        F.when(peak.isNotNull(), F.when(apart, "estimate").otherwise("high")).when(other.isNotNull(), "estimate").when(current.isNotNull(), "high").otherwise("n/a").alias("confidence"),
+    )
 
 
 def staged_name_score(confidence: Column, tier: Column, dual: Column, metres: Column) -> Column:
@@ -137,9 +141,84 @@ def staged_name_score(confidence: Column, tier: Column, dual: Column, metres: Co
     return base + F.when(tier == "A", 5).when(tier == "D", -40).otherwise(0) + F.when(dual, 10).otherwise(0) + F.when(metres <= 50, 5).when(metres > 300, -15).otherwise(0)
 
 
-def photo_confidence(kind: Column, named: Column, metres: Column, geo_ok: Column) -> Column:
-    """legacy 50; text search: 60 without the name, 88 with it near, else 60; nearby: 85 named within 500 m, else 70; others 50."""
-    return F.when(kind == "legacy", LEGACY).when(kind == "text", F.when(named & geo_ok, NAMED).otherwise(NO_NAME)).when(kind == "nearby", F.when(named & (metres <= 500), 85).otherwise(70)).otherwise(UNKNOWN)
+# Base confidence of a picture by its source, in the atlas and when staged
+PHOTO_BASE = {"wikidata": 95, "wikidata-p18": 95, "wikipedia": 90, "osm-wikipedia": 90, "osm-image-tag": 92, "osm-commons-file": 92, "osm-commons-category": 85, "commons-text-search": 88, "commons-geosearch": 70, "curated": 98, "geograph": 90, "commons-category": 85}
+STAGED_BASE = {
+    "inaturalist-obs": 82, "openverse": 80, "commons-regional-category": 85, "commons-archipelago-category": 88, "commons-depicts-q": 92, "wikidata-depicts": 92, "wellcome-collection": 78, "ogl-tourism": 85, "geograph-native": 94, "wikipedia-embedded": 90,
+    "flickr-statutory": 88, "commons-county-category": 88, "wikidata-nearby-p18": 82, "geograph-via-commons": 90, "flickr-commons": 85, "europeana": 80, "web-discovery": 75, "kartaview": 80, "panoramax": 80,
+}
+CATEGORY_SOURCES, NO_NAME_IN_CATEGORY = ("osm-commons-category", "commons-category"), 15
+STAGED_CATEGORIES = ("commons-regional-category", "commons-archipelago-category", "commons-category", "ogl-tourism")
+
+
+def _base(source: Column, table: dict[str, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for k, v in table.items():
+        out = F.when(source == k, v).otherwise(out)
+    return out
+
+
+def photo_confidence(source: Column, named: Column, metres: Column, geo_ok: Column, flagged: Column) -> Column:
+    """struct(confidence, suspect) of a lead picture by its source: a base, with other figures where a name or a place is missing; legacy fields 50, unknown sources 45."""
+    base, far = _base(source, PHOTO_BASE), ~F.coalesce(metres <= 500, F.lit(False))
+    category, by_text, near = source.isin(*CATEGORY_SOURCES), source == "commons-text-search", source == "commons-geosearch"
+    good_text = named & F.coalesce(geo_ok, F.lit(False))
+    score = F.when(source == "legacy-image-field", 50).when(base.isNull(), 45).when(category & ~named, base - NO_NAME_IN_CATEGORY).when(by_text, F.when(good_text, 88).otherwise(60)).when(near, F.when(flagged, 75).when(named & ~far, 85).otherwise(70)).otherwise(base)
+    doubt = (source == "legacy-image-field") | base.isNull() | flagged | (category & ~named) | (by_text & ~good_text) | (near & ~flagged & (~named | far))
+    return F.struct(score.alias("confidence"), doubt.alias("suspect"))
+
+
+def staged_photo_confidence(source: Column, named: Column, metres: Column, categorised: Column, depicted: Column, percent: Column) -> Column:
+    """Confidence in a staged picture: observations by distance, categories by name and category, depictions by what was verified; null for sources that are not staged ones."""
+    base = _base(source, STAGED_BASE)
+    seen = F.when(metres <= 5000, 96).when(metres.isNotNull(), 70).otherwise(75)
+    category = F.when(named & categorised, 92).when(named, 85).otherwise(70)
+    depicts = F.when(source == "wikidata-depicts", F.when(depicted, F.coalesce(percent, F.lit(92))).otherwise(65)).otherwise(F.when(depicted & (percent >= 90), percent).otherwise(65))
+    return (
+        F.when(source == "inaturalist-obs", seen).when(source == "openverse", F.when(named, base).otherwise(55)).when(source == "wellcome-collection", F.when(named, base).otherwise(50))
+        .when(source.isin(*STAGED_CATEGORIES), category).when(source.isin("commons-depicts-q", "wikidata-depicts"), depicts).otherwise(base).cast("int")
+    )
+
+
+def gallery_score(in_file: Column, in_caption: Column, in_categories: Column, badge: Column, width: Column, credited: Column, captioned: Column, refused: Column) -> Column:
+    """A gallery picture: where the name stands, badges, resolution, credit and caption; -200 without a name, or if refused."""
+    plus = lambda t, p: F.when(t, p).otherwise(0)
+    score = 50 + plus(in_file, 25) + plus(in_caption, 15) + plus(in_categories, 10) + F.when(badge == "Featured", 60).when(badge == "Quality", 35).when(badge == "Valued", 20).otherwise(0)
+    score = score + F.when(width >= 2800, 25).when(width >= 1600, 15).when((width > 0) & (width < 1024), -25).otherwise(0) + plus(credited, 5) + plus(captioned, 5)
+    return F.when(refused | ~(in_file | in_caption | in_categories), -200).otherwise(score)
+
+
+def featured_score(curated: Column, source: Column, described: Column, photo: Column, ferry: Column, area: Column, entity: Column, kind: Column) -> Column:
+    plus = lambda t, p: F.when(t, float(p)).otherwise(0.0)
+    return plus(curated, 1000) + plus(source == "curated", 400) + plus(described, 250) + plus(photo, 200) + plus(ferry, 120) + F.coalesce(F.least(F.lit(80.0), area * 0.05), F.lit(0.0)) + plus(F.trim(entity).rlike(r"^Q\d+$"), 30) + plus(kind == "sea", 15)
+
+
+def name_confidence(confidence: Column, source: Column, entity: Column, map_type: Column, map_id: Column, name: Column) -> Column:
+    """How sure a name is: unconfirmed, high, medium, low or none."""
+    known = F.trim(F.coalesce(name, F.lit(""))) != ""
+    return F.when(F.lower(confidence) == "unconfirmed", "unconfirmed").when(source == "curated", "high").when(entity.isNotNull() & (entity != ""), F.when(F.lower(confidence) == "high", "high").otherwise("medium")).when(map_type.isNotNull() & map_id.isNotNull() & known, "medium").when(known, "low").otherwise("none")
+
+
+# Points of the three quality scores
+MERGE_POINTS = {"curated": 100, "osm": 50, "osm-inland": 40, "wikidata": 30}
+
+
+def record_quality(kind: str, source: Column, area: Column, population: Column, entity: Column, article: Column, photo: Column, map_type: Column) -> Column:
+    """How rich a record is. discovery and merge: curated first, then fields (merge: other sources too); tagged: by the map object's type and fields."""
+    has = lambda c: c.isNotNull() & (c != "")
+    sized = area.isNotNull() & (area != 0)
+    if kind == "tagged":
+        tests = [(map_type == "relation", 3), (map_type == "way", 2), (map_type == "node", 1), (sized, 5), (has(article), 3), (photo, 2), (population.isNotNull(), 1)]
+    else:
+        sources = MERGE_POINTS if kind == "merge" else {"curated": MERGE_POINTS["curated"]}
+        tests = [*((source == k, v) for k, v in sources.items()), (sized, 5), (population.isNotNull(), 3), (has(entity), 3), (has(article), 3), (photo, 2)]
+    return quality(tests).cast("int")
+
+
+def notability(area: Column, population: Column, article: Column, photo: Column, map_type: Column, place_kind: Column) -> Column:
+    """What is kept when a list is cut: size and people on log scales, links, pictures and the kind of map object."""
+    log = lambda c, f: F.when(c > 0, F.log10(c.cast("double") + 1) * f).otherwise(0.0)
+    return log(area, 10) + log(population, 4) + quality([(article.isNotNull() & (article != ""), 8), (photo, 3), (map_type == "relation", 4), (map_type == "way", 2), (place_kind == "island", 3)])
 
 
 def quality(tests: Sequence[tuple[Column, float]]) -> Column:
