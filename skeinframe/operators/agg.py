@@ -93,3 +93,35 @@ def consensus(df: DataFrame, keys: Sequence[str], value: str, order: str, least:
 
 def worst(df: DataFrame, keys: Sequence[str], value: str, good: str = "high", bad: str = "medium") -> DataFrame:
     return df.groupBy(*keys).agg(F.when(F.bool_and(F.col(value) == good), good).otherwise(bad).alias(value))
+
+
+def within_budget(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """Rows of a group in order, with the running sum of their sizes, as long as it stays within ``most``. Of rows that take something no more than ``most`` can matter, so a hot group is cut before it is shuffled."""
+    w = Window.partitionBy(group).orderBy(order)
+    some = df.filter(F.col(size) > 0).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    every = some.unionByName(df.filter(F.col(size) == 0))
+    return every.withColumn("running", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("running") <= most)
+
+
+def facet_counts(df: DataFrame, guide: str, facet: str, source: str) -> DataFrame:
+    """(guide, facet, n, sources): rows and distinct sources of each facet of a guide."""
+    return df.groupBy(guide, F.coalesce(facet, F.lit("")).alias(facet)).agg(F.count("*").alias("n"), F.countDistinct(source).alias("sources"))
+
+
+def grouping_sets(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """(a, b, level, n, total): counts and sums by both columns, each alone, and over all."""
+    return df.cube(a, b).agg(F.grouping_id(a, b).alias("level"), F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(key, share, value): exact quantiles with interpolation."""
+    q = df.groupBy(key).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"))
+    return q.select(key, F.posexplode("_q").alias("_i", value)).withColumn("share", F.element_at(F.array(*map(F.lit, shares)), F.col("_i") + 1)).drop("_i")
+
+
+def height_range(cells: DataFrame, key: str) -> DataFrame:
+    """(key, low, high, cells) of the raster cells inside a shape's mask. cells: key, x, y, metres, outers, inners."""
+    from ..functions.geo import in_polygon
+
+    inside = cells.filter(in_polygon(F.col("x"), F.col("y"), F.col("outers"), F.col("inners")))
+    return inside.groupBy(key).agg(F.min("metres").alias("low"), F.max("metres").alias("high"), F.count("*").alias("cells"))

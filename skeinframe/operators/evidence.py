@@ -103,13 +103,17 @@ def relation_class(known_entity: Column, entity_km: Column, known_object: Column
 
 
 def longest_alias(texts: DataFrame, aliases: DataFrame, text_id: str, body: str) -> DataFrame:
-    """(text_id, owner) of the longest alias that the folded text holds. aliases: alias, owner; a few hundred, so it is a lookup in each row."""
-    rows = sorted(((r["alias"], r["owner"]) for r in aliases.select(fold(F.col("alias")).alias("alias"), "owner").limit(2000).collect()), key=lambda x: (-len(x[0]), x))
-    if aliases.limit(2001).count() > 2000:
-        raise ValueError("longest_alias is for small alias tables; use joins.contained_name")
-    t, out = fold(F.col(body)), F.lit(None).cast("string")
-    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(o).alias("o")) for a, o in rows)) if rows else None
-    if table is None:
-        return texts.select(text_id, out.alias("owner")).limit(0)
-    hit = F.get(F.filter(table, lambda x: F.contains(t, x["a"])), F.lit(0))
-    return texts.select(text_id, hit["o"].alias("owner")).filter("owner is not null")
+    """(text_id, owner) of the longest alias that the folded text holds; of equals the first in order. aliases: alias, owner.
+
+    Aliases meet texts over their first letters, as many as the shortest alias
+    has, so that the join is an equi-join at any number of aliases.
+    """
+    a = aliases.select(fold(F.col("alias")).alias("_a"), "owner").filter("_a <> ''")
+    n = a.agg(F.min(F.length("_a"))).first()[0]
+    if n is None:
+        return texts.select(text_id, F.lit(None).cast("string").alias("owner")).limit(0)
+    t = texts.select(text_id, fold(F.col(body)).alias("_t"))
+    starts = F.when(F.length("_t") >= n, F.sequence(F.lit(1), F.length("_t") - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_t"), i, F.lit(n))))
+    hit = t.withColumn("_g", F.explode(grams)).join(a.withColumn("_g", F.substring("_a", 1, n)), "_g").filter(F.contains(F.col("_t"), F.col("_a")))
+    return hit.groupBy(text_id).agg(F.min(F.struct((-F.length("_a")).alias("n"), "_a", "owner"))["owner"].alias("owner"))

@@ -211,13 +211,22 @@ def fuzzy_name(targets: DataFrame, places: DataFrame, target: str, place_id: str
     sizes = [r[0] for r in parts.select(F.length("_g")).distinct().collect()]  # 20 lengths at most
     names = places.select(F.col(place_id), "area", plain(F.col("name")).alias("_n")).filter("_n <> ''")
     starts = lambda k: F.when(F.length("_n") >= k, F.sequence(F.lit(1), F.length("_n") - k + 1)).otherwise(F.array().cast("array<int>"))
-    grams = [F.transform(starts(k), lambda i, k=k: F.substring(F.col("_n"), i, F.lit(k))) for k in sizes] or [F.array().cast("array<string>")]
+    runs_of = lambda k: F.transform(starts(k), lambda i: F.substring(F.col("_n"), i, F.lit(k)))
+    grams = [runs_of(k) for k in sizes] or [F.array().cast("array<string>")]
     hit = names.withColumn("_g", F.explode(F.array_distinct(F.concat(*grams)))).join(parts, "_g").select(target, place_id, "area", "_n", "_t", "_d").distinct()
     close = hit.withColumn("_e", F.levenshtein("_n", "_t", 2)).filter((F.col("_e") >= 0) & (F.col("_e") <= F.col("_d")))
     best = close.groupBy(target).agg(F.min(F.struct("_e", (-F.coalesce("area", F.lit(0.0))).alias("a"), place_id)).alias("m"))
     return best.select(target, f"m.{place_id}", F.col("m._e").alias("edits"))
 
 
+def token_pairs(df: DataFrame, keys: Sequence[str], id_col: str, tokens: str) -> DataFrame:
+    """(a, b, score) of rows of one key that share a token, a < b, with the Jaccard score of their token sets; rows meet over keys and tokens, so those without a token in common never do."""
+    sized = df.select(*keys, id_col, F.size(F.array_distinct(tokens)).alias("_s"), F.explode(F.array_distinct(tokens)).alias("_t"))
+    side = lambda i, s: sized.withColumnsRenamed({id_col: i, "_s": s})
+    shared = side("a", "_x").join(side("b", "_y"), [*keys, "_t"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("_c"), F.first("_x").alias("_x"), F.first("_y").alias("_y"))
+    return shared.select("a", "b", (F.col("_c") / (F.col("_x") + F.col("_y") - F.col("_c"))).alias("score"))
+
+
 def rounded_match(left: DataFrame, right: DataFrame, digits: int = 4, how: str = "full_outer") -> DataFrame:
     """Equi-join on coordinates rounded to ``digits``; the other columns' names must differ."""
     cut = lambda d: d.withColumns({"lat": F.round("lat", digits), "lng": F.round("lng", digits)})

@@ -26,19 +26,19 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most:
 
 
 def relevance_cutoff(df: DataFrame, score: str, order: Sequence[Column], floor: float, share: float, gap: float, most: int) -> DataFrame:
-    """Rows in order that reach max(floor, share * the first row's score); the walk ends at the first row, after one is kept, that is more than ``gap`` below the first, and after ``most`` rows.
+    """Rows in order that reach max(floor, share * the first row's score), ``most`` at most; the walk ends at the first of them, after one is kept, that is more than ``gap`` below the first row.
 
-    df should be a bounded list of hits: its order is one global ranking.
+    Only the first row and the first ``most`` that reach the floor are ranked, both as distributed top-k.
     """
-    w = Window.orderBy(*order)
     s = F.col(score)
-    top_ = F.first(s).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumns({"_top": top_, "_at": F.row_number().over(w)})
-    marked = marked.withColumn("_fit", s >= F.greatest(F.lit(float(floor)), F.col("_top") * share))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("_kept", F.coalesce(F.max("_fit").over(before), F.lit(False)))
-    marked = marked.withColumn("_stop", F.max(F.col("_fit") & F.col("_kept") & (F.col("_top") - s > gap)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.filter(F.col("_fit") & ~F.col("_stop")).orderBy(*order).limit(most).drop("_top", "_at", "_fit", "_kept", "_stop")
+    lead = df.orderBy(*order).limit(1).select(s).first()
+    if lead is None or lead[0] is None:
+        return df.limit(0)
+    top_ = float(lead[0])
+    head = df.filter(s >= max(float(floor), top_ * share)).orderBy(*order).limit(most)
+    w = Window.orderBy(*order)  # over at most ``most`` rows
+    marked = head.withColumn("_far", (F.row_number().over(w) > 1) & (F.lit(top_) - s > gap))
+    return marked.withColumn("_stop", F.max("_far").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("_stop")).orderBy(*order).drop("_far", "_stop")
 
 
 def keeper(df: DataFrame, keys: Sequence[str], tests: Sequence[Column], id_col: str) -> DataFrame:
@@ -94,8 +94,51 @@ def unique_slugs(df: DataFrame, place: str, slug: str, more: Sequence[str], id_c
 def weekly_pick(df: DataFrame, epoch_seconds: Column, order: str) -> DataFrame:
     """The row whose turn it is: rows in order, the week's number modulo their count."""
     n = df.count()
-    at = F.pmod(F.floor(epoch_seconds / 604_800), F.lit(max(1, n)))
-    return df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col("_i") == at).drop("_i")
+    if not n:
+        return df
+    at = df.sparkSession.range(1).select(F.pmod(F.floor(epoch_seconds / 604_800), F.lit(n))).first()[0]
+    return df.orderBy(order).offset(int(at)).limit(1)
+
+
+def random_pick(df: DataFrame, excluded: DataFrame, id_col: str, last: object, u: float, order: str) -> DataFrame:
+    """A row by a number in [0, 1), of those that are not excluded; if all are, of those that are not the last one."""
+    open_ = df.join(excluded.select(id_col), id_col, "left_anti")
+    pool = open_ if open_.limit(1).count() else df.filter(F.col(id_col) != F.lit(last))
+    n = pool.count()
+    return pool.orderBy(order).offset(min(n - 1, int(u * n))).limit(1) if n else pool
+
+
+def best_per_place(df: DataFrame, name: str, quality: Column, order: str) -> DataFrame:
+    """One row a folded-case name and place to two digits: the best; of equals the first."""
+    keyed = df.withColumns({"_n": F.lower(name), "_a": F.round("lat", 2), "_b": F.round("lng", 2)})
+    return first_of(keyed, ["_n", "_a", "_b"], [quality.desc(), F.col(order)]).drop("_n", "_a", "_b")
+
+
+def featured(df: DataFrame, curated: DataFrame, id_col: str, name: str, score: str, most: int) -> DataFrame:
+    """Curated rows in their order, then the others by score and name; one a name, ``most`` at most. curated: id, ord."""
+    j = df.join(curated.select(id_col, "ord"), id_col, "left").withColumn("_g", F.col("ord").isNull())
+    order = [F.col("_g"), F.col("ord"), F.col(score).desc(), F.lower(F.coalesce(name, F.lit(""))), F.col(id_col)]
+    return unique_names(j, name, order, most).withColumn("tier", F.when(F.col("_g"), "atlas").otherwise("curated")).drop("_g", "ord")
+
+
+def topic_picks(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """Pictured rows first, then by height, area and name; one an id."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    order = [F.col("has_photo").desc(), blank("elevation").desc(), blank("area").desc(), F.lower(F.coalesce("name", F.lit(""))), F.col(id_col)]
+    return first_of(df, [id_col], order).orderBy(*order).limit(most)
+
+
+def home_picks(df: DataFrame, name: str, own: Column, cited: Column, has_photo: Column, order: Sequence[Column], most: int = 3) -> DataFrame:
+    """Rows in order with a picture to show: their own, else what is cited of a place that has none; one a name, unnamed ones never."""
+    thumb = F.coalesce(F.nullif(own, F.lit("")), F.when(~has_photo, F.nullif(cited, F.lit(""))))
+    shown = df.withColumn("thumb", thumb).filter(F.col("thumb").isNotNull() & (F.trim(F.coalesce(F.col(name), F.lit(""))) != ""))
+    return unique_names(shown, name, order, most)
+
+
+def newest(df: DataFrame, at: str, id_col: str, most: int | None = None) -> DataFrame:
+    """Rows by falling time, of equals the larger id first."""
+    out = df.orderBy(F.col(at).desc(), F.col(id_col).desc())
+    return out.limit(most) if most else out
 
 
 def related(df: DataFrame, group: str, id_col: str, order: Sequence[Column], most: int) -> DataFrame:

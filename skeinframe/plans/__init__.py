@@ -1,6 +1,6 @@
 """Registered queries: one callable and one SQL text for each operator."""
 
-from . import events, matching, questions, ranks, records, rollups, search  # noqa: F401
+from . import events, integration, matching, media, questions, ranks, records, rollups, search, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 

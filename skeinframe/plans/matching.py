@@ -84,12 +84,12 @@ def missing_anti(t):
     return joins.missing(t("customer").select("c_custkey"), t("orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 200000")
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def lookup_enrich(t):
-    o = t("orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+    o = t("orders").select("o_orderkey", "o_custkey")
     c = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
-    places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
-    return o.join(c, "o_custkey", "left").join(F.broadcast(places), "c_nationkey", "left").select("o_orderkey", "c_name", "n_name", "r_name")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    return o.join(c, "o_custkey", "left").join(places, "c_nationkey", "left").select("o_orderkey", "c_name", "n_name", "r_name")
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2")
@@ -102,11 +102,10 @@ def edit_distance_match(t):
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 
 
-@query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.tk, b.tk)) / len(list_distinct(a.tk || b.tk)), 6) AS score FROM (SELECT p_partkey, p_brand, p_size, {_TOK} AS tk FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_TOK} AS tk FROM part) b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+@query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.tk, b.tk)) / len(list_distinct(a.tk || b.tk)), 6) AS score FROM (SELECT p_partkey, p_brand, p_size, {_TOK} AS tk FROM part) a JOIN (SELECT p_partkey, p_brand, p_size, {_TOK} AS tk FROM part) b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.tk, b.tk)) > 0")
 def token_jaccard(t):
     p = t("part").select("p_partkey", "p_brand", "p_size", text.tokens(text.search_norm(F.col("p_name"))).alias("tk"))
-    pairs = p.withColumnsRenamed({"p_partkey": "a", "tk": "x"}).join(p.withColumnsRenamed({"p_partkey": "b", "tk": "y"}), ["p_brand", "p_size"]).filter("a < b")
-    return pairs.select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+    return joins.token_pairs(p, ["p_brand", "p_size"], "p_partkey", "tk").withColumn("score", F.round("score", 6))
 
 
 def _names(t):
@@ -115,15 +114,15 @@ def _names(t):
     return names.unionByName(one.select(F.lit(-1).cast("long").alias("name_id"), F.lit("en la").alias("name"))).unionByName(one.select(F.lit(-2).cast("long").alias("name_id"), F.lit("the of").alias("name")))
 
 
-@query("WITH x AS (SELECT conv_id * 1000 + turn AS text_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM conversations WHERE role = 'user'), w AS (SELECT DISTINCT lower(p_name) AS nm FROM part), v AS (SELECT n, min(name_id) AS name_id FROM (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n, p_partkey AS name_id FROM part UNION ALL SELECT 'en la', -1 UNION ALL SELECT 'the of', -2) q WHERE length(n) >= 5 GROUP BY n) SELECT text_id, name_id FROM (SELECT text_id, name_id, row_number() OVER (PARTITION BY text_id ORDER BY length(n) DESC, name_id) AS rk FROM x JOIN v ON contains(s, ' ' || n || ' ')) q WHERE rk = 1")
+@query("WITH x AS (SELECT conv_id * 1000 + turn AS text_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM conversations), w AS (SELECT DISTINCT lower(p_name) AS nm FROM part), v AS (SELECT n, min(name_id) AS name_id FROM (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n, p_partkey AS name_id FROM part UNION ALL SELECT 'en la', -1 UNION ALL SELECT 'the of', -2) q WHERE length(n) >= 5 GROUP BY n) SELECT text_id, name_id FROM (SELECT text_id, name_id, row_number() OVER (PARTITION BY text_id ORDER BY length(n) DESC, name_id) AS rk FROM x JOIN v ON contains(s, ' ' || n || ' ')) q WHERE rk = 1")
 def substring_join(t):
-    texts = t("conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    texts = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
     return joins.contained_name(texts, _names(t), "text_id", "text", "name_id", "name")
 
 
 @query()
 def substring_join_documents(t):
-    """Names in every document's whole text; ``substring_join`` has the users' turns of conversations, as its SQL does."""
+    """Names in every document's whole text; ``substring_join`` has the turns of conversations."""
     return joins.contained_name(t("documents").select("doc_id", "text"), _names(t), "doc_id", "text", "name_id", "name")
 
 
@@ -138,18 +137,20 @@ def alias_index(t):
     return joins.alias_index(t("part"), "p_partkey", [F.col("p_name"), F.col("p_brand")], "p_partkey")
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_orderkey % 101 = 0 AND l_quantity > 35"
+_EDGES = "SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem"
 
 
-@query(f"WITH RECURSIVE e AS (SELECT u, v FROM ({_EDGES}) x UNION SELECT v, u FROM ({_EDGES}) y), r(a, b) AS (SELECT u, u FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT u, v FROM ({_EDGES}) x UNION ALL SELECT v, u FROM ({_EDGES}) y), cc(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM e
+ UNION (SELECT e.u, min(cc.component) FROM cc JOIN e ON cc.node = e.v JOIN recurring.cc AS r ON r.node = e.u WHERE cc.component < r.component GROUP BY e.u)) SELECT node, component FROM cc"""
+)
 def components(t):
-    e = t("lineitem").filter("l_orderkey % 101 = 0 and l_quantity > 35").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v"))
-    return graph.components(e)
+    return graph.components(t("lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v")))
 
 
 @query()
 def components_all_edges(t):
-    """Components over every lineitem row; ``components`` has a thin part of them, which its recursive SQL can follow."""
+    """Components over every lineitem row, as ``components``, without SQL."""
     return graph.components(t("lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v")))
 
 

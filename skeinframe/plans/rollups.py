@@ -10,7 +10,7 @@ from .registry import query
 
 @query("WITH g AS (SELECT n_name AS grp, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp) AS rk FROM g) SELECT CASE WHEN rk <= 12 THEN grp ELSE 'other' END AS grp, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
 def group_count_other(t):
-    s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return agg.groups_and_other(s, F.col("n_name"))
 
 
@@ -110,7 +110,7 @@ def yield_simulation(t):
 
 @query("SELECT a.r_name AS a, b.r_name AS b, round(x.v / y.v, 2) AS ratio FROM region a JOIN region b ON a.r_regionkey = 0 AND b.r_regionkey = 1 JOIN (SELECT n_regionkey, CAST(sum(c_acctbal) AS DOUBLE) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) x ON x.n_regionkey = 0 JOIN (SELECT n_regionkey, CAST(sum(c_acctbal) AS DOUBLE) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) y ON y.n_regionkey = 1")
 def compare_two(t):
-    by = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_regionkey in (0, 1)").groupBy("n_regionkey").agg(F.sum("c_acctbal").alias("v"))
-    named = by.join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    by = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_regionkey in (0, 1)").groupBy("n_regionkey").agg(F.sum("c_acctbal").alias("v"))
+    named = by.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     one = named.agg(F.max(F.when(F.col("n_regionkey") == 0, F.struct("r_name", "v"))).alias("a"), F.max(F.when(F.col("n_regionkey") == 1, F.struct("r_name", "v"))).alias("b"))
     return one.select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"), F.round(F.col("a.v") / F.col("b.v"), 2).alias("ratio"))

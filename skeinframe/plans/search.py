@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -34,7 +33,7 @@ def search_scores(t):
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_6' AND c_acctbal >= 1000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def facet_filter(t):
-    place = t("customer").join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"id": F.col("c_custkey"), "nation": F.col("n_name"), "area": F.col("c_acctbal")})
+    place = t("customer").join(t("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"id": F.col("c_custkey"), "nation": F.col("n_name"), "area": F.col("c_acctbal")})
     open_orders = t("orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("id"))
     return filters.Facets(nation="NATION_6", min_area=1000, id_sets=[open_orders]).apply(place).select("c_custkey", "c_name", "c_mktsegment")
 
@@ -52,13 +51,12 @@ def capped_unique_names(t):
     return topk.unique_names(p, "p_name", [F.desc("p_retailprice"), F.col("p_partkey")], 24)
 
 
-_CUT = f"SELECT p_partkey, {SEARCH_SCORE_SQL} AS score FROM ({_PARTS_SQL}) p WHERE {SEARCH_SCORE_SQL} IS NOT NULL ORDER BY score DESC, p_partkey LIMIT 200"
+_CUT = f"SELECT p_partkey, {SEARCH_SCORE_SQL} AS score FROM ({_PARTS_SQL}) p WHERE {SEARCH_SCORE_SQL} IS NOT NULL"
 
 
 @query(f"SELECT p_partkey, score FROM (SELECT *, max(score) OVER () AS top FROM ({_CUT}) a) b WHERE score >= greatest(7, 0.65 * top) AND (top - score <= 7 OR score = top) ORDER BY score DESC, p_partkey LIMIT 24")
 def relevance_cutoff(t):
-    hits = topk.top(search_scores(t), [F.desc("score"), F.col("p_partkey")], 200)
-    return topk.relevance_cutoff(hits, "score", [F.desc("score"), F.col("p_partkey")], 7, 0.65, 7, 24)
+    return topk.relevance_cutoff(search_scores(t), "score", [F.desc("score"), F.col("p_partkey")], 7, 0.65, 7, 24)
 
 
 @query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 1 ELSE 0 END DESC, CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END DESC, p_retailprice DESC, p_partkey DESC) AS rn FROM part) q WHERE rn = 1")
@@ -145,5 +143,4 @@ def keyword_label(t):
 
 @query("SELECT doc_id, n_chars, running FROM (SELECT doc_id, n_chars, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS running FROM documents) q WHERE running <= 14000")
 def budget_pack(t):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("documents").select("doc_id", "n_chars", F.sum("n_chars").over(w).alias("running")).filter("running <= 14000")
+    return agg.within_budget(t("documents").select("doc_id", "n_chars", "source"), "source", "doc_id", "n_chars", 14000).select("doc_id", "n_chars", "running")
