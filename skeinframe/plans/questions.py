@@ -135,21 +135,19 @@ def superlative(places: DataFrame, facets: Facets, by: str, descending: bool, li
 
 
 def lookup(places: DataFrame, name: str) -> DataFrame:
-    """The place that a name means best; a misspelt one by edit distance, larger places first."""
+    """The place that a name means best; without one a misspelt name by edit distance, larger places first. Both kinds are ranked in one pass."""
     n = folded(name)
-    s = scores.name_lookup_score(F.col("name"), n, F.col("area"), F.col("population"))
-    direct = places.withColumn("score", s).filter("score is not null")
-    found = topk.top(direct, [F.desc("score"), F.col("id")], 1)
-    if found.limit(1).count():
-        return found
-    d = text.banded_distance(text.search_norm(F.col("name")), F.lit(n), 2 if len(n) >= 8 else 1)
-    close = places.withColumn("score", -d.cast("double")).filter(F.col("score") >= -(2 if len(n) >= 8 else 1))
-    return topk.top(close, [F.desc("score"), F.coalesce(F.col("area"), F.lit(0.0)).desc(), F.col("id")], 1)
+    most = 2 if len(n) >= 8 else 1
+    fit = scores.name_lookup_score(F.col("name"), n, F.col("area"), F.col("population"))
+    edits = text.banded_distance(text.search_norm(F.col("name")), F.lit(n), most)
+    close = F.when(edits <= most, -edits.cast("double"))
+    rated = places.withColumns({"score": F.coalesce(fit, close), "_second": fit.isNull()}).filter("score is not null")
+    return topk.top(rated, [F.col("_second"), F.desc("score"), F.when(F.col("_second"), F.coalesce("area", F.lit(0.0))).desc(), F.col("id")], 1).drop("_second")
 
 
 def compare(places: DataFrame, names: Sequence[str], measure: str = "area") -> DataFrame:
     a, b = (lookup(places, n).select(F.col("name").alias(x), F.col(measure).cast("double").alias(f"{x}_value")) for n, x in zip(names, ("a", "b")))
-    return a.join(F.broadcast(b), F.lit(True)).withColumn("ratio", F.round(F.try_divide(F.greatest("a_value", "b_value"), F.least("a_value", "b_value")), 2))
+    return a.join(b, F.lit(True)).withColumn("ratio", F.round(F.try_divide(F.greatest("a_value", "b_value"), F.least("a_value", "b_value")), 2))
 
 
 def answer(places: DataFrame, sentence: str, nations: Sequence[str], known: dict[str, tuple[float, float]] | None = None) -> DataFrame:

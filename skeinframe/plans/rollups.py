@@ -90,11 +90,6 @@ def worst_confidence(t):
     return agg.worst(t("orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "high").otherwise("low").alias("confidence")), ["o_custkey"], "confidence")
 
 
-@query("SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
-def distinct_per_category(t):
-    return t("lineitem").select("l_partkey", "l_suppkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.count("*").alias("n"))
-
-
 @query("SELECT event_type, CASE WHEN value <= 10 THEN '<=10' WHEN value <= 50 THEN '<=50' ELSE '>50' END AS band, count(*) AS n FROM events GROUP BY 1, 2")
 def proximity_histogram(t):
     band = F.when(F.col("value") <= 10, "<=10").when(F.col("value") <= 50, "<=50").otherwise(">50")
@@ -106,11 +101,3 @@ def yield_simulation(t):
     a, b = F.col("l_discount") > 0.05, F.col("l_quantity") > 25
     verdict = F.when(a & b, "both").when(a, "first").when(b, "second").otherwise("neither")
     return t("lineitem").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT a.r_name AS a, b.r_name AS b, round(x.v / y.v, 2) AS ratio FROM region a JOIN region b ON a.r_regionkey = 0 AND b.r_regionkey = 1 JOIN (SELECT n_regionkey, CAST(sum(c_acctbal) AS DOUBLE) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) x ON x.n_regionkey = 0 JOIN (SELECT n_regionkey, CAST(sum(c_acctbal) AS DOUBLE) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) y ON y.n_regionkey = 1")
-def compare_two(t):
-    by = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_regionkey in (0, 1)").groupBy("n_regionkey").agg(F.sum("c_acctbal").alias("v"))
-    named = by.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    one = named.agg(F.max(F.when(F.col("n_regionkey") == 0, F.struct("r_name", "v"))).alias("a"), F.max(F.when(F.col("n_regionkey") == 1, F.struct("r_name", "v"))).alias("b"))
-    return one.select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"), F.round(F.col("a.v") / F.col("b.v"), 2).alias("ratio"))

@@ -15,8 +15,10 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "2g").config("spark.ui.showConsoleProgress", "false")
+        # tables are tiny here: compiling costs more than it gains
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
