@@ -150,7 +150,7 @@ def water_proximity(t):
     return inland.proximity_profile(places(t).select("id", "lat", "lng"), water(t))
 
 
-@query(f"SELECT p.id FROM {_P} p WHERE abs(p.lat - 54) < 2.48 AND abs(p.lng + 4) < 2.97 AND NOT (abs(p.lat - 54) < 0.53 AND abs(p.lng + 4) < 0.58) AND type = 'river'")
+@query(f"SELECT p.id FROM {_P} p WHERE type = 'river' AND (2.5045 - abs(p.lat - 54)) * 111320 > 2000 AND (3.0045 - abs(p.lng + 4)) * cos(radians(p.lat)) * 111320 > 2000 AND sqrt(pow(greatest(abs(p.lat - 54) - 0.5045, 0) * 111320, 2) + pow(greatest(abs(p.lng + 4) - 0.5045, 0) * cos(radians(p.lat)) * 111320, 2)) > 2000")
 def inland_rocks(t):
     """Rocks on land, far from its edge (F-29)."""
     p = places(t).select("id", "lat", "lng", F.when(F.col("type") == "river", "rock").otherwise("island").alias("kind"))
@@ -250,10 +250,10 @@ def name_and_distance(t):
     return joins.name_and_distance(left, right, "k", "id", "rid", 250, 200).withColumn("km", F.round("km", 6))
 
 
-@query(f"SELECT coalesce(a.lat, b.lat) AS lat, coalesce(a.lng, b.lng) AS lng, a.id, b.site FROM (SELECT id, round(lat, 1) + 0.0 AS lat, round(lng, 1) + 0.0 AS lng FROM {_P} p) a FULL JOIN (SELECT site, round(lat, 1) + 0.0 AS lat, round(lng, 1) + 0.0 AS lng FROM {_SITES} s) b ON a.lat = b.lat AND a.lng = b.lng")
+@query(f"SELECT coalesce(a.lat, b.lat) AS lat, coalesce(a.lng, b.lng) AS lng, a.id, b.site FROM (SELECT id, round(lat + 0.003, 1) + 0.0 AS lat, round(lng + 0.003, 1) + 0.0 AS lng FROM {_P} p) a FULL JOIN (SELECT site, round(lat, 1) + 0.0 AS lat, round(lng + 0.003, 1) + 0.0 AS lng FROM {_SITES} s) b ON a.lat = b.lat AND a.lng = b.lng")
 def rounded_match(t):
     """A full join on rounded coordinates (J-19)."""
-    return joins.rounded_match(places(t).select("id", "lat", "lng"), _sites(t).select("site", "lat", "lng"), 1)
+    return joins.rounded_match(places(t).select("id", (F.col("lat") + 0.003).alias("lat"), (F.col("lng") + 0.003).alias("lng")), _sites(t).select("site", "lat", (F.col("lng") + 0.003).alias("lng")), 1)
 
 
 _CAND = "SELECT o_orderkey AS candidate, " + word("o_orderkey") + " AS name, 50 + CAST(o_custkey * 37 % 997 AS DOUBLE) / 100 + CAST(o_orderkey % 5 AS DOUBLE) / 1000 AS lat, -9 + CAST(o_custkey * 53 % 1009 AS DOUBLE) / 100 AS lng, CASE WHEN o_orderkey % 9 = 0 THEN 'way' END AS map_type, o_custkey * 10 AS map_id, CASE WHEN o_orderkey % 11 = 0 THEN 'Q' || CAST(o_custkey AS VARCHAR(20)) END AS entity, o_orderkey % 3 = 0 AS review FROM {orders}"

@@ -91,11 +91,11 @@ _CEILING = "CASE slug WHEN 'unusual-news' THEN 48 WHEN 'island-castles' THEN 36
 
 @query(
     f"""WITH s AS (SELECT place, list_sort(list(least(greatest(score, 0), {_CEILING}) / {_CEILING} * 18), 'DESC') AS shares FROM ({_place_scores_sql('slugs - 1 - sold')}) x WHERE slug <> 'for-sale' GROUP BY place)
- SELECT id AS place, round(CAST(CASE WHEN coalesce(area, 0) > 8000 THEN -50 ELSE 0 END AS DOUBLE) + coalesce(shares[1], 0) + CAST(0.08 AS DOUBLE) * coalesce(shares[2], 0) + CASE WHEN id IN (SELECT place FROM {_I} i WHERE picture = 'subject' AND slug <> 'for-sale') THEN 3 WHEN NOT has_photo THEN -3 ELSE 0 END, 4) AS score FROM {_P} p LEFT JOIN s ON p.id = s.place"""
+ SELECT id AS place, round(CAST(CASE WHEN coalesce(area, 0) > 8000 THEN -50 ELSE 0 END AS DOUBLE) + coalesce(shares[1], 0) + CAST(0.08 AS DOUBLE) * coalesce(shares[2], 0) + CASE WHEN id IN (SELECT place FROM {_I} i WHERE picture = 'subject' AND slug <> 'for-sale') THEN 3 WHEN NOT has_photo THEN -3 ELSE 0 END, 8) AS score FROM {_P} p LEFT JOIN s ON p.id = s.place"""
 )
 def atlas_ranking(t):
     """Places by the strongest of their cited stories (R-15)."""
-    return interest.atlas_ranking(_cited(t), _ranked_places(t)).select("place", F.round("score", 4).alias("score"))
+    return interest.atlas_ranking(_cited(t), _ranked_places(t)).select("place", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -131,7 +131,7 @@ def photo_scores(t):
 
 
 @query(
-    f"""SELECT id, round(CAST(CASE WHEN source = 'curated' THEN 400 ELSE 0 END + CASE WHEN description <> '' THEN 250 ELSE 0 END + CASE WHEN has_photo THEN 200 ELSE 0 END + CASE WHEN ferry THEN 120 ELSE 0 END + coalesce(least(80, area * 0.05), 0) + CASE WHEN wikidata IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN type = 'sea' THEN 15 ELSE 0 END AS DOUBLE), 6) AS featured,
+    f"""SELECT id, round(CAST(CASE WHEN source = 'curated' THEN 400 ELSE 0 END + CASE WHEN description <> '' THEN 250 ELSE 0 END + CASE WHEN has_photo THEN 200 ELSE 0 END + CASE WHEN ferry THEN 120 ELSE 0 END + coalesce(least(80, area * 0.05), 0) + CASE WHEN wikidata IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN type = 'sea' THEN 15 ELSE 0 END AS DOUBLE), 9) AS featured,
  CASE WHEN confidence = 'unconfirmed' THEN 'unconfirmed' WHEN source = 'curated' THEN 'high' WHEN wikidata IS NOT NULL THEN CASE WHEN confidence = 'high' THEN 'high' ELSE 'medium' END WHEN map_type IS NOT NULL AND name <> '' THEN 'medium' WHEN name <> '' THEN 'low' ELSE 'none' END AS name_confidence,
  CAST(CASE WHEN source = 'curated' THEN 100 ELSE 0 END + CASE WHEN area <> 0 THEN 5 ELSE 0 END + CASE WHEN population IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN wikidata IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN wikipedia IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN has_photo THEN 2 ELSE 0 END AS INTEGER) AS discovery,
  CAST(CASE source WHEN 'curated' THEN 100 WHEN 'osm' THEN 50 ELSE 0 END + CASE WHEN area <> 0 THEN 5 ELSE 0 END + CASE WHEN population IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN wikidata IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN wikipedia IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN has_photo THEN 2 ELSE 0 END AS INTEGER) AS merge_quality,
@@ -145,7 +145,7 @@ def record_scores(t):
     args = (c("source"), c("area"), c("population"), c("wikidata"), c("wikipedia"), c("has_photo"), c("map_type"))
     top = scores.highest_point(c("elevation"), F.when(c("id") % 3 == 0, (c("id") % 100).cast("double")), F.when(c("id") % 3 == 1, 7.0))
     return places(t).select(
-        "id", F.round(scores.featured_score(F.lit(False), c("source"), c("description") != "", c("has_photo"), c("ferry"), c("area"), c("wikidata"), c("type")), 6).alias("featured"),
+        "id", F.round(scores.featured_score(F.lit(False), c("source"), c("description") != "", c("has_photo"), c("ferry"), c("area"), c("wikidata"), c("type")), 9).alias("featured"),
         scores.name_confidence(c("confidence"), c("source"), c("wikidata"), c("map_type"), c("map_id"), c("name")).alias("name_confidence"), scores.record_quality("discovery", *args).alias("discovery"), scores.record_quality("merge", *args).alias("merge_quality"), scores.record_quality("tagged", *args).alias("tagged"),
         F.round(scores.notability(c("area"), c("population"), c("wikipedia"), c("has_photo"), c("map_type"), F.when(c("type") == "sea", "island")), 6).alias("notability"), top["metres"].alias("metres"), top["confidence"].alias("height"),
     )
