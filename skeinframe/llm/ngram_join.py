@@ -36,7 +36,7 @@ from .common import durable, prepare_workers, release, sliced, text_or_empty
 #: Documents up to which a token is rare; entries of a key beyond which they are taken as one family without looking at bitmaps.
 RARE, HOT = 8, 512
 #: Tokens of a block of sets; documents of a chunk in which heavy tokens are looked for; words whose hashes a worker keeps.
-BLOCK_TOKENS, CHUNK_DOCS, KEPT_WORDS = 1_000_000, 2048, 1_000_000
+BLOCK_TOKENS, CHUNK_DOCS, KEPT_WORDS = 1_000_000, 2048, 250_000
 #: Bits of a set's parity bitmap, and of that of a set of LONG tokens or more.
 BITS, LONG_BITS, LONG = 512, 2048, 2000
 
@@ -117,6 +117,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
             region = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), region], ["row", "doc_id", "n", "digest", "bits", "region"])
+        _hash_of.clear()  # workers live on, and later stages need the room
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, bits binary, region array<bigint>"), "sketches")
@@ -368,6 +369,7 @@ def verified_parts(families: DataFrame, distinct: DataFrame, texts: DataFrame, w
         for batch in sliced(batches):
             found = [shingles(t.as_py(), width).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "tokens"])
+        _hash_of.clear()
 
     again = texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, digest binary, tokens binary")
     # rows that repeat an id and a text would come as often as they are repeated

@@ -27,7 +27,7 @@ from .common import id_crc, prepare_workers, sliced
 #: The bounded sample that voters and classifier are fitted on: rows of each label, and characters of a text.
 ROWS_EACH, CHARS_EACH = 4000, 20_000
 #: Word beginnings, in letters; lexicon voters; features of the classifier; words a worker keeps the features of.
-BEGINNINGS, VOTERS, FEATURES, KEPT_WORDS = (4, 5, 6), 120, 1000, 400_000
+BEGINNINGS, VOTERS, FEATURES, KEPT_WORDS = (4, 5, 6), 120, 1000, 150_000
 #: One word in so many is dense.
 DENSE = 200
 #: Lexicon words in a thousand words: steps that are features of the classifier; the step from which a voter calls a row toxic, and that below which one calls it clean.
