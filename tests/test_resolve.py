@@ -63,14 +63,15 @@ def test_first_evidence_and_agreement(spark):
 
 
 def test_longest_alias(spark):
-    t = spark.createDataFrame([(1, "CalMac Ferries to Mull"), (2, "nobody")], "id int, body string")
-    a = spark.createDataFrame([("calmac", "c"), ("CalMac Ferries", "cf")], "alias string, owner string")
+    t = spark.createDataFrame([(1, "Calvan Ferries to Orran"), (2, "nobody")], "id int, body string")
+    a = spark.createDataFrame([("calvan", "c"), ("Calvan Ferries", "cf")], "alias string, owner string")
     assert {r.id: r.owner for r in evidence.longest_alias(t, a, "id", "body").collect()} == {1: "cf"}
 
 
 def test_interest_scores(spark):
-    items = spark.createDataFrame([("a", "unusual-news", "King crowned", "", None, True), ("a", "unusual-news", "plain", "", None, False), ("a", "island-books", "x", "a novel", None, False), ("b", "film-art-music", "in the musicbrainz area", "", "film", False)], "place string, slug string, title string, summary string, facet string, pictured boolean")
-    places = spark.createDataFrame([("a", 1.0, True), ("b", 9000.0, False), ("c", None, False)], "place string, area double, has_image boolean")
+    rows = [(1, "a", "unusual-news", "King crowned", "", None, "subject"), (2, "a", "unusual-news", "plain", "", None, None), (3, "a", "island-books", "x", "a novel", None, None), (4, "b", "film-art-music", "in the musicbrainz area", "", "film", None)]
+    items = spark.createDataFrame(rows, "item int, place string, slug string, title string, summary string, facet string, picture string")
+    places = spark.createDataFrame([("a", "Ay", "sea", 1.0, 5, None, True), ("b", "Bee", "sea", 9000.0, None, None, False), ("c", "", "lake", None, None, None, False)], "place string, name string, type string, area double, population int, elevation double, has_image boolean")
     got = {(r.place, r.slug): r.score for r in interest.place_scores(items, places).collect()}
     assert got == {("a", "unusual-news"): pytest.approx(36.75), ("a", "island-books"): pytest.approx(3.07), ("b", "film-art-music"): pytest.approx(1.0)}
     rank = {r.place: r.score for r in interest.atlas_ranking(items, places).collect()}
