@@ -21,7 +21,7 @@ sets, the larger one's tokens that the other lacks are fewer than p.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -101,26 +101,25 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(tokens & (width - 1), minlength=width) & 1).astype(bool)).tobytes()
 
 
-def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """row, doc_id, n, digest of the set, its bitmap and its region."""
-    extra = extra_of(width)
+def sketches(docs: DataFrame, width: int, marks_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """row, doc_id, n, digest of the set, its bitmap and its marks (int64 numbers that ``marks_of`` takes from the set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ns, digests, bits, regions = [], [], [], []
+            ns, digests, bits, marks = [], [], [], []
             for t in batch.column("text"):
                 s = shingles(t.as_py(), width)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bits.append(bitmap(s))
-                regions.append(s[: sizes_of(len(s), percent, extra)[0]] if len(s) else s)
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
-            region = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), region], ["row", "doc_id", "n", "digest", "bits", "region"])
+                marks.append(marks_of(s) if len(s) else s)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in marks])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], ["row", "doc_id", "n", "digest", "bits", "marks"])
         _hash_of.clear()  # workers live on, and later stages need the room
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, bits binary, region array<bigint>"), "sketches")
+    return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, bits binary, marks array<bigint>"), "sketches")
 
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +131,7 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, n = [], 0
     for batch in batches:
-        held.append(batch.column("region").flatten().to_numpy())
+        held.append(batch.column("marks").flatten().to_numpy())
         n += batch.num_rows
         if n >= CHUNK_DOCS:
             yield chunk(held)
@@ -326,10 +325,10 @@ def _edges_of(members: DataFrame, percent: int, joining: bool) -> DataFrame:
 
 
 def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
-    """(row, family) of the sets that may link with another. distinct: row, n, bits and region of distinct sets."""
+    """(row, family) of the sets that may link with another. distinct: row, n, bits and marks (regions) of distinct sets."""
     extra = extra_of(width)
-    heavy = durable(distinct.select("region").mapInArrow(_heavy, "t long").distinct(), "heavy")
-    tokens = distinct.select("row", F.explode("region").alias("t"))
+    heavy = durable(distinct.select("marks").mapInArrow(_heavy, "t long").distinct(), "heavy")
+    tokens = distinct.select("row", F.explode("marks").alias("t"))
     counted = tokens.join(heavy, "t", "left_anti").repartition("t").withColumn("c", F.least(F.count("*").over(Window.partitionBy("t")), F.lit(RARE + 1)).cast("int")).filter("c > 1")
     shared = counted.select("row", "c", "t").unionByName(tokens.join(heavy, "t", "left_semi").select("row", F.lit(RARE + 1).alias("c"), "t"))
     enough = shared.groupBy("row").agg(F.collect_list(F.struct("c", "t")).alias("tokens"))
@@ -347,15 +346,24 @@ def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], ["key", "row", "n", "bits"])
 
     keys = durable(by_row.select("row", "n", "bits", "tokens").mapInArrow(keyed, "key long, row long, n long, bits binary"), "keys")
+    found = families_of(keys, percent)
+    release(keys, heavy)
+    return found
+
+
+def families_of(keys: DataFrame, percent: int) -> DataFrame:
+    """(row, family) of the sets that meet others under a key and may link with them by their bitmaps, closed. keys: a table of (key, row, n, bits)."""
     hot = durable(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("centre")).filter(F.col("m") > HOT).select("key", "centre"), "hot")
     stars = keys.select("key", "row").join(hot, "key").filter("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
     sorted_ = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "row")
     likely = sorted_.mapInArrow(lambda batches: likely_edges(batches, percent), "u long, v long")
     edges = durable(stars.unionByName(likely).distinct(), "likely")
-    release(keys, hot, heavy)
+    release(hot)
     families = components(edges)
     release(edges)
-    return families.select(F.col("node").alias("row"), F.col("component").alias("family"))
+    found = families.select(F.col("node").alias("row"), F.col("component").alias("family"))
+    found._skeinframe_folder = families._skeinframe_folder
+    return found
 
 
 def verified_parts(families: DataFrame, distinct: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -398,28 +406,18 @@ def verified_parts(families: DataFrame, distinct: DataFrame, texts: DataFrame, w
     return parts
 
 
-def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
-
-    Two rows link if 100 * intersection >= percent * union of their sets of
-    ``width``-word sequences. Empty sets (null text, no words) link with nothing.
-    Equal sets link; each distinct set is compared once. A row whose id is null
-    links with nothing and has a null component. Repeated rows each get their
-    result; no rows: none. Very long texts count whole; a worker holds one text's
-    set at a time, of 8 bytes a token. Other columns are not looked at.
-    """
-    spark = docs.sparkSession
-    prepare_workers(spark)
+def set_components(docs: DataFrame, width: int, percent: int, marks_of: Callable[[np.ndarray], np.ndarray], families: Callable[[DataFrame], DataFrame], id_col: str, text: str) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``docs``: equal sets are compared once, ``families`` brings together which of the distinct sets (row, n, bits, marks) may link, and links are confirmed on full sets."""
+    prepare_workers(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    sketch = sketches(picked, width, percent)
+    sketch = sketches(picked, width, marks_of)
     able = sketch.filter("n > 0 and doc_id is not null")
     first = durable(able.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.first("n").alias("n")).select("digest", "n", "f.doc_id", "f.row"), "distinct")
     copies = durable(able.select("row").join(first.select("row"), "row", "left_anti"), "copies")
-    distinct = able.join(copies, "row", "left_anti")
-    families = likely_families(distinct, width, percent)
+    near = families(able.join(copies, "row", "left_anti"))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
-    found = verified_parts(families, first, texts, width, percent)
-    release(families)
+    found = verified_parts(near, first, texts, width, percent)
+    release(near, copies)
     parts = found.select(F.col("node").alias("row"), F.col("component").alias("part"))
     # a table of its own, so that Spark knows its size and a large part is not dealt to one task
     least = durable(parts.join(first.select("row", "doc_id"), "row").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
@@ -428,6 +426,20 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
+
+    Two rows link if 100 * intersection >= percent * union of their sets of
+    ``width``-word sequences. Empty sets (null text, no words) link with nothing.
+    Equal sets link; each distinct set is compared once. A row whose id is null
+    links with nothing and has a null component. Repeated rows each get their
+    result; no rows: none. Very long texts count whole; a worker holds one text's
+    set at a time, of 8 bytes a token. Other columns are not looked at.
+    """
+    extra = extra_of(width)
+    return set_components(docs, width, percent, lambda s: s[: sizes_of(len(s), percent, extra)[0]], lambda distinct: likely_families(distinct, width, percent), id_col, text)
+
+
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; of repeated rows with that id, all. Rows with a null id stay."""
     found = ngram_components(docs, width, percent, id_col, text).filter("doc_id is not null")

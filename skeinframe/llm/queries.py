@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, language_id, line_quality, ngram_join, packing, pair_bpe, sharding, token_files, toxicity, url_filter
+from . import bitslice, conversation_repair, language_id, line_quality, minmax_dedup, ngram_join, packing, pair_bpe, periodic_runs, sharding, token_files, toxicity, url_filter
 from .common import read_table
 
 
@@ -53,8 +53,28 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), 8)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digests(turns.select("conv_id"), conversation_repair.repair(conversation_repair.damaged(turns)))
+
+
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.minmax_components(read_table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_arrow_token_files, op2_line_frequency_quality, op3_byte_cnn_language, op4_pair_index_bpe, op5_url_redirect_filter, op6_weak_toxicity, op7_ngram_jaccard_join,
+    op8_linear_grouping_packing, op9_bit_sliced_top_k, op10_kd_sharding, op11_periodic_runs, op12_conversation_repair, op13_minmax_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arrow_token_files, op2_line_frequency_quality, op3_byte_cnn_language, op4_pair_index_bpe, op5_url_redirect_filter, op6_weak_toxicity, op7_ngram_jaccard_join, op8_linear_grouping_packing, op9_bit_sliced_top_k, op10_kd_sharding)}
+    return {f.__name__: f for f in ALL}
 
 
 _OP2_SQL = r"""
@@ -102,16 +122,16 @@ SELECT page_id, coalesce(rv.host, '') AS host, coalesce(rv.path, '') AS path, rv
 FROM p0 LEFT JOIN rv ON p0.url = rv.x LEFT JOIN key ON p0.url = key.u LEFT JOIN comp ON key.k = comp.k LEFT JOIN grp ON comp.c = grp.c
 """
 
-_OP7_SQL = r"""
+_NGRAM_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0) q),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width} - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {width} + 1, 1))) AS i FROM d WHERE len(w) > 0) q),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-e AS (SELECT x, y FROM inter JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM inter JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 e2 AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach(a, b) AS (SELECT x, y FROM e2 UNION SELECT reach.a, e2.y FROM reach JOIN e2 ON reach.b = e2.x),
 comp AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(comp.b, d.doc_id)) AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN comp ON d.doc_id = comp.a
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(comp.b, d.doc_id)) AS component_id{more} FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN comp ON d.doc_id = comp.a
 """
 
 _OP9_SQL = """
@@ -123,4 +143,7 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PAR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op7_ngram_jaccard_join": _OP7_SQL, "op9_bit_sliced_top_k": _OP9_SQL}
+    return {
+        "op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op7_ngram_jaccard_join": _NGRAM_SQL.format(width=3, percent=90, more=""), "op9_bit_sliced_top_k": _OP9_SQL,
+        "op13_minmax_dedup": _NGRAM_SQL.format(width=5, percent=85, more=", d.doc_id <= coalesce(comp.b, d.doc_id) AS kept"),
+    }
