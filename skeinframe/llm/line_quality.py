@@ -97,8 +97,16 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", left.alias("n_kept_words"), failed.alias("base_failed"), (~failed & ~((F.col("n_removed_words") > 0) & ((left < least_words) | (left < least_kept * n)))).alias("kept"))
 
 
-def cleaned_texts(docs: DataFrame, common: DataFrame, text: str = "text") -> DataFrame:
-    """Texts without the lines whose (host, h) is in ``common``; for callers that want the cleaned text and not the verdict."""
-    lines = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
-    hashed = lines.withColumn("h", F.xxhash64(_normal(F.col("line"))))
-    return hashed.join(common, ["host", "h"], "left_anti").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def cleaned_texts(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """doc_id and text without the lines whose (host, h) is in ``common``, for each row of ``docs``; for callers that want the cleaned text and not the verdict.
+
+    A text of common lines only, an empty and a null text come back empty. Repeated
+    ids and rows each get their own text, null ids stay null; a null host is a host
+    of its own. Lines stay in order, lines that repeat are treated alike. Empty
+    tables: no rows; other columns are not looked at. Very long texts are shuffled
+    by line, and each is put together in one group.
+    """
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
+    hashed = lines.withColumn("h", F.xxhash64(_normal(F.col("line")))).join(common.select("host", "h", F.lit(True).alias("gone")), ["host", "h"], "left")
+    kept = F.filter(F.sort_array(F.collect_list(F.struct("at", "line", "gone"))), lambda x: x["gone"].isNull())
+    return hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text")).drop("row")

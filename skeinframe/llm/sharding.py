@@ -192,9 +192,15 @@ def _slotted(dealt: DataFrame, rows: int, shards: int, rows_a_bucket: int = 20_0
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text: str = "text") -> None:
-    """Write every row of ``docs`` with all its columns into ``path/shard=K/``. Rows find their shard by id and text, so repeated ids and rows are written as often as they occur."""
-    where = kd_shards(docs, shards, id_col, text).select(F.col("doc_id").alias("_id"), "size", "text_crc32", "shard")
-    one = where.groupBy("_id", "size", "text_crc32").agg(F.min("shard").alias("shard"))
-    whole = text_or_empty(text)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.octet_length(whole) + 1 == F.col("size")) & (F.crc32(whole.cast("binary")) == F.col("text_crc32"))
-    docs.drop("shard").join(one, same).select(*[c for c in docs.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` with all its columns into ``path/shard=K/``.
+
+    Rows find their shard by id and text, so repeated ids and rows are written as
+    often as they occur. A column called ``shard`` gives way to the new one; all
+    other columns stay, whatever they are called. Null ids and texts have their
+    shard too; an empty table writes no rows.
+    """
+    where = kd_shards(docs, shards, id_col, text).groupBy("doc_id", "size", "text_crc32").agg(F.min("shard").alias("shard")).alias("w")
+    d = docs.drop("shard").alias("d")
+    whole = text_or_empty(F.col(f"d.`{text}`"))
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("w.doc_id")) & (F.octet_length(whole) + 1 == F.col("w.size")) & (F.crc32(whole.cast("binary")) == F.col("w.text_crc32"))
+    d.join(where, same).select("d.*", "w.shard").write.partitionBy("shard").parquet(path)
