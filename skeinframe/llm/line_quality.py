@@ -106,7 +106,8 @@ def cleaned_texts(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", te
     tables: no rows; other columns are not looked at. Very long texts are shuffled
     by line, and each is put together in one group.
     """
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    lines = named.select("row", "doc_id", "host", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     hashed = lines.withColumn("h", F.xxhash64(_normal(F.col("line")))).join(common.select("host", "h", F.lit(True).alias("gone")), ["host", "h"], "left")
     kept = F.filter(F.sort_array(F.collect_list(F.struct("at", "line", "gone"))), lambda x: x["gone"].isNull())
     return hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text")).drop("row")
