@@ -56,6 +56,29 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def first_come(edges: DataFrame) -> DataFrame:
+    """(node) of what a walk in order leaves out, if it takes each node that no node taken before conflicts with. edges: (u, v), v comes before u and conflicts with it.
+
+    By rounds: a node without an open edge to an earlier one is taken, its later
+    neighbours are left out, and their edges go with them. There are as many rounds
+    as the longest chain of conflicts needs; each is a table in the shared folder.
+    Repeated edges count once, null ends never; no edges: no rows.
+    """
+    open_ = durable(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "conflicts")
+    lost = None
+    while open_.limit(1).count():
+        waiting = open_.select(F.col("u").alias("v")).distinct()
+        hit = open_.join(waiting, "v", "left_anti").select(F.col("u").alias("node")).distinct()
+        new = durable(hit if lost is None else lost.unionByName(hit), "left-out")
+        gone = new.select(F.col("node").alias("u"))
+        left = open_.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti")
+        left = durable(left, "conflicts")
+        release(open_, *([lost] if lost is not None else []))
+        open_, lost = left, new
+    release(open_)
+    return lost if lost is not None else edges.select(F.col("u").alias("node")).limit(0)
+
+
 def undirected(edges: DataFrame, default: float = 120.0) -> DataFrame:
     """(src, dst, w) both ways; self-loops dropped, unknown weights as ``default``, parallel edges kept."""
     e = edges.filter("src <> dst").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(default)))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.text import name_key
+from .graph import first_come
 from .joins import first_of, within_km
+from .tables import durable
 
 
 def site_update(candidates: DataFrame, places: DataFrame, rocks: DataFrame, include_uncertain: bool = False, near_km: float = 0.5) -> DataFrame:
@@ -18,8 +20,9 @@ def site_update(candidates: DataFrame, places: DataFrame, rocks: DataFrame, incl
     An inland rock is skipped. A match (same map object, same entity, same key
     within 1 km, or any place within ``near_km`` if no review is needed) is merged,
     or kept for review if it is curated. Without one, what needs review waits
-    unless ``include_uncertain``; of candidates with one key within ``near_km``
-    the first is added, the others are duplicates. candidates: candidate, name,
+    unless ``include_uncertain``. The rest are taken in order of their ids: one is
+    a duplicate if one that was added before has its key and lies within
+    ``near_km``, and else is added. candidates: candidate, name,
     lat, lng, map_type, map_id, entity, review; places: place, name, lat, lng,
     map_type, map_id, entity, source; rocks: candidate.
     """
@@ -32,13 +35,14 @@ def site_update(candidates: DataFrame, places: DataFrame, rocks: DataFrame, incl
     close = within_km(rest.select("candidate", "review", "_k", "lat", "lng"), p.select("place", "_pk", "lat", "lng"), max(1.0, near_km))
     named = by(close.filter((F.col("_k") == F.col("_pk")) & (F.col("_k") != "") & (F.col("km") <= 1)), 2)
     loose = by(close.filter(~F.col("review") & (F.col("km") <= near_km)), 3)
-    match = objects.unionByName(entities).unionByName(named).unionByName(loose).groupBy("candidate").agg(F.min(F.struct("_n", "_d", "place"))["place"].alias("place"))
+    match = durable(objects.unionByName(entities).unionByName(named).unionByName(loose).groupBy("candidate").agg(F.min(F.struct("_n", "_d", "place"))["place"].alias("place")), "matches")
     matched = match.join(places.select("place", "source"), "place").select("candidate", F.when(F.col("source") == "curated", "curated match").otherwise("merged").alias("outcome"), "place")
     new = rest.join(match.select("candidate"), "candidate", "left_anti")
     waiting = new.filter(F.col("review")) if not include_uncertain else new.filter(F.lit(False))
     open_ = new.join(waiting.select("candidate"), "candidate", "left_anti").select("candidate", "review", "_k", "lat", "lng")
     twins = within_km(open_.select("candidate", "_k", "lat", "lng"), open_.select(F.col("candidate").alias("_other"), F.col("_k").alias("_ck"), "lat", "lng"), near_km)
-    later = twins.filter((F.col("_other") < F.col("candidate")) & (F.col("_k") == F.col("_ck"))).select("candidate").distinct().withColumn("_later", F.lit(True))
+    clashes = twins.filter((F.col("_other") < F.col("candidate")) & (F.col("_k") == F.col("_ck"))).select(F.col("candidate").alias("u"), F.col("_other").alias("v"))
+    later = first_come(clashes).select(F.col("node").alias("candidate"), F.lit(True).alias("_later"))
     none = F.lit(None).cast(dict(places.dtypes)["place"]).alias("place")
     added = open_.join(later, "candidate", "left").select("candidate", F.when(F.col("_later"), "duplicate").when(F.col("review"), "added unconfirmed").otherwise("added").alias("outcome"), none)
     return skipped.unionByName(matched).unionByName(waiting.select("candidate", F.lit("needs review").alias("outcome"), none)).unionByName(added)

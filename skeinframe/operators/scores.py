@@ -65,9 +65,13 @@ def size_score(area: Column, has_photo: Column) -> Column:
     return 1 + F.least(F.lit(5.0), F.log10(1 + F.coalesce(area, F.lit(0.0)))) + F.when(has_photo, 0.4).otherwise(0.0)
 
 
-def name_lookup_score(name: Column, query: str, area: Column, population: Column) -> Column:
-    """Names for a lookup: the same 100, one begins the other 50 + shorter length, one holds the other 20 + it; plus size. Null: no fit."""
-    n = F.trim(F.regexp_replace(fold(name), r"^(?:the |isle of |island of )", ""))
+def bare_name(name: Column) -> Column:
+    """A folded name without what it may begin with."""
+    return F.trim(F.regexp_replace(fold(name), r"^(?:the |isle of |island of )", ""))
+
+
+def bare_name_score(n: Column, query: str, area: Column, population: Column) -> Column:
+    """Bare names for a lookup: the same 100, one begins the other 50 + shorter length, one holds the other 20 + it; plus size. Null: no fit."""
     q = F.lit(query)
     short = F.least(F.length(n), F.length(q))
     fit = F.when(n == q, F.lit(100)).when(n.startswith(query) | q.startswith(n), 50 + short).when(F.contains(n, q) | F.contains(q, n), 20 + short)

@@ -288,12 +288,16 @@ def all_superlatives(t):
     return superlatives(places(t)).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH a AS (SELECT area FROM {_P} p WHERE id = 10), b AS (SELECT area FROM {_P} p WHERE id = 12) SELECT 'Tolm Island' AS a, a.area AS a_value, 'Isle of Hesker' AS b, b.area AS b_value, round(greatest(a.area, b.area) / least(a.area, b.area), 2) AS ratio FROM a, b")
+def _meant(name: str) -> str:
+    """The place that a name means best, in SQL."""
+    fit = f"CASE WHEN nm = '{name}' THEN 100 WHEN starts_with(nm, '{name}') OR starts_with('{name}', nm) THEN 50 + least(length(nm), {len(name)}) WHEN contains(nm, '{name}') OR contains('{name}', nm) THEN 20 + least(length(nm), {len(name)}) END"
+    return f"(SELECT name, area FROM (SELECT *, trim(regexp_replace(lower(strip_accents(name)), '^(?:the |isle of |island of )', '')) AS nm FROM {_P} x) q WHERE nm <> '' AND (contains(nm, '{name}') OR contains('{name}', nm)) ORDER BY {fit} + least(5.0, log10(1 + coalesce(area, 0))) + least(3.0, log10(1 + CAST(coalesce(population, 0) AS DOUBLE))) DESC, id LIMIT 1)"
+
+
+@query(f"SELECT a.name AS a, a.area AS a_value, b.name AS b, b.area AS b_value, round(greatest(a.area, b.area) / nullif(least(a.area, b.area), 0), 2) AS ratio FROM {_meant('tolm island')} a, {_meant('hesker')} b")
 def compare_two(t):
-    """Two places by name (A-05, J-25)."""
-    p = places(t).filter("id in (10, 12)")
-    q = parse("compare tolm island and isle of hesker", [])
-    return compare(p.withColumn("name", F.when(F.col("id") == 10, "Tolm Island").otherwise("Isle of Hesker")), q.names)
+    """Two places by name, each looked up among all (A-05, J-25)."""
+    return compare(places(t), parse("compare tolm island and isle of hesker", []).names)
 
 
 @query(f"SELECT slug AS category, count(DISTINCT place) AS places, count(*) AS entries FROM {_I} i WHERE status = 'accepted' GROUP BY slug")
@@ -328,29 +332,57 @@ def _doubles(t) -> DataFrame:
     return p.unionByName(copy).withColumn("curated", F.col("source") == "curated")
 
 
-@query(
-    f"""SELECT u, v, reason FROM (SELECT id AS u, id + 1000000 AS v, CASE WHEN map_type IS NOT NULL AND map_id IS NOT NULL AND id % 2 = 0 THEN 'same-osm-object' WHEN coalesce(area, 0) = 0 THEN NULL WHEN id % 5 <> 0 AND 11.11950797 <= greatest(12, 0.08 * 1000 * sqrt(area / pi())) THEN 'same-outline'
- WHEN id % 5 <> 0 AND 11.11950797 <= least(250, greatest(30, 0.35 * 1000 * sqrt(area / pi()))) AND 11.11950797 < 0.8 * 1000 * (sqrt(area / pi()) + sqrt(area * 1.01 / pi())) THEN 'same-name' END AS reason FROM ({_DUP}) d WHERE id % 3 = 0) q WHERE reason IS NOT NULL"""
-)
+def _glued(words) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with(x, '{w}') AND length(x) > {len(w) + 2} THEN '{w}'" for w in words) + " END"
+
+
+_QUALIFIERS = "[" + ", ".join(f"'{w}'" for w in text.QUALIFIERS) + "]"
+_FILLED = "CAST(trim(coalesce({}, '')) <> '' AS INTEGER)"
+#: The rules of pairs, groups and keepers over all records and their doubles.
+_DOUBLES_SQL = rf"""WITH RECURSIVE d AS (SELECT * FROM ({_DUP}) a UNION ALL SELECT id + 1000000, name, nation, area * CASE WHEN id % 5 = 0 THEN 1.5 ELSE 1.01 END, map_type, CASE WHEN id % 2 = 0 THEN map_id ELSE map_id + 1 END, parent, lat + 0.0001, lng, 'discovery', has_photo, wikidata, wikipedia, description FROM ({_DUP}) b WHERE id % 3 = 0),
+ e AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(name)), chr(39), ' '), '\([^)]*\)|[^a-z0-9]+', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM d),
+ f AS (SELECT *, trim(regexp_replace(regexp_replace(plain, '\b(?:{"|".join(text.CORE_DROPS)})\b', ' ', 'g'), '\s+', ' ', 'g')) AS simple FROM e),
+ g AS (SELECT *, list_distinct(list_filter(string_split(simple, ' '), lambda x: x <> '')) AS words FROM f),
+ h AS (SELECT *, list_sort(list_distinct(list_concat(list_filter(words, lambda x: list_contains({_QUALIFIERS}, x)), list_filter(list_transform(words, lambda x: {_glued(text.GLUED)}), lambda x: x IS NOT NULL)))) AS quals, list_filter(words, lambda x: NOT list_contains({_QUALIFIERS}, x)) AS core, 1000 * sqrt(coalesce(area, 0) / pi()) AS r FROM g),
+ near AS (SELECT a.id AS u, b.id AS v, a.nation AS na, b.nation AS nb, coalesce(a.area, 0) AS aa, coalesce(b.area, 0) AS ab, a.r AS ra, b.r AS rb, a.map_type = b.map_type AND a.map_id = b.map_id AS one_object,
+  2000 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) AS m,
+  CASE WHEN a.simple = '' OR b.simple = '' OR a.quals <> b.quals THEN NULL WHEN a.simple = b.simple OR (len(a.core) > 0 AND len(b.core) > 0 AND (list_has_all(b.core, a.core) OR list_has_all(a.core, b.core))) THEN 'exact' WHEN levenshtein(a.simple, b.simple) <= 2 AND least(length(a.simple), length(b.simple)) >= 6 THEN 'close' END AS names
+  FROM h a JOIN h b ON a.id < b.id AND abs(a.lat - b.lat) < 0.005),
+ rated AS (SELECT u, v, CASE WHEN coalesce(one_object, false) THEN 'same-osm-object' WHEN na <> nb AND m > 40 THEN NULL
+  WHEN aa > 0 AND ab > 0 THEN CASE WHEN greatest(aa, ab) / least(aa, ab) <= 1.03 AND m <= CASE WHEN names IS NULL THEN greatest(8, 0.25 * least(ra, rb)) ELSE greatest(12, 0.08 * least(ra, rb)) END THEN 'same-outline'
+   WHEN names = 'exact' AND greatest(aa, ab) / least(aa, ab) <= 1.25 AND m <= least(250, greatest(30, 0.35 * least(ra, rb))) AND m < 0.8 * (ra + rb) THEN 'same-name' WHEN names = 'close' AND greatest(aa, ab) / least(aa, ab) <= 1.08 AND m <= least(120, greatest(20, 0.25 * least(ra, rb))) THEN 'close-name' END
+  WHEN (aa > 0) <> (ab > 0) AND names IS NOT NULL AND NOT (names = 'close' AND m > 30) AND m <= least(80, greatest(35, 0.4 * greatest(ra, rb))) THEN 'point-and-outline' END AS reason FROM near WHERE m <= 500),
+ pairs AS (SELECT * FROM rated WHERE reason IS NOT NULL), both_ways AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs), reach(a, b) AS (SELECT u, v FROM both_ways UNION SELECT reach.a, both_ways.v FROM reach JOIN both_ways ON reach.b = both_ways.u),
+ member AS (SELECT a AS id, min(least(a, b)) AS component FROM reach GROUP BY a), box AS (SELECT component, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e, min(CASE WHEN area > 0 THEN r END) AS r, count(*) FILTER (WHERE source = 'curated') AS c FROM member JOIN h USING (id) GROUP BY component),
+ good AS (SELECT component FROM box WHERE c <= 1 AND 2000 * 6371.0 * asin(sqrt(pow(sin(radians(n - s) / 2), 2) + cos(radians(s)) * cos(radians(n)) * pow(sin(radians(e - w) / 2), 2))) <= greatest(100, 0.45 * coalesce(r, 0))),
+ kept AS (SELECT component, first(id ORDER BY CAST(source = 'curated' AS INTEGER) DESC, CAST(coalesce(area, 0) > 0 AS INTEGER) DESC, {_FILLED.format("wikidata")} DESC, {_FILLED.format("wikipedia")} DESC, CAST(has_photo AS INTEGER) DESC, CAST(coalesce(map_type = 'relation', false) AS INTEGER) DESC, CAST(source IN ('osm', 'curated', 'wikidata') AS INTEGER) DESC, {_FILLED.format("description")} DESC, CAST(source <> 'discovery' AS INTEGER) DESC, id DESC) AS keeper FROM member JOIN h USING (id) WHERE component IN (SELECT component FROM good) GROUP BY component)"""
+
+
+@query(f"{_DOUBLES_SQL} SELECT u, v, reason FROM pairs")
 def duplicate_pairs(t):
     """Pairs of records that are one place, with the reason (G-03, J-10, P-06, P-07)."""
-    return resolve.duplicate_pairs(_doubles(t).filter("id >= 0")).filter("v >= 1000000 and v = u + 1000000")
+    return resolve.duplicate_pairs(_doubles(t))
 
 
-@query(f"SELECT id + 1000000 AS old, id AS new FROM ({_DUP}) d WHERE id % 3 = 0 AND source <> 'discovery' AND (coalesce(area, 0) > 0 OR (map_type IS NOT NULL AND map_id IS NOT NULL AND id % 2 = 0)) AND (id % 5 <> 0 OR (map_type IS NOT NULL AND map_id IS NOT NULL AND id % 2 = 0))")
+@query(f"{_DOUBLES_SQL} SELECT id AS old, keeper AS new FROM member JOIN kept USING (component) WHERE id <> keeper")
 def retired_doubles(t):
     """Ids that give way to their keepers (G-01, G-02, U-05, W-06)."""
-    _, gone = resolve.resolve(_doubles(t))
-    return gone.filter("old = new + 1000000")
+    return resolve.resolve(_doubles(t))[1]
 
 
-@query(f"SELECT id FROM (SELECT id, area FROM {_P} p WHERE id % 4 = 0 AND area > 0) q WHERE id % 8 = 0")
+_CLAIM = "lat + CASE id % 4 WHEN 0 THEN 0.0005 WHEN 1 THEN 0.00001 WHEN 2 THEN 0.0009 ELSE 0.0004 END"
+_OTHERS = f"(SELECT id, lat, lng, area FROM {_P} a UNION ALL SELECT id + 1000000, lat + 0.0005, lng, area * (1 + id % 3 / 2.0) FROM {_P} b)"
+
+
+@query(
+    f"""SELECT DISTINCT c.id FROM (SELECT id, {_CLAIM} AS clat, lat, lng, area FROM {_P} p) c JOIN {_OTHERS} o ON o.id <> c.id AND abs(o.lat - c.clat) < 0.001 WHERE (c.clat - c.lat) * 111.19 > 0.015 AND o.area >= 1.5 * c.area
+ AND 2 * 6371.0 * asin(sqrt(pow(sin(radians(o.lat - c.clat) / 2), 2) + cos(radians(c.clat)) * cos(radians(o.lat)) * pow(sin(radians(o.lng - c.lng) / 2), 2))) <= 0.08"""
+)
 def borrowed_names(t):
     """Names taken from a source point that lies at another, larger place (M-05)."""
-    p = places(t).filter("id % 4 = 0 and area > 0")
-    other = p.filter("id % 8 = 0").select((F.col("id") + 1_000_000).alias("id"), (F.col("lat") + 0.0005).alias("lat"), "lng", (F.col("area") * 2).alias("area"))
-    claims = p.select("id", F.when(F.col("id") % 8 == 0, F.col("lat") + 0.0005).otherwise(F.col("lat") + 0.00001).alias("lat"), "lng")
-    return resolve.borrowed_names(p.select("id", "lat", "lng", "area").unionByName(other), claims)
+    p = places(t).select("id", "lat", "lng", "area")
+    others = p.select((F.col("id") + 1_000_000).alias("id"), (F.col("lat") + 0.0005).alias("lat"), "lng", (F.col("area") * (1 + F.col("id") % 3 / 2.0)).alias("area"))
+    return resolve.borrowed_names(p.unionByName(others), p.select("id", F.expr(_CLAIM).alias("lat"), "lng"))
 
 
 @query(f"SELECT item FROM {_I} i WHERE status = 'accepted' AND item % 4 <> 0 AND slug IN ('unusual-news', 'island-books')")

@@ -138,11 +138,13 @@ def lookup(places: DataFrame, name: str) -> DataFrame:
     """The place that a name means best; without one a misspelt name by edit distance, larger places first. Both kinds are ranked in one pass."""
     n = folded(name)
     most = 2 if len(n) >= 8 else 1
-    fit = scores.name_lookup_score(F.col("name"), n, F.col("area"), F.col("population"))
-    edits = text.banded_distance(text.search_norm(F.col("name")), F.lit(n), most)
-    close = F.when(edits <= most, -edits.cast("double"))
-    rated = places.withColumns({"score": F.coalesce(fit, close), "_second": fit.isNull()}).filter("score is not null")
-    return topk.top(rated, [F.col("_second"), F.desc("score"), F.when(F.col("_second"), F.coalesce("area", F.lit(0.0))).desc(), F.col("id")], 1).drop("_second")
+    spelt = places.withColumns({"_bare": scores.bare_name(F.col("name")), "_norm": text.search_norm(F.col("name"))})
+    spelt = spelt.withColumns({"_fit": scores.bare_name_score(F.col("_bare"), n, F.col("area"), F.col("population")), "_edits": text.banded_distance(F.col("_norm"), F.lit(n), most)})
+    close = F.when(F.col("_edits") <= most, -F.col("_edits").cast("double"))
+    rated = spelt.withColumns({"score": F.coalesce("_fit", close), "_second": F.col("_fit").isNull()})
+    # what fits nothing comes last, and is looked at in the one row that is left: a filter before would be folded into the scan with all of the above
+    best = topk.top(rated, [F.col("_second"), F.desc("score"), F.when(F.col("_second"), F.coalesce("area", F.lit(0.0))).desc(), F.col("id")], 1)
+    return best.filter("score is not null").drop("_second", "_bare", "_norm", "_fit", "_edits")
 
 
 def compare(places: DataFrame, names: Sequence[str], measure: str = "area") -> DataFrame:

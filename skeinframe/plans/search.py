@@ -89,7 +89,7 @@ def unique_paths(t):
 
 @query("SELECT p_partkey, CASE WHEN starts_with(nm, 'blue') OR starts_with('blue', nm) THEN 50 + least(length(nm), 4) ELSE 20 + least(length(nm), 4) END + least(5.0, log10(1 + CAST(p_size AS DOUBLE))) AS score FROM (SELECT *, trim(lower(p_name)) AS nm FROM part) q WHERE nm <> 'blue' AND (contains(nm, 'blue') OR contains('blue', nm))")
 def name_lookup(t):
-    s = scores.name_lookup_score(F.col("p_name"), "blue", F.col("p_size"), F.lit(None))
+    s = scores.bare_name_score(scores.bare_name(F.col("p_name")), "blue", F.col("p_size"), F.lit(None))
     return t("part").select("p_partkey", s.alias("score")).filter("score is not null")
 
 
