@@ -2,7 +2,8 @@
 
 Filters of several widths slide over the UTF-8 bytes; a window keeps each
 filter's maximum, and a softmax over these gives its language. A whole text is
-cut into windows of nearly equal length without gaps, whose log-odds are averaged.
+cut into windows of one length, which are scored in batches; their log-odds are
+averaged.
 """
 
 from __future__ import annotations
@@ -36,63 +37,64 @@ class Network:
         return [np.einsum("be,jef->jbf", self.embed, f).astype(np.float32) for f in self.filters]
 
 
-def _segments(n: int, window: int = WINDOW) -> list[int]:
-    """Starts of the windows of a text of n bytes."""
-    k = max(1, -(-n // window))
-    return [n * i // k for i in range(k)]
+def window_starts(n: int, window: int = WINDOW) -> np.ndarray:
+    """Starts of the windows of a text of n bytes, each of ``window`` bytes: one after the other, and the last one so that it ends with the text. A shorter text has one window."""
+    starts = np.arange(0, max(1, n), window)
+    starts[-1] = max(0, min(starts[-1], n - window))
+    return starts
 
 
 class Scorer:
-    """The network over whole texts. Filters of width 2 and 4 look up pairs of bytes."""
+    """The network over whole texts, BATCH windows of fixed length at a time, however long a text is. Filters of width 2 and 4 look up pairs of bytes."""
+
+    BATCH = 256
 
     def __init__(self, net: Network):
         self.net = net
         t2, t3, t4 = net.tables()
         pair = lambda t, j: np.ascontiguousarray((t[j][:, None, :] + t[j + 1][None, :, :]).reshape(65536, -1))
         self.p2, self.p3, self.p4a, self.p4b, self.t3 = pair(t2, 0), pair(t3, 0), pair(t4, 0), pair(t4, 2), t3[2]
-
-    def log_odds(self, texts: list[bytes], limit: int = 1 << 17) -> np.ndarray:
-        """Mean log-odds of each text's windows, weighted by their bytes: texts x languages. Texts must not be empty."""
-        out = np.zeros((len(texts), len(self.net.langs)))
-        i = 0
-        while i < len(texts):
-            flat, spans, n = [], [], 0
-            while i < len(texts) and (n == 0 or n + len(texts[i]) <= limit):
-                spans.append((i, n, len(texts[i])))
-                flat.append(texts[i] + bytes(4))  # at least one place for each width
-                n += len(flat[-1])
-                i += 1
-            self._part(np.frombuffer(b"".join(flat), np.uint8), spans, out)
-        return out
-
-    def _part(self, x: np.ndarray, spans: list[tuple[int, int, int]], out: np.ndarray) -> None:
-        owner, starts, sizes = [], [], []
-        for doc, at, n in spans:
-            s = _segments(n)
-            owner += [doc] * len(s)
-            starts += [at + k for k in s]
-            sizes += [b - a for a, b in zip(s, [*s[1:], n])]
-        starts, sizes, owner = np.array(starts), np.array(sizes), np.array(owner)
-        text_end = {doc: at + n for doc, at, n in spans}
-        end = np.array([text_end[d] for d in owner])
-        code = (x[:-1].astype(np.uint16) << 8) | x[1:]
+        self.x = np.zeros((self.BATCH, WINDOW), np.uint8)
+        self.sizes, self.owner, self.weight = (np.zeros(self.BATCH, np.int64) for _ in range(3))
+
+    def log_odds(self, texts: list[bytes]) -> np.ndarray:
+        """Mean log-odds of each text's windows, weighted by the bytes that no window before has: texts x languages. Texts must not be empty."""
+        out, held = np.zeros((len(texts), len(self.net.langs))), 0
+        for doc, text in enumerate(texts):
+            raw, done = np.frombuffer(text, np.uint8), 0
+            for start in window_starts(len(raw)).tolist():
+                part = raw[start : start + WINDOW]
+                self.x[held, : len(part)], self.x[held, len(part) :] = part, 0
+                self.sizes[held], self.owner[held], self.weight[held] = len(part), doc, start + len(part) - done
+                done, held = start + len(part), held + 1
+                if held == self.BATCH:
+                    self._add(held, out)
+                    held = 0
+        if held:
+            self._add(held, out)
+        return out / np.array([len(t) for t in texts])[:, None]
+
+    def _add(self, n: int, out: np.ndarray) -> None:
+        x, sizes = self.x[:n], self.sizes[:n]
+        code = (x[:, :-1].astype(np.uint16) << 8) | x[:, 1:]
+        short = np.flatnonzero(sizes < WINDOW)
         found = []
         for w in WIDTHS:
             if w == 2:
                 a = self.p2.take(code, axis=0)
             elif w == 3:
-                a = self.p3.take(code[:-1], axis=0)
-                a += self.t3.take(x[2:], axis=0)
+                a = self.p3.take(code[:, :-1], axis=0)
+                a += self.t3.take(x[:, 2:], axis=0)
             else:
-                a = self.p4a.take(code[:-2], axis=0)
-                a += self.p4b.take(code[2:], axis=0)
-            # a window's places: those that begin in it and end within the text; one at least
-            stop = np.maximum(np.minimum(starts + sizes, end - w + 1), starts + 1)
-            edges = np.stack([starts, np.minimum(stop, len(a) - 1)], axis=1).ravel()
-            found.append(np.maximum.reduceat(a, edges, axis=0)[::2])
+                a = self.p4a.take(code[:, :-2], axis=0)
+                a += self.p4b.take(code[:, 2:], axis=0)
+            # places that begin and end within the text; one at least
+            for i in short.tolist():
+                a[i, max(1, sizes[i] - w + 1) :] = -np.inf
+            found.append(a.max(axis=1))
         net = self.net
         odds = np.maximum(np.concatenate(found, axis=1) + net.bias, 0) @ net.out + net.out_bias
-        np.add.at(out, owner, odds * (sizes / np.maximum(1, np.bincount(owner, sizes, len(out))[owner]))[:, None])
+        np.add.at(out, self.owner[:n], odds * self.weight[:n, None])
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
