@@ -1,23 +1,11 @@
-"""What no built-in expresses, in Arrow batches: matching-block ratio and ring assembly (survey P-28, P-33)."""
+"""What no built-in expresses: ring assembly (survey P-28)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def block_ratio(a: Column, b: Column) -> Column:
-    """Twice the letters in matching blocks by all letters; null with a null side. For pairs that a key has blocked."""
-    return F.pandas_udf(_ratios, T.DoubleType())(a, b)
+from pyspark.sql import DataFrame
 
 
 def _stitch(group: pd.DataFrame) -> Iterator[list[tuple[float, float]]]:

@@ -176,21 +176,16 @@ def place_listing(points: DataFrame, polygons: DataFrame, names: DataFrame, poin
 
 
 def name_cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least_ratio: float = 0.88) -> DataFrame:
-    """(left_id, right_id, tier): by the whole key, by the key with ' island' after it, else the best matching ratio of ``least_ratio`` at least. Both sides: nation and key.
-
-    Only keys of one nation with a first letter in common and lengths that allow
-    the ratio are compared: 2 min / (a + b) is its bound.
-    """
-    from ..functions.grouped import block_ratio
+    """(left_id, right_id, tier): by the whole key, by the key with ' island' after it, else the best matching ratio of ``least_ratio`` at least; of equals the least right id. Both sides: nation and key."""
+    from .spelling import similar_keys
 
     k, other = F.col("_kl"), F.col("_kr")
     l, r = left.select(left_id, "nation", F.col("key").alias("_kl")), right.select(right_id, "nation", F.col("key").alias("_kr"))  # noqa: E741
     exact = tiered_match(l, r, left_id, right_id, [("exact", F.concat_ws("|", "nation", k), F.concat_ws("|", "nation", other), None), ("expanded", F.concat_ws("|", "nation", F.concat(k, F.lit(" island"))), F.concat_ws("|", "nation", other), None)])
-    rest = l.join(exact.select(left_id), left_id, "left_anti").withColumn("_f", F.substring(k, 1, 1))
-    a, b = F.length(k), F.length(other)
-    pairs = rest.join(r.withColumn("_f", F.substring(other, 1, 1)), ["nation", "_f"]).filter((a > 0) & (2 * F.least(a, b) >= least_ratio * (a + b)))
-    rated = pairs.select(left_id, right_id, block_ratio(k, other).alias("_q")).filter(F.col("_q") >= least_ratio)
-    best = rated.groupBy(left_id).agg(F.min(F.struct((-F.col("_q")).alias("q"), right_id)).alias("m"))
+    rest = l.join(exact.select(left_id), left_id, "left_anti")
+    near = similar_keys(rest.select("nation", k.alias("key")), right, "nation", "key", least_ratio)
+    rated = rest.join(near.withColumnsRenamed({"left_key": "_kl", "right_key": "_kr"}), ["nation", "_kl"]).join(r, ["nation", "_kr"])
+    best = rated.groupBy(left_id).agg(F.min(F.struct((-F.col("ratio")).alias("q"), right_id)).alias("m"))
     return exact.unionByName(best.select(left_id, f"m.{right_id}", F.lit("fuzzy").alias("tier")))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ferries, filters, imports, inland, joins
-from .base import PLACES_SQL, places, word
+from ..operators import ferries, filters, imports, inland, joins, spelling
+from ..operators.tables import durable
+from .base import PLACES, PLACES_SQL, places, word
 from .registry import plain, query
 
 _P = PLACES_SQL
@@ -226,16 +227,50 @@ def fuzzy_names(t):
     return joins.fuzzy_name(targets, places(t), "target", "id")
 
 
+#: Matching blocks in SQL over pairs (x, y): the longest common run as 1000 * length - place, and then the rest on both sides.
+_RUN = "list_max(flatten(list_transform(range(1, length({x}) + 1), lambda i: list_transform(range(1, length({x}) - i + 2), lambda n: CASE WHEN contains({y}, substr({x}, i, n)) THEN n * 1000 - i ELSE -1 END))))"
+_BLOCKS = f"""blocks(a, b, x, y, v) AS (SELECT a, b, a, b, {_RUN.format(x="a", y="b")} FROM spelt UNION ALL SELECT a, b, e.x, e.y, {_RUN.format(x="e.x", y="e.y")} FROM (SELECT a, b, unnest([{{'x': substr(x, 1, i - 1), 'y': substr(y, 1, strpos(y, substr(x, i, n)) - 1)}}, {{'x': substr(x, i + n), 'y': substr(y, strpos(y, substr(x, i, n)) + n)}}]) AS e
+  FROM (SELECT *, CAST(ceil(v / 1000.0) AS BIGINT) AS n, CAST(ceil(v / 1000.0) AS BIGINT) * 1000 - v AS i FROM blocks WHERE v > 0) q) r WHERE e.x <> '' AND e.y <> ''),
+ ratios AS (SELECT a, b, 2.0 * sum(CASE WHEN v > 0 THEN CAST(ceil(v / 1000.0) AS BIGINT) ELSE 0 END) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b)"""
+#: A name with a letter left out (the first too), doubled or changed.
+_MISSPELT = "CASE id % 5 WHEN 0 THEN substr({k}, 1, id % 7) || substr({k}, id % 7 + 2) WHEN 1 THEN substr({k}, 1, id % 6 + 1) || substr({k}, id % 6 + 1) WHEN 2 THEN substr({k}, 1, id % 8) || 'q' || substr({k}, id % 8 + 2) WHEN 3 THEN {k} || ' island' ELSE {k} END"
+
+
 @query(
-    rf"""WITH p AS (SELECT id, nation, {_INLAND_KEY.format('name')} AS k FROM {_P} x), l AS (SELECT id, nation, CASE id % 3 WHEN 0 THEN k WHEN 1 THEN k || ' great' ELSE 'zz' END AS k FROM p WHERE k <> ''), r AS (SELECT id + 100000 AS rid, nation, CASE WHEN id % 2 = 0 THEN k ELSE k || ' island' END AS k FROM p WHERE k <> ''),
- a AS (SELECT id, min(rid) AS rid FROM l JOIN r ON l.nation = r.nation AND l.k = r.k GROUP BY id), b AS (SELECT id, min(rid) AS rid FROM l JOIN r ON l.nation = r.nation AND l.k || ' island' = r.k WHERE id NOT IN (SELECT id FROM a) GROUP BY id) SELECT *, 'exact' AS tier FROM a UNION ALL SELECT *, 'expanded' FROM b"""
+    rf"""WITH RECURSIVE p AS (SELECT id, nation, {_INLAND_KEY.format('name')} AS k FROM {_P} x), l AS (SELECT id, nation, {_MISSPELT.format(k="k")} AS k FROM p WHERE k <> ''), r AS (SELECT id + 100000 AS rid, nation, CASE WHEN id % 2 = 0 THEN k ELSE k || ' island' END AS k FROM p WHERE k <> ''),
+ a AS (SELECT id, min(rid) AS rid FROM l JOIN r ON l.nation = r.nation AND l.k = r.k GROUP BY id), b AS (SELECT id, min(rid) AS rid FROM l JOIN r ON l.nation = r.nation AND l.k || ' island' = r.k WHERE id NOT IN (SELECT id FROM a) GROUP BY id),
+ rest AS (SELECT * FROM l WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b)), spelt AS (SELECT DISTINCT l.k AS a, r.k AS b FROM rest l JOIN r ON l.nation = r.nation), {_BLOCKS}
+ SELECT *, 'exact' AS tier FROM a UNION ALL SELECT *, 'expanded' FROM b UNION ALL SELECT id, first(rid ORDER BY ratio DESC, rid), 'fuzzy' FROM rest l JOIN r ON l.nation = r.nation JOIN ratios q ON q.a = l.k AND q.b = r.k WHERE ratio >= 0.88 GROUP BY id"""
 )
 def name_cascade(t):
-    """Names within a nation: whole, with island after it (J-07; the fuzzy tier has its own test)."""
-    p = places(t).select("id", "nation", text.name_key_variant(F.col("name"), "inland").alias("k")).filter("k <> ''")
-    left = p.select("id", "nation", F.when(F.col("id") % 3 == 0, F.col("k")).when(F.col("id") % 3 == 1, F.concat("k", F.lit(" great"))).otherwise("zz").alias("key"))
+    """Names within a nation: whole, with island after it, and by spelling (J-07)."""
+    p = durable(places(t).select("id", "nation", text.name_key_variant(F.col("name"), "inland").alias("k")), "keys").filter("k <> ''")
+    left = p.select("id", "nation", F.expr(_MISSPELT.format(k="k")).alias("key"))
     right = p.select((F.col("id") + 100000).alias("rid"), "nation", F.when(F.col("id") % 2 == 0, F.col("k")).otherwise(F.concat("k", F.lit(" island"))).alias("key"))
-    return joins.name_cascade(left, right, "id", "rid").filter("tier <> 'fuzzy'")
+    return joins.name_cascade(left, right, "id", "rid")
+
+
+_EDGES = r"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '\([^)]*\)', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')), '^(?:the |isles? of |island of )', ''), '\s+(?:islands?|isles?)$', '')"
+_LISTED_SQL = f"SELECT id AS listing, {_MISSPELT.format(k='name')} AS name, nation, CASE WHEN id % 29 = 0 THEN 'near the Old Quay' WHEN id % 31 = 0 THEN 'in Quay Bay' ELSE 'for sale' END AS blob, CASE WHEN id % 4 = 0 THEN NULL ELSE lat + 0.2 END AS lat, lng FROM ({PLACES}) p WHERE name <> ''"
+_LISTED = plain(_LISTED_SQL)
+
+
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT id AS place, name, nation, coalesce(area, 0) AS area, lat, lng, {_EDGES.format("name")} AS k FROM {_P} x), l AS (SELECT *, {_EDGES.format("name")} AS k FROM ({_LISTED}) x),
+ hint AS (SELECT listing, first(place ORDER BY o) AS place FROM l JOIN (VALUES (1, 'old quay', 3), (2, 'quay', 6), (3, 'quay', 7)) h(o, word, place) ON contains(lower(blob), word) JOIN p USING (place) WHERE p.nation = l.nation GROUP BY listing),
+ alias AS (SELECT listing, min(p.place) AS place FROM l JOIN p ON p.nation = l.nation AND l.k = 'tolm' AND p.place % 50 = 1 WHERE listing NOT IN (SELECT listing FROM hint) GROUP BY listing),
+ pick AS (SELECT l.listing, p.place, l.k AS lk, p.k AS pk, p.nation, CASE WHEN l.lat IS NULL THEN NULL ELSE 2 * 6371.0 * asin(sqrt(pow(sin(radians(p.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lng - l.lng) / 2), 2))) END AS km, p.area, length(p.name) AS long FROM l JOIN p ON l.nation = p.nation WHERE p.k <> '' AND listing NOT IN (SELECT listing FROM hint UNION SELECT listing FROM alias)),
+ exact AS (SELECT listing, first(place ORDER BY km, -area, -long, place) AS place, count(*) AS n FROM pick WHERE lk = pk GROUP BY listing), longer AS (SELECT listing, first(place ORDER BY km, -area, -long, place) AS place FROM pick WHERE lk || ' island' = pk AND listing NOT IN (SELECT listing FROM exact) GROUP BY listing),
+ rest AS (SELECT * FROM pick WHERE listing NOT IN (SELECT listing FROM exact UNION SELECT listing FROM longer)), spelt AS (SELECT DISTINCT lk AS a, pk AS b FROM rest), {_BLOCKS},
+ near AS (SELECT DISTINCT rest.nation, a, b, ratio FROM rest JOIN ratios ON lk = a AND pk = b WHERE ratio >= 0.88), best AS (SELECT nation, a, first(b ORDER BY ratio DESC, b) AS b, max(ratio) AS ratio FROM near GROUP BY nation, a),
+ fuzzy AS (SELECT listing, first(place ORDER BY km, -area, -long, place) AS place, max(ratio) AS ratio FROM rest JOIN best ON rest.nation = best.nation AND lk = a AND pk = b GROUP BY listing)
+ SELECT listing, place, 'high' AS confidence, 'hint' AS method FROM hint UNION ALL SELECT listing, place, 'high', 'alias' FROM alias UNION ALL SELECT listing, place, CASE WHEN n = 1 THEN 'high' ELSE 'medium' END, 'exact' FROM exact UNION ALL SELECT listing, place, 'high', 'suffix-island' FROM longer UNION ALL SELECT listing, place, CASE WHEN ratio >= 0.97 THEN 'high' WHEN ratio >= 0.92 THEN 'medium' ELSE 'low' END, 'fuzzy' FROM fuzzy"""
+)
+def listing_places(t):
+    """Listings matched to places by hints, aliases, keys and spelling, with confidences (J-07, P-33)."""
+    p = durable(places(t).select(F.col("id").alias("place"), "name", "nation", "area", "lat", "lng", F.lit(None).cast("array<string>").alias("names")), "places")
+    aliases = p.filter("place % 50 = 1").select(F.lit("tolm").alias("key"), "nation", "place")
+    return spelling.listing_matches(t.sql(_LISTED_SQL), p, [("(?i)old quay", 3), ("(?i)quay", 6), ("(?i)quay", 7)], aliases)
 
 
 @query(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinframe.functions.geo import shoelace
-from skeinframe.functions.grouped import assemble_rings, block_ratio
+from skeinframe.functions.grouped import assemble_rings
 from skeinframe.operators import evidence, interest, resolve
 
 PLACE = "id string, name string, nation string, area double, map_type string, map_id long, parent string, lat double, lng double, curated boolean, wikidata string, wikipedia string, has_photo boolean, source string, description string"
@@ -80,9 +80,8 @@ def test_interest_scores(spark):
     assert rank["c"] == pytest.approx(-3)
 
 
-def test_rings_and_ratio(spark):
+def test_rings(spark):
     seg = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     df = spark.createDataFrame([("a", 0, seg((0, 0), (1, 0))), ("a", 1, seg((1, 1), (1, 0))), ("a", 2, seg((1, 1), (0, 1), (0, 0))), ("a", 3, seg((5, 5), (6, 6)))], "k string, ord int, segment array<struct<x:double,y:double>>")
     rows = assemble_rings(df, "k").select(shoelace(F.col("ring")).alias("area")).collect()
     assert [r.area for r in rows] == [1.0]
-    assert spark.range(1).select(block_ratio(F.lit("abcd"), F.lit("bcde"))).first()[0] == pytest.approx(0.75)
