@@ -89,8 +89,3 @@ def salvaged_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple
     wide = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
     df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
     return df.filter("_broken is null").drop("_broken"), df.filter("_broken is not null").select("_broken")
-
-
-def gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The six tables of an unpacked feed, as text."""
-    return {t: spark.read.csv(f"{folder}/{t}.txt", header=True) for t in ("agency", "routes", "trips", "stops", "stop_times", "calendar")}
