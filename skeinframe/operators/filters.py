@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..functions.sentences import FEATURES
 from ..functions.text import fold, search_norm
 
 
@@ -140,23 +141,25 @@ def elevation_known(elevation: Column, confidence: Column) -> Column:
     return (elevation.isNotNull() & ~F.isnan(elevation.cast("double"))) | (confidence.isNotNull() & (confidence != "n/a"))
 
 
-# Words that stand for a feature
-FEATURE_WORDS = {"castle": ("castle", "fort", "tower"), "lighthouse": ("lighthouse", "light"), "wildlife": ("puffin", "seal", "seabird"), "walkable": ("causeway", "walk")}
+#: Features that a place has by a list of its own, besides words for it.
+LISTED = {"mountain": "hills", "lighthouse": "lighthouses", "wildlife": "colonies", "bridge": "causeways", "causeway": "causeways", "walkable": "causeways"}
 
 
-def has_feature(feature: str, haystack: Column, c=F.col) -> Column:
-    """Whether a place has a feature: by its own field where it has one, else by a word for it in its text."""
-    from ..functions.text import whole_word
+def has_feature(feature: str, haystack: Column, c=F.col, columns: Sequence[str] = (), words: Mapping[str, Sequence[str]] = FEATURES) -> Column:
+    """Whether a place has a feature: by its own field where it has one, else by a list of such things (where ``columns`` names its column), or a whole word for it in its text."""
+    from ..functions.text import search_norm
 
-    words = F.lit(False)
-    for w in FEATURE_WORDS.get(feature, (feature,)):
-        words = words | whole_word(haystack, F.lit(w))
+    # the text is folded once, and has a space before and behind each word
+    told_ = F.concat(F.lit(" "), search_norm(haystack), F.lit(" "))
+    said = F.exists(F.array(*(search_norm(F.lit(w)) for w in words.get(feature, (feature,)) if len(w) >= 3)), lambda w: F.contains(told_, F.concat(F.lit(" "), w, F.lit(" "))))
+    if LISTED.get(feature) in columns:
+        said = said | F.coalesce(F.size(c(LISTED[feature])) > 0, F.lit(False))
     plain = {
         "inhabited": F.coalesce(c("population") > 0, F.lit(False)), "uninhabited": F.coalesce(c("population"), F.lit(0)) == 0,
         "tidal": c("subtype").eqNullSafe("tidal") | F.coalesce(c("tidal"), F.lit(False)), "photo": F.coalesce(c("has_photo"), F.lit(False)), "forsale": F.coalesce(c("for_sale"), F.lit(False)), "ferry": F.coalesce(c("ferry"), F.lit(False)),
-        "mountain": F.coalesce(c("elevation") >= 500, F.lit(False)) | words,
+        "mountain": F.coalesce(c("elevation") >= 500, F.lit(False)) | said,
     }
-    return plain.get(feature, words)
+    return plain.get(feature, said)
 
 
 def in_remit(lat: Column, lng: Column, box: tuple[float, float, float, float], nations) -> Column:

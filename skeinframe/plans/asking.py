@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geo import haversine_km
+from ..functions.sentences import PLACES, Dictionaries, near_places, with_facets
 from ..operators import filters, joins, resolve, scores, topk
+from ..operators.tables import durable
 from .base import ITEMS_SQL, PLACES_SQL, items, places
 from .questions import collections, compare, folded, lookup, parse
 from .registry import query
@@ -43,11 +45,16 @@ class Ask:
     ferry: bool = False
     ferry_kind: str | None = None
     ferry_season: str | None = None
+    ferry_operator: str | None = None
+    ferry_port: str | None = None
     tags: Mapping[str, Sequence[str]] | None = None
     features: tuple[str, ...] = ()
     words: tuple[str, ...] = ()
     sort: tuple[str, bool] | None = None
     name: str | None = None
+    #: rows that are asked for, and places that a misspelt one may mean
+    limit: int | None = None
+    suggestions: tuple[str, ...] = ()
 
     def broad(self) -> bool:
         """Whether it would list nearly everything."""
@@ -60,7 +67,7 @@ class Ask:
 
 
 def question_score(q: Ask, haystack: Column) -> Column:
-    """A place's score for a question, or null if a hard facet fails. Columns: id, name, nation, type, subtype, archipelago, area, population, has_photo, elevation, source, confidence, water, lat, lng, tags, description, wikipedia, and of its routes ferry_n, ferry_kinds, ferry_seasons."""
+    """A place's score for a question, or null if a hard facet fails. Columns: id, name, nation, type, subtype, archipelago, area, population, has_photo, elevation, source, confidence, water, lat, lng, tags, description, wikipedia, and of its routes ferry_n, ferry_kinds, ferry_seasons, ferry_operators, ferry_ports."""
     c, yes = F.col, lambda t: F.coalesce(t, F.lit(False))
     area, people = F.coalesce(c("area"), F.lit(0.0)), F.coalesce(c("population"), F.lit(0))
     hard: list[Column] = []
@@ -100,6 +107,10 @@ def question_score(q: Ask, haystack: Column) -> Column:
             hard.append(F.array_contains("ferry_kinds", q.ferry_kind))
         if q.ferry_season:
             hard.append(F.array_contains("ferry_seasons", q.ferry_season))
+        if q.ferry_operator:
+            hard.append(F.exists("ferry_operators", lambda x: F.contains(F.lower(x), F.lit(q.ferry_operator))))
+        if q.ferry_port:
+            hard.append(F.exists("ferry_ports", lambda x: F.contains(F.lower(x), F.lit(q.ferry_port))))
         score = score + 6 + F.least(F.lit(4), c("ferry_n")) + plus(F.array_contains("ferry_kinds", "car-and-foot"), 1) + plus(F.array_contains("ferry_seasons", "year-round"), 1)
     for tag, synonyms in (q.tags or {}).items():
         hits = sum((F.contains(haystack, F.lit(w)).cast("int") for w in synonyms), F.lit(0))
@@ -132,8 +143,11 @@ def question_score(q: Ask, haystack: Column) -> Column:
 
 
 def search_asked(df: DataFrame, q: Ask, limit: int, haystack: Column) -> DataFrame:
-    """The places that answer a question best: scored, in order (by the sort if there is one, without rows that lack it), cut where they get irrelevant; a misspelt name if nothing fits."""
-    hits = df.withColumn("score", question_score(q, haystack)).filter("score > 0")
+    """The places that answer a question best: scored, in order (by the sort if there is one, without rows that lack it), cut where they get irrelevant; a misspelt name if nothing fits. A question that nearly every place answers is refused."""
+    if q.broad():
+        raise ValueError("too broad: ask for a feature, a place, a size or an order as well")
+    # scored once; the lead and the rest are taken from the hits
+    hits = durable(df.withColumn("score", question_score(q, haystack)).filter("score > 0"), "hits")
     order = [F.desc("score"), F.lower("name"), F.col("id")]
     if q.sort:
         by, down = q.sort
@@ -147,6 +161,54 @@ def search_asked(df: DataFrame, q: Ask, limit: int, haystack: Column) -> DataFra
     return found
 
 
+def place_named(places: DataFrame, name: str) -> DataFrame:
+    """The place of a name: the same 100, or one begins the other 40, plus its size on a log scale; without an article or 'isle of'. Names of 3 letters and more."""
+    target = " ".join(w for w in re.sub(r"\b(?:the|isle of|island of)\b", " ", folded(name)).split())
+    if len(target) < 3:
+        return places.limit(0)
+    bare = places.withColumn("_bare", text.squeeze(F.regexp_replace(text.fold(F.col("name")), r"\b(?:the|isle of|island of)\b", " ")))
+    n, t = F.col("_bare"), F.lit(target)
+    fit = F.when(n == t, 100).when(n.startswith(target) | (t.startswith(n) & (F.length(n) >= 4)), 40)
+    rated = bare.withColumn("_fit", F.when(n != "", fit + F.least(F.lit(8.0), F.log10(1 + F.coalesce("area", F.lit(0.0))))))
+    return topk.top(rated, [F.desc("_fit"), F.col("id")], 1).filter("_fit is not null").drop("_bare", "_fit")
+
+
+def asked(places: DataFrame, sentence: str, words: Dictionaries | None = None, gazetteer: Mapping[str, tuple[float, float]] = PLACES) -> Ask:
+    """What one sentence asks for. A place that it is near to is one of the gazetteer by name or as the only one that begins so, else a place of ``places``, which is then left out; else known ones are suggested. One row comes to the driver, and at most one place."""
+    spark = places.sparkSession
+    one = with_facets(spark.createDataFrame([(0, sentence)], "n int, sentence string"), "sentence", words)
+    row = one.first()
+    near, suggestions = None, ()
+    if row["near"]:
+        known = spark.createDataFrame([(k, *v) for k, v in gazetteer.items()], "place string, lat double, lng double")
+        hit = near_places(one.select("n", "near"), "n", known).first()
+        if hit is not None:
+            near = (hit["lat"], hit["lng"], row["near_km"], None)
+        else:
+            starting = sorted(k for k in gazetteer if folded(k).startswith(row["near"])) if len(row["near"]) >= 4 else []
+            island = place_named(places.filter("lat is not null and lng is not null"), row["near"]).first() if not starting else None
+            if island is not None:
+                near = (island["lat"], island["lng"], row["near_km"], island["id"])
+            else:
+                suggestions = tuple(starting[:3]) or tuple(r["place"] for r in suggestions_for(one.select(F.col("near").alias("target")), known, "target", "place").orderBy("rank").collect())
+    d = words or Dictionaries()
+    q = Ask(
+        nations=tuple(row["nations"]), types=tuple(row["types"]), subtypes=tuple(row["subtypes"]), archipelagos=tuple(row["archipelagos"]), min_area=row["min_area"], max_area=row["max_area"], photo=row["photo"], elevation=row["elevation"], curated=row["curated"], sure=row["sure"], recommend=row["recommend"], water=row["water"],
+        near=near, ferry=row["ferry"], ferry_kind=row["ferry_kind"], ferry_season=row["ferry_season"], ferry_operator=row["ferry_operator"], ferry_port=row["ferry_port"], tags={k: d.tags[k] for k in row["tags"]} or None, features=tuple(row["features"]), words=tuple(row["words"]), sort=(row["sort"], row["descending"]) if row["sort"] else None,
+        limit=(row["recommend_n"] or 8) if row["recommend"] else None, suggestions=suggestions,
+    )
+    scoped = q.features or q.near or suggestions or q.nations or q.water or q.archipelagos or q.recommend or q.ferry or q.types or q.subtypes or q.sort
+    if not scoped and 4 <= len(sentence.strip()) <= 48 and 0 < len(q.words) <= 4:
+        q.name = sentence.strip()
+    return q
+
+
+def answered(places: DataFrame, sentence: str, haystack: Column, words: Dictionaries | None = None, limit: int = 4, gazetteer: Mapping[str, tuple[float, float]] = PLACES) -> DataFrame:
+    """The places that answer a sentence: what it asks for, scored, in order, and cut where they get irrelevant. A recommendation has as many as are asked for, or 8."""
+    q = asked(places, sentence, words, gazetteer)
+    return search_asked(places, q, q.limit or limit, haystack)
+
+
 def water_in_question(sentence: str) -> str | None:
     """The water that a question names: 'in Loch Varn', 'on Lough Tolm'; not a mere kind of island."""
     m = re.search(r"\b(?:in|on|around|of|from) ((?:loch|lough|lake|llyn|river) [a-z][a-z'-]{1,24}(?: [a-z][a-z'-]{1,24}){0,2})", folded(sentence))
@@ -156,7 +218,7 @@ def water_in_question(sentence: str) -> str | None:
     return phrase if phrase and not re.fullmatch(r"(?:loch|lough|lake|llyn|river)(?: (?:isle|isles))?", phrase) else None
 
 
-def suggested_places(targets: DataFrame, gazetteer: DataFrame, target: str, place: str, most: int = 3) -> DataFrame:
+def suggestions_for(targets: DataFrame, gazetteer: DataFrame, target: str, place: str, most: int = 3) -> DataFrame:
     """(target, place, edits, rank): known places for a misspelt one, within two edits, or one of which begins the other (counted as one edit at most). Both are short lists of names; targets of 3 letters and more."""
     near = joins.small(gazetteer.select(place, text.fold(F.col(place)).alias("_g")))
     t = targets.select(target, text.fold(F.col(target)).alias("_t")).filter(F.length("_t") >= 3)
@@ -220,7 +282,7 @@ def _word(w: str, c: str = "hay") -> str:
 
 @query(
     f"""SELECT id, round(CAST(6 + 6 + CASE WHEN tagged THEN 7 ELSE 3 + least(3, CAST(contains(hay, 'castle') AS INTEGER) + CAST(contains(hay, 'fort') AS INTEGER)) END + 3 + 6 + least(4, ferry_n) + CASE WHEN by_car THEN 1 ELSE 0 END + CASE WHEN all_year THEN 1 ELSE 0 END + {_REST} AS DOUBLE), 6) AS score
- FROM {_FROM} WHERE nation IN ('NATION_3', 'NATION_4', 'NATION_5', 'NATION_6', 'NATION_7') AND type IN ('sea', 'lake') AND ferry_n > 0 AND (tagged OR contains(hay, 'castle') OR contains(hay, 'fort')) AND ({_word('lighthouse')} OR {_word('light')}) AND coalesce(area, 0) >= 1"""
+ FROM {_FROM} WHERE nation IN ('NATION_3', 'NATION_4', 'NATION_5', 'NATION_6', 'NATION_7') AND type IN ('sea', 'lake') AND ferry_n > 0 AND (tagged OR contains(hay, 'castle') OR contains(hay, 'fort')) AND ({_word('lighthouse')} OR {_word('beacon')}) AND coalesce(area, 0) >= 1"""
 )
 def question_scores(t):
     """Scores of every place for a question of facets, ferries, tags and features (R-02)."""
@@ -245,7 +307,7 @@ def question_recommended(t):
     return search_asked(_asked(t), q, 8, _hay()).select("id", F.round("score", 6).alias("score"))
 
 
-@query(_cut(f"SELECT id, area, CAST(6 + 3 + {_REST} AS DOUBLE) AS score FROM {_FROM} WHERE type = 'lake' AND ({_word('castle')} OR {_word('fort')} OR {_word('tower')}) AND has_photo AND NOT coalesce(confidence = 'unconfirmed', false) AND area > 0", "area DESC, id", 7, 0.65, 12))
+@query(_cut(f"SELECT id, area, CAST(6 + 3 + {_REST} AS DOUBLE) AS score FROM {_FROM} WHERE type = 'lake' AND ({_word('castle')} OR {_word('fortress')} OR {_word('tower house')} OR {_word('keep')}) AND has_photo AND NOT coalesce(confidence = 'unconfirmed', false) AND area > 0", "area DESC, id", 7, 0.65, 12))
 def question_sorted(t):
     """The largest with a castle, in order of size (Q-08, W-05)."""
     q = Ask(types=("lake",), features=("castle",), photo=True, sure=True, sort=("area", True))
@@ -269,10 +331,10 @@ def question_misspelt(t):
     """SELECT target, place, edits, rank FROM (SELECT target, place, edits, CAST(row_number() OVER (PARTITION BY target ORDER BY edits, place) AS INTEGER) AS rank FROM (SELECT target, n_name AS place, CAST(CASE WHEN starts_with(lower(n_name), target) OR starts_with(target, lower(n_name)) THEN least(levenshtein(target, lower(n_name)), 1) ELSE levenshtein(target, lower(n_name)) END AS INTEGER) AS edits
  FROM nation, (VALUES ('nation_1'), ('nativn_12'), ('nowhere'), ('ation_7')) v(target)) q WHERE edits <= 2) r WHERE rank <= 3"""
 )
-def suggested_places(t, _plain=suggested_places):
+def suggested_places(t):
     """Known places for misspelt ones (J-27, Q-05)."""
     words = t("region").filter("r_regionkey = 0").select(F.explode(F.array(*map(F.lit, ("nation_1", "nativn_12", "nowhere", "ation_7")))).alias("target"))
-    return _plain(words, t("nation").select(F.col("n_name").alias("place")), "target", "place").select("target", "place", "edits", "rank")
+    return suggestions_for(words, t("nation").select(F.col("n_name").alias("place")), "target", "place").select("target", "place", "edits", "rank")
 
 
 def _sup(which: str, value: str, known: str, down: bool) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, parse, text
+from ..functions.sentences import FEATURES
 from ..operators import filters
 from .base import PLACES_SQL, places
 from .registry import query
@@ -141,8 +142,8 @@ def polygon_areas(t):
 
 
 @query(
-    f"""SELECT id, trim(coalesce(description, '')) <> '' OR trim(coalesce(history, '')) <> '' AS told, elevation IS NOT NULL OR (confidence IS NOT NULL AND confidence <> 'n/a') AS height, coalesce(population, 0) = 0 AS empty, coalesce(subtype = 'tidal', false) OR tidal AS tidal_place, coalesce(elevation >= 500, false) OR contains(' ' || hay || ' ', ' mountain ') AS mountain,
- contains(' ' || hay || ' ', ' castle ') OR contains(' ' || hay || ' ', ' fort ') OR contains(' ' || hay || ' ', ' tower ') AS castle, contains(' ' || hay || ' ', ' lighthouse ') OR contains(' ' || hay || ' ', ' light ') AS lighthouse FROM (SELECT *, trim(regexp_replace(lower(coalesce(description, '')), '[^a-z0-9]+', ' ', 'g')) AS hay FROM {_P} p) q"""
+    f"""SELECT id, trim(coalesce(description, '')) <> '' OR trim(coalesce(history, '')) <> '' AS told, elevation IS NOT NULL OR (confidence IS NOT NULL AND confidence <> 'n/a') AS height, coalesce(population, 0) = 0 AS empty, coalesce(subtype = 'tidal', false) OR tidal AS tidal_place, coalesce(elevation >= 500, false) OR regexp_matches(hay, '\\b(?:{"|".join(FEATURES["mountain"]).replace("ben ", "ben")})\\b') AS mountain,
+ regexp_matches(hay, '\\b(?:{"|".join(FEATURES["castle"])})\\b') AS castle, regexp_matches(hay, '\\b(?:{"|".join(FEATURES["lighthouse"])})\\b') AS lighthouse FROM (SELECT *, trim(regexp_replace(lower(coalesce(description, '')), '[^a-z0-9]+', ' ', 'g')) AS hay FROM {_P} p) q"""
 )
 def feature_flags(t):
     """What a place has: text, a height, people, tides, mountains and words for features (F-06, F-11, F-12, F-25)."""
