@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, filters, photos, stories
-from .base import ITEMS_SQL, PLACES_SQL, items, places
-from .registry import query
+from ..operators import evidence, filters, photos, placing, stories
+from ..operators.tables import durable
+from .base import ITEMS, ITEMS_SQL, PLACES, PLACES_SQL, items, places
+from .registry import plain, query
 
 _P, _I = PLACES_SQL, ITEMS_SQL
 
@@ -279,3 +280,36 @@ def operators_by_alias(t):
     texts = t("orders").select("o_orderkey", F.when(k % 4 == 0, "run by cal").when(k % 4 == 1, "run by Cal Ferries Ltd").otherwise("nobody").alias("body"))
     aliases = t("region").filter("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "Cal").otherwise("CAL ferries").alias("alias"), F.when(F.col("r_regionkey") == 0, "CalA").otherwise("Long").alias("owner"))
     return evidence.longest_alias(texts, aliases, "o_orderkey", "body")
+
+
+#: Castles near places, told of in several ways; a sentence a line.
+_CASTLES = f"""SELECT item AS record, CASE item % 5 WHEN 0 THEN w || ' Castle' WHEN 1 THEN 'The Castle of ' || w WHEN 2 THEN 'Old House' WHEN 3 THEN 'High Tower' ELSE 'Old Castle' END AS title,
+ CASE item % 7 WHEN 0 THEN 'It is a castle on the shore of ' || w WHEN 1 THEN 'It is a castle' || chr(10) || 'It looks to the Sound of ' || w WHEN 2 THEN 'It is a castle on a small island' WHEN 3 THEN CAST(NULL AS VARCHAR(90)) WHEN 4 THEN 'It is a ruined castle on ' || w || chr(10) || 'Another stood on Tolm' WHEN 5 THEN 'It is a broch on ' || w ELSE 'A wall' END AS extract,
+ CASE WHEN item % 11 = 0 THEN 'Tower House' ELSE '' END AS kind, CASE WHEN item % 3 = 0 THEN 'stands on ' || w ELSE '' END AS context, CASE WHEN item % 19 = 0 THEN NULL ELSE lat + 0.02 * (item % 4) END AS lat, lng, CASE WHEN item % 6 = 0 THEN wikidata END AS entity FROM ({ITEMS}) i JOIN ({PLACES}) p ON i.place = p.id"""
+
+
+def _set(text: str) -> str:
+    bad = f"{placing.WATER_OF}|{placing.OFF}|{placing.VIEW}"
+    return f"len(list_filter(string_split({text}, chr(10)), lambda s: regexp_matches(regexp_replace(s, '(?:{bad})(?:' || p || ')\\b', ' # ', 'g'), '(?:{placing.PLACED})\\b(?:' || p || ')\\b|\\b(?:' || p || ') (?:castle|island|islet)\\b'))) > 0"
+
+
+_HIT = "2 * 6371.0 * asin(sqrt(pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lng - r.lng) / 2), 2)))"
+
+
+@query(
+    f"""WITH r AS (SELECT *, lower(title) AS t, lower(coalesce(extract, '')) AS e, lower(title || chr(10) || coalesce(extract, '')) AS te, list_aggregate(list_slice(string_split(lower(coalesce(extract, '')), chr(10)), 1, 3), 'string_agg', ' ') AS head FROM ({plain(_CASTLES)}) x),
+ c AS (SELECT *, CASE WHEN regexp_matches(t, '\\bhouse\\b') AND NOT regexp_matches(t, '\\btower house\\b') THEN false WHEN regexp_matches(coalesce(head, ''), '{placing.LEAD_CASTLE}') THEN true WHEN regexp_matches(coalesce(head, ''), '{placing.LEAD_OTHER}') THEN false ELSE lower(kind) = 'tower house' OR regexp_matches(t, '{placing.CASTLE}') END AS castle FROM r),
+ p AS (SELECT id, lower(w) AS p, coalesce(area, 0) AS area, lat, lng, wikidata, CASE WHEN coalesce(area, 0) > 0 THEN greatest(0.35, 1.45 * sqrt(area / pi())) ELSE 0.4 END AS radius FROM {_P} x WHERE coalesce(area, 0) <= 8000),
+ f AS (SELECT r.record, id, {_HIT} AS km, p.area, radius, p.area >= 8 AND regexp_matches(te, '{placing.OWN_ISLET}') AS denied, coalesce(r.entity = p.wikidata, false) AS declared, {_set("te")} AS named, regexp_matches(t, '\\b(?:' || p || ')\\b') AS titled, {_set("e")} AS told, {_set("lower(context)")} AS listed, e, extract FROM c r JOIN p ON abs(p.lat - r.lat) < 0.8 AND {_HIT} <= radius),
+ h AS (SELECT record, min(id) FILTER (WHERE declared AND NOT denied) AS d1, count(*) FILTER (WHERE named) AS n2, first(id ORDER BY area, km, id) FILTER (WHERE named) AS f2, first(denied ORDER BY area, km, id) FILTER (WHERE named) AS x2, first(id ORDER BY area, km, id) FILTER (WHERE named AND area < 8) AS s2,
+  count(*) FILTER (WHERE titled AND km <= greatest(1.5, radius * 0.95)) AS n3, first(id ORDER BY km, area, id) FILTER (WHERE titled AND km <= greatest(1.5, radius * 0.95) AND NOT denied) AS f3, count(*) FILTER (WHERE area < 8 AND km <= greatest(0.8, least(radius, 1.2)) AND (titled OR told OR (e = '' AND listed))) AS n4, first(id) FILTER (WHERE area < 8 AND km <= greatest(0.8, least(radius, 1.2)) AND (titled OR told OR (e = '' AND listed))) AS f4,
+  list(km ORDER BY km, area, id) FILTER (WHERE area < 8 AND km <= greatest(0.8, least(radius, 1.2))) AS k4, first(id ORDER BY km, area, id) FILTER (WHERE area < 8 AND km <= greatest(0.8, least(radius, 1.2))) AS a4, bool_or(regexp_matches(e, '{placing.SAYS_ISLAND}')) AS says, first(id ORDER BY km, area, id) FILTER (WHERE area >= 8 AND NOT denied AND listed AND km <= radius * 0.7) AS f5 FROM f GROUP BY record),
+ j AS (SELECT c.record, c.lat, castle, h.record AS hit, d1, CASE WHEN n2 > 1 THEN CASE WHEN x2 THEN s2 ELSE f2 END WHEN n2 = 1 AND NOT x2 THEN f2 END AS t2, CASE WHEN n3 = 1 THEN f3 END AS t3, CASE WHEN n4 = 1 THEN f4 WHEN says AND (len(k4) = 1 OR k4[1] + 0.2 < k4[2]) THEN a4 END AS t4, f5, coalesce(d1 IS NULL AND n2 > 1 AND x2 AND s2 IS NULL, false) AS lost FROM c LEFT JOIN h ON c.record = h.record)
+ SELECT record, CASE WHEN hit IS NOT NULL AND castle THEN CASE WHEN lost THEN NULL ELSE coalesce(d1, t2, t3, t4, f5) END END AS place, CASE WHEN lat IS NULL THEN 'no coordinates' WHEN hit IS NULL THEN 'not on a known place' WHEN NOT castle THEN 'no castle' WHEN d1 IS NOT NULL THEN '{placing.REASONS[1]}' WHEN t2 IS NOT NULL THEN '{placing.REASONS[2]}' WHEN lost THEN 'the text puts it on a smaller place'
+  WHEN t3 IS NOT NULL THEN '{placing.REASONS[3]}' WHEN t4 IS NOT NULL THEN '{placing.REASONS[4]}' WHEN f5 IS NOT NULL THEN '{placing.REASONS[5]}' ELSE 'no source names one place' END AS reason FROM j"""
+)
+def castle_records(t):
+    """Castles on one of the places around them, by ordered evidence (X-06, X-05)."""
+    records = durable(t.sql(_CASTLES), "records").withColumn("declared", F.when(F.col("entity").isNotNull(), F.array("entity")))
+    p = durable(places(t).select(F.col("id").alias("place"), F.col("w").alias("name"), "area", "lat", "lng", F.col("wikidata").alias("entity")), "places")
+    return placing.castle_places(records, p)
