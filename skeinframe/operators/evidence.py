@@ -37,21 +37,6 @@ def location_sentence(body: Column, name: Column) -> Column:
     return (x != "") & F.exists(F.split(F.coalesce(body, F.lit("")), r"[.\n]"), says)
 
 
-def setting_match(docs: DataFrame, aliases: DataFrame, doc_id: str, body: str, phrases: Sequence[str], lead: int = 3) -> DataFrame:
-    """(doc_id, place): the place whose alias stands in a setting phrase, by the longest alias; a tie closer than ``lead`` letters names none. aliases: alias, place.
-
-    Aliases are found by the words after a phrase, as an equi-join on the first word.
-    """
-    t = docs.select(F.col(doc_id), F.concat(F.lit(" "), search_norm(F.col(body)), F.lit(" ")).alias("_t"))
-    tail = F.explode(F.flatten(F.array(*(F.regexp_extract_all("_t", F.lit(rf" {p} (?:the )?(?=((?:\S+ ){{1,5}}))"), F.lit(1)) for p in phrases)))).alias("_s")
-    a = aliases.select(search_norm(F.col("alias")).alias("_a"), "place").filter("_a <> ''").withColumn("_w", F.substring_index("_a", " ", 1))
-    hit = t.select(doc_id, tail).withColumn("_w", F.substring_index("_s", " ", 1)).join(a, "_w").filter(F.col("_s").startswith(F.concat("_a", F.lit(" "))))
-    best = hit.groupBy(doc_id, "place").agg(F.max(F.length("_a")).alias("n"))
-    ranked = best.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("n", "place")), False).alias("r"))
-    second = F.coalesce(F.get("r", F.lit(1))["n"], F.lit(-lead))
-    return ranked.filter(F.get("r", F.lit(0))["n"] - second >= lead).select(doc_id, F.get("r", F.lit(0))["place"].alias("place"))
-
-
 def in_reach(points: DataFrame, places: DataFrame, point_id: str, place_id: str, factor: float = 1.45, unknown_km: float = 0.4, most_km: float = 75.0) -> DataFrame:
     """(point_id, place_id, km) of places whose equal-area circle, widened by ``factor``, holds a point; those without an area reach ``unknown_km``.
 

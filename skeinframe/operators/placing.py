@@ -132,3 +132,115 @@ def castle_places(records: DataFrame, places: DataFrame, most_area: float = 8000
     reason = reason.when(elsewhere, "the text puts it on a smaller place").otherwise("no source names one place")
     placed = F.when(hs.isNotNull() & castle, F.coalesce(*tiers))
     return judged.select("record", placed.cast(kinds["place"]).alias("place"), reason.alias("reason"))
+
+
+_KIND = "remote|small|tiny|little|rocky|distant|northern|southern|western|eastern|outer|inner|main|largest|wild|lonely|uninhabited"
+_ISLE, _ISLES = "(?:isle of |island of )?", "(?:isle of |island of |islands of )?"
+# How a sentence sets a book on a place ({n}), and what rules a setting out
+SETTINGS = (
+    rf"\bset (?:mainly |largely |mostly |partly |primarily |briefly )?(?:on|in|at|upon) (?:the )?(?:(?:{_KIND}|nearby|neighbouring|neighboring|scottish|irish|welsh|occupied) )?{_ISLES}{{n}}\b",
+    rf"\btakes place (?:mainly |largely |mostly |partly )?(?:on|in|at) (?:the )?(?:(?:{_KIND}|weather-beaten)(?: and (?:remote|small|tiny|little|rocky|weather-beaten))? )?{_ISLES}{{n}}\b",
+    rf"\b(?:shipwrecked|marooned|stranded) on (?:the )?{_ISLE}{{n}}\b",
+    rf"\b(?:life|childhood|youth|years|time|stay) (?:living |spent )?(?:on|in) (?:the )?{_ISLE}{{n}}\b",
+    rf"\bgrew up (?:on|in) (?:the )?{_ISLE}{{n}}\b",
+    rf"\baccount of (?:(?:his|her|their) )?(?:life|years|time|stay|visit|journey) (?:on|in|to) (?:the )?{_ISLES}{{n}}\b",
+    rf"\b(?:describes|recounts) (?:his|her|their) (?:time|stay|life|years) (?:on|in) (?:the )?{_ISLE}{{n}}\b",
+    rf"\bdescribes (?:his|her|their) visit (?:on|in) (?:the )?{_ISLE}{{n}}\b",
+    rf"\b(?:live|lives) on (?:the )?{_ISLES}{{n}}\b",
+    rf"\b(?:held|wash(?:ed)? ashore) on (?:the )?{_ISLE}{{n}}\b",
+    rf"\barrives? in (?:the )?{_ISLE}{{n}}\b",
+    r"\bturn the (?:isle|island) of {n} into\b",
+    rf"\b(?:story|novel|book|memoir) begins on (?:the )?{_ISLE}{{n}}\b",
+    r"\b(?:returns|sails|goes|comes|travels|travelled|journeys) to the (?:isle|island) of {n}\b",
+    r"(?<!\w){n}(?!\w).{{0,90}}\bsetting\b",
+    r"\bsetting\b.{{0,70}}(?<!\w){n}(?!\w)",
+)
+TO_THE_ISLE = r"\bto the (?:[\w'-]+ ){{0,2}}(?:isle|island) of {n}\b"
+COMPARED = r"\b(?:comparisons?|compared to|in popular culture)\b"
+INSPIRED = r"\b(?:inspired by|based on|loosely based|modell?ed on|thought to be based|filmed on|shot on|patterned after|draws on)\b"
+SET_ON = rf"\bset (?:on|in|at|upon) (?:the )?{_ISLE}{{n}}\b"
+LOOSE = r"\b(?:set|takes place|setting) (?:on|in|at|upon)\b"
+#: Letters from which a name may stand anywhere in a sentence that sets something somewhere; letters before a name in which 'fictional' rules it out.
+LONG_NAME, FICTIONAL = 8, 55
+#: Letters by which a longer name wins; what a token of context and a hint add; how much larger a place must be.
+LEAD, CONTEXT, HINT, LARGER = 3, 3, 5, 5.0
+
+
+def _with_name(pattern: str, name: Column) -> Column:
+    """A pattern with a (quoted) name in place of {n}."""
+    parts = pattern.replace("{{", "{").replace("}}", "}").split("{n}")
+    out = [F.lit(parts[0])]
+    for p in parts[1:]:
+        out += [name, F.lit(p)]
+    return F.concat(*out)
+
+
+def sets_on(sentence: Column, alias: Column) -> Column:
+    """Whether a folded sentence sets a book on a place of that folded name; not in a comparison, of someone who used to live there, of a fictional place, or if the place only inspired it."""
+    n = escape_pattern(alias)
+    found = F.regexp_like(sentence, F.concat(F.lit("(?:"), F.concat_ws("|", *(_with_name(p, n) for p in SETTINGS)), F.lit(")")))
+    to_it = ~sentence.rlike(r"\bdedicated to\b") & F.regexp_like(sentence, _with_name(TO_THE_ISLE, n))
+    loose = (F.length(alias) >= LONG_NAME) & sentence.rlike(LOOSE)
+    at = F.position(alias, sentence)
+    ahead = F.substring(sentence, F.greatest(F.lit(1), at - FICTIONAL), F.least(F.lit(FICTIONAL), at - 1))
+    out = sentence.rlike(COMPARED) | F.regexp_like(sentence, _with_name(r"\bused to live\b.{{0,30}}(?<!\w){n}(?!\w)", n)) | F.contains(ahead, F.lit("fictional"))
+    whole = F.regexp_like(sentence, _with_name(r"(?<!\w){n}(?!\w)", n))
+    return whole & ~out & (found | to_it | loose) & (~sentence.rlike(INSPIRED) | F.regexp_like(sentence, _with_name(SET_ON, n)))
+
+
+def _word_runs(words: Column, counts: list[int]) -> Column:
+    starts = lambda k: F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+    runs = [_runs(words, starts(k), k) for k in counts]
+    return F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<string>")
+
+
+def _runs(words: Column, starts: Column, k: int) -> Column:
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
+
+def book_places(docs: DataFrame, aliases: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, n, place, alias): the place on which sentence n of a book's text is set, for the sentences that name one.
+
+    Aliases meet sentences over runs of as many words as some alias has, an
+    equi-join; then the sentence must set something there. Names of groups give way
+    to names of places in them. Of several places those whose names are within two
+    letters of the longest remain; each token of a place's context that stands in the
+    sentence adds 3 letters, the place that the text is hinted at 5. A lead of 3
+    letters decides, else an area five times as large (and 1 km2 larger), else that
+    only one has an area, else that they are one entity of which one is curated.
+
+    docs: doc, body, hint (place); aliases: alias, place, is_group, not_in (a phrase
+    in which the alias means something else); places: place, area, context (array),
+    entity, curated. Null texts have no sentences, null aliases match nothing;
+    repeated aliases count once. Of equal leads nothing is named.
+    """
+    from ..functions.text import search_norm
+
+    a = aliases.select(fold(F.trim("alias")).alias("_a"), "place", F.coalesce("is_group", F.lit(False)).alias("group"), fold(F.col("not_in")).alias("not_in")).filter("_a <> ''").dropDuplicates(["_a", "place"]).withColumn("_r", search_norm(F.col("_a"))).filter("_r <> ''")
+    counts = sorted(r[0] for r in a.select(F.size(F.split("_r", " "))).distinct().collect())  # numbers of words in names
+    s = docs.select("doc", "hint", F.posexplode(sentences(fold(F.col("body")))).alias("n", "_s")).withColumn("_s", squeeze(F.col("_s"))).filter("_s <> ''")
+    met = s.withColumn("_r", F.explode(_word_runs(F.split(search_norm(F.col("_s")), " "), counts))).join(a, "_r")
+    met = met.filter(((F.col("not_in") == "") | ~F.contains("_s", F.col("not_in"))) & sets_on(F.col("_s"), F.col("_a")))
+    known = places.select("place", F.coalesce("area", F.lit(0.0)).alias("area"), F.filter(F.transform(F.coalesce("context", F.array().cast("array<string>")), fold), lambda t: F.length(t) >= 4).alias("_t"), "entity", F.coalesce("curated", F.lit(False)).alias("curated"))
+    bonus = CONTEXT * F.size(F.filter(F.array_distinct("_t"), lambda t: F.contains(F.col("_s"), t))) + F.when(F.coalesce(F.col("hint") == F.col("place"), F.lit(False)), HINT).otherwise(0)
+    rated = met.join(known, "place").select("doc", "n", F.struct(F.length("_a").alias("score"), bonus.alias("bonus"), "area", "place", F.col("_a").alias("alias"), "group", "entity", "curated").alias("h"))
+    # of a place's aliases the longest
+    one = rated.groupBy("doc", "n", "h.place").agg(F.max("h").alias("h"))
+    sets = one.groupBy("doc", "n").agg(F.collect_list("h").alias("hits"))
+    alone = F.filter("hits", lambda h: ~h["group"])
+    sets = sets.withColumn("hits", F.when(F.size(alone) > 0, alone).otherwise(F.col("hits")))
+    best = F.array_max(F.transform("hits", lambda h: h["score"]))
+    near = sets.select("doc", "n", F.filter("hits", lambda h: h["score"] >= best - (LEAD - 1)).alias("near"))
+    ranked = near.select("doc", "n", F.sort_array(F.transform("near", lambda h: F.struct((h["score"] + h["bonus"]).alias("points"), h["area"].alias("area"), h["place"].alias("place"), h["alias"].alias("alias"), h["entity"].alias("entity"), h["curated"].alias("curated"))), False).alias("r"))
+    first, second = F.col("r")[0], F.get("r", F.lit(1))
+    sized = F.filter("r", lambda h: h["area"] > 0)
+    entities = F.array_distinct(F.filter(F.transform("r", lambda h: h["entity"]), lambda e: e.isNotNull()))
+    chosen_ones = F.filter("r", lambda h: h["curated"])
+    choice = (
+        F.when(F.size("r") == 1, first)
+        .when(first["points"] >= second["points"] + LEAD, first)
+        .when((first["area"] > F.greatest(second["area"], F.lit(0.01)) * LARGER) & (first["area"] >= second["area"] + 1), first)
+        .when(F.size(sized) == 1, F.get(sized, F.lit(0)))
+        .when((F.size(entities) == 1) & (F.size(chosen_ones) == 1), F.get(chosen_ones, F.lit(0)))
+    )
+    return ranked.select("doc", "n", choice.alias("c")).filter("c is not null").select("doc", "n", "c.place", "c.alias")

@@ -242,18 +242,6 @@ def location_sentences(t):
     return i.select("item", evidence.location_sentence(body, w).alias("located"), evidence.mentions(body, w).alias("mentioned"))
 
 
-@query(
-    f"""SELECT item, CASE WHEN item % 3 = 0 THEN 'P1' ELSE 'P2' END AS place FROM (SELECT item FROM {_I} i WHERE item % 4 <> 3) q WHERE item % 4 <> 2"""
-)
-def book_settings(t):
-    """Places that a setting phrase names (X-14)."""
-    k = F.col("item")
-    name = F.when(k % 3 == 0, "Great Orran").otherwise("Fiala")
-    body = F.when(k % 4 == 2, F.concat(F.lit("A tale like that of "), name)).when(k % 4 == 3, "A tale of nowhere").otherwise(F.concat(F.lit("A novel set on the "), name, F.lit(" of old.")))
-    aliases = t("region").filter("r_regionkey < 3").select(F.when(F.col("r_regionkey") == 0, "Great Orran").when(F.col("r_regionkey") == 1, "Fiala").otherwise("Tolm").alias("alias"), F.concat(F.lit("P"), F.col("r_regionkey") + 1).alias("place"))
-    return evidence.setting_match(items(t).select("item", body.alias("body")), aliases, "item", "body", ["set on", "set in"])
-
-
 @query(
     f"""WITH p AS (SELECT DISTINCT item, phrase, place FROM (SELECT item, 'a' || (item % 5) AS phrase, place % 4 AS place FROM {_I} i UNION ALL SELECT item, 'bb' || (item % 7), (place + item % 2) % 4 FROM {_I} i) q WHERE phrase NOT IN ('a0', 'bb1')) SELECT item, min(place) AS place, first(phrase ORDER BY length(phrase) DESC, phrase DESC) AS phrase FROM p GROUP BY item HAVING count(DISTINCT place) = 1"""
 )
@@ -313,3 +301,33 @@ def castle_records(t):
     records = durable(t.sql(_CASTLES), "records").withColumn("declared", F.when(F.col("entity").isNotNull(), F.array("entity")))
     p = durable(places(t).select(F.col("id").alias("place"), F.col("w").alias("name"), "area", "lat", "lng", F.col("wikidata").alias("entity")), "places")
     return placing.castle_places(records, p)
+
+
+#: Books that tell of two places each, in a sentence.
+_BOOKS = f"""SELECT item AS doc, item % 4 AS k, CASE item % 14 WHEN 0 THEN 'A novel set on the remote isle of ' || w WHEN 1 THEN 'It takes place mainly in ' || w WHEN 2 THEN 'A memoir of her childhood on ' || w WHEN 3 THEN 'It has comparisons with a book set on ' || w WHEN 4 THEN 'A story of a fictional rock, set on ' || w
+ WHEN 5 THEN 'He used to live on ' || w || ', and it is set on ' || w WHEN 6 THEN 'Inspired by a voyage to the isle of ' || w WHEN 7 THEN 'Inspired by a song, it is set on ' || w WHEN 8 THEN w || ' is the setting of the novel' WHEN 9 THEN 'A guide to the birds of ' || w
+ WHEN 10 THEN 'She grew up on ' || w || ' in ' || nation WHEN 11 THEN CAST(NULL AS VARCHAR(90)) WHEN 12 THEN 'Set on a far shore, it ends at Great ' || w ELSE 'He arrives in ' || w || ' of the Outer Isles' END AS body, CASE WHEN item % 9 = 0 THEN place END AS hint FROM ({ITEMS}) i JOIN ({PLACES}) p ON i.place = p.id"""
+#: Three places a name, and longer names of some of them.
+_NAMED = f"SELECT w AS alias, id AS place FROM ({PLACES}) a WHERE id BETWEEN 1 AND 24 UNION ALL SELECT 'Great ' || w, id FROM ({PLACES}) b WHERE id BETWEEN 1 AND 12"
+
+
+def _rule(pattern: str) -> str:
+    return "'" + pattern.replace("{{", "{").replace("}}", "}").replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace("'", "''").replace("{n}", "' || a || '") + "'"
+
+
+@query(
+    f"""WITH d AS (SELECT doc, hint, lower(body) AS s FROM ({plain(_BOOKS)}) x WHERE body IS NOT NULL), n AS (SELECT DISTINCT lower(alias) AS a, place FROM ({plain(_NAMED)}) x),
+ m AS (SELECT doc, hint, s, a, place FROM d JOIN n ON contains(s, a) WHERE regexp_matches(s, '\\b' || a || '\\b') AND NOT regexp_matches(s, '{placing.COMPARED}') AND NOT regexp_matches(s, '\\bused to live\\b.{{0,30}}\\b' || a || '\\b') AND NOT contains(substr(s, greatest(1, strpos(s, a) - 55), least(55, strpos(s, a) - 1)), 'fictional')
+  AND ({" OR ".join(f"regexp_matches(s, {_rule(p)})" for p in (*placing.SETTINGS, placing.TO_THE_ISLE))} OR (length(a) >= 8 AND regexp_matches(s, '{placing.LOOSE}'))) AND (NOT regexp_matches(s, '{placing.INSPIRED}') OR regexp_matches(s, {_rule(placing.SET_ON)}))),
+ o AS (SELECT doc, place, first(a ORDER BY length(a) DESC, a DESC) AS a, any_value(s) AS s, any_value(hint) AS hint FROM m GROUP BY doc, place),
+ r AS (SELECT doc, o.place, a, length(a) AS score, length(a) + 3 * len(list_filter(list_distinct([lower(nation), lower(coalesce(archipelago, ''))]), lambda t: length(t) >= 4 AND contains(s, t))) + CASE WHEN coalesce(hint = o.place, false) THEN 5 ELSE 0 END AS points, coalesce(area, 0) AS area FROM o JOIN {_P} p ON p.id = o.place),
+ k AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc) AS c, lead(points) OVER w AS p2, lead(area) OVER w AS a2, count(*) FILTER (WHERE area > 0) OVER (PARTITION BY doc) AS sized FROM (SELECT *, max(score) OVER (PARTITION BY doc) AS best FROM r) q WHERE score >= best - 2 WINDOW w AS (PARTITION BY doc ORDER BY points DESC, area DESC, place DESC)),
+ f AS (SELECT doc, CASE WHEN c = 1 OR points >= p2 + 3 OR (area > greatest(a2, 0.01) * 5 AND area >= a2 + 1) THEN place END AS place, sized FROM k WHERE i = 1)
+ SELECT f.doc, coalesce(f.place, CASE WHEN f.sized = 1 THEN g.place END) AS place FROM f LEFT JOIN (SELECT doc, min(place) FILTER (WHERE area > 0) AS place FROM k GROUP BY doc) g ON f.doc = g.doc WHERE coalesce(f.place, CASE WHEN f.sized = 1 THEN g.place END) IS NOT NULL"""
+)
+def book_settings(t):
+    """Places on which sentences set books, one of several by length, context, hint and size (X-14)."""
+    docs = durable(t.sql(_BOOKS), "books").select("doc", "body", "hint")
+    aliases = t.sql(_NAMED).select("alias", "place", F.lit(False).alias("is_group"), F.lit(None).cast("string").alias("not_in"))
+    p = durable(places(t).select(F.col("id").alias("place"), "area", F.array("nation", "archipelago").alias("context"), F.lit(None).cast("string").alias("entity"), F.lit(False).alias("curated")), "places")
+    return placing.book_places(docs, durable(aliases, "aliases"), p).select("doc", "place")

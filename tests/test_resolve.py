@@ -40,13 +40,6 @@ def test_location_sentences(spark):
     assert spark.range(1).select(evidence.mentions(F.lit("isle of jura festival"), name)).first()[0]
 
 
-def test_setting_needs_a_lead(spark):
-    docs = spark.createDataFrame([(1, "The novel is set on Papa Westray in winter"), (2, "It takes place in Mull or Iona"), (3, "A book about birds"), (4, "set on Mull. set on Iona")], "doc int, body string")
-    aliases = spark.createDataFrame([("Papa Westray", "pw"), ("Papa", "p"), ("Mull", "m"), ("Iona", "i")], "alias string, place string")
-    got = {r.doc: r.place for r in evidence.setting_match(docs, aliases, "doc", "body", ["set on", "takes place in"]).collect()}
-    assert got == {1: "pw", 2: "m"}
-
-
 def test_reach_by_size(spark):
     pts = spark.createDataFrame([(1, 56.0, -6.0)], "pt int, lat double, lng double")
     places = spark.createDataFrame([("big", 56.1, -6.0, 300.0), ("tiny", 56.0, -6.004, 0.001), ("none", 56.01, -6.0, None)], "place string, lat double, lng double, area double")
