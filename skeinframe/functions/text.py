@@ -20,15 +20,15 @@ def _latin_folds() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _latin_folds()
 
-# Generic words that a place key leaves out
-KEY_WORDS = ("island of", "isle of", "islands", "island", "isles", "isle", "islets", "islet", "ynys", "inch", "inish", "inis", "oiln", "oilen", "oilén", "oilan", "oilán", "oilean", "oileán", "oiléan", "oiléán", "eileanan", "eilean", "holms", "holm", "skerries", "skerry")
+# Generic words that a place key leaves out, as patterns
+KEY_WORDS = ("island of", "isle of", "islands?", "isles?", "islets?", "ynys", "inch", "inis(?:h)?", "oil[eé]?[aá]?n", "eilean(?:an)?", "holms?", "skerries", "skerry")
 # The shorter lists of weaker keys
 INLAND_WORDS = ("isle of", "island", "ynys", "inch")
 SOURCE_WORDS = ("isle of", "island", "ynys", "inch", "inis", "oilan", "oilean", "oiléan", "eilean")
 AUDIT_WORDS = ("island", "isle", "isles", "eilean", "ynys", "oilean", "holm", "skerry")
 FUSION_WORDS = ("island", "isle", "islets", "islet")
 # Words dropped for a name's core, qualifiers, and qualifiers that may be glued to a word
-CORE_DROPS = ("islands", "island", "isles", "isle", "islets", "islet", "eilean", "eileanan", "inis", "innis", "inch", "rocks", "rock", "skerries", "skerry")
+CORE_DROPS = ("islands?", "isles?", "islets?", "eilean", "eileanan", "inis", "innis", "inch", "rocks?", "skerries", "skerry")
 QUALIFIERS = ("little", "great", "big", "beg", "beag", "mor", "more", "mhor", "north", "south", "east", "west", "upper", "lower", "old", "new", "inner", "outer", "middle")
 GLUED = ("east", "west", "north", "south", "little", "great", "upper", "lower", "inner", "outer")
 

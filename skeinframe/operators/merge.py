@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .filters import first_reason
@@ -85,18 +86,92 @@ def rekey_duplicates(df: DataFrame, key: str, better: Column) -> DataFrame:
     return marked.withColumn(key, F.col("_new")).drop("_shared", "_new")
 
 
-def promote(df: DataFrame, path: str, tests: Sequence[tuple[str, Column]]) -> None:
-    """Write ``df`` beside ``path``, check the written rows, and only then put it there; a broken test leaves ``path`` as it was."""
-    spark = df.sparkSession
-    stage = path.rstrip("/") + ".staged"
-    df.write.mode("overwrite").parquet(stage)
-    back = spark.read.parquet(stage)
-    bad = [n for n, t in tests if back.filter(~F.coalesce(t, F.lit(False))).limit(1).count()]
+POINTER = "_current"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, file context, path maker) for a table's folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
+    uri = at(path).getFileSystem(conf).getUri()
+    return at(path).getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf), at
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Swap the pointer in one rename over the old one: a reader sees either version, never none."""
+    fs, context, at = _hadoop(spark, path)
+    fresh = at(f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fresh, at(f"{path}/{POINTER}"), options)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointer names; None for a table that was never promoted."""
+    path = path.rstrip("/")
+    fs, _, at = _hadoop(spark, path)
+    if not fs.exists(at(f"{path}/{POINTER}")):
+        return None
+    stream = fs.open(at(f"{path}/{POINTER}"))
+    try:
+        return bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def promoted(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a promoted table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing was promoted at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def promote(df: DataFrame, path: str, tests: Sequence[tuple[str, Column]], keep: int = 2) -> str:
+    """Write ``df`` as a new version in ``path``, check the written rows, and only then let the pointer name it; its name.
+
+    A broken test raises, and removes the new version. Whatever ends between two
+    steps, the pointer names a whole table: versions are written before it, in
+    folders of their own, and old ones are removed after it. ``keep`` versions before
+    the current one stay for ``roll_back``; what was left unfinished goes with the
+    next promotion.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, _, at = _hadoop(spark, path)
+    before = current_version(spark, path)
+    number = 1 + max((int(v.split("-")[1]) for v in versions(spark, path)), default=0)
+    version = f"version-{number:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{version}")
+    back = spark.read.parquet(f"{path}/{version}")
+    bad = [n for n, t in tests if back.filter(~F.coalesce(t, F.lit(False))).limit(1).count()]
     if bad:
-        fs.delete(at(stage), True)
+        fs.delete(at(f"{path}/{version}"), True)
         raise ValueError(f"not promoted: {', '.join(bad)}")
-    fs.delete(at(path), True)
-    fs.rename(at(stage), at(path))
+    _point(spark, path, version)
+    older = [v for v in versions(spark, path) if v < version and v != before]
+    for v in older[: max(0, len(older) - (keep - (before is not None)))]:
+        fs.delete(at(f"{path}/{v}"), True)
+    return version
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions in a table's folder, oldest first."""
+    path = path.rstrip("/")
+    fs, _, at = _hadoop(spark, path)
+    if not fs.exists(at(path)):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(at(path)) if s.isDirectory() and s.getPath().getName().startswith("version-"))
+
+
+def roll_back(spark: SparkSession, path: str) -> str:
+    """Let the pointer name the version before the current one; its name."""
+    path, now = path.rstrip("/"), current_version(spark, path)
+    before = [v for v in versions(spark, path) if now is not None and v < now]
+    if not before:
+        raise ValueError("no version to go back to")
+    _point(spark, path, before[-1])
+    return before[-1]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import first_of
+from .tables import durable, release
 
 
 def top(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
@@ -91,21 +92,41 @@ def unique_slugs(df: DataFrame, place: str, slug: str, more: Sequence[str], id_c
     return alone.unionByName(marked.filter("_shared").groupBy(place).applyInPandas(chain, schema))
 
 
+def at_position(df: DataFrame, order: str, position: Callable[[int], int]) -> DataFrame:
+    """The row at a position in the order of a column without repeats; ``position`` gets the number of rows. No rows: none.
+
+    Only the column is sorted, in ranges; a count for each range comes to the driver,
+    which tells the range and the place in it. Nulls come first and count too.
+    """
+    ranged = df.select(order).repartitionByRange(F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first())
+    # a task's rows are numbered on from the task's number times 2 ** 33
+    keys = durable(ranged.withColumn("_at", F.monotonically_increasing_id()), "order")
+    counts = sorted((r["p"], r["n"]) for r in keys.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    rows = sum(n for _, n in counts)
+    if not rows:
+        release(keys)
+        return df.limit(0)
+    left = min(rows - 1, max(0, int(position(rows))))
+    for part, n in counts:
+        if left < n:
+            break
+        left -= n
+    value = keys.filter(F.col("_at") == (part << 33) + left).first()[order]
+    release(keys)
+    return df.filter(F.col(order).eqNullSafe(F.lit(value))).limit(1)
+
+
 def weekly_pick(df: DataFrame, epoch_seconds: Column, order: str) -> DataFrame:
     """The row whose turn it is: rows in order, the week's number modulo their count."""
-    n = df.count()
-    if not n:
-        return df
-    at = df.sparkSession.range(1).select(F.pmod(F.floor(epoch_seconds / 604_800), F.lit(n))).first()[0]
-    return df.orderBy(order).offset(int(at)).limit(1)
+    week = df.sparkSession.range(1).select(F.floor(epoch_seconds / 604_800)).first()[0]
+    return at_position(df, order, lambda n: week % n)
 
 
 def random_pick(df: DataFrame, excluded: DataFrame, id_col: str, last: object, u: float, order: str) -> DataFrame:
     """A row by a number in [0, 1), of those that are not excluded; if all are, of those that are not the last one."""
     open_ = df.join(excluded.select(id_col), id_col, "left_anti")
     pool = open_ if open_.limit(1).count() else df.filter(F.col(id_col) != F.lit(last))
-    n = pool.count()
-    return pool.orderBy(order).offset(min(n - 1, int(u * n))).limit(1) if n else pool
+    return at_position(pool, order, lambda n: int(u * n))
 
 
 def best_per_place(df: DataFrame, name: str, quality: Column, order: str) -> DataFrame:

@@ -75,12 +75,62 @@ def test_merge(spark):
 
 def test_promote_keeps_the_old_on_failure(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    spark.range(3).write.parquet(path)
+    with pytest.raises(FileNotFoundError):
+        merge.promoted(spark, path)
     with pytest.raises(ValueError):
         merge.promote(spark.range(9), path, [("small", F.col("id") < 5)])
-    assert spark.read.parquet(path).count() == 3
-    merge.promote(spark.range(4), path, [("small", F.col("id") < 5)])
-    assert spark.read.parquet(path).count() == 4
+    assert merge.versions(spark, path) == [] and merge.current_version(spark, path) is None
+    names = [merge.promote(spark.range(n), path, [("small", F.col("id") < 5)]) for n in (1, 2, 3, 4)]
+    with pytest.raises(ValueError):
+        merge.promote(spark.range(9), path, [("small", F.col("id") < 5)])
+    assert merge.promoted(spark, path).count() == 4 and merge.versions(spark, path) == names[1:]
+    # back step by step, and on again
+    assert merge.roll_back(spark, path) == names[2] and merge.promoted(spark, path).count() == 3
+    assert merge.roll_back(spark, path) == names[1]
+    with pytest.raises(ValueError):
+        merge.roll_back(spark, path)
+    merge.promote(spark.range(5), path, [])
+    assert merge.promoted(spark, path).count() == 5
+
+
+def test_a_crash_between_any_two_steps_leaves_a_whole_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    merge.promote(spark.range(3), path, [])
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    # after the new version is written
+    with monkeypatch.context() as m:
+        m.setattr(merge, "_point", crash)
+        with pytest.raises(RuntimeError):
+            merge.promote(spark.range(4), path, [])
+    assert merge.promoted(spark, path).count() == 3
+    # after the pointer is swapped, while old versions are removed
+    swap, seen = merge.versions, []
+
+    def fail_later(*args):
+        seen.append(1)
+        return swap(*args) if len(seen) == 1 else crash()
+
+    with monkeypatch.context() as m:
+        m.setattr(merge, "versions", fail_later)
+        with pytest.raises(RuntimeError):
+            merge.promote(spark.range(5), path, [])
+    assert merge.promoted(spark, path).count() == 5
+    # a version that was cut off while it was written is never pointed to, and goes later
+    (tmp_path / "t" / "version-00000009-torn").mkdir()
+    for n in (6, 7, 8):
+        merge.promote(spark.range(n), path, [])
+        assert merge.promoted(spark, path).count() == n
+    assert len(merge.versions(spark, path)) == 3 and "version-00000009-torn" not in merge.versions(spark, path)
+
+
+def test_rows_by_position(spark):
+    df = spark.createDataFrame([(i * 7 % 100, "x") for i in range(100)] + [(None, "y")], "id int, v string").repartition(7)
+    order = [None, *range(100)]
+    assert [topk.at_position(df, "id", lambda n, k=k: k).first().id for k in (0, 1, 50, 100, 999, -3)] == [order[0], order[1], order[50], order[100], order[100], order[0]]
+    assert topk.at_position(df.limit(0), "id", lambda n: 0).count() == 0
 
 
 def test_search_score(spark):
