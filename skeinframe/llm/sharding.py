@@ -4,12 +4,12 @@ Atoms are groups of equal texts with their bytes as weight, at a place on a grid
 metadata dimensions. Every node above the target bytes is cut at the weighted
 median of its widest dimension: level by level with histograms in the cluster
 while a node has many atoms, and to the end in one task once it has few. All atoms
-go down the tree; its leaves are then dealt to the shards, the heaviest first.
+go down the tree. Shards are runs of its leaves in tree order, so that neighbours
+stay together; only where a heavy text leaves runs uneven, leaves are exchanged.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,7 +22,7 @@ from .common import durable, release, text_or_empty
 #: Cells of a dimension, as 2 ** (2 * HALF): a median takes two histograms of 2 ** HALF bins.
 HALF = 11
 #: Leaves for each shard, at least; atoms of a node that a task cuts to the end.
-LEAVES, TASK_ATOMS = 32, 50_000
+LEAVES, TASK_ATOMS = 256, 2_000
 #: Dimensions: size on a log scale, two labels, smallest id; the last one breaks ties where these are all alike.
 DIMS = ("d0", "d1", "d2", "d3", "tie")
 KEY = ("text_hash", "text_crc32", "size")
@@ -130,6 +130,37 @@ def kd_leaves(atoms: DataFrame, target: int, most: int | None = None) -> DataFra
     return out
 
 
+def runs_of_leaves(weights: np.ndarray, filled: np.ndarray, uneven: float = 0.01) -> np.ndarray:
+    """The shard of each leaf, leaves being in tree order: runs as heavy as what the shards still lack. If the fullest and the emptiest shard then differ by more than ``uneven`` of a shard, leaves go from one to the other, or change places, as long as that helps."""
+    shards, level = len(filled), (int(weights.sum()) + int(filled.sum())) / len(filled)
+    room = np.maximum(0, level - filled)
+    ends = np.cumsum(room) * (weights.sum() / max(1e-9, room.sum()))
+    home = np.minimum(np.searchsorted(ends, np.cumsum(weights) - weights / 2, side="right"), shards - 1)
+    sums = filled + np.bincount(home, weights, shards)
+    for _ in range(200 * shards):
+        a, b = int(sums.argmax()), int(sums.argmin())
+        gap = sums[a] - sums[b]
+        mine, other = np.flatnonzero(home == a), np.flatnonzero(home == b)
+        if gap <= uneven * level or not len(mine):
+            break
+        # against which leaf of the other shard, or none, does each leaf change the gap most nearly by half
+        other = other[np.argsort(weights[other], kind="stable")]
+        back = np.concatenate([[0], weights[other]])
+        at = np.searchsorted(back, weights[mine] - gap / 2)
+        pairs = np.stack([np.clip(at - 1, 0, len(back) - 1), np.clip(at, 0, len(back) - 1)], axis=1)
+        moved = weights[mine][:, None] - back[pairs]
+        miss = np.where((moved > 0) & (moved < gap), np.abs(moved - gap / 2), np.inf)
+        i, k = np.unravel_index(int(miss.argmin()), miss.shape)
+        if not np.isfinite(miss[i, k]):
+            break
+        home[mine[i]] = b
+        if pairs[i, k]:
+            home[other[pairs[i, k] - 1]] = a
+        sums[a] -= moved[i, k]
+        sums[b] += moved[i, k]
+    return home
+
+
 def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", labels: Sequence[str] = ("lang", "source")) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``; shards have nearly equal bytes.
 
@@ -139,37 +170,31 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: st
     coordinate. Repeated rows are rows like others. Fewer texts than shards leave
     shards empty; no rows: none. Very long texts are measured where they are and
     never shuffled. Slots are in the order of doc_id within hashed buckets,
-    gapless from 0. At most about 2 * shards * LEAVES leaves reach the driver.
+    gapless from 0. About 2 * shards * LEAVES leaves reach the driver, and one more
+    for each text heavier than a leaf.
     """
     meta = durable(documents_meta(docs, id_col, text, labels), "meta")
     total, rows = (x or 0 for x in meta.agg(F.sum("size"), F.count("*")).first())
     target = max(1, total // (shards * LEAVES))
     tree = kd_leaves(durable(atoms_of(meta), "atoms"), target)
-    leaves = sorted(((r["w"], r["node"], r["leaf"]) for r in tree.groupBy("node", "leaf").agg(F.sum("weight").alias("w")).collect()), reverse=True)
-
-    # the heaviest leaf first, to the shard that has least; one that is heavier than a shard in parts
-    filled = [(0, s) for s in range(shards)]
-    homes, spread, parts = [], [], []
-    for weight, node, leaf in leaves:
-        if weight * shards > total:
-            spread.append((weight, node, leaf))
-            continue
-        homes.append((weight, node, leaf))
-    for i, (weight, node, leaf) in enumerate(spread):
-        level, taken = -(-total // shards), []
-        for has, s in sorted(filled):
-            part = min(weight, max(0, level - has))
+    leaves = [(r["w"], r["node"], r["leaf"]) for r in tree.groupBy("node", "leaf").agg(F.sum("weight").alias("w")).collect()]
+    # a leaf that is heavier than a shard goes to several, in parts
+    level, filled = -(-total // shards), np.zeros(shards, np.int64)
+    spread = sorted((x for x in leaves if x[0] * shards > total), reverse=True)
+    parts = []
+    for whole, _, _ in spread:
+        left, taken = whole, []
+        for s in np.argsort(filled, kind="stable").tolist():
+            part = int(min(left, max(0, level - filled[s])))
             if part:
-                taken.append((s, part / spread[i][0]))
-                weight -= part
-                filled[[x[1] for x in filled].index(s)] = (has + part, s)
+                taken.append((s, part / whole))
+                left -= part
+                filled[s] += part
         parts.append(taken)
-    heapq.heapify(filled)
+    deep = max((node.bit_length() for _, node, _ in leaves), default=0)
+    homes = sorted((x for x in leaves if x[0] * shards <= total), key=lambda x: (x[1] << (deep - x[1].bit_length()), x[2]))
     dealt = [(node, leaf, -1 - i) for i, (_, node, leaf) in enumerate(spread)]
-    for weight, node, leaf in homes:
-        has, s = heapq.heappop(filled)
-        dealt.append((node, leaf, s))
-        heapq.heappush(filled, (has + weight, s))
+    dealt += [(node, leaf, s) for (_, node, leaf), s in zip(homes, runs_of_leaves(np.array([w for w, _, _ in homes], np.int64), filled).tolist())]
     home = docs.sparkSession.createDataFrame(dealt, "node long, leaf long, shard int")
     placed = meta.join(tree.join(home, ["node", "leaf"]).select(*KEY, "shard"), list(KEY))
     for i, taken in enumerate(parts):

@@ -52,3 +52,25 @@ def test_every_text_goes_down_the_tree_and_shards_are_even(spark):
     assert len(got) == docs.count() and len(sums) == 8
     assert sums.max() - sums.min() < 0.05 * sums.mean()
     assert got.groupby("text_crc32").shard.nunique().max() == 1
+
+
+def test_runs_of_leaves_keep_neighbours_and_are_even():
+    rng = np.random.default_rng(3)
+    even = rng.integers(90, 110, 4000)
+    home = sharding.runs_of_leaves(even, np.zeros(8, np.int64))
+    assert (np.diff(home) >= 0).all() and set(home) == set(range(8))
+    for weights, filled in ((rng.integers(1, 4000, 200), np.zeros(8, np.int64)), (np.r_[rng.integers(1, 9, 900), 700, 650, 400], np.array([0, 0, 500, 0, 90, 0, 0, 0])), (np.array([5, 5, 5]), np.zeros(8, np.int64)), (np.zeros(0, np.int64), np.zeros(4, np.int64))):
+        home = sharding.runs_of_leaves(weights, filled)
+        sums = filled + np.bincount(home, weights, len(filled))
+        assert len(home) == len(weights) and sums.sum() == weights.sum() + filled.sum()
+        if len(weights) > 100:
+            assert sums.max() - sums.min() <= 0.02 * sums.mean()
+
+
+def test_shards_are_regions_of_the_tree(spark, monkeypatch):
+    # texts that differ in their ids alone: shards are ranges of ids
+    docs = spark.createDataFrame([(i, f"text {i:05d} " + "w " * 20, "en", "s") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    got = sharding.kd_shards(docs, 8).toPandas()
+    assert (got.groupby("shard").doc_id.agg(lambda d: d.max() - d.min() + 1) == got.groupby("shard").doc_id.count()).all()
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() < 0.02 * sums.mean()
