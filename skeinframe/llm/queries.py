@@ -96,13 +96,16 @@ SELECT *, n_words - n_removed_words AS n_kept_words, (n_words < 20 OR 100 * n_re
  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_words - n_removed_words < 0.3 * n_words)) AS kept FROM m
 """
 
+#: Links as the operator finds and resolves them, by its patterns.
 _OP5_SQL = r"""
 WITH RECURSIVE p0 AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
-link AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l FROM p0
- UNION ALL SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) FROM p0),
-absl AS (SELECT url, CASE WHEN contains(l, '://') THEN l WHEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) = '' THEN NULL
- WHEN starts_with(l, '//') THEN regexp_extract(url, '^([^:/?#]+:)//', 1) || l WHEN starts_with(l, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || l END AS v
- FROM (SELECT url, replace(l, '&amp;', '&') AS l FROM link WHERE l <> '') q),
+tag AS (SELECT url, unnest(list_concat(list_transform(regexp_extract_all(html, '{canonical}'), lambda x: regexp_extract(x, '{href}', 1)), list_transform(regexp_extract_all(html, '{refresh}'), lambda x: regexp_extract(x, '{target}', 1)))) AS link FROM p0 WHERE url IS NOT NULL),
+parts AS (SELECT url, replace(link, '&amp;', '&') AS l, regexp_extract(url, '^([^:/?#]+:)//', 1) AS scheme, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '(?s)^([^?#]*)', 1) AS page FROM tag WHERE link <> ''),
+whole AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN origin = '' OR regexp_matches(l, '^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL WHEN starts_with(l, '//') THEN scheme || l WHEN starts_with(l, '/') THEN origin || l WHEN starts_with(l, '?') THEN page || l
+ ELSE origin || coalesce(nullif(regexp_extract(substr(page, length(origin) + 1), '(?s)^(.*/)', 1), ''), '/') || l END AS v FROM parts),
+cut AS (SELECT url, v, regexp_extract(v, '(?s)^([^:/?#]*://[^/?#]*)', 1) AS head, regexp_extract(v, '(?s)^[^:/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM whole WHERE v IS NOT NULL),
+kept AS (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_slice(string_split(path, '/'), 2, len(string_split(path, '/'))), lambda x: [x])), lambda t, x: CASE WHEN x[1] = '..' THEN list_slice(t, 1, greatest(len(t) - 1, 0)) WHEN x[1] = '.' THEN t ELSE list_concat(t, x) END) AS k FROM cut),
+absl AS (SELECT url, CASE WHEN contains(path, '/.') THEN head || '/' || array_to_string(k, '/') || CASE WHEN regexp_matches(path, '/\.\.?$') AND len(k) > 0 THEN '/' ELSE '' END || substr(v, length(head) + length(path) + 1) ELSE v END AS v FROM kept),
 key AS (SELECT x AS u, lower(regexp_extract(regexp_extract(x, '^([^#]*)', 1), '^([^:/?#]*://[^/?#]*)', 1)) || substr(regexp_extract(x, '^([^#]*)', 1), length(regexp_extract(regexp_extract(x, '^([^#]*)', 1), '^([^:/?#]*://[^/?#]*)', 1)) + 1) AS k
  FROM (SELECT url AS x FROM p0 UNION SELECT v FROM absl WHERE v IS NOT NULL) q WHERE x IS NOT NULL),
 e AS (SELECT a.k AS u, b.k AS v FROM absl JOIN key a ON absl.url = a.u JOIN key b ON absl.v = b.u WHERE a.k <> b.k),
@@ -142,8 +145,16 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PAR
 """
 
 
+def _op5_sql() -> str:
+    names = {"canonical": url_filter.CANONICAL, "refresh": url_filter.REFRESH, "href": url_filter.HREF, "target": url_filter.REFRESH_URL}
+    out = _OP5_SQL
+    for name, pattern in names.items():
+        out = out.replace("{" + name + "}", pattern.replace("'", "''"))
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _OP5_SQL, "op7_ngram_jaccard_join": _NGRAM_SQL.format(width=3, percent=90, more=""), "op9_bit_sliced_top_k": _OP9_SQL,
+        "op2_line_frequency_quality": _OP2_SQL, "op5_url_redirect_filter": _op5_sql(), "op7_ngram_jaccard_join": _NGRAM_SQL.format(width=3, percent=90, more=""), "op9_bit_sliced_top_k": _OP9_SQL,
         "op13_minmax_dedup": _NGRAM_SQL.format(width=5, percent=85, more=", d.doc_id <= coalesce(comp.b, d.doc_id) AS kept"),
     }

@@ -89,3 +89,24 @@ def test_a_block_reaches_relative_aliases(spark):
     rows = [(1, "http://a.net/es/1", '<link rel="canonical" href="../x/2">'), (2, "http://a.net/x/2", ""), (3, "http://a.net/x/3", '<meta http-equiv="refresh" content="0; url=2?p&amp;q">'), (4, "http://a.net/x/2?p&q", '<link rel="canonical" href="2">'), (5, "http://a.net/x/5", "")]
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_query_on_pages_with_links_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from skeinframe.llm import queries
+    from tests.conftest import rows_of
+
+    link = '<LINK rel="nofollow canonical" href="{}">'
+    meta = "<meta http-equiv=refresh content=\"0; url='{}'\">"
+    rows = [
+        ("http://a.net/es/1", link.format("../x/2") + meta.format("/y?q=1&amp;r=2")), ("http://a.net/x/2", None), ("http://a.net/y?q=1&r=2", ""), ("http://a.net/z", link.format("./../x/./2#top") + link.format("http://C.org/q")), ("http://c.org/q", "<link rel=canonical href=#here>"),
+        ("http://d.org", link.format("e/f") + link.format("mailto:x@y.z")), ("http://d.org/e/f", meta.format("//www.ok.com/d")), ("http://g.org/a/b?c", link.format("?d")), ("http://g.org/a/b?d", link.format("http://h.net/fr/")), ("nonsense", link.format("http://h.net/fr/")), (None, link.format("http://h.net/fr/")),
+        ("http://i.org/1", link.format("http://i.org/..")), ("http://i.org/", link.format("http://k.net/fr/../es/k")), ("http://a.net/es/1", "no link here"), ("http://m.org/", "<link rel='alternate' href='http://h.net/fr/'>"),
+    ]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.queries()["op5_url_redirect_filter"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert rows_of(got) == rows_of(con.execute(queries.oracle_sql()["op5_url_redirect_filter"]).df())
+    assert (got.verdict == "block").sum() >= 7 and got.alias_of.notna().sum() >= 10
