@@ -1,6 +1,6 @@
 """Registered queries: one callable and one SQL text for each operator."""
 
-from . import asking, events, integration, matching, media, questions, ranks, records, rollups, search, sentences, timetables, windows  # noqa: F401
+from . import asking, events, integration, matching, media, questions, ranks, records, rollups, search, sentences, timetables, tokens, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 
