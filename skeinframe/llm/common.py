@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import durable, new_folder, release, shared_dir
+from ..operators.tables import durable, new_folder, prepare_workers, release, shared_dir
 
-__all__ = ["durable", "id_crc", "new_folder", "prepare_workers", "read_table", "release", "shared_dir", "sliced", "text_or_empty", "tokenizer_path"]
+__all__ = ["durable", "id_crc", "new_folder", "prepare_workers", "read_table", "release", "shared_dir", "sliced", "text_or_empty", "tokenizer_path", "trimmed"]
 
 #: Rows that a Python worker takes on at a time. Spark cuts Arrow batches by bytes, but a batch may still have thousands of texts.
 SLICE_ROWS = 256
@@ -22,14 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows."""
     for batch in batches:
@@ -37,6 +30,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(i, rows)
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives the memory it freed back to the system when it ends: Python workers live on between tasks, and what one stage has held would lack in the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return run
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file's place on this machine."""
     try:

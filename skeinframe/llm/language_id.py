@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_crc, prepare_workers, release, sliced
+from .common import durable, id_crc, prepare_workers, release, sliced, trimmed
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 12, 256
 #: The bounded sample that the network is fitted on: documents a language, characters of each, documents of all languages.
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
                     langs[i], scores[i] = net.langs[b], s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores), *(batch.column(c) for c in kept)], ["doc_id", "held_out", "lang_pred", "score", *kept])
 
-    return picked.mapInArrow(work, schema)
+    return picked.mapInArrow(trimmed(work), schema)
 
 
 def keep_identified(docs: DataFrame, net: Network | None, least_score: float = 0.35, text: str = "text") -> DataFrame:
@@ -238,4 +238,4 @@ def keep_identified(docs: DataFrame, net: Network | None, least_score: float = 0
                 keep[some] = 1 / np.exp(odds - odds.max(axis=1, keepdims=True)).sum(axis=1) >= least_score
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)

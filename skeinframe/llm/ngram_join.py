@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import durable, prepare_workers, release, sliced, text_or_empty
+from .common import durable, prepare_workers, release, sliced, text_or_empty, trimmed
 
 #: Documents up to which a token is rare; entries of a key beyond which they are taken as one family without looking at bitmaps.
 RARE, HOT = 8, 512
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, width: int, marks_of: Callable[[np.ndarray], np.nd
         _hash_of.clear()  # workers live on, and later stages need the room
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return durable(docs.select("row", "doc_id", "text").mapInArrow(work, f"row long, doc_id {kind}, n long, digest binary, bits binary, marks array<bigint>"), "sketches")
+    return durable(docs.select("row", "doc_id", "text").mapInArrow(trimmed(work), f"row long, doc_id {kind}, n long, digest binary, bits binary, marks array<bigint>"), "sketches")
 
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +321,13 @@ def _edges_of(members: DataFrame, percent: int, joining: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     columns = ["family", "a", "b", "row", "asks", "part", "tokens"]
-    return members.select(*columns).repartition(*names).sortWithinPartitions(*names, "row").mapInArrow(work, "u long, v long")
+    return members.select(*columns).repartition(*names).sortWithinPartitions(*names, "row").mapInArrow(trimmed(work), "u long, v long")
 
 
 def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
     """(row, family) of the sets that may link with another. distinct: row, n, bits and marks (regions) of distinct sets."""
     extra = extra_of(width)
-    heavy = durable(distinct.select("marks").mapInArrow(_heavy, "t long").distinct(), "heavy")
+    heavy = durable(distinct.select("marks").mapInArrow(trimmed(_heavy), "t long").distinct(), "heavy")
     tokens = distinct.select("row", F.explode("marks").alias("t"))
     counted = tokens.join(heavy, "t", "left_anti").repartition("t").withColumn("c", F.least(F.count("*").over(Window.partitionBy("t")), F.lit(RARE + 1)).cast("int")).filter("c > 1")
     shared = counted.select("row", "c", "t").unionByName(tokens.join(heavy, "t", "left_semi").select("row", F.lit(RARE + 1).alias("c"), "t"))
@@ -345,7 +345,7 @@ def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
             rest = batch.select(["row", "n", "bits"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], ["key", "row", "n", "bits"])
 
-    keys = durable(by_row.select("row", "n", "bits", "tokens").mapInArrow(keyed, "key long, row long, n long, bits binary"), "keys")
+    keys = durable(by_row.select("row", "n", "bits", "tokens").mapInArrow(trimmed(keyed), "key long, row long, n long, bits binary"), "keys")
     found = families_of(keys, percent)
     release(keys, heavy)
     return found
@@ -356,7 +356,7 @@ def families_of(keys: DataFrame, percent: int) -> DataFrame:
     hot = durable(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("centre")).filter(F.col("m") > HOT).select("key", "centre"), "hot")
     stars = keys.select("key", "row").join(hot, "key").filter("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
     sorted_ = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "row")
-    likely = sorted_.mapInArrow(lambda batches: likely_edges(batches, percent), "u long, v long")
+    likely = sorted_.mapInArrow(trimmed(lambda batches: likely_edges(batches, percent)), "u long, v long")
     edges = durable(stars.unionByName(likely).distinct(), "likely")
     release(hot)
     families = components(edges)
@@ -379,7 +379,7 @@ def verified_parts(families: DataFrame, distinct: DataFrame, texts: DataFrame, w
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "tokens"])
         _hash_of.clear()
 
-    again = texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, digest binary, tokens binary")
+    again = texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(trimmed(sets), f"doc_id {kind}, digest binary, tokens binary")
     # rows that repeat an id and a text would come as often as they are repeated
     whole = durable(placed.join(again, ["doc_id", "digest"]).dropDuplicates(["row"]).select("family", "a", "blocks", "row", "pivot0", "pivot1", "pivot2", "tokens"), "sets")
     # first each block by itself, with three sets of the family that all of its blocks have

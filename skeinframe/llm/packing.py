@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, prepare_workers, sliced, text_or_empty, tokenizer_path
+from .common import durable, prepare_workers, sliced, text_or_empty, tokenizer_path, trimmed
 from .encoding import encoder
 
 CAPACITY, GROUPS = 2048, 40
@@ -184,7 +184,7 @@ def encoded_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int
             types = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split(" ")[0] for c in schema.split(", ")])
 
-    return durable(picked.mapInArrow(work, schema), "pieces")
+    return durable(picked.mapInArrow(trimmed(work), schema), "pieces")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, derive: dict[str, Column] | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, derive: dict[str, C
             arrays = [batch.column(c) for c in names] + [pa.array(first[at] + k // per[at]), pa.array(offset[at] + k % per[at] * length[at])]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(work, schema)
+    return ranked.mapInArrow(trimmed(work), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int | None = 0, derive: dict[str, Column] | None = None, **columns) -> DataFrame:

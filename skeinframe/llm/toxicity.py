@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, prepare_workers, sliced
+from .common import id_crc, prepare_workers, sliced, trimmed
 
 #: The bounded sample that voters and classifier are fitted on: rows of each label, and characters of a text.
 ROWS_EACH, CHARS_EACH = 4000, 20_000
@@ -377,7 +377,7 @@ def score_toxicity(docs: DataFrame, model: Scored | None, id_col: str = "doc_id"
             scores = [model.score(t) if model else 0.0 for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *(batch.column(c) for c in kept)], ["doc_id", "held_out", "score", "predicted", *kept])
 
-    return picked.mapInArrow(work, schema)
+    return picked.mapInArrow(trimmed(work), schema)
 
 
 def keep_clean(docs: DataFrame, model: Scored | None, most_score: float = 0.5, text: str = "text") -> DataFrame:
@@ -389,4 +389,4 @@ def keep_clean(docs: DataFrame, model: Scored | None, most_score: float = 0.5, t
         for batch in sliced(batches):
             yield batch.filter(pa.array([model is None or model.score(t) < most_score for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)
