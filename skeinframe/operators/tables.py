@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,29 @@ def prepare_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+#: Folders handed out by this driver.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/skeinframe/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/skeinframe/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, operators may write what tables they need; at its end all of them are removed from the shared folder, finished or not. Results are lazy, so they are to be written elsewhere, or collected, within it."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _remove(spark, _made.pop())
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -48,6 +71,4 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         folder = getattr(df, "_skeinframe_folder", None)
         if folder:
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, folder)

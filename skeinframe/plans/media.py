@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, filters, photos, placing, stories
+from ..operators import categories, evidence, filters, photos, placing, stories
 from ..operators.tables import durable
 from .base import ITEMS, ITEMS_SQL, PLACES, PLACES_SQL, items, places
 from .registry import plain, query
@@ -331,3 +331,33 @@ def book_settings(t):
     aliases = t.sql(_NAMED).select("alias", "place", F.lit(False).alias("is_group"), F.lit(None).cast("string").alias("not_in"))
     p = durable(places(t).select(F.col("id").alias("place"), "area", F.array("nation", "archipelago").alias("context"), F.lit(None).cast("string").alias("entity"), F.lit(False).alias("curated")), "places")
     return placing.book_places(docs, durable(aliases, "aliases"), p).select("doc", "place")
+
+
+_PREFIXES = ("Songs about", "Musicians from", "Music of")
+#: Categories of each item's place, and names that also mean something else.
+_CATEGORIES = f"SELECT CASE item % 7 WHEN 0 THEN 'Songs about ' || w WHEN 1 THEN 'Songs about ' || w || ' Island' WHEN 2 THEN 'Category:Musicians from the Isle of ' || w || ' (rock)' WHEN 3 THEN 'Music of ' || w || ', Scotland' WHEN 4 THEN 'Music of the ' || w WHEN 5 THEN 'Albums about ' || w ELSE 'Songs about the 1990s' END || ' by ' || item AS category FROM ({ITEMS}) i JOIN ({PLACES}) p ON i.place = p.id"
+_KNOWN = f"SELECT id AS place, CASE id % 3 WHEN 0 THEN w WHEN 1 THEN w || ' Island' ELSE 'Isle of ' || w END AS name, CASE WHEN id % 5 = 0 THEN 0.5 ELSE area END AS area, CASE WHEN id = 9 THEN 'rock|isle' END AS only_with FROM ({PLACES}) p WHERE id BETWEEN 1 AND 30"
+_WIDER = "SELECT CASE r_regionkey WHEN 0 THEN 'Tolm' WHEN 1 THEN 'Brenna' WHEN 2 THEN 'Orran' WHEN 3 THEN 'Hesker' ELSE 'Lunna Island' END AS name, CASE r_regionkey WHEN 0 THEN 'town' WHEN 1 THEN 'elsewhere' WHEN 2 THEN 'overseas' WHEN 3 THEN 'nation' ELSE 'topic' END AS kind FROM {region}"
+
+
+def _more(step: str) -> str:
+    return f"list_concat(a, list_transform(a, lambda x: trim(regexp_replace({step}, '\\s+', ' ', 'g'), ' ,.;:-')))"
+
+
+_KEYED = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\(.*?\)', '', 'g'), '\b(?:isle of|island)\b', ' ', 'g'), '^\s*the\s+', ''))"
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT category, trim(regexp_extract(regexp_replace(category, '^Category:', ''), '^(?:{"|".join(_PREFIXES)})\\s+(.+)$', 1), ' ,.;:-') AS p FROM ({plain(_CATEGORIES)}) x), v1 AS (SELECT category, [p] AS a FROM c WHERE p <> ''), v2 AS (SELECT category, {_more("regexp_replace(x, '\\s*\\([^)]*\\)', ' ', 'g')")} AS a FROM v1),
+ v3 AS (SELECT category, {_more("string_split_regex(x, '\\s+by\\s+')[1]")} AS a FROM v2), v4 AS (SELECT category, {_more(f"regexp_replace(x, '{categories.REGION}', '')")} AS a FROM v3), v5 AS (SELECT category, {_more("regexp_replace(x, '^[Tt]he\\s+', '')")} AS a FROM v4),
+ v AS (SELECT category, phrase, {_KEYED.format("phrase")} AS k FROM (SELECT category, unnest(list_distinct(list_transform(a, lambda x: lower(x)))) AS phrase FROM v5) q WHERE length(phrase) >= 3 AND NOT regexp_matches(phrase, '{categories.YEAR}')),
+ p AS (SELECT place, lower(name) AS n, {_KEYED.format("lower(name)")} AS pk, coalesce(area, 0) AS area, only_with, count(*) OVER (PARTITION BY name) AS same, max(coalesce(area, 0)) OVER (PARTITION BY name) AS most FROM ({plain(_KNOWN)}) x),
+ h AS (SELECT v.category, phrase, p.*, row_number() OVER (PARTITION BY v.category, phrase ORDER BY CASE WHEN phrase = n THEN 0 ELSE 1 END, area DESC, place) AS r FROM v JOIN p ON phrase = n OR (k <> '' AND k = pk)),
+ j AS (SELECT h.*, kind, regexp_matches(lower(h.category), '\\b' || n || '\\b') AS says FROM h LEFT JOIN ({plain(_WIDER)}) w ON lower(w.name) = h.phrase WHERE r = 1)
+ SELECT category, phrase, place, CASE WHEN kind = 'nation' THEN 'nation' WHEN kind = 'topic' THEN 'topic' WHEN NOT regexp_matches(lower(category), '\\b' || phrase || '\\b') AND NOT says THEN 'not in the category' WHEN kind = 'overseas' AND NOT regexp_matches(category, '\\b(?:{categories.HOME})\\b') THEN 'overseas' WHEN same >= 3 AND most < 20 THEN 'namesakes'
+  WHEN only_with IS NOT NULL AND NOT regexp_matches(lower(category), '\\b(?:' || only_with || ')\\b') THEN 'needs a word' WHEN kind = 'town' AND NOT (says AND phrase <> n) THEN 'town' WHEN kind = 'elsewhere' AND area < 200 THEN 'elsewhere' WHEN n = phrase || ' island' AND NOT says AND area < 1 THEN 'a common word' END AS reason FROM j"""
+)
+def category_phrases(t):
+    """Which place each form of a category's phrase means, or why it means none (X-17)."""
+    known = durable(t.sql(_KNOWN), "known")
+    return categories.judged_categories(durable(t.sql(_CATEGORIES), "categories"), known, t.sql(_WIDER), _PREFIXES)
