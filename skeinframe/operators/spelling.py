@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..functions.text import name_key_variant
 from .joins import small
+from .tables import durable
 
 # What is in brackets is the name if it says this, and the part between commas that names the place
 BRACKETED = r"(?i)st\s+agnes|scilly|isles of scilly"
@@ -123,9 +124,12 @@ def listing_matches(listings: DataFrame, places: DataFrame, hints: Sequence[tupl
     nation match nothing; each listing has one row at most.
     """
     l = listings.filter("trim(name) <> '' and trim(nation) <> ''").select("listing", F.trim("nation").alias("nation"), listing_key(F.trim("name")).alias("_k"), F.coalesce("blob", F.lit("")).alias("_blob"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))  # noqa: E741
+    # keys are made once, for all rules
+    l = durable(l, "listings")  # noqa: E741
     p = places.filter("nation <> ''")
     spelt = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("names", F.array().cast("array<string>"))), listing_key))
     index = p.withColumn("_k", F.explode(spelt)).filter("_k <> ''").select("_k", "nation", "place", F.coalesce("area", F.lit(0.0)).alias("_area"), F.length(F.coalesce("name", F.lit(""))).alias("_long"), F.col("lat").alias("_plat"), F.col("lng").alias("_plng"))
+    index = durable(index, "names")
     km = haversine_km(F.col("_lat"), F.col("_lng"), F.col("_plat"), F.col("_plng"))
     choice = F.struct(km.isNull().alias("far"), F.coalesce(km, F.lit(0.0)).alias("km"), F.when(km.isNull(), -F.col("_area")).otherwise(0.0).alias("area"), F.when(km.isNull(), -F.col("_long")).otherwise(0).alias("long"), "place")
     out = []
@@ -133,8 +137,8 @@ def listing_matches(listings: DataFrame, places: DataFrame, hints: Sequence[tupl
     def found(df: DataFrame, method: str, confidence: Column) -> None:
         nonlocal l
         hit = df.select("listing", "place", confidence.alias("confidence"), F.lit(method).alias("method"))
-        out.append(hit)
-        l = l.join(hit.select("listing"), "listing", "left_anti")  # noqa: E741
+        out.append(durable(hit, method))
+        l = l.join(out[-1].select("listing"), "listing", "left_anti")  # noqa: E741
 
     if hints:
         told = F.array_compact(F.array(*(F.when(F.col("_blob").rlike(pattern), F.struct(F.lit(i).alias("o"), F.lit(place).alias("p"))) for i, (pattern, place) in enumerate(hints))))

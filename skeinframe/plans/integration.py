@@ -270,7 +270,7 @@ def listing_places(t):
     """Listings matched to places by hints, aliases, keys and spelling, with confidences (J-07, P-33)."""
     p = durable(places(t).select(F.col("id").alias("place"), "name", "nation", "area", "lat", "lng", F.lit(None).cast("array<string>").alias("names")), "places")
     aliases = p.filter("place % 50 = 1").select(F.lit("tolm").alias("key"), "nation", "place")
-    return spelling.listing_matches(t.sql(_LISTED_SQL), p, [("(?i)old quay", 3), ("(?i)quay", 6), ("(?i)quay", 7)], aliases)
+    return spelling.listing_matches(durable(t.sql(_LISTED_SQL), "listed"), p, [("(?i)old quay", 3), ("(?i)quay", 6), ("(?i)quay", 7)], aliases)
 
 
 @query(
