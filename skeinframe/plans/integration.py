@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import grid, text
 from ..operators import ferries, filters, imports, inland, joins, spelling
 from ..operators.tables import durable
 from .base import PLACES, PLACES_SQL, places, word
@@ -51,6 +51,16 @@ _VERDICTS = f"""WITH p AS (SELECT *, {_CLASS} AS cs FROM {_P} x), i AS (SELECT p
  r AS (SELECT id, tier, before, CASE tier WHEN 0 THEN before WHEN 1 THEN 'lake' WHEN 3 THEN ik WHEN 4 THEN nk ELSE CASE WHEN ashore THEN 'unknown' ELSE 'sea' END END AS type, CASE tier WHEN 1 THEN 'W' || id WHEN 3 THEN CAST(ib AS VARCHAR) WHEN 4 THEN CAST(nb AS VARCHAR) END AS parent, CASE tier WHEN 0 THEN 'kept' WHEN 1 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN CASE WHEN m <= 200 THEN 'medium' ELSE 'low' END ELSE CASE WHEN ashore THEN 'low' ELSE 'high' END END AS confidence FROM v)"""
 
 
+_E2 = 1 - (grid.WGS84[1] / grid.WGS84[0]) ** 2
+_ZONE = f"({1 - _E2!r} * (sin(radians({{0}})) / (1 - {_E2!r} * pow(sin(radians({{0}})), 2)) - ln((1 - {_E2**0.5!r} * sin(radians({{0}}))) / (1 + {_E2**0.5!r} * sin(radians({{0}})))) / (2 * {_E2**0.5!r})))"
+
+
+@query(f"SELECT body, round(radians(2 * w.d) * ({_ZONE.format('w.clat + w.h')} - {_ZONE.format('w.clat - w.h')}) * {grid.WGS84[0]} * {grid.WGS84[0]} / 2 / 1e6, 4) AS km2 FROM {_W} w")
+def ellipsoid_areas(t):
+    """Areas of waters on the ellipsoid (P-23)."""
+    return water(t).select("body", F.round(grid.ellipsoid_km2(F.col("outers")[0]), 4).alias("km2"))
+
+
 @query(f"{_VERDICTS} SELECT id, tier, type, parent, confidence, before FROM r")
 def water_verdicts(t):
     """Which water each place lies in, by tiers of evidence (M-06, J-14, J-16)."""
