@@ -1,4 +1,4 @@
-"""Ellipsoidal areas and national grids as column expressions (survey P-23, P-30)."""
+"""Ellipsoidal areas and places on the British grid as column expressions (survey P-23, P-30)."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import _edges, grid_letter_irish, grid_letters_british
+from .geo import _edges, grid_letters_british
 
-# Ellipsoids (half axes in metres), and the shifts from WGS 84 to the grids' datums (metres, seconds of arc, parts in a million)
+# Ellipsoids (half axes in metres), and the shift from WGS 84 to the grid's datum (metres, seconds of arc, parts in a million)
 WGS84 = (6378137.0, 6356752.314245)
 
 
@@ -29,7 +29,6 @@ class Grid:
 
 
 BRITISH = Grid(6377563.396, 6356256.909, 49.0, -2.0, 0.9996012717, 400000.0, -100000.0, (-446.448, 125.157, -542.060, -0.1502, -0.2470, -0.8421, 20.4894))
-IRISH = Grid(6377340.189, 6356034.447, 53.5, -8.0, 1.000035, 200000.0, 250000.0, (-482.530, 130.596, -564.557, -1.042, -0.214, -0.631, -8.150))
 
 
 def ellipsoid_km2(ring: Column, axes: tuple[float, float] = WGS84) -> Column:
@@ -87,7 +86,7 @@ def grid_place(lat: Column, lng: Column, grid: Grid = BRITISH) -> Column:
     return F.when(lat.isNotNull() & lng.isNotNull(), projected(*shifted(lat, lng, grid), grid))
 
 
-def grid_reference(lat: Column, lng: Column, irish: bool = False) -> Column:
-    """The reference of a place on WGS 84: two letters and three digits each way on the British grid, one letter on the Irish one; null outside it."""
-    at = grid_place(lat, lng, IRISH if irish else BRITISH)
-    return (grid_letter_irish if irish else grid_letters_british)(at["east"], at["north"])
+def grid_reference(lat: Column, lng: Column) -> Column:
+    """The reference of a place on WGS 84 on the British grid: two letters and three digits each way; null outside it."""
+    at = grid_place(lat, lng)
+    return grid_letters_british(at["east"], at["north"])

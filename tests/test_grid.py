@@ -1,4 +1,4 @@
-"""Areas on the ellipsoid and national grids against published values."""
+"""Areas on the ellipsoid and places on the British grid against published values."""
 
 import math
 
@@ -40,10 +40,3 @@ def test_british_grid(spark):
     assert (got.c0.east, got.c0.north) == (pytest.approx(651409.903, abs=0.002), pytest.approx(313177.270, abs=0.002))
     assert (got.c1.east, got.c1.north) == (pytest.approx(651409.792, abs=5), pytest.approx(313177.448, abs=5))
     assert got.c2 == "TG514131" and got.c3 is None and got.c4 is None
-
-
-def test_irish_grid(spark):
-    lat, lng = F.lit(53 + 21 / 60 + 50.5441 / 3600), F.lit(-(6 + 20 / 60 + 52.9181 / 3600))
-    got = one(spark, grid.grid_place(lat, lng, grid.IRISH), grid.grid_reference(lat, lng, irish=True))
-    assert (got.c0.east, got.c0.north) == (pytest.approx(309958.26, abs=5), pytest.approx(236141.93, abs=5))
-    assert got.c1[0] == "O"
