@@ -27,6 +27,11 @@ def test_text(spark):
     assert got == ("eilean mor", "st kilda hirta", "mull", "little bernera", "inch-kenneth", "place", "ynys-mon-anglesey", "osm-way-7", "wd-Q1", "abc…", "One.", "a\\.b", "2 h 5 min")
 
 
+def test_words_end_at_letters_of_other_scripts(spark):
+    label = lambda s: text.classify(S(s), [(r"\bund\b", "german")], "other")
+    assert one(spark, label("я und да"), label("яund"), label("\u4e2dund\u4e2d"), label("rund"), label("und_")) == ("german", "german", "german", "other", "other")
+
+
 @pytest.mark.parametrize(
     ("a", "b", "want"),
     [("Mull", None, "unnamed"), ("Isle of Mull", "Mull Island", "exact"), ("Little Mull", "Great Mull", None), ("Hildasay", "Hildasey", "close"), ("Mull", "Iona", None), ("Northbay", "Bay", None), ("Papa Stour Rocks", "Papa Stour", "exact")],
