@@ -27,6 +27,11 @@ def test_text(spark):
     assert got == ("eilean mor", "st kilda hirta", "mull", "little bernera", "inch-kenneth", "place", "ynys-mon-anglesey", "osm-way-7", "wd-Q1", "abc…", "One.", "a\\.b", "2 h 5 min")
 
 
+def test_areas_have_the_digits_of_the_number_itself(spark):
+    got = one(spark, *(text.format_area(F.lit(x)) for x in (9.0 / 120, 8286.0 / 120, 0.125, 99.96, 1234.5)))
+    assert got == tuple(f"{x:.2f} km²" if x < 1 else f"{x:.1f} km²" if x < 100 else f"{x:,.0f} km²" for x in (9.0 / 120, 8286.0 / 120, 0.125, 99.96, 1234.5))
+
+
 def test_words_end_at_letters_of_other_scripts(spark):
     label = lambda s: text.classify(S(s), [(r"\bund\b", "german")], "other")
     assert one(spark, label("я und да"), label("яund"), label("\u4e2dund\u4e2d"), label("rund"), label("und_")) == ("german", "german", "german", "other", "other")
