@@ -45,14 +45,14 @@ def cell(x: Column, width: float) -> Column:
     return F.floor(x / width).cast("int")
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """(a, b) of each edge, the last one closing the ring. ring: array of (x, y)."""
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def shoelace(ring: Column) -> Column:
     """Unsigned area in the ring's units; 0 for fewer than three points."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    twice = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(twice) / 2)
 
 
@@ -64,7 +64,7 @@ def planar_km2(ring: Column) -> Column:
 
 def spherical_km2(ring: Column, radius: float = RADIUS_FINE_KM) -> Column:
     """Area on the sphere by the sum of (longitude step) * (2 + sines); ellipsoids differ by half a per cent."""
-    s = F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + F.radians(e["b"]["x"] - e["a"]["x"]) * (2 + F.sin(F.radians(e["a"]["y"])) + F.sin(F.radians(e["b"]["y"]))))
+    s = F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + F.radians(e["b"]["x"] - e["a"]["x"]) * (2 + F.sin(F.radians(e["a"]["y"])) + F.sin(F.radians(e["b"]["y"]))))
     return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(s) * radius * radius / 2)
 
 
@@ -76,7 +76,7 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < at)
 
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(ring_edges(ring), crosses)) % 2 == 1
 
 
 def in_polygon(x: Column, y: Column, outers: Column, inners: Column) -> Column:
@@ -156,7 +156,7 @@ def padded_box(box: tuple[float, float, float, float], zoom: float) -> tuple[flo
 
 def ring_distance_m(lat: Column, lng: Column, ring: Column) -> Column:
     """Metres from a point to the nearest edge of a ring."""
-    return F.array_min(F.transform(_edges(ring), lambda e: segment_distance_m(lat, lng, e["a"], e["b"])))
+    return F.array_min(F.transform(ring_edges(ring), lambda e: segment_distance_m(lat, lng, e["a"], e["b"])))
 
 
 def polygon_distance_m(lat: Column, lng: Column, outers: Column, inners: Column) -> Column:

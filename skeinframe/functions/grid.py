@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import _edges, grid_letters_british
+from .geo import grid_letters_british, ring_edges
 
 # Ellipsoids (half axes in metres), and the shift from WGS 84 to the grid's datum (metres, seconds of arc, parts in a million)
 WGS84 = (6378137.0, 6356752.314245)
@@ -41,7 +41,7 @@ def ellipsoid_km2(ring: Column, axes: tuple[float, float] = WGS84) -> Column:
         s = F.sin(F.radians(lat))
         return (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
-    total = F.aggregate(_edges(ring), F.lit(0.0), lambda acc, x: acc + F.radians(x["b"]["x"] - x["a"]["x"]) * (zone(x["a"]["y"]) + zone(x["b"]["y"])))
+    total = F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, x: acc + F.radians(x["b"]["x"] - x["a"]["x"]) * (zone(x["a"]["y"]) + zone(x["b"]["y"])))
     return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(total) * a * a / 4 / 1e6)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_key_variant
 from .joins import nearest_polygon, points_in_polygons, smallest_polygon, within_km
+from .tables import durable
 
 #: Metres up to which a place on land belongs to the nearest water, and up to which that is more than a guess.
 NEAR_M, SURE_M = 500, 200
@@ -30,10 +31,11 @@ def verdicts(places: DataFrame, entities: DataFrame, water: DataFrame, land: Dat
     linked = row(rest.join(entities, "entity"), 1, F.col("type"), F.col("parent"), F.lit("high"))
     rest = rest.join(linked.select(id_col), id_col, "left_anti").select(id_col, "lat", "lng")
     bodies = water.select("body", F.col("kind").alias("_kind"))
-    inside = row(smallest_polygon(rest, water, id_col, "body").join(bodies, "body"), 3, F.col("_kind"), F.col("body"), F.lit("medium"))
+    rest = durable(rest, "open-places")
+    inside = row(durable(smallest_polygon(rest, water, id_col, "body"), "in-water").join(bodies, "body"), 3, F.col("_kind"), F.col("body"), F.lit("medium"))
     rest = rest.join(inside.select(id_col), id_col, "left_anti")
-    ashore = points_in_polygons(rest, land, "polygon").select(id_col, "lat", "lng").dropDuplicates([id_col])
-    close = nearest_polygon(ashore, water, id_col, "body", NEAR_M).join(bodies, "body")
+    ashore = durable(points_in_polygons(rest, land, "polygon").select(id_col, "lat", "lng").dropDuplicates([id_col]), "ashore")
+    close = durable(nearest_polygon(ashore, water, id_col, "body", NEAR_M), "near-water").join(bodies, "body")
     near = row(close, 4, F.col("_kind"), F.col("body"), F.when(F.col("metres") <= SURE_M, "medium").otherwise("low"))
     dry = row(ashore.join(near.select(id_col), id_col, "left_anti"), 2, F.lit("unknown"), F.lit(None), F.lit("low"))
     sea = row(rest.join(ashore.select(id_col), id_col, "left_anti"), 2, F.lit("sea"), F.lit(None), F.lit("high"))
@@ -91,7 +93,7 @@ def proximity_profile(points: DataFrame, water: DataFrame, id_col: str = "id", m
 
 def sites_of_places(sites: DataFrame, places: DataFrame, polygons: DataFrame, max_km: float) -> DataFrame:
     """(site, place, how) of lighthouses, reserves and the like: the polygon that holds a site, else a place of its name, else the nearest place within ``max_km``. sites: site, name, lat, lng; places: place, name, lat, lng; polygons: place, area, outers, inners."""
-    inside = smallest_polygon(sites, polygons, "site", "place").withColumn("how", F.lit("polygon"))
+    inside = durable(smallest_polygon(sites, polygons, "site", "place"), "in-polygons").withColumn("how", F.lit("polygon"))
     rest = sites.join(inside.select("site"), "site", "left_anti")
     key = lambda c: name_key_variant(F.col(c), "inland")
     named = rest.select("site", key("name").alias("_k")).filter("_k <> ''").join(places.select("place", key("name").alias("_k")), "_k").groupBy("site").agg(F.min("place").alias("place")).withColumn("how", F.lit("name"))
