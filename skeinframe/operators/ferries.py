@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .joins import within_km
+from .joins import nearest
 
 # Ports that mean a place, and ranks of routes
 PORTS = {"craignure": "mull", "fionnphort": "mull", "fishnish": "mull", "tobermory": "mull", "iona": "iona", "armadale": "isle-of-skye", "brodick": "arran", "portaskaig": "islay", "port ellen": "islay", "portellen": "islay", "portavadie": "bute", "rathlin": "rathlin", "lundy": "lundy"}
@@ -50,10 +50,12 @@ def terminal_places(terminals: DataFrame, places: DataFrame, aliases: DataFrame,
     given = rest.join(aliases.select(F.col("alias").alias("given"), "place"), "given").groupBy("terminal").agg(F.min("place").alias("place")).withColumn("how", F.lit("id"))
     rest = rest.join(given.select("terminal"), "terminal", "left_anti")
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(fold(F.col(c)), r"\b(?:the|isle of|island of)\s+", ""), "[^a-z0-9]+", " "))
-    named = rest.select("terminal", bare("name").alias("_k")).filter("_k <> ''").join(places.select("place", "area", bare("name").alias("_k")), "_k")
-    named = named.groupBy("terminal").agg(F.min(F.struct((-F.coalesce("area", F.lit(0.0))).alias("a"), "place"))["place"].alias("place")).withColumn("how", F.lit("name"))
+    # of places of one name only the first is joined
+    first = places.groupBy(bare("name").alias("_k")).agg(F.min(F.struct((-F.coalesce("area", F.lit(0.0))).alias("a"), "place")).alias("_f"))
+    named = rest.select("terminal", bare("name").alias("_k")).filter("_k <> ''").join(first, "_k")
+    named = named.groupBy("terminal").agg(F.min("_f")["place"].alias("place")).withColumn("how", F.lit("name"))
     rest = rest.join(named.select("terminal"), "terminal", "left_anti")
-    near = within_km(rest.select("terminal", "lat", "lng"), places.filter("type = 'sea'").select("place", "lat", "lng"), max_km).groupBy("terminal").agg(F.min(F.struct("km", "place"))["place"].alias("place")).withColumn("how", F.lit("near"))
+    near = nearest(rest, places.filter("type = 'sea'"), "terminal", "place", max_km).select("terminal", "place").withColumn("how", F.lit("near"))
     return ported.unionByName(given).unionByName(named).unionByName(near)
 
 

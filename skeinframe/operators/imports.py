@@ -7,10 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km
 from ..functions.text import name_key
 from .graph import first_come
-from .joins import first_of, within_km
+from .joins import first_of, nearest, within_km
 from .tables import durable
 
 
@@ -60,9 +59,7 @@ def named_places(places: DataFrame, proposals: DataFrame, score: str = "score")
 
 def import_duplicates(imported: DataFrame, places: DataFrame, max_km: float = 30.0) -> DataFrame:
     """(imported, place, km): the nearest place of the same key within ``max_km`` of an imported row. imported: imported, key, lat, lng; places: place, key, lat, lng."""
-    l, r = imported.withColumnsRenamed({"lat": "_a", "lng": "_b"}), places.withColumnsRenamed({"lat": "_c", "lng": "_d"})  # noqa: E741
-    near = l.join(r, "key").withColumn("km", haversine_km(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"))).filter(F.col("km") <= max_km)
-    return near.groupBy("imported").agg(F.min(F.struct("km", "place")).alias("m")).select("imported", "m.place", "m.km")
+    return nearest(imported, places, "imported", "place", max_km, ["key"])
 
 
 def backfilled(places: DataFrame, objects: DataFrame) -> DataFrame:

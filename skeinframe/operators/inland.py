@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key_variant
-from .joins import nearest_polygon, points_in_polygons, smallest_polygon, within_km
+from .joins import nearest, nearest_polygon, points_in_polygons, smallest_polygon, within_km
 from .tables import durable
 
 #: Metres up to which a place on land belongs to the nearest water, and up to which that is more than a guess.
@@ -96,9 +96,9 @@ def sites_of_places(sites: DataFrame, places: DataFrame, polygons: DataFrame, ma
     inside = durable(smallest_polygon(sites, polygons, "site", "place"), "in-polygons").withColumn("how", F.lit("polygon"))
     rest = sites.join(inside.select("site"), "site", "left_anti")
     key = lambda c: name_key_variant(F.col(c), "inland")
-    named = rest.select("site", key("name").alias("_k")).filter("_k <> ''").join(places.select("place", key("name").alias("_k")), "_k").groupBy("site").agg(F.min("place").alias("place")).withColumn("how", F.lit("name"))
+    named = rest.select("site", key("name").alias("_k")).filter("_k <> ''").join(places.groupBy(key("name").alias("_k")).agg(F.min("place").alias("place")), "_k").groupBy("site").agg(F.min("place").alias("place")).withColumn("how", F.lit("name"))
     rest = rest.join(named.select("site"), "site", "left_anti")
-    near = within_km(rest.select("site", "lat", "lng"), places.select("place", "lat", "lng"), max_km).groupBy("site").agg(F.min(F.struct("km", "place"))["place"].alias("place")).withColumn("how", F.lit("near"))
+    near = nearest(rest, places, "site", "place", max_km).select("site", "place").withColumn("how", F.lit("near"))
     return inside.unionByName(named).unionByName(near)
 
 
