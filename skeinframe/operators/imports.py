@@ -26,8 +26,9 @@ def site_update(candidates: DataFrame, places: DataFrame, rocks: DataFrame, incl
     map_type, map_id, entity, source; rocks: candidate.
     """
     skipped = candidates.join(rocks.select("candidate"), "candidate", "left_semi").select("candidate", F.lit("inland rock").alias("outcome"), F.lit(None).cast(dict(places.dtypes)["place"]).alias("place"))
-    rest = candidates.join(rocks.select("candidate"), "candidate", "left_anti").withColumn("_k", name_key(F.col("name")))
-    p = places.withColumn("_pk", name_key(F.col("name")))
+    # names are keyed once; tables as long as the candidates are merged, not broadcast, which their estimated sizes would allow
+    rest = durable(candidates.join(rocks.select("candidate"), "candidate", "left_anti").withColumn("_k", name_key(F.col("name"))).drop("name"), "candidates").hint("merge")
+    p = durable(places.withColumn("_pk", name_key(F.col("name"))).drop("name"), "keyed-places").hint("merge")
     by = lambda hit, tier: hit.select("candidate", "place", F.lit(tier).alias("_n"), F.lit(0.0).alias("_d") if "km" not in hit.columns else F.col("km").alias("_d"))
     objects = by(rest.filter("map_type is not null").join(p.select("map_type", "map_id", "place"), ["map_type", "map_id"]), 0)
     entities = by(rest.filter("entity is not null").join(p.select("entity", "place"), "entity"), 1)
@@ -35,10 +36,11 @@ def site_update(candidates: DataFrame, places: DataFrame, rocks: DataFrame, incl
     named = by(close.filter((F.col("_k") == F.col("_pk")) & (F.col("_k") != "") & (F.col("km") <= 1)), 2)
     loose = by(close.filter(~F.col("review") & (F.col("km") <= near_km)), 3)
     match = durable(objects.unionByName(entities).unionByName(named).unionByName(loose).groupBy("candidate").agg(F.min(F.struct("_n", "_d", "place"))["place"].alias("place")), "matches")
-    matched = match.join(places.select("place", "source"), "place").select("candidate", F.when(F.col("source") == "curated", "curated match").otherwise("merged").alias("outcome"), "place")
-    new = rest.join(match.select("candidate"), "candidate", "left_anti")
-    waiting = new.filter(F.col("review")) if not include_uncertain else new.filter(F.lit(False))
-    open_ = new.join(waiting.select("candidate"), "candidate", "left_anti").select("candidate", "review", "_k", "lat", "lng")
+    matched = match.hint("merge").join(places.select("place", "source"), "place").select("candidate", F.when(F.col("source") == "curated", "curated match").otherwise("merged").alias("outcome"), "place")
+    new = rest.join(match.select("candidate").hint("merge"), "candidate", "left_anti")
+    wait = F.lit(False) if include_uncertain else F.coalesce(F.col("review"), F.lit(False))
+    waiting = new.filter(wait)
+    open_ = durable(new.filter(~wait).select("candidate", "review", "_k", "lat", "lng"), "open-candidates")
     twins = within_km(open_.select("candidate", "_k", "lat", "lng"), open_.select(F.col("candidate").alias("_other"), F.col("_k").alias("_ck"), "lat", "lng"), near_km)
     clashes = twins.filter((F.col("_other") < F.col("candidate")) & (F.col("_k") == F.col("_ck"))).select(F.col("candidate").alias("u"), F.col("_other").alias("v"))
     later = first_come(clashes).select(F.col("node").alias("candidate"), F.lit(True).alias("_later"))

@@ -31,3 +31,10 @@ def test_nearest_of_a_crowd(spark, monkeypatch):
     assert min(met) < 40
     got = imports.import_duplicates(l.withColumnRenamed("a", "imported"), r.withColumnRenamed("b", "place"), 150)
     assert {x.imported: x.place for x in got.collect()} == want
+
+
+def test_rows_of_cells_are_not_broadcast(spark):
+    a = spark.range(50).selectExpr("id as a", "55.0 + id / 100 as lat", "-4.0 as lng")
+    found = joins.within_km(a, a.withColumnRenamed("a", "b"), 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 50
