@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import equal_area_radius_m
+from ..functions.geo import equal_area_radius_m, haversine_km
 from ..functions.text import fold, name_key, search_norm, whole_word
-from .joins import first_of, within_km
+from .joins import cells, first_of, within_km
+from .tables import durable
 
 
 def name_variants(name: Column) -> Column:
@@ -37,18 +38,50 @@ def location_sentence(body: Column, name: Column) -> Column:
     return (x != "") & F.exists(F.split(F.coalesce(body, F.lit("")), r"[.\n]"), says)
 
 
+def circle_km(area: Column, factor: float = 1.45, unknown_km: float = 0.4) -> Column:
+    """How far a place of some km2 reaches: its equal-area circle widened by ``factor``; ``unknown_km`` without an area."""
+    return F.when(area > 0, F.greatest(F.lit(0.35), factor * equal_area_radius_m(area) / 1000)).otherwise(unknown_km)
+
+
 def in_reach(points: DataFrame, places: DataFrame, point_id: str, place_id: str, factor: float = 1.45, unknown_km: float = 0.4, most_km: float = 75.0) -> DataFrame:
-    """(point_id, place_id, km) of places whose equal-area circle, widened by ``factor``, holds a point; those without an area reach ``unknown_km``.
+    """(point_id, place_id, km) of places whose equal-area circle, widened by ``factor``, holds a point; those without an area reach ``unknown_km``."""
+    sized = places.select(F.col(place_id), "lat", "lng", circle_km(F.col("area"), factor, unknown_km).alias("reach"))
+    return reached(points.select(point_id, "lat", "lng"), sized, most_km).select(point_id, place_id, "km")
+
+
+def reached(points: DataFrame, sized: DataFrame, most_km: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Points joined to what lies no further than its ``reach`` from them, with ``km``; what reaches further than ``most_km`` takes no part. Sides have columns lat and lng, equal ``keys`` and otherwise distinct names.
 
-    Places are joined in bands of reach, so that small ones are not probed as far as large ones.
+    Places lie in the cells of their band of reach, each half as wide as the one before, so that
+    small ones are not probed as far as large ones; a point is put into its cell of every band.
     """
-    reach = F.when(F.col("area") > 0, F.greatest(F.lit(0.35), factor * equal_area_radius_m(F.col("area")) / 1000)).otherwise(unknown_km)
-    sized = places.select(F.col(place_id), "lat", "lng", reach.alias("reach"))
-    out, low = None, 0.0
-    for high in (1.0, 8.0, most_km):
-        band = within_km(points.select(point_id, "lat", "lng"), sized.filter((F.col("reach") > low) & (F.col("reach") <= high)), high).filter("km <= reach")
-        out, low = (band if out is None else out.unionByName(band)), high
-    return out.select(point_id, place_id, "km")
+    ok = F.col("lat").between(-90, 90) & F.col("lng").isNotNull() & ~F.isnan("lng")
+    fits = sized.filter(ok & (F.col("reach") <= most_km)).withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(30), F.floor(F.log2(most_km / F.greatest("reach", F.lit(1e-6))))))).withColumn("_b", F.col("_b").cast("int"))
+    # a band's cells are a little wider than what its places reach, whatever the logarithm's last digit
+    bands = {r[0]: cells(most_km / 2 ** r[0] * 1.001, F.col("lat"), F.col("lng")) for r in fits.select("_b").distinct().collect()}  # 31 at most
+    if not bands:
+        bands = {0: cells(most_km, F.col("lat"), F.col("lng"))}
+    own = F.array(*(F.struct(F.lit(b).alias("b"), at.alias("c")) for b, (at, _) in sorted(bands.items())))
+    around = F.coalesce(*(F.when(F.col("_b") == b, F.transform(cs, lambda c: F.struct(F.col("_b").alias("b"), c.alias("c")))) for b, (_, cs) in bands.items()))
+    p = points.filter(ok).withColumn("_c", F.explode(own)).withColumnsRenamed({"lat": "_lat1", "lng": "_lng1"})
+    q = fits.withColumn("_c", F.explode(around)).drop("_b").withColumnsRenamed({"lat": "_lat2", "lng": "_lng2"})
+    km = haversine_km(F.col("_lat1"), F.col("_lng1"), F.col("_lat2"), F.col("_lng2"))
+    return p.hint("merge").join(q, ["_c", *keys]).withColumn("km", km).filter(F.col("km") <= F.col("reach")).drop("_c", "_lat1", "_lng1", "_lat2", "_lng2")
+
+
+def any_reach(points: DataFrame, sized: DataFrame, point_id: str, most_km: float, further: float = 3.0) -> DataFrame:
+    """(point_id) of points that something reaches. By rounds of growing distance: only points that nothing near reaches look further, and then only at what reaches further."""
+    p, out, low, km = durable(points.select(point_id, "lat", "lng"), "reach-points"), None, 0.0, 1.0
+    far = min(most_km, sized.filter(F.col("reach") <= most_km).agg(F.max("reach")).first()[0] or 0.0)
+    while low < far or out is None:
+        high = km if km < far else max(far, 1e-3)
+        hit = within_km(p, sized.filter((F.col("reach") > low) & (F.col("reach") <= most_km)), high).filter("km <= reach").select(point_id).distinct()
+        hit = durable(hit, "reach-found")
+        out = hit if out is None else out.unionByName(hit)
+        if high < far:
+            p = durable(p.join(hit, point_id, "left_anti"), "reach-points")
+        low, km = high, high * further
+    return out
 
 
 def first_evidence(candidates: Sequence[tuple[str, DataFrame]], item: str, place: str) -> DataFrame:

@@ -58,3 +58,33 @@ def test_phrases(spark):
     names = ["Isle of Mull", "Skarva (North Holm)", "Rock", None, "Ynys of Môr", "A+B Isle"]
     got = [sorted(r[0]) for r in spark.createDataFrame([(n,) for n in names], "n string").select(placing.place_phrases(F.col("n"))).collect()]
     assert got == [["isle of mull", "mull"], ["north holm", "skarva", "skarva (north holm)"], [], [], ["ynys of mor"], ["a+b isle"]]
+
+
+def test_a_crowd_of_places_that_no_text_names_is_not_met(spark, monkeypatch):
+    near = [(f"n{i}", f"Other{i}holm", 20.0, 56.45 + i * 1e-5, -6.1, None) for i in range(300)]
+    places = spark.createDataFrame([*PLACES, *near], "place string, name string, area double, lat double, lng double, entity string")
+    rows = [(f"r{i}", "Old Castle", "It is a castle on the Isle of Mull.", "", "", *MULL, None) for i in range(300)]
+    records = spark.createDataFrame(rows, "record string, title string, extract string, kind string, context string, lat double, lng double, declared array<string>")
+    met, plain = [], placing.reached
+    monkeypatch.setattr(placing, "reached", lambda *a: met.append(plain(*a)) or met[-1])
+    got = {(r.place, r.reason) for r in placing.castle_places(records, places).collect()}
+    assert got == {("mull", placing.REASONS[2])} and sum(d.count() for d in met) == 1
+
+
+def test_reach_of_every_size(spark):
+    from math import asin, cos, pi, radians, sin, sqrt
+
+    from skeinframe.operators import evidence
+
+    def km(a, b):
+        return 2 * 6371.0 * asin(sqrt(sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2))
+
+    points = [(i, 50 + i * 0.61 % 3, i * 0.77 % 4 - 2) for i in range(60)]
+    sized = [(i, 50 + i * 0.43 % 3, i * 0.91 % 4 - 2, [None, 0.05, 3.0, 60.0, 900.0, 8000.0][i % 6]) for i in range(60)]
+    reach = {i: max(0.35, 1.45 * sqrt(a / pi)) if a else 0.4 for i, _, _, a in sized}
+    want = {(p[0], q[0]) for p in points for q in sized if km(p[1:], q[1:3]) <= reach[q[0]]}
+    p = spark.createDataFrame(points, "pt int, lat double, lng double")
+    found = evidence.in_reach(p, spark.createDataFrame(sized, "place int, lat double, lng double, area double"), "pt", "place")
+    assert {(r.pt, r.place) for r in found.collect()} == want and len(want) > 100
+    wide = spark.createDataFrame([(*q[1:3], reach[q[0]]) for q in sized], "lat double, lng double, reach double")
+    assert {r.pt for r in evidence.any_reach(p, wide, "pt", 75.0).collect()} == {a for a, _ in want}
