@@ -68,7 +68,8 @@ def shoelace_area(t):
 def tiered_match(t):
     s, c = t("supplier"), t("customer")
     number = lambda col: F.expr(f"try_cast(substr({col}, 10) as int)")
-    tiers = [("number", number("s_name"), number("c_name"), F.col("s_nationkey") == F.col("c_nationkey")), ("nation", F.col("s_nationkey"), F.col("c_nationkey"), F.abs(F.col("s_acctbal") - F.col("c_acctbal")) <= 500)]
+    both = lambda side, nation: F.when(side.isNotNull() & F.col(nation).isNotNull(), F.struct(side.alias("number"), F.col(nation).alias("nation")))
+    tiers = [("number", both(number("s_name"), "s_nationkey"), both(number("c_name"), "c_nationkey"), None), ("nation", F.col("s_nationkey"), F.col("c_nationkey"), joins.Within(F.col("s_acctbal"), F.col("c_acctbal"), 500))]
     return joins.tiered_match(s, c, "s_suppkey", "c_custkey", tiers)
 
 
