@@ -96,8 +96,7 @@ def lookup_enrich(t):
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2")
 def edit_distance_match(t):
     p = t("part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pairs = p.withColumnsRenamed({"p_partkey": "a", "p_name": "x"}).join(p.withColumnsRenamed({"p_partkey": "b", "p_name": "y"}), ["p_brand", "p_size"]).filter("a < b")
-    return pairs.select("a", "b", text.banded_distance(F.col("x"), F.col("y")).alias("distance")).filter("distance <= 2")
+    return joins.near_spellings(p, ["p_brand", "p_size"], "p_partkey", "p_name", 2)
 
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
