@@ -1,6 +1,23 @@
 """Rows that say the same are judged once, and forms are made once."""
 
-from skeinframe.operators import categories
+from skeinframe.operators import categories, placing
+
+
+def test_equal_sentences_set_books_once(spark, monkeypatch):
+    real, judged = placing.durable, {}
+
+    def durable(df, label):
+        out = real(df, label)
+        judged[label] = out.count()
+        return out
+
+    monkeypatch.setattr(placing, "durable", durable)
+    docs = spark.createDataFrame([(i, "It is set on Sark.", "sark2" if i % 9 == 0 else None if i % 2 else f"hint {i}") for i in range(90)], "doc int, body string, hint string")
+    aliases = spark.createDataFrame([("Sark", "sark", None, None), ("Sark", "sark2", None, None)], "alias string, place string, is_group boolean, not_in string")
+    places = spark.createDataFrame([("sark", 5.0, [], None, False), ("sark2", 0.2, [], None, False)], "place string, area double, context array<string>, entity string, curated boolean")
+    got = {r.doc: (r.n, r.place) for r in placing.book_places(docs, aliases, places).collect()}
+    assert got == {i: (0, "sark2" if i % 9 == 0 else "sark") for i in range(90)}
+    assert judged["settings"] == 2
 
 
 def test_forms_of_a_category_are_made_once(spark):
