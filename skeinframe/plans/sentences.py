@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sentences as s
+from ..functions.text import fold
 from ..operators.tables import durable
 from .asking import _FROM, _KM, _RECOMMEND, _REST, _asked, _cut, _hay, _word, answered
 from .base import pick
@@ -51,6 +52,12 @@ _READ = f"""WITH a AS (SELECT id, trim(replace(lower(strip_accents(sentence)), '
  d AS (SELECT *, {_has("recommend")} OR coalesce(n BETWEEN 1 AND 25 AND len(archipelagos) + len(nations) > 0, false) AS recommend FROM c)"""
 
 
+def _log(t):
+    """The log, and each of its sentences once: equal sentences ask for the same."""
+    log = durable(t.sql(QUESTIONS), "questions")
+    return log, s.with_facets(log.select("sentence").distinct(), "sentence")
+
+
 @query(
     f"""{_READ} SELECT id, list_aggregate(list_sort(nations), 'string_agg', '|') AS nations, list_aggregate(list_sort(CASE WHEN recommend AND len(kinds) = 0 AND len(features) = 0 AND water IS NULL THEN ['sea'] WHEN water IS NOT NULL THEN list_filter(kinds, lambda x: x NOT IN ('lake', 'river')) ELSE kinds END), 'string_agg', '|') AS types,
  list_aggregate(list_sort(subtypes), 'string_agg', '|') AS subtypes, list_aggregate(list_sort(archipelagos), 'string_agg', '|') AS archipelagos, list_aggregate(list_sort(features), 'string_agg', '|') AS features, water, CASE WHEN contains(txt, 'largest') THEN 'area' END AS sort, {_has("ferry")} OR coalesce(kind, season, operator, port) IS NOT NULL AS ferry, kind AS ferry_kind, season AS ferry_season, operator AS ferry_operator, port AS ferry_port,
@@ -60,10 +67,11 @@ _READ = f"""WITH a AS (SELECT id, trim(replace(lower(strip_accents(sentence)), '
 )
 def question_facets(t):
     """What each sentence of a log asks for (Q-01 to Q-04)."""
-    out = s.with_facets(durable(t.sql(QUESTIONS), "questions"), "sentence")
+    log, read = _log(t)
     text = lambda c: F.nullif(F.array_join(F.sort_array(c), "|"), F.lit("")).alias(c)
     lists = ("nations", "types", "subtypes", "archipelagos", "features")
-    return out.select("id", *map(text, lists), "water", "sort", "ferry", "ferry_kind", "ferry_season", "ferry_operator", "ferry_port", "recommend", "recommend_n", "max_area", "min_area", "photo", "elevation", "sure", "near", F.round("near_km", 6).alias("near_km"), F.nullif(F.array_join("words", "|"), F.lit("")).alias("words"))
+    read = durable(read.select(F.col("sentence").alias("_read"), *map(text, lists), "water", "sort", "ferry", "ferry_kind", "ferry_season", "ferry_operator", "ferry_port", "recommend", "recommend_n", "max_area", "min_area", "photo", "elevation", "sure", "near", F.round("near_km", 6).alias("near_km"), F.nullif(F.array_join("words", "|"), F.lit("")).alias("words")), "read-sentences")
+    return log.join(read, F.col("sentence").eqNullSafe(F.col("_read")), "left").drop("sentence", "_read")
 
 
 _GAZETTEER = "(VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in s.PLACES.items()) + ") g(place, lat, lng)"
@@ -72,9 +80,13 @@ _GAZETTEER = "(VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in s.PLAC
 @query(f"{_READ}, h AS (SELECT id, g.place, lower(g.place) <> want AS longer FROM d JOIN {_GAZETTEER} ON (lower(g.place) = want OR (length(want) >= 4 AND starts_with(lower(g.place), want))) AND NOT regexp_matches(want, '{s.NOT_NEAR}') WHERE length(want) >= 3) SELECT id, first(place ORDER BY longer, place) AS place FROM h GROUP BY id HAVING count(*) = 1 OR NOT bool_and(longer)")
 def question_near(t):
     """The known place that each sentence is near to, by name or as the only one that begins so (Q-05)."""
-    asked = s.with_facets(durable(t.sql(QUESTIONS), "questions"), "sentence").select("id", "near")
+    log, read = _log(t)
     gazetteer = t.spark.createDataFrame([(k, *v) for k, v in s.PLACES.items()], "place string, lat double, lng double")
-    return s.near_places(asked, "id", gazetteer).select("id", "place")
+    words = durable(read.select("sentence", "near"), "near-words")
+    near = s.near_places(words, "sentence", gazetteer).join(words, "sentence").select("sentence", "place", (fold(F.col("place")) != F.col("near")).alias("longer"))
+    # rows of one id are one sentence; a beginning counts if it stands there once
+    found = log.join(durable(near, "near-sentences"), "sentence").groupBy("id", "place", "longer").count()
+    return found.filter("count = 1 or not longer").select("id", "place")
 
 
 #: The made places have nations and groups of their own.

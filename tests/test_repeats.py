@@ -1,6 +1,24 @@
 """Rows that say the same are judged once, and forms are made once."""
 
+import __spark_entry__
 from skeinframe.operators import categories, placing
+from skeinframe.plans import sentences
+
+
+def _log(spark, tmp_path):
+    ids = [5832 * k + i for k in range(20) for i in (648, 649, 3300)]  # 5,832 orders on, a sentence comes again
+    spark.createDataFrame([(i,) for i in ids], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    return ids
+
+
+def test_equal_sentences_are_read_once(spark, tmp_path, monkeypatch):
+    ids, real, read = _log(spark, tmp_path), sentences.s.with_facets, []
+    monkeypatch.setattr(sentences.s, "with_facets", lambda df, *a: read.append(df.count()) or real(df, *a))
+    found = __spark_entry__.queries()["question_facets"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in found) == sorted(ids) and len({r[1:] for r in found}) == 3
+    near = __spark_entry__.queries()["question_near"](spark, str(tmp_path)).collect()
+    assert {(r.id % 5832, r.place) for r in near} == {(648, "Oban"), (649, "Oban")} and len(near) == 40
+    assert read == [3, 3]
 
 
 def test_equal_sentences_set_books_once(spark, monkeypatch):
