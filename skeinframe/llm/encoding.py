@@ -121,14 +121,23 @@ class ChunkEncoder:
                 del chunks[b]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        keyed = [self._keys(t) for t in texts]
-        get = self.chunks.get
-        found = [[get(k) for k in keys] for keys in keyed]
-        missing = {k for keys, got in zip(keyed, found) if None in got for k, b in zip(keys, got) if b is None}
+        chunks, join = self.chunks, b"".join
+        known = chunks.__getitem__
+        out: list[bytes] = []
+        open_: list[tuple[int, list[str]]] = []
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            keys = self._keys(text)
+            try:  # most texts have no new chunk, and need but one look at each
+                out.append(join(map(known, keys)))
+            except KeyError:
+                missing.update([k for k in keys if k not in chunks])
+                open_.append((i, keys))
+                out.append(b"")
         if missing:
             self._learn(missing)
-            found = [got if None not in got else [get(k) for k in keys] for keys, got in zip(keyed, found)]
-        out = [b"".join(got) for got in found]
+            for i, keys in open_:
+                out[i] = join(map(known, keys))
         for k in missing:
             if len(k) > KEPT_CHARS:
                 self.chunks.pop(k, None)
