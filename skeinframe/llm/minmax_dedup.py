@@ -67,7 +67,7 @@ def _families(distinct: DataFrame, percent: int) -> DataFrame:
     met = durable(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "met")
     shared = durable(bands.join(met, "key").select("key", "row"), "shared")
     keys = durable(shared.join(distinct.select("row", "n", "bits"), "row").select("key", "row", "n", "bits"), "keys")
-    found = families_of(keys, percent)
+    found = families_of(keys.withColumn("m", F.lit(1)), percent)
     release(met, shared, keys)
     return found
 

@@ -12,6 +12,8 @@ sets, the larger one's tokens that the other lacks are fewer than p.
 * A prefix that reaches frequent tokens is extended by g tokens, which are dealt
   into g groups; pairs of a group's tokens are indexed. Linked sets without a
   rare token in common share g + 1 of these tokens, so a pair of some group.
+* Sets with the same least frequent token come to the same tasks. Where a chunk of
+  sets has many under one key, they are one family already and stand under it once.
 * Sets that meet under a key are compared by parity bitmaps, whose difference is
   at most that of the sets; what may link is closed into families, whose sets are
   verified exactly in blocks of bounded size. Only edges of spanning forests are
@@ -30,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, least_of_each
 from .common import durable, prepare_workers, release, sliced, text_or_empty, trimmed
 
 #: Documents up to which a token is rare; entries of a key beyond which they are taken as one family without looking at bitmaps.
 RARE, HOT = 8, 512
+#: Entries of a key within a chunk beyond which they are taken as one family at once; entries of a chunk; tokens of all sets for each of the parts into which sets with one least frequent token are dealt.
+OFTEN, CHUNK_KEYS, PART_TOKENS = 64, 1_000_000, 8_000_000
 #: Tokens of a block of sets; documents of a chunk in which heavy tokens are looked for; words whose hashes a worker keeps.
 BLOCK_TOKENS, CHUNK_DOCS, KEPT_WORDS = 1_000_000, 2048, 250_000
 #: Bits of a set's parity bitmap, and of that of a set of LONG tokens or more.
@@ -169,6 +173,16 @@ def signature(n: int, percent: int, extra: float, tokens: list[tuple[int, int]])
     return keys
 
 
+def met_often(keys: np.ndarray, at: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (key, position of a row) of a chunk of ``rows`` rows: which of them stay, how many each stands for, and for each row the first one that it reaches by keys of more than OFTEN entries. Of such a key one entry stays."""
+    values, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    often = (counts > min(OFTEN, HOT))[inverse]
+    reached = least_of_each(at[often], rows + inverse[often], rows + len(values))[:rows]
+    stays = ~often
+    stays[first] = True
+    return stays, np.where(often, counts[inverse], 1), reached
+
+
 class Bitmaps:
     """Bitmaps of some sets, with a bound that tells which of them may link."""
 
@@ -333,31 +347,56 @@ def likely_families(distinct: DataFrame, width: int, percent: int) -> DataFrame:
     shared = counted.select("row", "c", "t").unionByName(tokens.join(heavy, "t", "left_semi").select("row", F.lit(RARE + 1).alias("c"), "t"))
     enough = shared.groupBy("row").agg(F.collect_list(F.struct("c", "t")).alias("tokens"))
     by_row = enough.join(distinct.select("row", "n", "bits"), "row")
+    parts = 1 + (distinct.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS
+    least = F.array_min(F.transform(F.filter("tokens", lambda x: x["c"] > RARE), lambda x: x["t"]))
+    met = by_row.withColumns({"least": F.coalesce(least, "row"), "salt": F.pmod(F.xxhash64("row"), F.lit(parts))}).repartition("least", "salt").sortWithinPartitions("least")
+
+    def kept(held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        """The entries that stay, and after them, without a key, rows with the one that stands for them in the place of n."""
+        starts = np.cumsum([0, *(batch.num_rows for _, _, batch in held)])
+        stays, m, reached = met_often(np.concatenate([k for k, _, _ in held]), np.concatenate([at + s for (_, at, _), s in zip(held, starts)]), int(starts[-1]))
+        done = 0
+        for keys, at, batch in held:
+            here = stays[done : done + len(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[here]), *batch.take(pa.array(at[here])).columns, pa.array(m[done : done + len(keys)][here])], names)
+            done += len(keys)
+        row = np.concatenate([batch.column("row").to_numpy() for _, _, batch in held])
+        moved = np.flatnonzero(reached != np.arange(len(row)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(moved), pa.int64()), pa.array(row[moved]), pa.array(row[reached[moved]]), pa.nulls(len(moved), pa.binary()), pa.array(np.zeros(len(moved), np.int64))], names)
+
+    names = ["key", "row", "n", "bits", "m"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in sliced(batches):
             keys, at = [], []
-            for i, (n, tokens) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens"))):
+            for i, (size, tokens) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens"))):
                 v = tokens.values
-                found = signature(n, percent, extra, list(zip(*(v.field(j).to_pylist() for j in range(2)))))
+                found = signature(size, percent, extra, list(zip(*(v.field(j).to_pylist() for j in range(2)))))
                 keys += found
                 at += [i] * len(found)
-            rest = batch.select(["row", "n", "bits"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *rest.columns], ["key", "row", "n", "bits"])
-
-    keys = durable(by_row.select("row", "n", "bits", "tokens").mapInArrow(trimmed(keyed), "key long, row long, n long, bits binary"), "keys")
-    found = families_of(keys, percent)
+            held.append((np.array(keys, np.int64), np.array(at, np.int64), batch.select(["row", "n", "bits"])))
+            n += len(keys)
+            if n >= CHUNK_KEYS:
+                yield from kept(held)
+                held, n = [], 0
+        if held:
+            yield from kept(held)
+
+    keys = durable(met.select("row", "n", "bits", "tokens").mapInArrow(trimmed(keyed), "key long, row long, n long, bits binary, m long"), "keys")
+    found = families_of(keys.filter("key is not null"), percent, keys.filter("key is null").select(F.col("row").alias("u"), F.col("n").alias("v")))
     release(keys, heavy)
     return found
 
 
-def families_of(keys: DataFrame, percent: int) -> DataFrame:
-    """(row, family) of the sets that meet others under a key and may link with them by their bitmaps, closed. keys: a table of (key, row, n, bits)."""
-    hot = durable(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("centre")).filter(F.col("m") > HOT).select("key", "centre"), "hot")
+def families_of(keys: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(row, family) of the sets that meet others under a key and may link with them by their bitmaps, closed. keys: a table of (key, row, n, bits, m), of which an entry stands for m that are one family by ``known`` (u, v)."""
+    hot = durable(keys.groupBy("key").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.min("row").alias("centre")).filter((F.col("all") > HOT) | (F.col("most") > 1)).select("key", "centre"), "hot")
     stars = keys.select("key", "row").join(hot, "key").filter("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
-    sorted_ = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "row")
+    sorted_ = keys.select("key", "row", "n", "bits").join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "row")
     likely = sorted_.mapInArrow(trimmed(lambda batches: likely_edges(batches, percent)), "u long, v long")
-    edges = durable(stars.unionByName(likely).distinct(), "likely")
+    found = stars.unionByName(likely)
+    edges = durable((found if known is None else found.unionByName(known)).distinct(), "likely")
     release(hot)
     families = components(edges)
     release(edges)
