@@ -193,9 +193,10 @@ def place_scores(items: DataFrame, places: DataFrame, counted_sale: bool = True)
     j = scored_items(items, places)
     real = ~F.col("thin") | (F.col("slug") != "film-art-music")
     working = F.count(F.when(F.col("facet") == "distillery", 1))
+    offers = F.collect_list(F.when(F.col("slug") == "for-sale", F.struct("item", "title")))  # only their titles are looked at as a whole
     best = j.groupBy("place", "slug").agg(
         F.max(F.when(real, F.col("score"))).alias("real_best"), F.max("score").alias("any_best"), F.count("*").alias("n"), F.count(F.when(real, 1)).alias("n_real"), working.alias("working"),
-        F.countDistinct(F.when(real, F.col("facet"))).alias("facets"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "title"))), lambda x: x["title"]), " ").alias("titles"),
+        F.countDistinct(F.when(real, F.col("facet"))).alias("facets"), F.array_join(F.transform(F.array_sort(offers), lambda x: x["title"]), " ").alias("titles"),
     ).join(places, "place")
     slugs = items.select("place", "slug").distinct().groupBy("place").agg(F.count("*").alias("slugs"), F.count(F.when(F.col("slug") == "for-sale", 1)).alias("sale"))
     s, c = F.col("slug"), F.col

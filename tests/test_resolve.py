@@ -78,3 +78,12 @@ def test_rings(spark):
     df = spark.createDataFrame([("a", 0, seg((0, 0), (1, 0))), ("a", 1, seg((1, 1), (1, 0))), ("a", 2, seg((1, 1), (0, 1), (0, 0))), ("a", 3, seg((5, 5), (6, 6)))], "k string, ord int, segment array<struct<x:double,y:double>>")
     rows = assemble_rings(df, "k").select(shoelace(F.col("ring")).alias("area")).collect()
     assert [r.area for r in rows] == [1.0]
+
+
+def test_only_titles_of_offers_are_collected(spark):
+    """Titles of other items were collected for each place and interest, and none of them was looked at."""
+    items = spark.createDataFrame([(1, 1, "for-sale", "whole island", "", None, None), (2, 1, "unusual-news", "fire", "", None, None)], "item int, place int, slug string, title string, summary string, facet string, picture string")
+    places = spark.createDataFrame([(1, "Muck", "island", 1.0, 10, 5.0, True)], "place int, name string, type string, area double, population int, elevation double, has_image boolean")
+    plan = interest.place_scores(items, places)._jdf.queryExecution().optimizedPlan().toString()
+    collected = [x for x in plan.split("collect_list")[1:]]
+    assert collected and all(x.startswith("(CASE WHEN") or x.startswith("(if") for x in collected)
