@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key_variant
-from .joins import nearest, nearest_polygon, points_in_polygons, smallest_polygon, within_km
+from .joins import nearest, nearest_polygon, points_in_polygons, same_key, smallest_polygon, within_km
 from .tables import durable
 
 #: Metres up to which a place on land belongs to the nearest water, and up to which that is more than a guess.
@@ -103,10 +103,29 @@ def sites_of_places(sites: DataFrame, places: DataFrame, polygons: DataFrame, ma
 
 
 def reserves_of_places(reserves: DataFrame, places: DataFrame, max_km: float = 1.0) -> DataFrame:
-    """(reserve, place): every place of a reserve's name and every place within ``max_km``; each pair once."""
-    key = lambda c: name_key_variant(F.col(c), "inland")
-    named = reserves.select("reserve", key("name").alias("_k")).filter("_k <> ''").join(places.select("place", key("name").alias("_k")), "_k").select("reserve", "place")
-    near = within_km(reserves.select("reserve", "lat", "lng"), places.select("place", "lat", "lng"), max_km).select("reserve", "place")
-    return named.unionByName(near).distinct()
-
+    """(reserve, place): every place of a reserve's name and every place within ``max_km``; each pair once.
 
+    Names meet as lists of ids, and what is near leaves out what has one name, so
+    pairs are not shuffled; only those of ids that have several rows are made distinct.
+    """
+    a, b = _keyed(reserves, "reserve"), _keyed(places, "place")
+    once = _reserve_pairs(a.filter("not _many"), b.filter("not _many"), max_km)
+    if a.filter("_many").isEmpty() and b.filter("_many").isEmpty():
+        return once
+    return once.unionByName(_reserve_pairs(a.filter("_many"), b, max_km).unionByName(_reserve_pairs(a.filter("not _many"), b.filter("_many"), max_km)).distinct())
+
+
+def _keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, lat, lng, _k, _many): the name's key, null if it is blank; and whether the id has several rows. The key of a name is made once."""
+    rows = df.select(id_col, "lat", "lng", "name").distinct()
+    names = durable(rows.select("name").distinct().filter("name is not null").select("name", name_key_variant(F.col("name"), "inland").alias("_k")), "name-keys")
+    keyed = rows.join(names.filter("_k <> ''"), "name", "left").drop("name").distinct()
+    return durable(keyed.withColumn("_many", F.count("*").over(Window.partitionBy(id_col)) > 1), "keyed-" + id_col)
+
+
+def _reserve_pairs(a: DataFrame, b: DataFrame, max_km: float) -> DataFrame:
+    """(reserve, place) of one name or near each other."""
+    key = lambda d, i: d.filter("_k is not null").select(i, "_k").distinct()
+    named = same_key(key(a, "reserve"), key(b, "place"), "_k", "reserve", "place")
+    near = within_km(a.select("reserve", "lat", "lng", F.col("_k").alias("_ka")), b.select("place", "lat", "lng", F.col("_k").alias("_kb")), max_km)
+    return named.unionByName(near.filter("not coalesce(_ka = _kb, false)").select("reserve", "place"))
